@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamwork.llm.langid import identify_documents
+from loamwork.llm.minhash import near_duplicates
 from loamwork.llm.mixing import mix_documents
 from loamwork.llm.packing import pack_documents
+from loamwork.llm.quality import score_documents
 from loamwork.llm.sharding import shard_documents
 
 
@@ -30,6 +33,18 @@ def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -37,6 +52,9 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard": op2_shard,
+    "op3_language_id": op3_language_id,
+    "op6_quality": op6_quality,
+    "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
 }
 ORACLE_SQL: dict[str, str] = {}
