@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamwork.llm.fingerprints import fingerprint_documents
 from loamwork.llm.langid import identify_documents
 from loamwork.llm.minhash import near_duplicates
 from loamwork.llm.mixing import mix_documents
@@ -37,6 +38,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard": op2_shard,
     "op3_language_id": op3_language_id,
+    "op4_fingerprints": op4_fingerprints,
     "op6_quality": op6_quality,
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
