@@ -11,6 +11,7 @@ from loamwork.llm.langid import identify_documents
 from loamwork.llm.minhash import near_duplicates
 from loamwork.llm.mixing import mix_documents
 from loamwork.llm.packing import pack_documents
+from loamwork.llm.pii import pii_documents
 from loamwork.llm.quality import score_documents
 from loamwork.llm.sharding import shard_documents
 
@@ -46,6 +47,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
     "op6_quality": op6_quality,
+    "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
 }
