@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamwork.llm.arc import archive_pages
 from loamwork.llm.fingerprints import fingerprint_documents
 from loamwork.llm.langid import identify_documents
 from loamwork.llm.minhash import near_duplicates
@@ -14,6 +15,7 @@ from loamwork.llm.packing import pack_documents
 from loamwork.llm.pii import pii_documents
 from loamwork.llm.quality import score_documents
 from loamwork.llm.sharding import shard_documents
+from loamwork.llm.vectors import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +45,18 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_documents(table(spark, sf_dir, "documents"))
 
@@ -64,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_language_id": op3_language_id,
     "op4_fingerprints": op4_fingerprints,
+    "op5_warc": op5_warc,
     "op6_quality": op6_quality,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
