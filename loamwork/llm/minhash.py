@@ -69,7 +69,7 @@ def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(seen, key)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tuple[int, int] = (16, 4), right: tuple[int, int] = (8, 2), pivots: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tuple[int, int] = (16, 4), right: tuple[int, int] = (8, 2), pivots: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Documents link where the Jaccard similarity of their sets of `words`-word shingles is percent / 100 at least. Texts
@@ -81,10 +81,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     left[0] * left[1] + right[0] * right[1] minhashes. A left band that no other class has can't be part of a shared
     key, so it is dropped before pairs are formed. A pair at the threshold meets with a probability over 0.999.
 
-    Shared buckets are settled by components, not by all pairs: members are checked against pivots first, joined
-    components are contracted, and then every pair of a bucket that still lies in two components and has a member
-    outside the bucket's largest one is checked. So each pair that shares a bucket is either linked by checked links or
-    checked itself, without a cap.
+    Shared buckets are settled by components, not by all pairs: members are checked against pivots first and joined
+    components are contracted. In buckets that still hold two components, every pair across them is checked or ruled
+    out by an exact bound (unsettled_pairs). So each pair that shares a bucket is linked by checked links, checked
+    itself, or proved apart; there is no cap.
     """
     sigs = stage(signatures(docs, words, left, right), "sigs")
     sets = ["n", "s0", "s1"]
@@ -139,11 +139,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
         if open_.isEmpty():
             break
     else:
-        counts = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        main = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top")).select("key", F.col("top.comp").alias("main"))
-        rest = open_.join(main, "key").where("comp <> main").select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"))
-        met = open_.join(rest, "key").where((F.col("comp") != F.col("rc")) & near)
-        settle(met.select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b")))
+        settle(unsettled_pairs(open_, texts, words, percent))
 
     found = at.select(F.col("rep"), F.col("comp"))
     out = sigs.join(classes, sets, "left").join(found, "rep", "left")
@@ -152,6 +148,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def shingle_arrays(texts: DataFrame, words: int) -> DataFrame:
+    """rep, elems: the whole shingle set of each text (id, text)."""
+
+    def sets(batches):
+        for batch in batches:
+            found = [x.astype("i8") for x in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["rep", "elems"])
+
+    return texts.select("id", "text").mapInArrow(sets, "rep long, elems array<long>")
+
+
+def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int, small: int = 32) -> DataFrame:
+    """Pairs (a, b) of open_ (key, rep, n, comp) that may link: all across the components of a bucket but those ruled out.
+
+    In buckets of at most `small` members every pair across components is one. Larger buckets are joined to clusters by
+    the members they share, and each cluster gets a consensus p, the shingles that over half of its members have. With
+    h(x) the size of the difference of x and p, and o the overlap of two differences, the difference of x and y has
+    h(x) + h(y) - 2 o shingles, and they link if that is at most q (n(x) + n(y)), q = (100 - percent) / (100 + percent).
+    If h(x) > q (n(x) + n(p)), a link needs o > m(y) = (h(y) - q (n(y) - n(p))) / 2. So y's difference, but for
+    floor(m(y)) of it, must hold a shingle of x's difference: a join on shingles finds all such pairs. Copies of one
+    text differ from p in shingles of their own, so hardly any meet. Members x of the cluster's largest component are
+    joined already; the few x outside it but close to p meet the whole cluster.
+    """
+    close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    keep, lose = 100 + percent, 100 - percent
+    counted = stage(open_.join(open_.groupBy("key").agg(F.count(F.lit(1)).alias("c")), "key"), "counted")
+    few = counted.where(F.col("c") <= small).select("key", "rep", "n", "comp")
+    other = few.select("key", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"))
+    pairs = few.join(other, "key").where((F.col("rep") < F.col("r")) & (F.col("comp") != F.col("rc")) & close).select(F.col("rep").alias("a"), F.col("r").alias("b"))
+    many = counted.where(F.col("c") > small)
+    if many.isEmpty():
+        return pairs
+    stars = many.join(many.groupBy("key").agg(F.min("rep").alias("hub")), "key").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    clusters = connected_components(stars.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    mine = many.select("rep", "n", "comp").distinct().join(clusters, "rep")
+    sets = stage(mine.join(shingle_arrays(texts, words), "rep"), "cluster-sets")
+    parts = sets.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
+    info = parts.groupBy("cluster").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).select("cluster", "size", F.col("top.comp").alias("main"))
+    usual = sets.select("cluster", F.explode("elems").alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("k"))
+    p = usual.join(info, "cluster").where("2 * k > size").groupBy("cluster").agg(F.collect_set("e").alias("p"))
+    info = stage(info.join(p, "cluster", "left").select("cluster", "main", F.coalesce("p", F.array().cast("array<long>")).alias("p")), "consensus")
+    d = sets.join(info, "cluster").withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
+    h, n, np_ = F.size("d").cast("long"), F.col("n"), F.size("p").cast("long")
+    m = F.floor((h * keep - (n - np_) * lose) / (2 * keep))
+    d = d.select("cluster", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), F.slice("d", F.lit(1), (h - m).cast("int")).alias("y"))
+    d = stage(d, "differences")
+    x = d.where("outside AND NOT near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.explode("d").alias("e"))
+    y = d.select("cluster", "rep", "n", "comp", F.explode("y").alias("e"))
+    met = x.join(y, ["cluster", "e"]).where((F.col("comp") != F.col("rc")) & close).select("rep", "r")
+    z = d.where("outside AND near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"))
+    direct = z.join(d.select("cluster", "rep", "n", "comp"), "cluster").where((F.col("comp") != F.col("rc")) & close).select("rep", "r")
+    both = met.unionByName(direct).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
+    return pairs.unionByName(both)
+
+
 def dedup_stage(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept: one document of each group of near-duplicates, and all that link with nothing."""
     gone = stage(near_duplicates(docs, words, percent).where("NOT kept").select("doc_id").distinct(), "gone")
