@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import MOST_ROWS
 from loamwork.functions.storage import stage
 
 
@@ -12,8 +13,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b of one type): component is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, flattens the hooks by pointer doubling, and contracts the
-    edges; self-loops and repeats go, so the edges shrink by at least half in nodes each round. Nothing is gathered on
-    the driver, and every round is a written table. Null ends are dropped.
+    edges; self-loops and repeats go, so at least half of the nodes go each round. Nothing is gathered on the driver, and
+    every round is a written table; hooks are broadcast once there are few enough. Null ends are dropped.
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     loops = e.where("a = b").select(F.col("a").alias("node")).distinct()
@@ -21,18 +22,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     hooks: list[DataFrame] = []
     while not e.isEmpty():
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        h = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
-        h = stage(h, "hooks")
-        while True:
-            to = h.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            h2 = stage(h.join(to, "p").select("u", F.col("pp").alias("p"), (F.col("pp") < F.col("p")).alias("moved")), "hooks")
-            h = h2.select("u", "p")
-            if h2.where("moved").isEmpty():
-                break
+        h = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hooks")
+        few = h.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+        sent = F.broadcast if few else (lambda x: x)
+        moved = True
+        while moved:
+            jump = h.join(sent(h.select(F.col("u").alias("p"), F.col("p").alias("pp"))), "p").select("u", "p", "pp")
+            far = jump.join(sent(h.select(F.col("u").alias("pp"), F.col("p").alias("q"))), "pp").select("u", "p", "q")
+            h2 = stage(far, "hooks")
+            h, moved = h2.select("u", F.col("q").alias("p")), not h2.where("q < p").isEmpty()
         hooks.append(h)
         ha, hb = h.select(F.col("u").alias("a"), F.col("p").alias("pa")), h.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        moved = e.join(ha, "a").join(hb, "b").where("pa <> pb")
-        e = stage(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        left = e.join(sent(ha), "a").join(sent(hb), "b").where("pa <> pb")
+        e = stage(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
     if not hooks:
         return loops.select("node", F.col("node").alias("component"))
     out = hooks[0].select(F.col("u").alias("node"), F.col("p").alias("component"))
