@@ -42,19 +42,20 @@ def fingerprint_text(x: Column) -> Column:
 
 
 def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000) -> DataFrame:
-    """docs (doc_id, text) in ranges of ascending doc_id, for windows: b, ghost, oid, doc_id, text, tie.
+    """docs (doc_id, text) in ranges of ascending doc_id, for windows: b, ghost, oid, text, tie.
 
     Range limits are approximate quantiles, at most `most`. The first rows of each range are repeated as ghosts at the
-    end of the range before it (of the last range, for the first), so the next row is at hand in every range.
+    end of the range before it (of the last range, for the first), so the next row is at hand in every range. oid is
+    doc_id with the least long for null. Rows are dealt to a task for every two ranges.
     """
     oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), oid.alias("oid"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), oid.alias("oid"))
     n = max(1, min(most, docs.count() // rows_per_range))
     cuts = rows.agg(F.percentile_approx("oid", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     splits = sorted({float(x) for x in cuts or []} - {float("-inf")})
     marks = [float("-inf"), *splits, float("inf")]
     ranged = Bucketizer(splits=marks, inputCol="_at", outputCol="_b").transform(rows.withColumn("_at", F.col("oid").cast("double"))) if splits else rows.withColumn("_b", F.lit(0.0))
-    ranged = ranged.select("doc_id", "text", "oid", F.col("_b").cast("int").alias("b"))
+    ranged = ranged.select("text", "oid", F.col("_b").cast("int").alias("b"))
     firsts = ranged.groupBy("b").agg(F.min("oid").alias("oid"))
     order, all_ = Window.orderBy("b"), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("b", "oid", F.coalesce(F.lag("b").over(order), F.last("b").over(all_)).alias("before"))  # a row for each range
@@ -62,7 +63,8 @@ def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000)
     own = F.struct(F.col("b"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.col("before").alias("b"), F.lit(True).alias("ghost"))
     places = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ghost)))
-    return joined.select("doc_id", "text", "oid", places.alias("p")).select("p.b", "p.ghost", "oid", "doc_id", "text", F.xxhash64("text").alias("tie"))
+    out = joined.select("text", "oid", places.alias("p")).select("p.b", "p.ghost", "oid", "text", F.xxhash64("text").alias("tie"))
+    return out.repartition(max(n // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b")
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +75,7 @@ def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
     (bin-wise consistent weighted sampling). keys must identify rows. Texts without words give empty arrays.
     """
     names = [c for c in texts.columns if c not in keys]
-    both = F.explode(F.array(*(F.struct(F.lit(i).alias("v"), F.col(c).alias("t")) for i, c in enumerate(names))))
+    both = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("v"), F.col(c).alias("t")) for i, c in enumerate(names))))
     words = texts.select(*keys, both.alias("x")).select(*keys, "x.v", F.explode(F.split("x.t", BLANK)).alias("word"))
     terms = words.groupBy(*keys, "v", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).alias("w"))
     sampled = terms.select(*keys, "v", F.pmod(F.xxhash64("term", F.lit(0)), F.lit(BINS)).cast("int").alias("bin"), sample_value(F.col("term"), F.col("w").cast("double")).alias("a"))
@@ -93,14 +95,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("b").orderBy("ghost", "oid", "tie")
     half = F.call_function("div", F.length("text"), F.lit(2)).cast("int")
-    rows = with_ranges(docs).select("b", "ghost", "oid", "tie", "doc_id", "text")
-    rows = rows.select("b", F.row_number().over(w).alias("seq"), "ghost", "doc_id", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next"))
+    rows = with_ranges(docs)  # one exchange, whose columns both branches below read
+    rows = rows.select("b", F.row_number().over(w).alias("seq"), "ghost", "oid", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
-    rows = rows.select("b", "seq", "ghost", "doc_id", "text", edited.alias("edited"))
+    rows = rows.select("b", "seq", "ghost", "oid", "text", edited.alias("edited"))
     prints = fingerprints(rows.select("b", "seq", "text", "edited"), ["b", "seq"])
     after = F.lead("text").over(Window.partitionBy("b").orderBy("seq"))
     prints = prints.select("b", "seq", F.col("text").alias("p"), F.col("edited").alias("e"), after.alias("q"))
-    facts = rows.where("NOT ghost").select("b", "seq", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = rows.where("NOT ghost").select("b", "seq", F.when(F.col("oid") != -(2**63), F.col("oid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     out = facts.join(prints, ["b", "seq"])
     p, e, q = F.col("p"), F.col("e"), F.col("q")
     return out.select("doc_id", "n_chars", "edited_sha256", fingerprint_text(p).alias("fingerprint"), fingerprint_text(e).alias("edited_fingerprint"), likeness(p, e).alias("near_edited"), likeness(p, q).alias("near_next"))
