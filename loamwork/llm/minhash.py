@@ -169,7 +169,7 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     If h(x) > q (n(x) + n(p)), a link needs o > m(y) = (h(y) - q (n(y) - n(p))) / 2. So y's difference, but for
     floor(m(y)) of it, must hold a shingle of x's difference: a join on shingles finds all such pairs. Copies of one
     text differ from p in shingles of their own, so hardly any meet. Members x of the cluster's largest component are
-    joined already; the few x outside it but close to p meet the whole cluster.
+    joined already; the few x outside it but close to p are compared with the whole cluster by their differences.
     """
     close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     keep, lose = 100 + percent, 100 - percent
@@ -197,8 +197,10 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     x = d.where("outside AND NOT near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.explode("d").alias("e"))
     y = d.select("cluster", "rep", "n", "comp", F.explode("y").alias("e"))
     met = x.join(y, ["cluster", "e"]).where((F.col("comp") != F.col("rc")) & close).select("rep", "r")
-    z = d.where("outside AND near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"))
-    direct = z.join(d.select("cluster", "rep", "n", "comp"), "cluster").where((F.col("comp") != F.col("rc")) & close).select("rep", "r")
+    z = d.where("outside AND near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.col("d").alias("e"))
+    apart = F.size("d") + F.size("e") - 2 * F.size(F.array_intersect("d", "e"))  # the size of the difference of the two sets
+    linked = (F.col("comp") != F.col("rc")) & close & (apart * keep <= (F.col("n") + F.col("m")) * lose)
+    direct = z.join(d.select("cluster", "rep", "n", "comp", "d"), "cluster").where(linked).select("rep", "r")
     both = met.unionByName(direct).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
     return pairs.unionByName(both)
 
