@@ -29,7 +29,7 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces between blanks that follow `.`, `!` or `?`, trimmed."""
-    return F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim)
+    return F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x))
 
 
 def host(url: Column) -> Column:

@@ -1,0 +1,182 @@
+"""Facts: candidate sentences, scores, ranking."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loamwork.functions.text import AD_MARKERS, FACT_JUNK, LOW_TRUST_HOSTS, PRIORITY_HOSTS, QUESTION_WORDS, STOP_WORDS, has_any, host, sentences, words
+
+# Ranking profiles and the patterns that choose them, in order.
+PROFILES = {
+    "default": {"relevance": 0.35, "domain_credit": 0.30, "position": 0.10, "ner": 0.15, "length": 0.05, "definition_causal": 0.10, "penalty": -0.15, "length_optimal": 120, "steepness": 0.08},
+    "factoid": {"relevance": 0.30, "domain_credit": 0.35, "position": 0.05, "ner": 0.35, "length": 0.0, "definition_causal": 0.0, "penalty": -0.15, "length_optimal": 100, "steepness": 0.1},
+    "how_why": {"relevance": 0.30, "domain_credit": 0.20, "position": 0.10, "ner": 0.0, "length": 0.0, "definition_causal": 0.40, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "evaluation": {"relevance": 0.50, "domain_credit": 0.25, "position": 0.05, "ner": 0.10, "length": 0.0, "definition_causal": 0.10, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+}
+PROFILE_PATTERNS = {
+    "philosophical_concept": "философ|сознан|квалиа|субъективн|онтолог|эпистем|феноменолог|бытие|смысл|этик[а]|интенциональност|ницше|кант|хайдеггер|априорн",
+    "quantum_physics_deep": r"квантов[аяи]|декогеренц|суперпозиц|шредер|вигнер|волновой\s+функц|корпускуляр|неопределенност|гамильтониан|кхд|струн|эйнштейн",
+    "mathematical_theorem": r"теорем[аы]|пифагор|эйлер|ферма|гильберт|аксиом[аы]|формул[аы]|интеграл|производн|дифференц|логарифм|число\s+пи",
+    "biological_system": "биологи[яи]|генет|синап|нейрон|эволюц|днк|рнк|симбиоз|транскрипц|белок|фермент|митохондр",
+    "programming_concept": r"программир|язык\s+программир|функц[ия]|класс|алгоритм|библиотек[аи]|python|java|c\+\+|javascript|фреймворк|нейросеть|обучение\s+модели",
+    "scientific_concept": "физик[а]|хими[я]|космос|астрон|теори[я]|закон|принцип|гипотез[а]|парадокс|эффект|реакция",
+    "historical_event": "истори[яи]|событи[ея]|войн[аы]|революц[ия]|биографи[яи]|родился|умер|году|век[а]|империя|царь|король",
+    "factoid": r"\bкто\b|\bгде\b|\bкогда\b|\bчто такое\b",
+    "how_why": r"\bкак\b|\bпочему\b|\bзачем\b|\bпричина\b",
+    "evaluation": r"\bлучше\b|\bхуже\b|\bстоит ли\b|\bсравнить\b|\bотличие\b",
+    "ai_concept": "искусственный интеллект|нейросет|машинн[оа]е обучени|гпт|чатгпт|agi|rag|трансформер|llm|ml|ai",
+}
+
+
+def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ...] = AD_MARKERS, stop: tuple[str, ...] = STOP_WORDS, asks: tuple[str, ...] = QUESTION_WORDS, keywords: Column | None = None) -> Column:
+    """The first rule that drops a sentence, or null."""
+    low, w = F.lower(s), words(s)
+    n = F.size(w)
+    capital = F.size(F.filter(F.slice(w, 2, 100_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1))))) / F.greatest(n - 1, F.lit(1))
+    stops = F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))) / F.greatest(n, F.lit(1))
+    head = F.get(words(low), F.lit(0)).isin(*asks) & (F.length(s) < 100)
+    if keywords is not None:
+        head = head & F.exists(keywords, lambda k: F.contains(low, k))
+    return (
+        F.when(~F.length(s).between(40, 600), "length").when(has_any(low, junk), "junk").when(has_any(low, ads), "ad").when(s.rlike(r"https?://|www\."), "url")
+        .when(F.length(s) - F.length(F.replace(s, F.lit("!"), F.lit(""))) > 2, "shouting").when((n >= 3) & (capital > 0.4), "capitals").when(stops > 0.6, "stop_words").when(head, "question")
+    )
+
+
+def fact_sentences(chunks: DataFrame) -> DataFrame:
+    """doc_id, topic, source_url, pos, sentence of every sentence of chunks."""
+    return chunks.select("doc_id", "topic", "source_url", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def fact_candidates(chunks: DataFrame, **rules) -> DataFrame:
+    """The sentences that no rule drops."""
+    return fact_sentences(chunks).withColumn("why", drop_reason(F.col("sentence"), **rules)).where("why IS NULL").drop("why")
+
+
+def score_facts(facts: DataFrame, keywords: list[str], position: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> DataFrame:
+    """facts with total_score: keywords held, place, length, digits, dates and definition; times 1.2 or 0.5 by the exact host."""
+    s = F.col("sentence")
+    low, n, h = F.lower(s), F.length(s), host(F.col("source_url"))
+    base = sum((F.contains(low, F.lit(k.lower())).cast("double") for k in keywords), F.lit(0.0))
+    bonus = F.when(n.between(80, 250), 0.5).when(n.between(251, 400), 0.3).otherwise(0.0)
+    digits = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d+($|[^\p{L}\p{N}_])"), 0.5).otherwise(0.0)
+    dates = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d{4}($|[^\p{L}\p{N}_])") | low.rlike("млн лет"), 0.5).otherwise(0.0)
+    total = base + (1 - position) + bonus + digits + dates + F.when(is_definition(s), 0.3).otherwise(0.0)
+    return facts.withColumn("total_score", total * F.when(h.isin(*priority), 1.2).when(h.isin(*low_trust), 0.5).otherwise(1.0))
+
+
+def is_definition(s: Column) -> Column:
+    return F.lower(s).rlike("—| это | является |определяет")
+
+
+def is_causal(s: Column) -> Column:
+    return F.lower(s).rlike("потому что|так как|следовательно|поэтому|из-за|вследствие")
+
+
+def first_by_prefix(rows: DataFrame, text: str, by: list[str], order: list[str], n: int, lower: bool = True) -> DataFrame:
+    """The first row, in `order`, of each prefix of n characters of text (within `by`)."""
+    sig = F.substring(F.lower(text) if lower else F.col(text), 1, n)
+    w = Window.partitionBy(*by, sig).orderBy(*order)
+    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def best_per(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """rows with place, the first n of each group."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("place") <= n)
+
+
+def profile_of(query: Column, patterns: dict[str, str] = PROFILE_PATTERNS) -> Column:
+    low = F.lower(query)
+    return F.coalesce(*(F.when(low.rlike(p), k) for k, p in patterns.items()), F.lit("default"))
+
+
+def domain_credit(h: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> Column:
+    return F.when(has_any(h, priority), 1.0).when(has_any(h, low_trust), 0.3).otherwise(0.6)
+
+
+def rank_facts(facts: DataFrame, profiles: dict[str, dict] = PROFILES) -> DataFrame:
+    """facts (profile, relevance, credit, position, ner, sentence) with score by the weights of their profile (default for unknown ones)."""
+    spark = facts.sparkSession
+    names = list(profiles["default"])
+    table = spark.createDataFrame([(k, *(float(v[n]) for n in names)) for k, v in profiles.items()], "p string, " + ", ".join(f"w_{n} double" for n in names))
+    known = F.when(F.col("profile").isin(*profiles), F.col("profile")).otherwise("default")
+    j = facts.withColumn("p", known).join(F.broadcast(table), "p")
+    s = F.col("sentence")
+    length = 1 / (1 + F.exp(-(F.length(s) - F.col("w_length_optimal")) * F.col("w_steepness")))
+    why = F.least(F.when(is_definition(s), 0.3).otherwise(0.0) + F.when(is_causal(s), 0.2).otherwise(0.0), F.lit(0.5))
+    signals = {"relevance": F.col("relevance"), "domain_credit": F.col("credit"), "position": 1 - F.col("position"), "ner": F.least(F.col("ner") / 20, F.lit(1.0)), "length": length, "definition_causal": why}
+    score = sum((F.col(f"w_{k}") * v for k, v in signals.items()), F.lit(0.0))
+    return j.withColumn("score", score).select(*facts.columns, "score")
+
+
+def mmr_rerank(rows: DataFrame, penalty: float = -0.2, most: int = 50) -> DataFrame:
+    """query_id, vec_id, place: repeatedly the row of greatest score plus penalty times its largest cosine to those chosen.
+
+    rows: query_id, vec_id, score, v; at most `most` of each query (the best by score), so a group is small.
+    """
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)
+        x = np.array(pdf["v"].tolist(), float)
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near, left, order = np.zeros(len(x)), list(range(len(x))), []
+        while left:
+            i = max(left, key=lambda i: (pdf["score"][i] + penalty * near[i], -i))
+            order.append(i)
+            left.remove(i)
+            near = np.maximum(near, x @ x[i])
+        out = pdf.loc[order, ["query_id", "vec_id"]]
+        out["place"] = np.arange(1, len(order) + 1)
+        return out
+
+    top = best_per(rows, "query_id", [F.desc("score"), F.col("vec_id")], most).drop("place")
+    kinds = dict(rows.dtypes)
+    return top.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, place long")
+
+
+def dynamic_selection(rows: DataFrame, by: str, order: str, share: float = 0.6, least: int = 2, most: int = 20) -> DataFrame:
+    """Rows of score >= share * the group's best; at least `least`, at most `most`."""
+    top = F.max("score").over(Window.partitionBy(by))
+    at = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), order)).cast("long")
+    r = rows.withColumn("place", at).withColumn("top", top)
+    return r.where((F.col("place") <= most) & ((F.col("score") >= F.col("top") * share) | (F.col("place") <= least))).drop("top")
+
+
+def answer_confidence(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """topic, confidence from chunks (topic, quality, trust, source_url) and facts (topic, place, sentence)."""
+    c = chunks.groupBy("topic").agg(F.avg("quality").alias("q"), F.avg("trust").alias("t"), F.count_distinct("source_url").alias("n"))
+    w = facts.where("place <= 10").select("topic", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\w{4,}"), F.lit(0))).alias("w"))
+    use = w.groupBy("topic", "w").agg(F.count(F.lit(1)).alias("k"))
+    top = use.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("k"), "w"))).where("r <= 5")
+    often = top.groupBy("topic").agg(F.count(F.when(F.col("k") >= 3, 1)).alias("often"))
+    n = facts.groupBy("topic").agg(F.count(F.lit(1)).alias("facts"))
+    j = c.join(often, "topic", "left").join(n, "topic", "left")
+    same = F.when(F.coalesce("facts", F.lit(0)) < 3, 0.5).when(F.coalesce("often", F.lit(0)) == 0, 0.4).otherwise(F.least(F.col("often") / 3, F.lit(1.0)))
+    total = F.col("q") * 0.3 + F.col("t") * 0.25 + F.least(F.col("n") / 5, F.lit(1.0)) * 0.2 + same * 0.15
+    return j.select("topic", F.least(F.when(F.col("n") == 1, total * 0.8).when(F.col("n") == 0, total * 0.5).otherwise(total), F.lit(1.0)).alias("confidence"))
+
+
+def best_chunk(chunks: DataFrame) -> DataFrame:
+    """topic, chunk_id, quality: the best chunk of each topic (ties by the first id)."""
+    b = chunks.groupBy("topic").agg(F.min(F.struct((-F.col("quality")).alias("q"), "chunk_id")).alias("x"))
+    return b.select("topic", "x.chunk_id", (-F.col("x.q")).alias("quality"))
+
+
+def length_quality(length: Column) -> Column:
+    return F.when(length >= 800, 0.8).when(length >= 500, 0.6).when(length >= 300, 0.4).otherwise(0.2)
+
+
+def fact_pipeline(chunks: DataFrame, keywords: list[str], profile: str = "default", n: int = 20, **rules) -> DataFrame:
+    """topic, place, sentence, score, confidence: gate chunks, take their sentences, drop repeats, score, rank, select."""
+    gated = first_by_prefix(chunks.withColumn("quality", length_quality(F.col("length"))).where("quality >= 0.5"), "text", ["topic"], ["doc_id"], 200, False)
+    gated = gated.withColumn("trust", domain_credit(host(F.col("source_url"))))
+    facts = first_by_prefix(fact_candidates(gated, **rules), "sentence", ["topic"], ["doc_id", "pos"], 100)
+    scored = score_facts(facts, keywords, F.lit(0.5))
+    top = best_per(scored, "topic", [F.desc(F.round("total_score", 6)), F.col("doc_id"), F.col("pos")], 50)
+    ranked = rank_facts(top.select("*", F.lit(profile).alias("profile"), F.least(F.col("total_score") / 5, F.lit(1.0)).alias("relevance"), domain_credit(host(F.col("source_url"))).alias("credit"), F.lit(0.5).alias("position"), F.lit(0.0).alias("ner")))
+    chosen = dynamic_selection(ranked.withColumn("score", F.round("score", 6)).withColumn("key", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("pos").cast("string"), 6, "0"))).drop("place"), "topic", "key", 0.6, 2, n)
+    return chosen.join(answer_confidence(gated, chosen), "topic").select("topic", "place", "sentence", "score", "confidence")
+

@@ -29,7 +29,7 @@ VIEWS = {
 
 
 def _names(sql: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,7 @@ def oracle(sql: str) -> str:
                 order.append(n)
 
     need(sql)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    plain = lambda s: re.sub(r"\{([a-z]\w*)\}", r"\1", s)
     views = [f"{n} AS ({plain(VIEWS[n])})" for n in order]
     body = plain(sql)
     if not views:
