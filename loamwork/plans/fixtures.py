@@ -24,6 +24,7 @@ VIEWS = {
     "fx_edges": "SELECT concat('topic_', source) AS src, concat('chunk_', doc_id) AS dst, 'contains' AS relation, CASE WHEN doc_id % 40 = 1 THEN NULL ELSE round(0.3 + (doc_id % 9) / 10.0, 2) END AS weight FROM {documents} WHERE doc_id % 25 <> 7 UNION ALL SELECT concat('topic_', lang), concat('chunk_', doc_id), 'mentions', 0.5 FROM {documents} WHERE doc_id % 3 = 0 AND doc_id % 25 <> 7 UNION ALL SELECT concat('chunk_', doc_id), concat('chunk_', doc_id), 'self', 1.0 FROM {documents} WHERE doc_id % 100 = 7",
     "fx_task_log": "SELECT event_id, event_type AS type, event_type <> 'error' AS success, value AS processing_time, ts FROM {events}",
     "fx_chunks": "SELECT doc_id, concat(source, '_', doc_id) AS chunk_id, source AS topic, concat('http://', source, '.example.org/', doc_id) AS source_url, substring(text, 1, 1500) AS text, length(substring(text, 1, 1500)) AS length, doc_id AS seq FROM {documents}",
+    "fx_raw_files": "SELECT doc_id, translate(CASE doc_id % 9 WHEN 0 THEN concat('[«\"question\": \"What is ', source, '?\", \"answer\": \"A source of ', lang, '\"», \"plain ', doc_id, '\", [1, 2], ', doc_id, ']') WHEN 1 THEN concat('«\"id\": ', doc_id, ', \"text\": \"', source, '\"»') WHEN 2 THEN concat('«\"q\": \"why ', doc_id, '\", \"a\": \"so it is\"»', chr(10), chr(10), 'no json at all here', chr(10), '«\"q\": \"how\", \"a\": \"thus ', source, '\"»', chr(10), doc_id, chr(10), '«\"q\": \"x\", \"a\": \"y\"»') WHEN 3 THEN concat('name,lang,id', chr(10), source, ', ', lang, ',', doc_id, chr(10), chr(10), 'x,y,z') WHEN 4 THEN concat('name;id', chr(10), source, '; ', doc_id) WHEN 5 THEN concat('Question: what is ', source, '?', chr(10), 'Answer: it is a source', chr(10), 'Question: which language?', chr(10), 'Answer: ', lang) WHEN 6 THEN '' ELSE text END, '«»', concat(chr(123), chr(125))) AS content FROM {documents}",
     "fx_search_results": "SELECT page_id, q AS query, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substring(html, 1, 200) AS snippet, CASE page_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'beta_api' WHEN 3 THEN 'alpha_html' ELSE 'fallback' END AS source, CASE page_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 WHEN 3 THEN 0.7 ELSE 0.6 END AS relevance FROM {pages} CROSS JOIN (SELECT 'the' AS q UNION ALL SELECT 'of the') AS qs WHERE page_id % 5 <> 4 OR q = 'the'",
 }
 
