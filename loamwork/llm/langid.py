@@ -82,7 +82,7 @@ class Sorted:
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, found) of each key."""
         h = keys * ODD
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))  # no keys: nothing is found
         return at, self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
 
 
@@ -95,6 +95,7 @@ class Model:
         self.size = int(table.max()) + 1
         self.limit = np.full(len(self.langs), np.inf)
         self.usual = np.zeros(len(self.langs))
+        self.logs = Sorted(np.zeros(0, U), np.zeros((0, len(self.langs))))
         if not self.langs:
             return
         per = [counts[counts["lang"] == x] for x in self.langs]
@@ -124,7 +125,6 @@ class Model:
             at = np.searchsorted(contexts, every >> U(16))
             self.probs.append(Sorted(every, prob + back[at] * lower))
             self.backs.append(Sorted(contexts, back))
-        self.logs = Sorted(np.zeros(0, U), np.zeros((0, L)))
         top = self.probs[-1]
         self.logs.keys, self.logs.values = top.keys, np.log2(top.values).astype("f4")
 
@@ -158,8 +158,8 @@ class Model:
             ok = counts & (r < n)
             g, r = g[ok], r[ok]
             place, found = self.logs.find(g)
-            bits = -self.logs.values[place] if len(self.logs.keys) else np.zeros((len(g), L), "f4")
-            if not found.all():
+            bits = -self.logs.values[place] if L else np.zeros((len(g), 0), "f4")
+            if L and not found.all():
                 miss = g[~found]
                 few, back = np.unique(miss, return_inverse=True)
                 bits[~found] = -np.log2(self._prob(ORDER, few))[back]
@@ -231,8 +231,11 @@ def train(docs: DataFrame, most_docs: int = 600, margin: float = 3.0) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score (posterior of the chosen language), rejected. Whole texts; null, empty or without
+NEW = ("lang_pred", "score", "rejected")
+
+
+def identify(docs: DataFrame, model: Model, new: tuple[str, str, str] = NEW) -> DataFrame:
+    """docs with the columns `new`: language, score (posterior of it), rejected. Whole texts; null, empty or without
     letters: und, 0, rejected. Ties go to the first language by name."""
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the bounded sample
@@ -245,7 +248,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     typed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col("text").alias("_text"))
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)) + f", c{len(names)} string, c{len(names) + 1} double, c{len(names) + 2} boolean"
-    return typed.mapInArrow(run, schema).toDF(*names, "lang_pred", "score", "rejected")
+    return typed.mapInArrow(run, schema).toDF(*names, *new)
 
 
 def identify_documents(docs: DataFrame, most_docs: int = 600) -> DataFrame:
@@ -258,5 +261,5 @@ def identify_documents(docs: DataFrame, most_docs: int = 600) -> DataFrame:
 def language_stage(docs: DataFrame, most_docs: int = 600) -> DataFrame:
     """The rows of docs that the models accept, with lang as predicted."""
     model = train(docs, most_docs)
-    out = identify(docs.drop("lang"), model).where("NOT rejected").withColumnRenamed("lang_pred", "lang")
-    return out.select(*docs.columns)
+    out = identify(docs, model, ("_lw_lang", "_lw_score", "_lw_rejected")).where("NOT _lw_rejected")
+    return out.select(*(F.col("_lw_lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))

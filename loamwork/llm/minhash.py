@@ -90,7 +90,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     sets = ["n", "s0", "s1"]
     usable = sigs.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
-    least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))  # smaller sets link with equal ones only
+    least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1) or n == 9_999)  # smaller sets link with equal ones only
     firsts = usable.where(F.col("n") >= least).join(classes, sets).where("doc_id = rep").select("rep", "n", "a", "b")
     lefts = _shared(firsts.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"])
     rights = firsts.select("rep", "n", "b")
