@@ -183,7 +183,8 @@ class Model:
             z = (low - self.usual[best]) * np.sqrt(np.maximum(n, 1))
             names += [self.langs[b] if k else "und" for b, k in zip(best, n, strict=True)]
             scores += list(np.where(n > 0, p, 0.0))
-            rejected += list((n == 0) | (z > self.limit[best]))
+            chance = (self.usual[best] + np.log2(self.size)) / 2
+            rejected += list((n == 0) | ((z > self.limit[best]) & (low > chance)))
             all_bits.append(low)
             all_n.append(n)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0)
@@ -195,7 +196,8 @@ def train(docs: DataFrame, most_docs: int = 600, margin: float = 3.0) -> Model:
 
     A fifth of the sample is kept from the counts and calibrates rejection: in each language, the excess of a text's
     bits over the mean, times the root of its length, may reach `margin` times the largest that the sample shows. So
-    what training calls its own is accepted, and only texts that no model explains are rejected.
+    what training calls its own is accepted. A text is rejected if it exceeds that and its bits are also nearer to those
+    of letters drawn at random than to the language's mean: no model explains it.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sample = bounded_sample(rows, "lang", most_docs)
