@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.joins import sized_join
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
         if at is not None:
             ca, cb = at.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), at.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
             links = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        found = connected_components(links)
+        found = connected_components(stage(links, "checked"))
         if at is None:
             at = stage(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comps")
         else:
@@ -167,8 +167,8 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     h(x) the size of the difference of x and p, and o the overlap of two differences, the difference of x and y has
     h(x) + h(y) - 2 o shingles, and they link if that is at most q (n(x) + n(y)), q = (100 - percent) / (100 + percent).
     If h(x) > q (n(x) + n(p)), a link needs o > m(y) = (h(y) - q (n(y) - n(p))) / 2. So y's difference, but for
-    floor(m(y)) of it, must hold a shingle of x's difference: a join on shingles finds all such pairs. Copies of one
-    text differ from p in shingles of their own, so hardly any meet. Members x of the cluster's largest component are
+    floor(m(y)) of it, must hold a shingle of x's difference, and the rarest of y's will do: a join on shingles finds
+    all such pairs. Copies of one text differ from p in shingles of their own, so hardly any meet. Members x of the cluster's largest component are
     joined already; the few x outside it but close to p are compared with the whole cluster by their differences.
     """
     close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
@@ -192,10 +192,13 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     d = sets.join(info, "cluster").withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
     h, n, np_ = F.size("d").cast("long"), F.col("n"), F.size("p").cast("long")
     m = F.floor((h * keep - (n - np_) * lose) / (2 * keep))
-    d = d.select("cluster", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), F.slice("d", F.lit(1), (h - m).cast("int")).alias("y"))
+    d = d.select("cluster", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), (h - m).alias("part"))
     d = stage(d, "differences")
     x = d.where("outside AND NOT near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.explode("d").alias("e"))
-    y = d.select("cluster", "rep", "n", "comp", F.explode("y").alias("e"))
+    y = d.select("cluster", "rep", "n", "comp", "part", F.explode("d").alias("e"))
+    y = y.join(y.groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("k")), ["cluster", "e"])
+    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("k", "e"))
+    y = y.withColumn("at", rarest).where("at <= part").select("cluster", "rep", "n", "comp", "e")
     met = x.join(y, ["cluster", "e"]).where((F.col("comp") != F.col("rc")) & close).select("rep", "r")
     z = d.where("outside AND near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.col("d").alias("e"))
     apart = F.size("d") + F.size("e") - 2 * F.size(F.array_intersect("d", "e"))  # the size of the difference of the two sets
