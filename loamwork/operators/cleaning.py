@@ -30,7 +30,7 @@ def cleaned(text: Column, junk: tuple[str, ...] = JUNK_PHRASES) -> Column:
     t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     t = F.regexp_replace(t, r"[ \t\n\r]+", " ")
     if junk:
-        t = F.regexp_replace(t, "(?i)" + "|".join(_escaped(p) for p in junk), "")
+        t = F.regexp_replace(t, "(?iu)" + "|".join(_escaped(p) for p in junk), "")
     return F.trim(t)
 
 

@@ -9,10 +9,10 @@ from loamwork.functions.histograms import any_of
 from loamwork.operators.facts import length_quality
 
 # What marks question-and-answer text, and the keys of such records, in order.
-QA_PATTERNS = (r"(?is)(Вопрос|Question|Q)\s*:.*?(Ответ|Answer|A)\s*:", r"(?is)(В|Q)\s*\..*?(О|A)\s*\.\s*\S", r"(?is)\bFAQ\b.*?\?", r"(?im)^\s*\d+[.)]\s*[^\n]*\?\s*$")
+QA_PATTERNS = (r"(?isu)(Вопрос|Question|Q)\s*:.*?(Ответ|Answer|A)\s*:", r"(?isu)(В|Q)\s*\..*?(О|A)\s*\.\s*\S", r"(?isu)\bFAQ\b.*?\?", r"(?imu)^\s*\d+[.)]\s*[^\n]*\?\s*$")
 QUESTION_KEYS = ("question", "input", "q", "вопрос", "query", "prompt")
 ANSWER_KEYS = ("answer", "output", "a", "ответ", "response", "completion")
-PAIR = r"(?is)(?:Вопрос|Question|Q)[:\s]+(.*?)\s*(?:Ответ|Answer|A)[:\s]+(.*?)(?=\n\s*(?:Вопрос|Question|Q)[:\s]|$)"
+PAIR = r"(?isu)(?:Вопрос|Question|Q)[:\s]+(.*?)\s*(?:Ответ|Answer|A)[:\s]+(.*?)(?=\n\s*(?:Вопрос|Question|Q)[:\s]|$)"
 
 
 def is_json(c: Column) -> Column:

@@ -53,7 +53,7 @@ def research_questions(topics: DataFrame, related: DataFrame, depth: int, n: int
 def clean_topic(topic: Column) -> Column:
     """Trimmed, without final question marks and one of the prefixes."""
     t = F.regexp_replace(F.trim(topic), r"\?+$", "")
-    return F.trim(F.regexp_replace(t, "(?i)^(" + "|".join(PREFIXES) + ")", ""))
+    return F.trim(F.regexp_replace(t, "(?iu)^(" + "|".join(PREFIXES) + ")", ""))
 
 
 def deepening_questions(rows: DataFrame, depth: int, n: int = 5) -> DataFrame:

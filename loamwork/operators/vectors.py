@@ -140,7 +140,7 @@ def band_keys(vectors: DataFrame, key: str, value: str, planes: list[np.ndarray]
     return vectors.select(key, F.col(value).cast("array<double>")).mapInArrow(run, f"{key} {kind}, band int, code long")
 
 
-def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int, bits: int = 6, bands: int = 12, probes: int = 3, seed: int = 1) -> DataFrame:
+def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int, bits: int = 6, bands: int = 16, probes: int = 4, seed: int = 1) -> DataFrame:
     """query_id, place, vec_id, score (cosine): candidates of shared hyperplane codes, ranked exactly.
 
     Every row of docs is indexed; queries probe neighbouring codes. docs: vectors of `dim` components.
