@@ -31,13 +31,13 @@ PROFILE_PATTERNS = {
 }
 
 
-def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ...] = AD_MARKERS, stop: tuple[str, ...] = STOP_WORDS, asks: tuple[str, ...] = QUESTION_WORDS, keywords: Column | None = None) -> Column:
-    """The first rule that drops a sentence, or null."""
-    low, w = F.lower(s), words(s)
+def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ...] = AD_MARKERS, stop: tuple[str, ...] = STOP_WORDS, asks: tuple[str, ...] = QUESTION_WORDS, keywords: Column | None = None, w: Column | None = None) -> Column:
+    """The first rule that drops a sentence, or null. w: its words, where they are a column already."""
+    low, w = F.lower(s), words(s) if w is None else w
     n = F.size(w)
     capital = F.size(F.filter(F.slice(w, 2, 100_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1))))) / F.greatest(n - 1, F.lit(1))
     stops = F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))) / F.greatest(n, F.lit(1))
-    head = F.get(words(low), F.lit(0)).isin(*asks) & (F.length(s) < 100)
+    head = F.lower(F.get(w, F.lit(0))).isin(*asks) & (F.length(s) < 100)
     if keywords is not None:
         head = head & F.exists(keywords, lambda k: F.contains(low, k))
     return (
@@ -53,7 +53,8 @@ def fact_sentences(chunks: DataFrame) -> DataFrame:
 
 def fact_candidates(chunks: DataFrame, **rules) -> DataFrame:
     """The sentences that no rule drops."""
-    return fact_sentences(chunks).withColumn("why", drop_reason(F.col("sentence"), **rules)).where("why IS NULL").drop("why")
+    rows = fact_sentences(chunks).withColumn("_lw_w", words(F.col("sentence")))
+    return rows.withColumn("why", drop_reason(F.col("sentence"), w=F.col("_lw_w"), **rules)).where("why IS NULL").drop("why", "_lw_w")
 
 
 def score_facts(facts: DataFrame, keywords: list[str], position: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> DataFrame:

@@ -22,22 +22,26 @@ def relevance(query: Column, title: Column, snippet: Column, domain: Column, pri
     return F.when(query.isNull() | (query == ""), 0.7).otherwise(whole)
 
 
-def text_quality(content: Column, title: Column) -> Column:
-    """Weighted sum of length, sentences, variety, readability, lack of junk and title, capped at 1; empty: 0.3."""
-    n = F.length(content)
+def with_quality(df: DataFrame, content: str, title: str, name: str = "quality") -> DataFrame:
+    """df with the weighted sum of length, sentences, variety, readability, lack of junk and title, capped at 1; empty: 0.3.
+
+    Words and sentences are columns of their own, so each text is split once.
+    """
+    text, head_ = F.col(content), F.col(title)
+    split = df.withColumns({"_lw_said": F.filter(sentences(text), lambda x: F.length(x) >= 20), "_lw_words": words(text), "_lw_low": F.lower(text)})
+    low = F.col("_lw_low")
+    junk = sum((low.rlike(p).cast("int") for p in (r"http\S+", r"www\.\S+", r"\[\d+\]", "↑", "архивная копия")), F.lit(0))
+    inside = F.aggregate("_lw_said", F.lit(0), lambda a, x: a + F.size(words(x)))
+    counted = split.withColumns({"_lw_k": F.size("_lw_said"), "_lw_in": inside, "_lw_n": F.size("_lw_words"), "_lw_d": F.size(F.array_distinct("_lw_words")), "_lw_junk": junk}).drop("_lw_said", "_lw_words", "_lw_low")
+    n, k = F.length(text), F.col("_lw_k")
     length = F.when(n >= 3000, 1.0).when(n >= 1500, 0.9).when(n >= 800, 0.8).when(n >= 400, 0.6).when(n >= 200, 0.5).otherwise(0.3)
-    said = F.filter(sentences(content), lambda x: F.length(x) >= 20)
-    k = F.size(said)
     many = F.when(k >= 3, F.least(k / 8, F.lit(1.0))).otherwise(k / 3)
-    w = words(content)
-    variety = F.when(F.size(w) > 0, F.least(F.size(F.array_distinct(w)) / F.size(w) * 1.2, F.lit(1.0))).otherwise(0.0)
-    mean = F.aggregate(said, F.lit(0), lambda a, x: a + F.size(words(x))) / F.greatest(k, F.lit(1))
+    variety = F.when(F.col("_lw_n") > 0, F.least(F.col("_lw_d") / F.col("_lw_n") * 1.2, F.lit(1.0))).otherwise(0.0)
+    mean = F.col("_lw_in") / F.greatest(k, F.lit(1))
     ease = F.when(mean.between(10, 25), 1.0).when((mean < 5) | (mean > 40), 0.5).otherwise(1 - F.abs(mean - 17) / 35)
-    low = F.lower(content)
-    junk = sum((low.rlike(p).cast("int") for p in (r"http\S+", r"www\.\S+", r"\[\d+\]", "↑", "архивная копия")), F.lit(0))
-    head = F.when(F.length(title) > 5, 1.0).when(F.length(title) > 0, 0.6).otherwise(0.3)
-    total = length * 0.3 + many * 0.2 + variety * 0.15 + ease * 0.15 + F.greatest(F.lit(0.0), 1 - junk * 0.1) * 0.2 + head * 0.1
-    return F.when(content.isNull() | (content == ""), 0.3).otherwise(F.least(total, F.lit(1.0)))
+    head = F.when(F.length(head_) > 5, 1.0).when(F.length(head_) > 0, 0.6).otherwise(0.3)
+    total = length * 0.3 + many * 0.2 + variety * 0.15 + ease * 0.15 + F.greatest(F.lit(0.0), 1 - F.col("_lw_junk") * 0.1) * 0.2 + head * 0.1
+    return counted.withColumn(name, F.when(text.isNull() | (text == ""), 0.3).otherwise(F.least(total, F.lit(1.0)))).select(*df.columns, name)
 
 
 def uniqueness(documents: DataFrame, compat: bool = False) -> DataFrame:

@@ -86,10 +86,12 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least:
     go after it. The queries are broadcast to the rows; each task keeps its own best k of every query before the shuffle.
     """
     d = docs if where is None else docs.where(where)
-    v = d.select("vec_id", doubles("embedding").alias("v")).where("v IS NOT NULL")
-    both = v.join(F.broadcast(queries.where("qv IS NOT NULL")), F.size("v") == F.size("qv"))
+    own = (lambda c: c) if score == "l2" else unit  # cosine: each vector is normalised once, before pairs are formed
+    v = d.where("embedding IS NOT NULL").select("vec_id", own(doubles("embedding")).alias("v"))
+    q = queries.where("qv IS NOT NULL").select("query_id", own(F.col("qv")).alias("qv"))
+    both = v.join(F.broadcast(q), F.size("v") == F.size("qv"))
     l2 = 1 / (1 + F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    s = l2 if score == "l2" else F.greatest(F.least(dot(unit(F.col("v")), unit(F.col("qv"))), F.lit(1.0)), F.lit(-1.0))
+    s = l2 if score == "l2" else F.greatest(F.least(dot(F.col("v"), F.col("qv")), F.lit(1.0)), F.lit(-1.0))
     rated = both.select("query_id", "vec_id", F.round(s, 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rated.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).where(F.col("score") >= least).select("query_id", "place", "vec_id", "score")
@@ -148,8 +150,9 @@ def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int, bits: int
     planes = sign_bits(dim, bits, bands, seed)
     q = band_keys(queries, "query_id", "qv", planes, probes)
     found = band_keys(docs, "vec_id", "embedding", planes, 0).join(F.broadcast(q), ["band", "code"]).select("query_id", "vec_id").distinct()
-    pairs = found.join(F.broadcast(queries), "query_id").join(docs.select("vec_id", doubles("embedding").alias("v")), "vec_id")
-    rated = pairs.select("query_id", "vec_id", F.round(dot(unit(F.col("v")), unit(F.col("qv"))), 9).alias("score"))
+    few = queries.select("query_id", unit(F.col("qv")).alias("qv"))
+    pairs = found.join(F.broadcast(few), "query_id").join(docs.select("vec_id", unit(doubles("embedding")).alias("v")), "vec_id")
+    rated = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rated.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
 

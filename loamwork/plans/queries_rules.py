@@ -53,7 +53,7 @@ QUAL = f"""s0 AS (SELECT doc_id, text AS content, source AS title, {WORDS('text'
 
 @query("score_quality", f"WITH {QUAL} SELECT doc_id, round(quality, 6) AS quality FROM s2")
 def _(s, d):
-    return rounded(table(s, d, "documents").select("doc_id", Q.text_quality(F.col("text"), F.col("source")).alias("quality")))
+    return rounded(Q.with_quality(table(s, d, "documents"), "text", "source").select("doc_id", "quality"))
 
 
 UNI = "SELECT doc_id, concat('u', doc_id % 700) AS url, text AS content, doc_id AS seq FROM documents"
@@ -79,7 +79,8 @@ def _(s, d):
 
 def judged(s, d):
     t = table(s, d, "documents").select("doc_id", F.concat(F.lit("u"), F.col("doc_id") % 700).alias("url"), F.col("text").alias("content"), F.col("source").alias("title"), F.col("doc_id").alias("seq"))
-    scored = Q.uniqueness(t).withColumn("quality", F.round(Q.text_quality(F.col("content"), F.col("title")), 6)).withColumn("relevance", F.round((F.col("doc_id") % 100) / 100, 6)).withColumn("spam", F.round((F.col("doc_id") % 37) / 36, 6))
+    rated = Q.with_quality(t, "content", "title").withColumn("quality", F.round("quality", 6))
+    scored = Q.uniqueness(rated).withColumn("relevance", F.round((F.col("doc_id") % 100) / 100, 6)).withColumn("spam", F.round((F.col("doc_id") % 37) / 36, 6))
     return Q.verdict(scored)
 
 
