@@ -189,7 +189,7 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     usual = sets.select("cluster", F.explode("elems").alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("k"))
     p = usual.join(info, "cluster").where("2 * k > size").groupBy("cluster").agg(F.collect_set("e").alias("p"))
     info = stage(info.join(p, "cluster", "left").select("cluster", "main", F.coalesce("p", F.array().cast("array<long>")).alias("p")), "consensus")
-    d = sets.join(info, "cluster").withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
+    d = sized_join(sets, info, ["cluster"], most=5000).withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
     h, n, np_ = F.size("d").cast("long"), F.col("n"), F.size("p").cast("long")
     m = F.floor((h * keep - (n - np_) * lose) / (2 * keep))
     d = d.select("cluster", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), (h - m).alias("part"))
