@@ -333,6 +333,6 @@ def _(s, d):
     return rounded(M.memory_upsert(m))
 
 
-@query("lru_trim", "SELECT p_partkey FROM {fx_memory} WHERE p_partkey NOT IN (SELECT p_partkey FROM {fx_memory} ORDER BY created_at, p_partkey LIMIT (SELECT count(*) - 800 FROM part)) OR (SELECT count(*) FROM part) <= 1000")
+@query("lru_trim", "SELECT p_partkey FROM {fx_memory} WHERE p_partkey NOT IN (SELECT p_partkey FROM {fx_memory} ORDER BY created_at, p_partkey LIMIT (SELECT greatest(count(*) - 800, 0) FROM part)) OR (SELECT count(*) FROM part) <= 1000")
 def _(s, d):
     return M.lru_trim(table(s, d, "fx_memory"), 1000, ["created_at", "p_partkey"]).select("p_partkey")
