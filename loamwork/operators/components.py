@@ -20,11 +20,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     loops = e.where("a = b").select(F.col("a").alias("node")).distinct()
     e = stage(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     hooks: list[DataFrame] = []
-    while not e.isEmpty():
+    while n := e.count():
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         h = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hooks")
-        few = h.limit(MOST_ROWS + 1).count() <= MOST_ROWS
-        sent = F.broadcast if few else (lambda x: x)
+        sent = F.broadcast if 2 * n <= MOST_ROWS else (lambda x: x)  # an edge has two nodes
         moved = True
         while moved:
             jump = h.join(sent(h.select(F.col("u").alias("p"), F.col("p").alias("pp"))), "p").select("u", "p", "pp")
