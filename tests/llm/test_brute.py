@@ -229,6 +229,24 @@ def test_pii(spark, docs):
         assert set(spans) <= set(r.spans.split(",") if r.spans else [])
 
 
+def test_pii_written_out(spark):
+    from loamwork.llm.pii import pii_documents, redact_stage
+
+    hidden = ["jo.doe (at) mail3.example (dot) com", "jo[at]example[dot]com", "1 (325) 555-8094", "325.555.8094", "4111.1111.1111.1111", "4111.1111-1111 1111", "120. 121. 90. 252"]
+    sober = ["4111.1111.1111.1112", "300. 400. 500. 600", "3 @ 4.50", "a7e13255558094bf"]
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    cases = [(10**9 + i, f"the thing and {x} of the thing. Then more") for i, x in enumerate(hidden + sober)]
+    extra = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in cases], "doc_id long, text string, lang string, source string, n_chars int")
+    every = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("int").alias("n_chars")).unionByName(extra)
+    got = {r.doc_id: r for r in pii_documents(every).where(f"doc_id >= {10**9}").collect()}
+    kinds = ["email"] * 2 + ["phone"] * 2 + ["card"] * 2 + ["ip"]
+    for (i, t), x, kind in zip(cases, hidden, kinds, strict=False):
+        assert got[i].spans == f"{kind}:{t.index(x)}:{t.index(x) + len(x)}", (x, got[i].spans)
+    assert [got[i].spans for i, _ in cases[len(hidden) :]] == [""] * len(sober)
+    clean = {r.doc_id: r.text for r in redact_stage(every).where(f"doc_id >= {10**9}").collect()}
+    assert all(clean[i] == f"the thing and [{k.upper()}] of the thing. Then more" for (i, _), k in zip(cases, kinds, strict=False))
+
+
 def near_copies(rng, n, words, base=None):
     base = base or [f"w{rng.randrange(10**6)}" for _ in range(words)]
     for _ in range(n):
