@@ -6,38 +6,40 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BINS = 128
+PLACES = 128
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _uniform(term: Column, k: int) -> Column:
-    """A number over 0 and under 1 that the term's hash and k decide."""
-    return (F.shiftrightunsigned(F.xxhash64(term, F.lit(k)), 11).cast("double") + 0.5) * F.lit(2.0**-53)
+def _uniforms(term: Column, place: Column, k: int) -> tuple[Column, Column]:
+    """Two numbers over 0 and under 1 that the term's hash, the place and k decide: the halves of one hash."""
+    h = F.xxhash64(term, place, F.lit(k))
+    part = lambda x: (x.cast("double") + 0.5) * F.lit(2.0**-32)
+    return part(F.shiftrightunsigned(h, 32)), part(h.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def sample_value(term: Column, weight: Column) -> Column:
-    """log of the sampled hash value of a weighted term; the term with the least one is the sample.
+def sample_value(term: Column, place: Column, log_weight: Column) -> Column:
+    """log of the sampled hash value of a weighted term in a place; the term with the least one is the place's sample.
 
-    Consistent weighted sampling with gamma variables: r and c ~ Gamma(2, 1) and beta ~ U(0, 1) are functions of the
-    term alone. t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r. Two weights that give one t give one a,
-    so samples collide as often as the generalised Jaccard similarity says.
+    Consistent weighted sampling with gamma variables: r and c ~ Gamma(2, 1) and beta ~ U(0, 1) are functions of term
+    and place alone. t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r. Two weights that give one t give one
+    a, so samples collide as often as the generalised Jaccard similarity says.
     """
-    r = -F.ln(_uniform(term, 1) * _uniform(term, 2))
-    c = -F.ln(_uniform(term, 3) * _uniform(term, 4))
-    beta = _uniform(term, 5)
-    t = F.floor(F.ln(weight) / r + beta)
+    x, y = _uniforms(term, place, 1)
+    u, v = _uniforms(term, place, 2)
+    beta, _ = _uniforms(term, place, 3)
+    r, c = -F.ln(x * y), -F.ln(u * v)
+    t = F.floor(log_weight / r + beta)
     return F.ln(c) - r * (t - beta) - r
 
 
 def likeness(x: Column, y: Column) -> Column:
-    """Share of the bins that either fingerprint fills in which both hold one sample; 1 for two empty ones."""
-    bins = lambda v: F.transform(v, lambda e: F.shiftright(e, 16))
-    either = F.size(F.array_union(bins(x), bins(y)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / either)
+    """Share of the places in which both fingerprints hold one sample; 1 for two empty ones."""
+    none = (F.size(x) == 0) & (F.size(y) == 0)
+    return F.when(none, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.lit(PLACES))
 
 
 def fingerprint_text(x: Column) -> Column:
-    """The filled bins in order: two hex digits for the bin and four for its sample."""
+    """The places in order: two hex digits for the place and four for its sample."""
     return F.array_join(F.transform(x, lambda e: F.lpad(F.lower(F.hex(e)), 6, "0")), "")
 
 
@@ -68,17 +70,18 @@ def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000)
 
 
 def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and, for every column t of texts besides them, t as a sorted array of bin * 65536 + sample, one per filled bin.
+    """keys and, for every column t of texts besides them, t as a sorted array of place * 65536 + sample, one per place.
 
-    A term is a word; its weight is the number of the text's characters that it covers. Each term falls into one of
-    BINS bins by hash and is sampled there, so a term is sampled once, not once for each place of the signature
-    (bin-wise consistent weighted sampling). keys must identify rows. Texts without words give empty arrays.
+    A term is a word; its weight is the number of the text's characters that it covers. Every term is sampled in each of
+    the PLACES places. keys must identify rows. Texts without words give empty arrays.
     """
     names = [c for c in texts.columns if c not in keys]
     both = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("v"), F.col(c).alias("t")) for i, c in enumerate(names))))
     words = texts.select(*keys, both.alias("x")).select(*keys, "x.v", F.explode(F.split("x.t", BLANK)).alias("word"))
     terms = words.groupBy(*keys, "v", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).alias("w"))
-    sampled = terms.select(*keys, "v", F.pmod(F.xxhash64("term", F.lit(0)), F.lit(BINS)).cast("int").alias("bin"), sample_value(F.col("term"), F.col("w").cast("double")).alias("a"))
+    places = F.explode(F.when(F.col("w") > 0, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0))))
+    many = terms.select(*keys, "v", "term", F.ln(F.col("w").cast("double")).alias("log"), places.alias("bin"))
+    sampled = many.select(*keys, "v", "bin", sample_value(F.col("term"), F.col("bin"), F.col("log")).alias("a"))
     bins = sampled.groupBy(*keys, "v", "bin").agg(F.min("a").alias("a"))
     code = F.shiftleft("bin", 16) + F.xxhash64("a").bitwiseAND(65535).cast("int")
     codes = bins.select(*keys, "v", F.when(F.col("a").isNotNull(), code).alias("code"))

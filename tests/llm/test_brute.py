@@ -154,6 +154,20 @@ def test_fingerprints(spark, docs):
     assert np.abs(off).mean() < 0.06 and abs(np.mean(off)) < 0.02
 
 
+def test_fingerprints_of_skewed_and_short_texts(spark):
+    from loamwork.llm.fingerprints import fingerprint_documents
+
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = ["line " * 1000 + words(50), "line " * 1000 + words(50), "a bb", "a cccccc", "dd " * 30 + "e", "dd " * 10 + "e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprint_documents(rows).collect()}
+    for i in (0, 2, 4):
+        x, y = ({k: n * len(k) for k, n in Counter(t.split()).items()} for t in texts[i : i + 2])
+        true = sum(min(x.get(k, 0), y.get(k, 0)) for k in x | y) / sum(max(x.get(k, 0), y.get(k, 0)) for k in x | y)
+        assert abs(got[i] - true) < 0.15, (i, got[i], true)
+
+
 def test_arc():
     records = [("http://a/b c", "1.2.3.4", "20240131120000", "text/html", b"HTTP/1.1 200 OK\r\n\r\nbody\n\nhttp://x 1 2 3 4\n"), ("dns:x", "0.0.0.0", "2024", "text/dns", b"")]
     for version in (1, 2):
