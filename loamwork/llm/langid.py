@@ -20,6 +20,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 #: Class of all that is no letter, and of letters that training never saw.
 GAP, OTHER = 0, 1
+#: Lengths of text that rejection tells apart: 1, 2, 4, ... 256 classes. Longer texts count as 256: parts of a document
+#: that differ from the rest are as long as the document, so its mean does not settle further.
+WINDOWS = 9
 
 
 def letter_table() -> np.ndarray:
@@ -35,22 +38,31 @@ def lowered(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(points: np.ndarray, rows: np.ndarray, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class, row) with runs of gaps as one, and one gap at least at both ends of each row."""
-    at = np.searchsorted(rows, np.arange(n + 1))
-    c = np.insert(table[points], at, GAP)  # a gap before each row and one at the end
-    r = np.insert(rows, at, [*range(n), n])
+    """(class, row) of n rows: each begins and ends with a gap of its own, and runs of gaps within a row are one."""
+    starts, ends = np.searchsorted(rows, np.arange(n)), np.searchsorted(rows, np.arange(n), "right")
+    both = np.stack([starts, ends], 1).ravel()  # start and end of row 0, of row 1, ...
+    c = np.insert(table[points], both, GAP)
+    r = np.insert(rows, both, np.repeat(np.arange(n), 2))
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != GAP) | (c[:-1] != GAP)
+    keep[1:] = (c[1:] != GAP) | (c[:-1] != GAP) | (r[1:] != r[:-1])
     return c[keep], r[keep]
 
 
-def grams(c: np.ndarray, order: int) -> np.ndarray:
-    """Packed runs of `order` classes, the last in the lowest 16 bits; the row's start is padded with gaps."""
-    x = np.concatenate([np.zeros(order - 1, U), c.astype(U)])
+def grams(c: np.ndarray, r: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, row) for all classes but each row's first gap: packed runs of `order` classes, the last in the lowest 16 bits.
+
+    What lies before a row counts as gaps, whatever row is there: a row's runs depend on its text alone.
+    """
     g = np.zeros(len(c), U)
-    for k in range(order):
-        g = (g << U(16)) | x[k : k + len(c)]
-    return g
+    for back in range(order - 1, -1, -1):
+        x = np.zeros(len(c), U)
+        x[back:] = c[: len(c) - back]
+        if back:
+            x[back:][r[back:] != r[: len(r) - back]] = GAP
+        g = (g << U(16)) | x
+    later = np.zeros(len(c), bool)
+    later[1:] = r[1:] == r[:-1]
+    return g[later], r[later]
 
 
 def count_grams(sample: DataFrame, table: np.ndarray) -> DataFrame:
@@ -62,10 +74,9 @@ def count_grams(sample: DataFrame, table: np.ndarray) -> DataFrame:
             _, at = text_buffers(batch.column(1))
             for i, j in slices(at):
                 c, r = classes(*lowered(batch.column(1), i, j), table, j - i)
-                g = grams(c, ORDER)
+                g, r = grams(c, r, ORDER)
                 for lang in set(langs[i:j]):
-                    mine = np.isin(r, np.flatnonzero(langs[i:j] == lang)) & ((c != GAP) | (np.roll(c, 1) != GAP))
-                    got, n = np.unique(g[mine], return_counts=True)
+                    got, n = np.unique(g[(langs[i:j] == lang)[r]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got), pa.string()), pa.array(got.astype("i8")), pa.array(n.astype("i8"))], ["lang", "gram", "n"])
 
     return sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -93,8 +104,7 @@ class Model:
         self.langs = sorted(counts["lang"].unique()) if len(counts) else []
         self.table = table
         self.size = int(table.max()) + 1
-        self.limit = np.full(len(self.langs), np.inf)
-        self.usual = np.zeros(len(self.langs))
+        self.limit = np.full((len(self.langs), WINDOWS), np.inf)  # bits a class that a text of 2**k classes or more may have
         self.logs = Sorted(np.zeros(0, U), np.zeros((0, len(self.langs))))
         if not self.langs:
             return
@@ -144,25 +154,27 @@ class Model:
             out[~found] = np.where(seen[:, None], self.backs[order - 1].values[c], 1.0) * lower
         return out
 
-    def entropies(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For blocks of rows: (bits a class under each language, classes that counted); no letters: 0 classes."""
+    def event_bits(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For blocks of rows: (bits of each class under each language, row of each, letters of each row)."""
         raw, at = text_buffers(column)
         L = len(self.langs)
         for i, j in slices(at, 1_000_000):
             n = j - i
             c, r = classes(*lowered(column, i, j), self.table, n)
-            g = grams(c, ORDER)
-            counts = (c != GAP) | (np.roll(c, 1) != GAP)
-            counts &= np.r_[False, np.ones(len(c) - 1, bool)] if len(c) else counts
-            letters = np.bincount(r[c != GAP], minlength=n + 1)[:n]
-            ok = counts & (r < n)
-            g, r = g[ok], r[ok]
+            letters = np.bincount(r[c != GAP], minlength=n)
+            g, r = grams(c, r, ORDER)
             place, found = self.logs.find(g)
             bits = -self.logs.values[place] if L else np.zeros((len(g), 0), "f4")
             if L and not found.all():
-                miss = g[~found]
-                few, back = np.unique(miss, return_inverse=True)
+                few, back = np.unique(g[~found], return_inverse=True)
                 bits[~found] = -np.log2(self._prob(ORDER, few))[back]
+            yield bits, r, letters
+
+    def entropies(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For blocks of rows: (bits a class under each language, classes that counted); no letters: 0 classes."""
+        L = len(self.langs)
+        for bits, r, letters in self.event_bits(column):
+            n = len(letters)
             many = np.bincount(r, minlength=n)
             sums = np.stack([np.bincount(r, bits[:, k], n) for k in range(L)], 1) if L else np.zeros((n, 0))
             yield sums / np.maximum(many, 1)[:, None], np.where(letters > 0, many, 0)
@@ -180,24 +192,24 @@ class Model:
             low = bits[np.arange(len(n)), best]
             gap = np.minimum((bits - low[:, None]) * np.maximum(n, 1)[:, None], 60.0)
             p = 1.0 / np.exp2(-gap).sum(1)
-            z = (low - self.usual[best]) * np.sqrt(np.maximum(n, 1))
+            size = np.minimum(np.frexp(np.maximum(n, 1))[1] - 1, WINDOWS - 1)  # the power of two below n
             names += [self.langs[b] if k else "und" for b, k in zip(best, n, strict=True)]
             scores += list(np.where(n > 0, p, 0.0))
-            chance = (self.usual[best] + np.log2(self.size)) / 2
-            rejected += list((n == 0) | ((z > self.limit[best]) & (low > chance)))
+            rejected += list((n == 0) | (low > self.limit[best, size]))
             all_bits.append(low)
             all_n.append(n)
         cat = lambda x: np.concatenate(x) if x else np.zeros(0)
         return names, np.array(scores), rejected, cat(all_bits), cat(all_n)
 
 
-def train(docs: DataFrame, most_docs: int = 600, margin: float = 3.0) -> Model:
+def train(docs: DataFrame, most_docs: int = 600, quantile: float = 0.99, spread: float = 6.0, most_windows: int = 64) -> Model:
     """Models from a bounded sample: about `most_docs` rows of each language with text, lang and not held out.
 
-    A fifth of the sample is kept from the counts and calibrates rejection: in each language, the excess of a text's
-    bits over the mean, times the root of its length, may reach `margin` times the largest that the sample shows. So
-    what training calls its own is accepted. A text is rejected if it exceeds that and its bits are also nearer to those
-    of letters drawn at random than to the language's mean: no model explains it.
+    A fifth of the sample is kept from the counts and calibrates rejection. Its texts are cut into windows of 1, 2, 4, ...
+    classes (at most `most_windows` of each length in a text, evenly spread), and each language and window length gets
+    the median and the `quantile` of the bits a class. A text is rejected if its bits a class exceed the median for the
+    longest window that is no longer than itself by more than `spread` times the distance from there to the quantile.
+    Lengths of which the sample has fewer than 100 windows take the limit of the next shorter ones.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     sample = bounded_sample(rows, "lang", most_docs)
@@ -207,29 +219,45 @@ def train(docs: DataFrame, most_docs: int = 600, margin: float = 3.0) -> Model:
 
     def seen(batches):
         for batch in batches:
-            points = np.unique(np.frombuffer("".join((x or "").lower() for x in batch.column(0).to_pylist()).encode("utf-32-le"), "<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(points.astype("i4"))], ["p"])
+            points, n = np.unique(np.frombuffer("".join((x or "").lower() for x in batch.column(0).to_pylist()).encode("utf-32-le"), "<u4"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(points.astype("i4")), pa.array(n.astype("i8"))], ["p", "n"])
 
-    points = sorted(r.p for r in fit.select("text").mapInArrow(seen, "p int").distinct().collect())  # at most all letters
+    counted = fit.select("text").mapInArrow(seen, "p int, n long").groupBy("p").agg(F.sum("n").alias("n")).collect()  # at most all code points
+    usual = sorted((r for r in counted if letters[r.p]), key=lambda r: (-r.n, r.p))[: 2**16 - 2]  # classes have 16 bits; rarer letters are OTHER
     table = np.where(letters, OTHER, GAP).astype(np.uint16)
-    for k, p in enumerate((p for p in points if letters[p]), OTHER + 1):
+    for k, p in enumerate(sorted(r.p for r in usual), OTHER + 1):
         table[p] = k
     model = Model(count_grams(fit, table).toPandas(), table)
     if not model.langs:
         return model
-    at = {x: i for i, x in enumerate(model.langs)}
 
-    def judge(batches):
+    def windows(batches):
         for batch in batches:
-            names, _, _, bits, n = model.predict(batch.column(1))
-            same = [a == b and k > 0 for a, b, k in zip(batch.column(0).to_pylist(), names, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits), pa.array(n.astype("i8"))], ["lang", "bits", "n"]).filter(pa.array(same, pa.bool_()))
-
-    got = check.select("lang", "text").mapInArrow(judge, "lang string, bits double, n long").toPandas()  # of the sample
-    for lang, x in got.groupby("lang"):
-        usual = float(np.average(x["bits"], weights=x["n"]))
-        model.usual[at[lang]] = usual
-        model.limit[at[lang]] = margin * max(1.0, float(((x["bits"] - usual) * np.sqrt(x["n"])).max()))
+            langs, out = np.array(batch.column(0).to_pylist(), object), []
+            begin = 0
+            for bits, r, letters_ in model.event_bits(batch.column(1)):
+                cuts = np.searchsorted(r, np.arange(len(letters_) + 1))
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    sums = bits[a:b].sum(0)
+                    if not letters_[i] or model.langs[sums.argmin()] != langs[begin + i]:
+                        continue
+                    total = np.r_[0.0, np.cumsum(bits[a:b, sums.argmin()], dtype=float)]
+                    for k in range(min(WINDOWS, int(b - a).bit_length())):
+                        at = np.unique(np.linspace(0, b - a - 2**k, min(most_windows, (b - a) >> k)).astype(int))
+                        out += [(langs[begin + i], k, x) for x in (total[at + 2**k] - total[at]) / 2**k]
+                begin += len(letters_)
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.float64()), strict=True)], ["lang", "k", "bits"])
+
+    cut = check.select("lang", "text").mapInArrow(windows, "lang string, k int, bits double").groupBy("lang", "k")
+    got = {(r.lang, r.k): r for r in cut.agg(F.percentile("bits", F.array(F.lit(0.5), F.lit(quantile))).alias("q"), F.count(F.lit(1)).alias("n")).collect()}
+    for i, lang in enumerate(model.langs):
+        for k in range(WINDOWS):
+            r = got.get((lang, k))
+            if r is not None and r.n >= 100:
+                model.limit[i, k] = r.q[0] + spread * (r.q[1] - r.q[0])
+            elif k:
+                model.limit[i, k] = model.limit[i, k - 1]
     return model
 
 
