@@ -6,30 +6,29 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import sized_join
+from loamwork.functions.storage import stage
+
 PLACES = 128
+TOGETHER = 16
 BLANK = r"[\x20\x09-\x0D]+"
 
 
-def _uniforms(term: Column, place: Column, k: int) -> tuple[Column, Column]:
-    """Two numbers over 0 and under 1 that the term's hash, the place and k decide: the halves of one hash."""
-    h = F.xxhash64(term, place, F.lit(k))
-    part = lambda x: (x.cast("double") + 0.5) * F.lit(2.0**-32)
-    return part(F.shiftrightunsigned(h, 32)), part(h.bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def sample_value(term: Column, place: Column, log_weight: Column) -> Column:
+def sample_value(term: str, place: str, log_weight: str, reach: str) -> Column:
     """log of the sampled hash value of a weighted term in a place; the term with the least one is the place's sample.
 
     Consistent weighted sampling with gamma variables: r and c ~ Gamma(2, 1) and beta ~ U(0, 1) are functions of term
     and place alone. t = floor(ln w / r + beta) and ln a = ln c - r (t - beta) - r. Two weights that give one t give one
-    a, so samples collide as often as the generalised Jaccard similarity says.
+    a, so samples collide as often as the generalised Jaccard similarity says. c = -ln p and r = -ln e, where p and e
+    are products of two uniforms each, quarters of one hash.
+
+    Null where (1 - p) e > reach: as t - beta <= ln w / r and c >= 1 - p, a is at least (1 - p) e / w, so with
+    reach = m w no a up to m is left out, and most terms of a long text take no logarithm. Names are SQL.
     """
-    x, y = _uniforms(term, place, 1)
-    u, v = _uniforms(term, place, 2)
-    beta, _ = _uniforms(term, place, 3)
-    r, c = -F.ln(x * y), -F.ln(u * v)
-    t = F.floor(log_weight / r + beta)
-    return F.ln(c) - r * (t - beta) - r
+    quarter = lambda shift: f"((shiftrightunsigned(xxhash64({term}, {place}), {shift}) & 65535L) + 0.5D)"
+    p, e = f"{quarter(48)} * {quarter(32)} * {2.0**-32!r}D", f"{quarter(16)} * {quarter(0)} * {2.0**-32!r}D"
+    beta = f"(shiftrightunsigned(xxhash64({term}, {place}, 1), 32) + 0.5D) * {2.0**-32!r}D"
+    return F.expr(f"CASE WHEN (1 - {p}) * {e} <= {reach} THEN ln(-ln({p})) + ln({e}) * (floor({log_weight} / -ln({e}) + {beta}) - {beta} + 1) END")
 
 
 def likeness(x: Column, y: Column) -> Column:
@@ -69,23 +68,43 @@ def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000)
     return out.repartition(max(n // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b")
 
 
-def fingerprints(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and, for every column t of texts besides them, t as a sorted array of place * 65536 + sample, one per place.
+def samples(texts: DataFrame, keys: list[str], theta: float | None) -> DataFrame:
+    """keys, at, c: the samples (16 bits) of the places at, at + 1, ... of every text (column t) that has words.
 
     A term is a word; its weight is the number of the text's characters that it covers. Every term is sampled in each of
-    the PLACES places. keys must identify rows. Texts without words give empty arrays.
+    the PLACES places: it becomes a row for every TOGETHER places, which are aggregates of their own, so only one value
+    for each place and text outlives the task's first pass. With theta, terms that can't have a value up to theta over
+    the text's whole weight are not worked out, and a place whose least value is not below that is null.
+    """
+    total = F.length(F.regexp_replace("t", BLANK, "")).cast("double").alias("total")
+    words = texts.select(*keys, "t", total).select(*keys, "total", F.explode(F.split("t", BLANK)).alias("word"))
+    terms = words.groupBy(*keys, "total", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).cast("double").alias("w")).where("w > 0")
+    reach = F.lit(4.0) if theta is None else F.lit(theta) * F.col("w") / F.col("total")  # (1 - p) e is below 1
+    starts = F.explode(F.array(*map(F.lit, range(0, PLACES, TOGETHER))))
+    many = terms.select(*keys, "total", "term", F.ln("w").alias("log"), reach.alias("reach"), starts.alias("at"))
+    least = many.groupBy(*keys, "total", "at").agg(*(F.min(sample_value("term", f"at + {i}", "log", "reach")).alias(f"a{i}") for i in range(TOGETHER)))
+    proven = "true" if theta is None else f"a{{0}} < ln({theta!r}D / total) - 1e-9D"
+    code = lambda i: F.expr(f"CASE WHEN {proven.format(i)} THEN smallint((xxhash64(a{i}) & 65535) - 32768) END")
+    return least.select(*keys, "at", F.array(*map(code, range(TOGETHER))).alias("c"))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], theta: float = 10.0) -> DataFrame:
+    """keys and, for every column t of texts besides them, t as a sorted array of place * 65536 + sample, one per place.
+
+    keys must identify rows and not be null. Texts without words give empty arrays. The least of the values of a place
+    is over theta / weight with probability exp(-theta); the few texts with such a place are worked out in full.
     """
     names = [c for c in texts.columns if c not in keys]
     both = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("v"), F.col(c).alias("t")) for i, c in enumerate(names))))
-    words = texts.select(*keys, both.alias("x")).select(*keys, "x.v", F.explode(F.split("x.t", BLANK)).alias("word"))
-    terms = words.groupBy(*keys, "v", F.xxhash64("word").alias("term")).agg(F.sum(F.length("word")).alias("w"))
-    places = F.explode(F.when(F.col("w") > 0, F.sequence(F.lit(0), F.lit(PLACES - 1))).otherwise(F.array(F.lit(0))))
-    many = terms.select(*keys, "v", "term", F.ln(F.col("w").cast("double")).alias("log"), places.alias("bin"))
-    sampled = many.select(*keys, "v", "bin", sample_value(F.col("term"), F.col("bin"), F.col("log")).alias("a"))
-    bins = sampled.groupBy(*keys, "v", "bin").agg(F.min("a").alias("a"))
-    code = F.shiftleft("bin", 16) + F.xxhash64("a").bitwiseAND(65535).cast("int")
-    codes = bins.select(*keys, "v", F.when(F.col("a").isNotNull(), code).alias("code"))
-    return codes.groupBy(*keys).agg(*(F.sort_array(F.collect_list(F.when(F.col("v") == i, F.col("code")))).alias(c) for i, c in enumerate(names)))
+    rows = texts.select(*keys, both.alias("x")).select(*keys, "x.*")
+    first = stage(samples(rows, [*keys, "v"], theta), "samples")
+    open_ = F.exists("c", lambda x: x.isNull())
+    rest = stage(first.where(open_).select(*keys, "v").distinct(), "open")
+    again = samples(sized_join(rows, rest, [*keys, "v"], "left_semi"), [*keys, "v"], None)
+    whole = sized_join(first, rest, [*keys, "v"], "left_anti").unionByName(again)
+    coded = F.transform("c", lambda x, i: F.shiftleft(F.col("at") + i, 16) + x.cast("int") + 32768)
+    mine = whole.select(*keys, "v", coded.alias("c"))
+    return mine.groupBy(*keys).agg(*(F.sort_array(F.flatten(F.collect_list(F.when(F.col("v") == i, F.col("c"))))).alias(c) for i, c in enumerate(names)))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -102,7 +121,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = rows.select("b", F.row_number().over(w).alias("seq"), "ghost", "oid", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next"))
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
     rows = rows.select("b", "seq", "ghost", "oid", "text", edited.alias("edited"))
-    prints = fingerprints(rows.select("b", "seq", "text", "edited"), ["b", "seq"])
+    found = fingerprints(rows.select("b", "seq", "text", "edited"), ["b", "seq"])
+    none = F.array().cast("array<int>")
+    prints = rows.select("b", "seq").join(found, ["b", "seq"], "left").select("b", "seq", F.coalesce("text", none).alias("text"), F.coalesce("edited", none).alias("edited"))
     after = F.lead("text").over(Window.partitionBy("b").orderBy("seq"))
     prints = prints.select("b", "seq", F.col("text").alias("p"), F.col("edited").alias("e"), after.alias("q"))
     facts = rows.where("NOT ghost").select("b", "seq", F.when(F.col("oid") != -(2**63), F.col("oid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
