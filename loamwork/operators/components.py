@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.joins import MOST_ROWS
@@ -41,3 +41,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         out = out.join(h.withColumnRenamed("u", "component"), "component", "left").select("node", F.coalesce("p", "component").alias("component"))
     alone = loops.join(out, "node", "left_anti").select("node", F.col("node").alias("component"))
     return out.unionByName(alone)
+
+
+def component_sizes(components: DataFrame, n: int = 5) -> DataFrame:
+    """node, component, size, place (of the n largest components, ties by the smaller; else null), n_components.
+
+    components: node, component; a staged table, for it is read three times.
+    """
+    z = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    top = z.orderBy(F.desc("size"), "component").limit(n)  # n rows
+    top = top.select("component", F.row_number().over(Window.orderBy(F.desc("size"), "component")).cast("long").alias("place"))
+    total = z.agg(F.count(F.lit(1)).alias("n_components"))  # one row
+    return components.join(z, "component").join(F.broadcast(top), "component", "left").crossJoin(F.broadcast(total)).select("node", "component", "size", "place", "n_components")

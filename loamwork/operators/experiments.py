@@ -37,6 +37,12 @@ def exposure_events(events: DataFrame, experiment: str, variants: list[str]) ->
     return events.select("event_id", F.lit(experiment).alias("experiment"), variant_of(user, experiment, variants).alias("variant"), user.alias("user_id"))
 
 
+def last_days(rows: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
+    """The rows of the `days` days up to as_of (text of a time)."""
+    end, at = F.lit(as_of).cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz")
+    return rows.where((at > end - F.make_dt_interval(F.lit(days))) & (at <= end))
+
+
 def experiment_results(events: DataFrame, experiment: str, variants: list[str], z: float = 1.96) -> DataFrame:
     """variant, n, conversion, satisfaction, engagement, z against the first variant, significant, best."""
     v = variant_of(F.col("user_id"), experiment, variants)

@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import stage
 from loamwork.functions.text import AD_MARKERS, FACT_JUNK, LOW_TRUST_HOSTS, PRIORITY_HOSTS, QUESTION_WORDS, STOP_WORDS, has_any, host, sentences, words
+from loamwork.operators.vectors import cosine_links, dot, embed_corpus, hashed_words, semantic_dedup
 
 # Ranking profiles and the patterns that choose them, in order.
 PROFILES = {
@@ -15,6 +17,14 @@ PROFILES = {
     "factoid": {"relevance": 0.30, "domain_credit": 0.35, "position": 0.05, "ner": 0.35, "length": 0.0, "definition_causal": 0.0, "penalty": -0.15, "length_optimal": 100, "steepness": 0.1},
     "how_why": {"relevance": 0.30, "domain_credit": 0.20, "position": 0.10, "ner": 0.0, "length": 0.0, "definition_causal": 0.40, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
     "evaluation": {"relevance": 0.50, "domain_credit": 0.25, "position": 0.05, "ner": 0.10, "length": 0.0, "definition_causal": 0.10, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "mathematical_theorem": {"relevance": 0.35, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.35, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "scientific_concept": {"relevance": 0.35, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.35, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "quantum_physics_deep": {"relevance": 0.35, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.35, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "philosophical_concept": {"relevance": 0.30, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.40, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "biological_system": {"relevance": 0.30, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.40, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
+    "programming_concept": {"relevance": 0.40, "domain_credit": 0.20, "position": 0.0, "ner": 0.10, "length": 0.0, "definition_causal": 0.30, "penalty": -0.10, "length_optimal": 120, "steepness": 0.08},
+    "ai_concept": {"relevance": 0.35, "domain_credit": 0.20, "position": 0.0, "ner": 0.15, "length": 0.0, "definition_causal": 0.30, "penalty": -0.10, "length_optimal": 120, "steepness": 0.08},
+    "historical_event": {"relevance": 0.30, "domain_credit": 0.20, "position": 0.1, "ner": 0.35, "length": 0.0, "definition_causal": 0.05, "penalty": -0.10, "length_optimal": 150, "steepness": 0.08},
 }
 PROFILE_PATTERNS = {
     "philosophical_concept": "философ|сознан|квалиа|субъективн|онтолог|эпистем|феноменолог|бытие|смысл|этик[а]|интенциональност|ницше|кант|хайдеггер|априорн",
@@ -47,8 +57,9 @@ def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ..
 
 
 def fact_sentences(chunks: DataFrame) -> DataFrame:
-    """doc_id, topic, source_url, pos, sentence of every sentence of chunks."""
-    return chunks.select("doc_id", "topic", "source_url", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    """doc_id, topic, source_url, of (how many sentences), pos, sentence of every sentence of chunks."""
+    s = chunks.select("doc_id", "topic", "source_url", sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", "topic", "source_url", F.size("s").alias("of"), F.posexplode("s").alias("pos", "sentence"))
 
 
 def fact_candidates(chunks: DataFrame, **rules) -> DataFrame:
@@ -113,29 +124,31 @@ def rank_facts(facts: DataFrame, profiles: dict[str, dict] = PROFILES) -> DataFr
     return j.withColumn("score", score).select(*facts.columns, "score")
 
 
-def mmr_rerank(rows: DataFrame, penalty: float = -0.2, most: int = 50) -> DataFrame:
-    """query_id, vec_id, place: repeatedly the row of greatest score plus penalty times its largest cosine to those chosen.
+def mmr_rerank(rows: DataFrame, penalty: float = -0.2) -> DataFrame:
+    """query_id, vec_id, place, mmr_score: repeatedly the row of greatest score plus penalty times its largest cosine to
+    those chosen (ties: the better score, then the smaller id); all rows of every query.
 
-    rows: query_id, vec_id, score, v; at most `most` of each query (the best by score), so a group is small.
+    rows: query_id, vec_id, score, v. A group is one query's list of results, which the step before it has cut to a top k.
     """
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "vec_id"], ascending=[False, True]).reset_index(drop=True)
         x = np.array(pdf["v"].tolist(), float)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        near, left, order = np.zeros(len(x)), list(range(len(x))), []
-        while left:
-            i = max(left, key=lambda i: (pdf["score"][i] + penalty * near[i], -i))
+        near, score, order, got = np.zeros(len(x)), pdf["score"].to_numpy(float), [], []
+        open_ = np.ones(len(x), bool)
+        for _ in range(len(x)):
+            value = np.where(open_, score + penalty * near, -np.inf)
+            i = int(value.argmax())  # the first of equals
             order.append(i)
-            left.remove(i)
+            got.append(value[i])
+            open_[i] = False
             near = np.maximum(near, x @ x[i])
         out = pdf.loc[order, ["query_id", "vec_id"]]
-        out["place"] = np.arange(1, len(order) + 1)
-        return out
+        return out.assign(place=np.arange(1, len(order) + 1), mmr_score=got)
 
-    top = best_per(rows, "query_id", [F.desc("score"), F.col("vec_id")], most).drop("place")
     kinds = dict(rows.dtypes)
-    return top.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, place long")
+    return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kinds['query_id']}, vec_id {kinds['vec_id']}, place long, mmr_score double")
 
 
 def dynamic_selection(rows: DataFrame, by: str, order: str, share: float = 0.6, least: int = 2, most: int = 20) -> DataFrame:
@@ -170,14 +183,29 @@ def length_quality(length: Column) -> Column:
     return F.when(length >= 800, 0.8).when(length >= 500, 0.6).when(length >= 300, 0.4).otherwise(0.2)
 
 
-def fact_pipeline(chunks: DataFrame, keywords: list[str], profile: str = "default", n: int = 20, **rules) -> DataFrame:
-    """topic, place, sentence, score, confidence: gate chunks, take their sentences, drop repeats, score, rank, select."""
+def fact_pipeline(chunks: DataFrame, keywords: list[str], profile: str = "default", n: int = 20, encoder=None, similar: float = 0.85, **rules) -> DataFrame:
+    """topic, place, sentence, score, profile, confidence: gate chunks, take their sentences, drop repeats, score and keep
+    the 50 best of each topic; of those, drop what is like a better one (cosine over `similar`), rank, rerank, select.
+
+    encoder: a function of texts to vectors (see embed_corpus). Relevance is the cosine to the keywords, position the
+    share of the chunk before the sentence, ner the number of capitalised words after its first.
+    """
+    encoder = encoder or hashed_words(64)
     gated = first_by_prefix(chunks.withColumn("quality", length_quality(F.col("length"))).where("quality >= 0.5"), "text", ["topic"], ["doc_id"], 200, False)
     gated = gated.withColumn("trust", domain_credit(host(F.col("source_url"))))
     facts = first_by_prefix(fact_candidates(gated, **rules), "sentence", ["topic"], ["doc_id", "pos"], 100)
-    scored = score_facts(facts, keywords, F.lit(0.5))
+    scored = score_facts(facts, keywords, F.col("pos") / F.col("of"))
     top = best_per(scored, "topic", [F.desc(F.round("total_score", 6)), F.col("doc_id"), F.col("pos")], 50)
-    ranked = rank_facts(top.select("*", F.lit(profile).alias("profile"), F.least(F.col("total_score") / 5, F.lit(1.0)).alias("relevance"), domain_credit(host(F.col("source_url"))).alias("credit"), F.lit(0.5).alias("position"), F.lit(0.0).alias("ner")))
-    chosen = dynamic_selection(ranked.withColumn("score", F.round("score", 6)).withColumn("key", F.concat_ws(":", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("pos").cast("string"), 6, "0"))).drop("place"), "topic", "key", 0.6, 2, n)
-    return chosen.join(answer_confidence(gated, chosen), "topic").select("topic", "place", "sentence", "score", "confidence")
-
+    number = F.shiftleft(F.pmod(F.xxhash64("topic"), F.lit(1 << 40)), 6) + F.col("place")  # ascends by place within a topic
+    top = stage(top.withColumn("id", number), "facts")
+    top = stage(top.join(embed_corpus(top, "id", "sentence", encoder), "id"), "facts")
+    links = cosine_links(top.select(F.col("id").alias("vec_id"), "embedding", "topic"), similar, "topic", strict=True)
+    kept = semantic_dedup(top.select("id"), links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).where("kept").select("id")
+    wanted = F.array(*map(F.lit, encoder([" ".join(keywords)])[0]))
+    named = F.size(F.filter(F.slice(words(F.col("sentence")), 2, 10_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1)))))
+    rated = top.join(kept, "id").drop("place").withColumns({"profile": F.lit(profile), "relevance": F.greatest(dot(F.col("embedding"), wanted), F.lit(0.0)), "credit": domain_credit(host(F.col("source_url"))), "position": F.col("pos") / F.col("of"), "ner": named})
+    ranked = stage(rank_facts(rated).withColumn("score", F.round("score", 6)), "ranked")
+    order = mmr_rerank(ranked.select(F.col("topic").alias("query_id"), F.col("id").alias("vec_id"), "score", F.col("embedding").alias("v")))
+    again = order.select(F.col("vec_id").alias("id"), F.col("place").alias("key"), F.round("mmr_score", 6).alias("mmr"))
+    chosen = dynamic_selection(ranked.join(again, "id").drop("score").withColumnRenamed("mmr", "score"), "topic", "key", 0.6, 2, n)
+    return chosen.join(answer_confidence(gated, chosen), "topic").select("topic", "place", "sentence", "score", "profile", "confidence")

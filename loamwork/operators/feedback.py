@@ -73,11 +73,13 @@ def feedback_rewards(feedback: DataFrame) -> DataFrame:
     return feedback.withColumn("reward", r).groupBy("rating", "helpful").agg(F.count(F.lit(1)).alias("n"), F.avg("reward").alias("mean_reward"))
 
 
-def satisfaction_trend(feedback: DataFrame) -> DataFrame:
-    """day (text), n, average, rate of ratings of 4 or more, and trend: the sign of the second half's rate less the first's."""
-    daily = feedback.groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("average"), F.count(F.when(F.col("rating") >= 4, 1)).alias("good"))
-    at, n = F.row_number().over(Window.orderBy("day")), F.count(F.lit(1)).over(Window.partitionBy())  # a row for each day
+def satisfaction_trend(feedback: DataFrame, unit: str = "day") -> DataFrame:
+    """unit (day or hour), slot (text), n, average, rate of ratings of 4 or more, and trend: the sign of the second half's
+    rate less the first's."""
+    slot = F.date_format("created_at", {"day": "yyyy-MM-dd", "hour": "yyyy-MM-dd HH"}[unit])
+    daily = feedback.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.avg("rating").alias("average"), F.count(F.when(F.col("rating") >= 4, 1)).alias("good"))
+    at, n = F.row_number().over(Window.orderBy("slot")), F.count(F.lit(1)).over(Window.partitionBy())  # a row for each slot
     half = daily.withColumn("second", at > F.floor(n / 2))
     rate = lambda c: F.sum(F.when(c, F.col("good"))).over(Window.partitionBy()) / F.sum(F.when(c, F.col("n"))).over(Window.partitionBy())
     trend = F.coalesce(F.signum(rate(F.col("second")) - rate(~F.col("second"))), F.lit(0.0)).cast("int")
-    return half.select("day", "n", "average", (F.col("good") / F.col("n")).alias("rate"), trend.alias("trend"))
+    return half.select(F.lit(unit).alias("unit"), "slot", "n", "average", (F.col("good") / F.col("n")).alias("rate"), trend.alias("trend"))

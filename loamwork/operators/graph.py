@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.histograms import any_of
+from loamwork.functions.joins import sized_join
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def shared_neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, via:
     """
     kinds = nodes.select(F.col("id").alias("mid"), F.col("type").alias("mid_type"))
     e = ends(edges.select("src", "dst", "weight")).where("id <> other")
-    first = e.join(F.broadcast(seeds.select(F.col("seed").alias("id"))), "id").select(F.col("id").alias("seed"), F.col("other").alias("mid"), F.col("weight").alias("w1"))
+    first = sized_join(e, seeds.select(F.col("seed").alias("id")), ["id"]).select(F.col("id").alias("seed"), F.col("other").alias("mid"), F.col("weight").alias("w1"))
     mids = first.join(kinds.where(F.col("mid_type").isin(*via)), "mid")
     second = mids.join(e.select(F.col("id").alias("mid"), F.col("other").alias("topic"), F.col("weight").alias("w2")), "mid").where("topic <> seed")
     t = nodes.where("type = 'topic'").select(F.col("id").alias("topic"))
@@ -94,7 +95,7 @@ def shared_neighbours(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, via:
 
 def related_topics(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, n: int = 3, via: tuple[str, ...] = ("chunk", "entity", "key_point")) -> DataFrame:
     """seed, place, topic, shared: neighbouring topics and those two hops away; most shared neighbours first, then by id."""
-    direct = ends(edges.select("src", "dst")).join(F.broadcast(seeds.select(F.col("seed").alias("id"))), "id").select(F.col("id").alias("seed"), F.col("other").alias("topic"))
+    direct = sized_join(ends(edges.select("src", "dst")), seeds.select(F.col("seed").alias("id")), ["id"]).select(F.col("id").alias("seed"), F.col("other").alias("topic"))
     direct = direct.join(nodes.where("type = 'topic'").select(F.col("id").alias("topic")), "topic").where("topic <> seed").select("seed", "topic", F.lit(0).cast("long").alias("shared"))
     every = direct.unionByName(shared_neighbours(nodes, edges, seeds, via).select("seed", "topic", "shared")).groupBy("seed", "topic").agg(F.max("shared").alias("shared"))
     w = Window.partitionBy("seed").orderBy(F.desc("shared"), "topic")
@@ -236,7 +237,16 @@ def list_snapshots(snapshots: DataFrame, n: int = 5) -> DataFrame:
 
 
 def graph_export(nodes: DataFrame, edges: DataFrame, what: str = "all") -> DataFrame:
-    """kind, json: nodes as {id, type}, edges as {source, target, relation}."""
-    n = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("id", F.coalesce("type", F.lit("unknown")).alias("type"))).alias("json"))
-    e = edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(F.col("src").alias("source"), F.col("dst").alias("target"), "relation")).alias("json"))
-    return n.unionByName(e) if what == "all" else n if what == "nodes" else e
+    """kind, json: nodes as {id, type, attributes}, edges as {source, target, relation, attributes}; for `all`, stats too.
+
+    Attributes are the other columns, nulls included; a missing type or relation is unknown; density has nine places.
+    """
+    text = lambda **fields: F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"}).alias("json")
+    other = lambda df, own: F.struct(*(c for c in df.columns if c not in own))
+    unknown = lambda c: F.coalesce(c, F.lit("unknown"))
+    n = nodes.select(F.lit("node").alias("kind"), text(id=F.col("id"), type=unknown("type"), attributes=other(nodes, ("id", "type"))))
+    e = edges.select(F.lit("edge").alias("kind"), text(source=F.col("src"), target=F.col("dst"), relation=unknown("relation"), attributes=other(edges, ("src", "dst", "relation"))))
+    if what != "all":
+        return n if what == "nodes" else e
+    s = graph_summary(nodes, edges)
+    return n.unionByName(e).unionByName(s.select(F.lit("stats").alias("kind"), text(nodes=F.col("nodes"), edges=F.col("edges"), density=F.format_string("%.9f", "density"))))

@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from loamwork.functions.histograms import cumulative_buckets
 
 
+RANGES = 1024
+
+
+def in_ranges(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
+    """rows with _range: RANGES slices of equal width of a numeric column, ascending, so that a key's history is many groups."""
+    ends = rows.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))  # one row
+    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
+    return rows.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(at, F.lit(0)).cast("int")).drop("_lo", "_hi")
+
+
+def decayed_sums(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float) -> DataFrame:
+    """keys, n, total (the sum of keep^(rows after it) * value), first (the first value): the fold of a decaying average.
+
+    The sum of a range decays by the rows of the ranges after it, so ranges are summed apart and then put together.
+    """
+    b = in_ranges(rows, order[0])
+    back = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*(F.desc(c) for c in order))) - 1
+    part = b.withColumn("_x", F.pow(F.lit(keep), back) * F.col(value)).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.min_by(value, F.struct(*order)).alias("_first"))
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most RANGES rows
+    whole = part.withColumn("_s", F.pow(F.lit(keep), later) * F.col("_s"))
+    return whole.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_s").alias("total"), F.min_by("_first", "_range").alias("first"))
+
+
 def system_stats(requests: DataFrame) -> DataFrame:
     """One row: questions, errors, cache hits, mean seconds (0 if none)."""
     return requests.agg(F.count(F.lit(1)).alias("questions"), F.count(F.when(F.col("error"), 1)).alias("errors"), F.count(F.when(F.col("from_cache"), 1)).alias("cache_hits"), F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("mean_seconds"))
@@ -46,16 +69,23 @@ def task_ewma(tasks: DataFrame, keep: float = 0.9) -> DataFrame:
 
     Closed form: the first value weighs keep^(n-1), the i-th (1 - keep) * keep^(n-i).
     """
-    w = Window.partitionBy("type")
-    back = F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) - 1
-    last = back == F.count(F.lit(1)).over(w) - 1
-    weight = F.pow(F.lit(keep), back) * F.when(last, 1.0).otherwise(1 - keep)
-    return tasks.withColumn("x", weight * F.col("processing_time")).groupBy("type").agg(F.count(F.when(F.col("success"), 1)).alias("processed"), F.count(F.when(~F.col("success"), 1)).alias("failed"), F.sum("x").alias("avg_time"))
+    rows = tasks.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    sums = decayed_sums(rows, ["type"], ["at", "event_id"], "processing_time", keep)
+    counts = tasks.groupBy("type").agg(F.count(F.when(F.col("success"), 1)).alias("processed"), F.count(F.when(~F.col("success"), 1)).alias("failed"))
+    value = (1 - keep) * F.col("total") + keep * F.pow(F.lit(keep), F.col("n") - 1) * F.col("first")
+    return counts.join(sums, "type").select("type", "processed", "failed", value.alias("avg_time"))
 
 
 def running_mean(series: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return series.select(key, *order, F.avg(value).over(w).alias("running_mean"))
+    """key, order, running_mean of all values up to the row. A key's rows are summed by ranges of the first order column, then within a range."""
+    b = in_ranges(series, order[0])
+    sums = b.groupBy(key, "_range").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a key
+    starts = sums.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
+    w = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = b.withColumns({"_s": F.sum(value).over(w), "_n": F.count(value).over(w)})
+    both = near.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return both.select(key, *order, ((F.coalesce("_s", F.lit(0)) + F.col("_s0")) / F.nullif(F.col("_n") + F.col("_n0"), F.lit(0))).alias("running_mean"))
 
 
 def hourly_profile(requests: DataFrame) -> DataFrame:
@@ -69,15 +99,20 @@ def value_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def alert_intervals(requests: DataFrame, limit: float = 0.001, minutes: int = 60, least: int = 1) -> DataFrame:
-    """begin, end (epoch seconds), windows: runs of at least `least` windows of a dense grid whose error rate exceeds limit."""
+def alert_intervals(requests: DataFrame, rule: str = "errors", limit: float = 0.001, minutes: int = 60, least: int = 1) -> DataFrame:
+    """rule, begin, end (epoch seconds), windows: runs of at least `least` windows of a dense grid in which the rule fires.
+
+    errors: more than `limit` errors a second; silent: no requests at all; gauge: some value of seconds over `limit`.
+    """
     step = minutes * 60
     at = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / step)
-    counts = requests.groupBy(at.alias("at")).agg(F.count(F.when(F.col("error"), 1)).alias("errors"))
+    counts = requests.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("error"), 1)).alias("errors"), F.max("seconds").alias("gauge"))
     grid = counts.agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("at"))
-    rates = grid.join(counts, "at", "left").select("at", (F.coalesce("errors", F.lit(0)) / step > limit).alias("fires"))
-    run = rates.where("fires").withColumn("island", F.col("at") - F.row_number().over(Window.orderBy("at")))  # a row for each window
-    return run.groupBy("island").agg((F.min("at") * step).alias("begin"), ((F.max("at") + 1) * step).alias("end"), F.count(F.lit(1)).alias("windows")).where(F.col("windows") >= least).drop("island")
+    fires = {"errors": F.coalesce("errors", F.lit(0)) / step > limit, "silent": F.col("n").isNull(), "gauge": F.col("gauge") > limit}[rule]
+    rates = grid.join(counts, "at", "left").where(fires).select("at")
+    run = rates.withColumn("island", F.col("at") - F.row_number().over(Window.orderBy("at")))  # a row for each window
+    found = run.groupBy("island").agg((F.min("at") * step).alias("begin"), ((F.max("at") + 1) * step).alias("end"), F.count(F.lit(1)).alias("windows"))
+    return found.where(F.col("windows") >= least).select(F.lit(rule).alias("rule"), "begin", "end", "windows")
 
 
 def topic_engagement(events: DataFrame, topic: str, n: int = 5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import sized_join
+
 
 def candidate_topics(weak: DataFrame, old: DataFrame, unsure: DataFrame, n: int = 3) -> DataFrame:
     """topic, priority: weak (.8), old (.6) and low-confidence (.5) topics, the highest priority of each, the first n."""
@@ -39,8 +41,9 @@ def store_topic_knowledge(facts: DataFrame, confidence: DataFrame, least: int =
     behind its gate. facts: topic, place, sentence; confidence: topic, confidence."""
     j = facts.join(confidence, "topic")
     doc = j.where(F.length("sentence") > least).withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("place"))).where(F.col("r") <= points)
-    whole = j.groupBy("topic", "confidence").agg(F.sort_array(F.collect_list(F.struct("place", "sentence"))).alias("s"))
-    summary = F.substring(F.array_join(F.transform(F.slice("s", 1, 3), lambda x: x["sentence"]), " "), 1, 300)
+    three = j.withColumn("r", F.row_number().over(Window.partitionBy("topic").orderBy("place"))).where("r <= 3")
+    whole = three.groupBy("topic", "confidence").agg(F.sort_array(F.collect_list(F.struct("place", "sentence"))).alias("s"))
+    summary = F.substring(F.array_join(F.transform("s", lambda x: x["sentence"]), " "), 1, 300)
     row = lambda df, kind, text: df.select(F.lit(kind).alias("kind"), "topic", text.alias("text"))
     return row(whole.where(F.col("confidence") >= memory), "memory", summary).unionByName(row(doc, "document", F.col("sentence"))).unionByName(row(whole.where(F.col("confidence") >= graph), "graph", summary))
 
@@ -48,7 +51,7 @@ def store_topic_knowledge(facts: DataFrame, confidence: DataFrame, least: int =
 def mentions(docs: DataFrame, topics: DataFrame, text: Column) -> DataFrame:
     """doc_id, topic: the topics (lower-case single words) that occur as words of a document; an equi-join on words."""
     w = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)))).alias("topic"))
-    return w.join(F.broadcast(topics.select("topic").distinct()), "topic").select("doc_id", "topic")
+    return sized_join(w, topics.select("topic").distinct(), ["topic"]).select("doc_id", "topic")
 
 
 def link_topics(found: DataFrame, least: int = 1) -> DataFrame:

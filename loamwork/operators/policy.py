@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.operators.experiments import draw
+from loamwork.operators.metrics import decayed_sums
 
 ACTIONS = ("high", "medium", "low", "cautious")
 FACTOR = {"high": 0.9, "medium": 0.7, "low": 0.4, "cautious": 0.2}
@@ -25,13 +26,10 @@ def start_value(action: Column) -> Column:
 def q_table(log: DataFrame, rate: float = 0.1) -> DataFrame:
     """state, action, n, q after q += rate * (reward - q) over the log (state, action, reward, seq) in order of seq.
 
-    In closed form: (1 - rate)^n * q0 + sum of rate * (1 - rate)^(n - i) * reward_i; each reward's weight comes from
-    its rank from the end.
+    In closed form: (1 - rate)^n * q0 + sum of rate * (1 - rate)^(n - i) * reward_i, summed by ranges of seq.
     """
-    w = Window.partitionBy("state", "action").orderBy(F.desc("seq"))
-    weighted = log.withColumn("w", F.pow(F.lit(1 - rate), F.row_number().over(w) - 1) * rate * F.col("reward"))
-    sums = weighted.groupBy("state", "action").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("gain"))
-    return sums.select("state", "action", "n", (F.pow(F.lit(1 - rate), F.col("n")) * start_value(F.col("action")) + F.col("gain")).alias("q"))
+    sums = decayed_sums(log, ["state", "action"], ["seq"], "reward", 1 - rate)
+    return sums.select("state", "action", "n", (F.pow(F.lit(1 - rate), F.col("n")) * start_value(F.col("action")) + rate * F.col("total")).alias("q"))
 
 
 def choose_actions(rows: DataFrame, q: DataFrame, explore: float = 0.3, seed: str = "e") -> DataFrame:

@@ -27,13 +27,16 @@ MARKERS = (
     (("используется",), "Где еще можно применить {}?"),
 )
 GENERIC = "similar concepts"
+VARIED = ("Что такое", "Кто такой")
+VARIATIONS = ("Расскажи о {}", "Информация о {}", "Подробнее о {}")
+HOW, COMPARISON = ("как", "способ", "метод", "инструкция"), ("сравнить", "лучше", "хуже", "чем", "против")
 
 
-def research_questions(topics: DataFrame, related: DataFrame, depth: int, n: int, seed: str = "q", stop: tuple[str, ...] = ()) -> DataFrame:
+def research_questions(topics: DataFrame, related: DataFrame, depth: int, n: int, seed: str = "q", stop: tuple[str, ...] = (), varied: tuple[str, ...] = VARIED) -> DataFrame:
     """topic, place, question: the templates of the kinds of a depth, max(1, n / kinds) of each kind by seeded order.
 
-    {related} becomes each related topic (topic, related), or a generic phrase; questions of 10 to 200 characters
-    without stop phrases, each once, the first n. The templates are a constant table, so it is broadcast.
+    {related} becomes each related topic (topic, related), or a generic phrase. Questions that hold one of `varied` are
+    followed by VARIATIONS. Those of 10 to 200 characters without stop phrases, each once, the first n. The templates are a constant table, so it is broadcast.
     """
     kinds = DEPTHS[min(max(depth, 1), 3)]
     per = max(1, n // len(kinds))
@@ -44,8 +47,10 @@ def research_questions(topics: DataFrame, related: DataFrame, depth: int, n: int
     chosen = mixed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per)
     other = chosen.join(related, "topic", "left").withColumn("related", F.coalesce("related", F.lit(GENERIC)))
     q = F.replace(F.replace("template", F.lit("{topic}"), F.col("topic")), F.lit("{related}"), F.col("related"))
-    made = other.select("topic", "kind", "r", q.alias("question")).where((F.length("question") >= 10) & (F.length("question") <= 200) & ~has_any(F.lower("question"), stop))
-    first = made.groupBy("topic", "question").agg(F.min(F.struct("kind", "r")).alias("at"))
+    more = [F.concat(F.lit(x.split("{}")[0]), "topic") for x in VARIATIONS]
+    every = other.select("topic", "kind", "r", q.alias("q")).select("topic", "kind", "r", F.posexplode(F.when(has_any(F.col("q"), varied), F.array("q", *more)).otherwise(F.array("q"))).alias("v", "question"))
+    made = every.where((F.length("question") >= 10) & (F.length("question") <= 200) & ~has_any(F.lower("question"), stop))
+    first = made.groupBy("topic", "question").agg(F.min(F.struct("kind", "r", "v")).alias("at"))
     place = F.row_number().over(Window.partitionBy("topic").orderBy("at", "question")).cast("long")
     return first.withColumn("place", place).where(F.col("place") <= n).select("topic", "place", "question")
 
@@ -89,10 +94,16 @@ def topic_of(question: Column, keywords: tuple[str, ...]) -> Column:
     return F.when(F.size(after) > 0, F.array_join(last, " ")).otherwise(first)
 
 
-def question_topics(questions: DataFrame, keywords: tuple[str, ...], n: int = 10) -> DataFrame:
-    """topic, n of the n commonest topics."""
-    t = questions.select(topic_of(F.col("question"), keywords).alias("topic")).where("topic IS NOT NULL")
-    return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(n)
+def question_type(question: Column, how: tuple[str, ...] = HOW, comparison: tuple[str, ...] = COMPARISON) -> Column:
+    low = F.lower(question)
+    return F.when(has_any(low, how), "how_to").when(has_any(low, comparison), "comparison").when(F.contains(question, F.lit("?")), "factual").otherwise("general")
+
+
+def question_topics(questions: DataFrame, keywords: tuple[str, ...], n: int = 10, how: tuple[str, ...] = HOW, comparison: tuple[str, ...] = COMPARISON) -> DataFrame:
+    """topic, n, how_to, comparison, factual, general (questions of each type) of the n commonest topics."""
+    t = questions.select(topic_of(F.col("question"), keywords).alias("topic"), question_type(F.col("question"), how, comparison).alias("type")).where("topic IS NOT NULL")
+    kinds = [F.count(F.when(F.col("type") == k, 1)).alias(k) for k in ("how_to", "comparison", "factual", "general")]
+    return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), *kinds).orderBy(F.desc("n"), "topic").limit(n)
 
 
 def followups(questions: DataFrame, related: DataFrame, keywords: tuple[str, ...], fillers: tuple[str, ...], n: int = 3) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.operators.metrics import in_ranges
+
 ROLES = {"user": "Пользователь", "assistant": "Ассистент", "system": "Система"}
 ORDER = ("created_at", "conv_id", "turn")
 
@@ -94,16 +96,25 @@ def question_key(question: Column) -> Column:
 
 
 def cache_replay(log: DataFrame, ttl: int = 3600) -> DataFrame:
-    """event_id, hit: whether the event before it with the same question is at most ttl seconds old."""
-    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    keyed = log.select("event_id", question_key(F.col("question")).alias("key"), t.alias("t"))
-    before = F.lag("t").over(Window.partitionBy("key").orderBy("t", "event_id"))
-    return keyed.select("event_id", F.coalesce(F.col("t") - before <= ttl, F.lit(False)).alias("hit"))
+    """event_id, hit: whether the event before it with the same question is at most ttl seconds old.
 
-
-def live_entries(writes: DataFrame, as_of: int, ttl: int) -> DataFrame:
-    """key, content, expired: the latest value of each key (ties by the greater content)."""
-    last = writes.groupBy("key").agg(F.max(F.struct("created_at", "content")).alias("x"))
+    A question's events are compared within slices of ttl seconds; a slice's first event looks at the last one of the
+    slice before, for older ones are too old anyway. So a hot question is many groups.
+    """
+    t = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    keyed = log.select("event_id", question_key(F.col("question")).alias("key"), t.alias("t")).withColumn("slice", F.floor(F.col("t") / ttl))
+    ends = keyed.groupBy("key", "slice").agg(F.max("t").alias("end")).withColumn("slice", F.col("slice") + 1)
+    before = F.lag("t").over(Window.partitionBy("key", "slice").orderBy("t", "event_id"))
+    near = keyed.withColumn("before", before).join(ends, ["key", "slice"], "left")
+    return near.select("event_id", F.coalesce(F.col("t") - F.coalesce("before", "end") <= ttl, F.lit(False)).alias("hit"))
+
+
+def live_entries(writes: DataFrame, as_of: int, ttl: int, tags: DataFrame | None = None) -> DataFrame:
+    """key, content, expired: the latest value of each key (ties by the greater content), but for those whose tag is
+    invalidated. writes: key, content, created_at (and tag, where tags (tag) are given)."""
+    last = writes.groupBy("key").agg(F.max(F.struct("created_at", "content", *(["tag"] if tags is not None else []))).alias("x"))
+    if tags is not None:
+        last = last.withColumn("tag", F.col("x.tag")).join(tags.select("tag").distinct(), "tag", "left_anti")
     return last.select("key", F.col("x.content").alias("content"), (F.lit(as_of) - F.col("x.created_at") > ttl).alias("expired"))
 
 
@@ -120,6 +131,13 @@ def memory_lookup(memory: DataFrame, queries: DataFrame, least: float = 0.3, k:
     return exact.unionByName(part).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query", "place", "key", "confidence")
 
 
+def lookup_counts(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """found (of memory_lookup) with accesses (answers that told the key) and hit_rate (share of distinct queries with an answer)."""
+    per = found.groupBy("key").agg(F.count(F.lit(1)).alias("accesses"))
+    rate = found.agg(F.count_distinct("query").alias("h")).crossJoin(queries.agg(F.count_distinct("query").alias("q"))).select((F.col("h") / F.col("q")).alias("hit_rate"))
+    return found.join(per, "key").crossJoin(F.broadcast(rate)).select(*found.columns, "accesses", "hit_rate")  # one row
+
+
 def memory_upsert(writes: DataFrame) -> DataFrame:
     """key, content, confidence, access_count 0: the last write of each key."""
     last = writes.groupBy("key").agg(F.max(F.struct("created_at", "content", "confidence")).alias("x"))
@@ -129,11 +147,19 @@ def memory_upsert(writes: DataFrame) -> DataFrame:
 def lru_trim(entries: DataFrame, most: int, order: list[str]) -> DataFrame:
     """If there are more than `most` entries, without the oldest fifth of `most` (and what exceeds it); else all.
 
-    The number to drop is a count, and the limit an order statistic: no window over the whole table.
+    The rows to drop are those up to an order statistic. Counts of a thousand slices of the first order column (a
+    number) say which slice holds it; only that slice's rows are ranked, and the slices before it go whole.
     """
     n = entries.count()
     if n <= most:
         return entries
     drop = n - most + most // 5
-    oldest = entries.orderBy(*order).limit(drop)
-    return entries.join(oldest.select(*order), order, "left_anti")
+    b = in_ranges(entries, order[0])
+    sizes = sorted((r["_range"], r["n"]) for r in b.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # RANGES rows at most
+    seen = 0
+    for at, k in sizes:
+        if seen + k >= drop:
+            break
+        seen += k
+    ranked = b.where(F.col("_range") == at).withColumn("_rn", F.row_number().over(Window.orderBy(*order))).where(F.col("_rn") > drop - seen)
+    return b.where(F.col("_range") > at).select(*entries.columns).unionByName(ranked.select(*entries.columns))

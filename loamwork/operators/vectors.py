@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import MOST_ROWS, sized_join
 from loamwork.functions.storage import stage
 from loamwork.functions.text import words
 
@@ -71,12 +72,43 @@ def validate_embeddings(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def cosine_links(vectors: DataFrame, least: float, block: str | None = None, strict: bool = False, tile: int = 2048) -> DataFrame:
+    """id_a < id_b, cosine of the pairs whose cosine is `least` or more (over it, if strict), of all rows or of each block.
+
+    vectors: vec_id, embedding and the block column; ids are unique. Null and zero vectors and null blocks link with
+    nothing. Rows are dealt by hash to tiles of about `tile`; each pair of tiles is one product of matrices, so a block
+    of n rows is n / tile copies of its rows in the shuffle, its work is split evenly, and only links come back.
+    """
+    k = F.col(block).cast("string") if block else F.lit("all")
+    v = vectors.select(k.alias("k"), F.col("vec_id").cast("long").alias("id"), doubles("embedding").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
+    v = v.where(F.exists("v", lambda x: x != 0)).withColumn("d", F.size("v"))
+    parts = v.groupBy("k", "d").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    dealt = sized_join(v, stage(parts, "tiles"), ["k", "d"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    sent = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "d", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "v")
+
+    def compare(table: pa.Table) -> pa.Table:
+        p, ids = table["p"].to_numpy(), table["id"].to_numpy()
+        x = np.array(table["v"].to_pylist(), float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        lhs, rhs = np.flatnonzero(p == i), np.flatnonzero(p == j)
+        found = [np.zeros((0, 3))]
+        for part in np.array_split(lhs, max(1, len(lhs) // 512)):
+            cos = np.clip(x[part] @ x[rhs].T, -1.0, 1.0)
+            a, b = np.nonzero(cos > least if strict else cos >= least)
+            one, two, c = part[a], rhs[b], cos[a, b]
+            keep = ids[one] < ids[two] if i == j else np.ones(len(one), bool)
+            found.append(np.stack([one[keep], two[keep], c[keep]], 1))
+        got = np.concatenate(found)
+        one, two = ids[got[:, 0].astype(int)], ids[got[:, 1].astype(int)]
+        return pa.table({"id_a": np.minimum(one, two), "id_b": np.maximum(one, two), "cosine": got[:, 2]})
+
+    return sent.groupBy("k", "d", "i", "j").applyInArrow(compare, "id_a long, id_b long, cosine double")
+
+
 def pairwise_cosine(vectors: DataFrame, block: str, least: float) -> DataFrame:
-    """id_a < id_b, cosine of the pairs of one block (an equi-join key) whose cosine is `least` or more."""
-    a = vectors.select(F.col(block).alias("k"), F.col("vec_id").alias("id_a"), unit(doubles("embedding")).alias("va"))
-    b = a.select("k", F.col("id_a").alias("id_b"), F.col("va").alias("vb"))
-    pairs = a.join(b, "k").where("id_a < id_b")
-    return pairs.withColumn("cosine", F.least(F.greatest(dot(F.col("va"), F.col("vb")), F.lit(-1.0)), F.lit(1.0))).where(F.col("cosine") >= least).select("id_a", "id_b", "cosine")
+    """id_a < id_b, cosine of the pairs of one block whose cosine is `least` or more."""
+    return cosine_links(vectors, least, block)
 
 
 def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least: float = 0.0, where: Column | None = None) -> DataFrame:
@@ -101,9 +133,11 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str,
     """query_id, place, doc_id, score: share of the query's distinct words (3 letters or more, no stop words) in the document."""
     token = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= least_length) & ~w.isin(*stop)))
     q = queries.select("query_id", token(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("w"))
+    q = stage(q, "terms")
     wanted = q.select("w").distinct()
-    postings = docs.select("doc_id", F.explode(token(F.col("text"))).alias("w")).join(F.broadcast(wanted), "w")
-    hits = postings.join(q, "w").groupBy("query_id", "doc_id").agg((F.count_distinct("w") / F.max("n")).alias("score"))
+    few = q.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+    postings = docs.select("doc_id", F.explode(token(F.col("text"))).alias("w")).join(F.broadcast(wanted) if few else wanted, "w")
+    hits = postings.join(F.broadcast(q) if few else q, "w").groupBy("query_id", "doc_id").agg((F.count_distinct("w") / F.max("n")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
     return hits.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "doc_id", "score")
 
@@ -149,9 +183,9 @@ def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int, bits: int
     """
     planes = sign_bits(dim, bits, bands, seed)
     q = band_keys(queries, "query_id", "qv", planes, probes)
-    found = band_keys(docs, "vec_id", "embedding", planes, 0).join(F.broadcast(q), ["band", "code"]).select("query_id", "vec_id").distinct()
-    few = queries.select("query_id", unit(F.col("qv")).alias("qv"))
-    pairs = found.join(F.broadcast(few), "query_id").join(docs.select("vec_id", unit(doubles("embedding")).alias("v")), "vec_id")
+    found = sized_join(band_keys(docs, "vec_id", "embedding", planes, 0), stage(q, "probes"), ["band", "code"]).select("query_id", "vec_id").distinct()
+    few = stage(queries.select("query_id", unit(F.col("qv")).alias("qv")), "queries")
+    pairs = sized_join(found, few, ["query_id"], most=50_000).join(docs.select("vec_id", unit(doubles("embedding")).alias("v")), "vec_id")
     rated = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return rated.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: {name} stands for a table or another view.
+CHUNK_COLUMNS = "SELECT doc_id, concat(source, '_', doc_id, '_', idx) AS chunk_id, source AS topic, concat('http://', source, '.example.org/', doc_id) AS source_url, trim(p) AS text, length(trim(p)) AS length, doc_id * 100000 + idx AS seq"
+
+#: {name} stands for a table or another view. Chunks are whole paragraphs (lines of over 10 characters), however long.
 VIEWS = {
     "fx_messages": "SELECT conv_id, turn, role, text, concat('s', conv_id) AS session_id, 1704067200 + conv_id * 3600 + turn * 60 AS created_at FROM {conversations}",
     "fx_conversations": "SELECT conv_id AS id, concat('s', conv_id % 40) AS session_id, min(created_at) AS created_at, count(*) AS message_count FROM {fx_messages} GROUP BY conv_id",
@@ -20,14 +22,17 @@ VIEWS = {
     "fx_question_log": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('  Topic ', k % 20, ' ?') ELSE concat('topic  ', k % 20, ' ? ') END AS question, ts FROM {fx_events}",
     "fx_memory": "SELECT p_partkey, p_name AS key, p_type AS content, (p_size % 10) / 10.0 AS confidence, 1704067200 + p_partkey * 60 AS created_at FROM {part}",
     "fx_experiment_events": "SELECT event_id, user_id, event_type = 'purchase' AS converted, event_type = 'click' AS engaged, 1 + k % 5 AS rating, ts FROM {fx_events}",
-    "fx_nodes": "SELECT concat('topic_', source) AS id, 'topic' AS type, source AS name, CAST(NULL AS VARCHAR(9)) AS content, 1704067200 + 86400 * CAST(substring(source, 4) AS BIGINT) AS updated_at FROM {documents} GROUP BY source UNION ALL SELECT concat('topic_', lang), 'topic', lang, NULL, NULL FROM {documents} GROUP BY lang UNION ALL SELECT concat('chunk_', doc_id), CASE WHEN doc_id % 50 = 3 THEN NULL ELSE 'chunk' END, NULL, substring(text, 1, 60), NULL FROM {documents}",
+    "fx_nodes": "SELECT concat('topic_', source) AS id, 'topic' AS type, source AS name, CAST(NULL AS VARCHAR(9)) AS content, 1704067200 + 86400 * CAST(substring(source, 4) AS BIGINT) AS updated_at FROM {documents} GROUP BY source UNION ALL SELECT concat('topic_', lang), 'topic', lang, NULL, NULL FROM {documents} GROUP BY lang UNION ALL SELECT concat('chunk_', doc_id), CASE WHEN doc_id % 50 = 3 THEN NULL ELSE 'chunk' END, NULL, text, NULL FROM {documents}",
     "fx_edges": "SELECT concat('topic_', source) AS src, concat('chunk_', doc_id) AS dst, 'contains' AS relation, CASE WHEN doc_id % 40 = 1 THEN NULL ELSE round(0.3 + (doc_id % 9) / 10.0, 2) END AS weight FROM {documents} WHERE doc_id % 25 <> 7 UNION ALL SELECT concat('topic_', lang), concat('chunk_', doc_id), 'mentions', 0.5 FROM {documents} WHERE doc_id % 3 = 0 AND doc_id % 25 <> 7 UNION ALL SELECT concat('chunk_', doc_id), concat('chunk_', doc_id), 'self', 1.0 FROM {documents} WHERE doc_id % 100 = 7",
     "fx_task_log": "SELECT event_id, event_type AS type, event_type <> 'error' AS success, value AS processing_time, ts FROM {events}",
-    "fx_chunks": "SELECT doc_id, concat(source, '_', doc_id) AS chunk_id, source AS topic, concat('http://', source, '.example.org/', doc_id) AS source_url, substring(text, 1, 1500) AS text, length(substring(text, 1, 1500)) AS length, doc_id AS seq FROM {documents}",
+    "fx_chunks": CHUNK_COLUMNS + " FROM (SELECT doc_id, source, generate_subscripts(ps, 1) - 1 AS idx, unnest(ps) AS p FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ps FROM {documents})) WHERE length(trim(p)) > 10",
     "fx_raw_files": "SELECT doc_id, translate(CASE doc_id % 9 WHEN 0 THEN concat('[«\"question\": \"What is ', source, '?\", \"answer\": \"A source of ', lang, '\"», \"plain ', doc_id, '\", [1, 2], ', doc_id, ']') WHEN 1 THEN concat('«\"id\": ', doc_id, ', \"text\": \"', source, '\"»') WHEN 2 THEN concat('«\"q\": \"why ', doc_id, '\", \"a\": \"so it is\"»', chr(10), chr(10), 'no json at all here', chr(10), '«\"q\": \"how\", \"a\": \"thus ', source, '\"»', chr(10), doc_id, chr(10), '«\"q\": \"x\", \"a\": \"y\"»') WHEN 3 THEN concat('name,lang,id', chr(10), source, ', ', lang, ',', doc_id, chr(10), chr(10), 'x,y,z') WHEN 4 THEN concat('name;id', chr(10), source, '; ', doc_id) WHEN 5 THEN concat('Question: what is ', source, '?', chr(10), 'Answer: it is a source', chr(10), 'Question: which language?', chr(10), 'Answer: ', lang) WHEN 6 THEN '' ELSE text END, '«»', concat(chr(123), chr(125))) AS content FROM {documents}",
     "fx_search_results": "SELECT page_id, q AS query, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substring(html, 1, 200) AS snippet, CASE page_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'beta_api' WHEN 3 THEN 'alpha_html' ELSE 'fallback' END AS source, CASE page_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 WHEN 3 THEN 0.7 ELSE 0.6 END AS relevance FROM {pages} CROSS JOIN (SELECT 'the' AS q UNION ALL SELECT 'of the') AS qs WHERE page_id % 5 <> 4 OR q = 'the'",
 }
 
+#: The views that Spark's dialect says otherwise.
+SPARK_VIEWS = {"fx_chunks": CHUNK_COLUMNS + " FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (idx, p) FROM {documents}) WHERE length(trim(p)) > 10"}
+
 
 def _names(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql)))
@@ -37,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a view over given tables."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
+    sql = SPARK_VIEWS.get(name, VIEWS[name])
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in _names(sql)})
 
 

@@ -83,11 +83,16 @@ def _(s, d):
     return rounded(K.feedback_rewards(table(s, d, "fx_feedback")))
 
 
-@query("satisfaction_trend", """WITH d AS (SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, avg(rating) AS average, count(*) FILTER (rating >= 4) AS good FROM {fx_feedback} GROUP BY 1),
- h AS (SELECT *, row_number() OVER (ORDER BY day) > count(*) OVER () // 2 AS second FROM d)
- SELECT day, n, round(average, 6) AS average, round(good / n, 6) AS rate, CAST(sign((SELECT sum(good) / sum(n) FROM h WHERE second) - (SELECT sum(good) / sum(n) FROM h WHERE NOT second)) AS INTEGER) AS trend FROM h""")
+def trend_sql(unit: str, form: str) -> str:
+    return f"""(WITH d AS (SELECT strftime(created_at, '{form}') AS slot, count(*) AS n, avg(rating) AS average, count(*) FILTER (rating >= 4) AS good FROM {{fx_feedback}} GROUP BY 1),
+ h AS (SELECT *, row_number() OVER (ORDER BY slot) > count(*) OVER () // 2 AS second FROM d)
+ SELECT '{unit}' AS unit, slot, n, round(average, 6) AS average, round(good / n, 6) AS rate, CAST(sign((SELECT sum(good) / sum(n) FROM h WHERE second) - (SELECT sum(good) / sum(n) FROM h WHERE NOT second)) AS INTEGER) AS trend FROM h)"""
+
+
+@query("satisfaction_trend", f"SELECT * FROM {trend_sql('day', '%Y-%m-%d')} UNION ALL SELECT * FROM {trend_sql('hour', '%Y-%m-%d %H')}")
 def _(s, d):
-    return rounded(K.satisfaction_trend(table(s, d, "fx_feedback")))
+    f = table(s, d, "fx_feedback")
+    return rounded(K.satisfaction_trend(f).unionByName(K.satisfaction_trend(f, "hour")))
 
 
 HEX = lambda x: f"CAST(concat('0x', substring(md5({x}), 1, 8)) AS BIGINT)"
@@ -109,15 +114,16 @@ def _(s, d):
     return E.exposure_events(table(s, d, "events"), "template", AB)
 
 
-@query("experiment_results", f"""WITH p AS (SELECT {VARIANT('user_id', 'template')} AS variant, count(*) AS n, avg(CAST(converted AS INT)) AS conversion, avg(rating) AS satisfaction, avg(CAST(engaged AS INT)) AS engagement FROM {{fx_experiment_events}} GROUP BY 1),
+@query("experiment_results", f"""WITH p AS (SELECT {VARIANT('user_id', 'template')} AS variant, count(*) AS n, avg(CAST(converted AS INT)) AS conversion, avg(rating) AS satisfaction, avg(CAST(engaged AS INT)) AS engagement FROM {{fx_experiment_events}} WHERE ts > TIMESTAMP '2024-01-31' - INTERVAL 21 DAY AND ts <= TIMESTAMP '2024-01-31' GROUP BY 1),
  z AS (SELECT p.*, (p.conversion - a.conversion) / nullif(sqrt(((a.conversion * a.n + p.conversion * p.n) / (a.n + p.n)) * (1 - (a.conversion * a.n + p.conversion * p.n) / (a.n + p.n)) * (1 / a.n + 1 / p.n)), 0) AS z FROM p, (SELECT * FROM p WHERE variant = 'A') a)
  SELECT variant, n, round(conversion, 6) AS conversion, round(satisfaction, 6) AS satisfaction, round(engagement, 6) AS engagement, round(coalesce(z, 0), 6) AS z, abs(coalesce(z, 0)) > 1.96 AS significant, conversion = max(conversion) OVER () AS best FROM z""")
 def _(s, d):
-    return rounded(E.experiment_results(table(s, d, "fx_experiment_events"), "template", AB))
+    return rounded(E.experiment_results(E.last_days(table(s, d, "fx_experiment_events"), "ts", "2024-01-31", 21), "template", AB))
 
 
-def policy_log(s, d) -> DataFrame:
+def policy_log(s, d, days: int | None = None) -> DataFrame:
     f = table(s, d, "fx_feedback")
+    f = f if days is None else E.last_days(f, "created_at", "2024-01-31", days)
     st = F.element_at(F.array(*map(F.lit, L.STATES)), (F.col("conversation_id") % 5 + 1).cast("int"))
     ac = F.element_at(F.array(*map(F.lit, L.ACTIONS)), (F.col("id") % 4 + 1).cast("int"))
     return f.select(F.col("id").alias("event_id"), st.alias("state"), ac.alias("action"), K.reward(F.col("helpful"), F.col("rating")).alias("reward"), F.col("id").alias("seq"))
@@ -150,9 +156,12 @@ def _(s, d):
     return table(s, d, "fx_memory").groupBy(L.answer_band(F.col("confidence"), F.col("p_partkey") % 3 > 0).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("train_q_table", f"WITH {LOG}, {QT} SELECT state, action, n, round(q, 6) AS q FROM q")
+RECENT = LOG[:-1] + " WHERE created_at > TIMESTAMP '2024-01-31' - INTERVAL 21 DAY AND created_at <= TIMESTAMP '2024-01-31')"
+
+
+@query("train_q_table", f"WITH {RECENT}, {QT} SELECT state, action, n, round(q, 6) AS q FROM q")
 def _(s, d):
-    return rounded(L.q_table(policy_log(s, d)))
+    return rounded(L.q_table(policy_log(s, d, 21)))
 
 
 @query("policy_report", f"WITH {LOG}, {QT} SELECT state, action, round(avg(reward), 6) AS mean_reward, round(avg(CAST(reward > 0 AS INT)), 6) AS success_rate, any_value(q.n) AS n, round(any_value(q), 6) AS q, round(any_value(q.n) / sum(any_value(q.n)) OVER (PARTITION BY state), 6) AS share FROM log JOIN q USING (state, action) GROUP BY state, action")
@@ -222,10 +231,16 @@ def _(s, d):
     return P.value_histogram(table(s, d, "events"), "value")
 
 
-@query("alert_intervals", """WITH c AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slot, count(*) FILTER (error) AS errors FROM {fx_requests} GROUP BY 1), g AS (SELECT unnest(range((SELECT min(slot) FROM c), (SELECT max(slot) + 1 FROM c))) AS slot),
- f AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM g LEFT JOIN c USING (slot) WHERE coalesce(errors, 0) / 3600 > 0.001) SELECT min(slot) * 3600 AS begin, (max(slot) + 1) * 3600 AS "end", count(*) AS windows FROM f GROUP BY island HAVING count(*) >= 1""")
+def alert_sql(rule: str, step: int, fires: str) -> str:
+    return f"""(WITH c AS (SELECT CAST(floor(epoch(ts) / {step}) AS BIGINT) AS slot, count(*) AS n, count(*) FILTER (error) AS errors, max(seconds) AS gauge FROM {{fx_requests}} GROUP BY 1), g AS (SELECT unnest(range((SELECT min(slot) FROM c), (SELECT max(slot) + 1 FROM c))) AS slot),
+ f AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM g LEFT JOIN c USING (slot) WHERE {fires}) SELECT '{rule}' AS rule, min(slot) * {step} AS begin, (max(slot) + 1) * {step} AS "end", count(*) AS windows FROM f GROUP BY island)"""
+
+
+@query("alert_intervals", f"SELECT * FROM {alert_sql('errors', 3600, 'coalesce(errors, 0) / 3600 > 0.001')} UNION ALL SELECT * FROM {alert_sql('silent', 3600, 'n IS NULL')} UNION ALL SELECT * FROM {alert_sql('gauge', 300, 'gauge > 9.5')}")
 def _(s, d):
-    return P.alert_intervals(table(s, d, "fx_requests"))
+    r = table(s, d, "fx_requests")
+    rules = P.alert_intervals(r, "errors", 0.001), P.alert_intervals(r, "silent"), P.alert_intervals(r, "gauge", 9.5, 5)
+    return rules[0].unionByName(rules[1]).unionByName(rules[2])
 
 
 @query("topic_engagement", """WITH p AS (SELECT event_type AS topic, count(*) AS n, count(*) / count(DISTINCT user_id) AS engagement, avg(CAST(event_type = 'click' AS INT)) AS ctr FROM events GROUP BY 1 ORDER BY n DESC, topic LIMIT 3)
@@ -312,19 +327,20 @@ def _(s, d):
     return M.cache_replay(table(s, d, "fx_question_log"))
 
 
-@query("live_entries", "WITH x AS (SELECT key, max((created_at, content)) AS x FROM {fx_memory} GROUP BY key) SELECT key, x[2] AS content, 1704167200 - x[1] > 86400 AS expired FROM x")
+@query("live_entries", "WITH x AS (SELECT key, max((created_at, content, concat('t', p_partkey % 7))) AS x FROM {fx_memory} GROUP BY key) SELECT key, x[2] AS content, 1704167200 - x[1] > 86400 AS expired FROM x WHERE x[3] NOT IN ('t3', 't5')")
 def _(s, d):
-    return M.live_entries(table(s, d, "fx_memory"), 1704167200, 86_400)
+    m = table(s, d, "fx_memory").withColumn("tag", F.concat(F.lit("t"), F.col("p_partkey") % 7))
+    return M.live_entries(m, 1704167200, 86_400, s.createDataFrame([("t3",), ("t5",)], "tag string"))
 
 
-LOOK = "q AS (SELECT DISTINCT key AS query FROM {fx_memory} WHERE p_partkey % 400 = 1 UNION SELECT 'ed' UNION SELECT 'part 1')"
+LOOK = "q AS (SELECT DISTINCT key AS query FROM {fx_memory} WHERE p_partkey % 100 = 0 UNION SELECT 'ed' UNION SELECT 'part 1')"
 
 
-@query("memory_lookup", f"WITH {LOOK}, g AS (SELECT key, CAST(confidence AS DOUBLE) AS confidence FROM {{fx_memory}} WHERE confidence >= 0.3), e AS (SELECT query, key, confidence FROM q JOIN g ON query = key), p AS (SELECT query, key, confidence * 0.9 AS confidence FROM q JOIN g ON contains(lower(key), lower(query)) WHERE query NOT IN (SELECT query FROM e)), a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY key, confidence DESC) AS place FROM (SELECT * FROM e UNION ALL SELECT * FROM p)) SELECT query, place, key, round(confidence, 6) AS confidence FROM a WHERE place <= 3")
+@query("memory_lookup", f"WITH {LOOK}, g AS (SELECT key, CAST(confidence AS DOUBLE) AS confidence FROM {{fx_memory}} WHERE confidence >= 0.3), e AS (SELECT query, key, confidence FROM q JOIN g ON query = key), p AS (SELECT query, key, confidence * 0.9 AS confidence FROM q JOIN g ON contains(lower(key), lower(query)) WHERE query NOT IN (SELECT query FROM e)), a AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY key, confidence DESC) AS place FROM (SELECT * FROM e UNION ALL SELECT * FROM p)) SELECT query, place, key, round(confidence, 6) AS confidence, count(*) OVER (PARTITION BY key) AS accesses, round((SELECT count(DISTINCT query) FROM a) / (SELECT count(*) FROM q), 6) AS hit_rate FROM a WHERE place <= 3")
 def _(s, d):
     m = table(s, d, "fx_memory")
-    q = m.where("p_partkey % 400 = 1").select(F.col("key").alias("query")).unionByName(s.createDataFrame([("ed",), ("part 1",)], "query string"))
-    return rounded(M.memory_lookup(m, q))
+    q = m.where("p_partkey % 100 = 0").select(F.col("key").alias("query")).unionByName(s.createDataFrame([("ed",), ("part 1",)], "query string"))
+    return rounded(M.lookup_counts(M.memory_lookup(m, q), q))
 
 
 @query("memory_upsert", "WITH x AS (SELECT content AS key, max((created_at, key, confidence)) AS x FROM {fx_memory} GROUP BY content) SELECT key, x[2] AS content, round(CAST(x[3] AS DOUBLE), 6) AS confidence, CAST(0 AS BIGINT) AS access_count FROM x")

@@ -192,10 +192,10 @@ def _(s, d):
     return I.chunk_page_blocks(p)
 
 
-@query("chunk_quality_gate", f"WITH {PARA}, g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CASE WHEN length(text) >= 800 THEN 0.8 WHEN length(text) >= 500 THEN 0.6 WHEN length(text) >= 300 THEN 0.4 ELSE 0.2 END::DOUBLE AS quality_score FROM par WHERE part = 0), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS chunk_index FROM g WHERE quality_score >= 0.5) SELECT doc_id, idx, chunk_index, total_chunks, quality_score FROM k WHERE chunk_index <= 50")
+@query("chunk_quality_gate", f"WITH {PARA}, g AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS total_chunks, CASE WHEN length(text) >= 800 THEN 0.8 WHEN length(text) >= 500 THEN 0.6 WHEN length(text) >= 300 THEN 0.4 ELSE 0.2 END::DOUBLE AS quality_score FROM par), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx, part) AS chunk_index FROM g WHERE quality_score >= 0.5) SELECT doc_id, idx, part, chunk_index, total_chunks, quality_score FROM k WHERE chunk_index <= 50")
 def _(s, d):
-    c = I.chunk_paragraphs(CONTENT(s, d)).where("part = 0")
-    return I.chunk_quality_gate(c).select("doc_id", "idx", "chunk_index", "total_chunks", "quality_score")
+    c = I.chunk_paragraphs(CONTENT(s, d))
+    return I.chunk_quality_gate(c).select("doc_id", "idx", "part", "chunk_index", "total_chunks", "quality_score")
 
 
 @query("dedup_chunks_prefix", "SELECT doc_id, topic FROM (SELECT *, row_number() OVER (PARTITION BY substring(text, 1, 200) ORDER BY seq) AS rn FROM {fx_chunks}) WHERE rn = 1")
@@ -244,12 +244,15 @@ def _(s, d):
     return S.parse_metric_text(s.sql(METRICS.replace("FROM events", "FROM {events}"), events=table(s, d, "events")))
 
 
-@query("upsert_chunks", "WITH a AS (SELECT doc_id AS id, concat('new ', lang) AS text FROM documents WHERE doc_id % 4 = 0 AND doc_id % 10 <> 0) SELECT doc_id AS id, source AS text FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 10 <> 0 UNION ALL SELECT id, text FROM a")
+@query("upsert_chunks", "WITH a AS (SELECT doc_id AS id, CASE WHEN doc_id % 8 = 0 THEN source ELSE concat('new ', lang) END AS text, lang, concat('v', doc_id % 3) AS kind, 'update' AS origin FROM documents WHERE doc_id % 4 = 0 AND doc_id % 10 <> 0) SELECT doc_id AS id, source AS text, lang, 'doc' AS kind, NULL AS origin FROM documents WHERE doc_id % 4 <> 0 AND doc_id % 10 <> 0 UNION ALL SELECT * FROM a")
 def _(s, d):
-    t = DOCS(s, d)
-    new = t.where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("new "), "lang").alias("text"), F.lit(2).alias("seq"))
+    t, i = DOCS(s, d), F.col("doc_id")
+    meta = F.create_map(F.lit("kind"), F.concat(F.lit("v"), i % 3), F.lit("origin"), F.lit("update"))
+    new = t.where("doc_id % 4 = 0").select(i.alias("id"), F.when(i % 8 != 0, F.concat(F.lit("new "), "lang")).alias("text"), meta.alias("metadata"), F.lit(2).alias("seq"))
     old = new.withColumn("text", F.lit("older")).withColumn("seq", F.lit(1))
-    return S.upsert_chunks(t.select(F.col("doc_id").alias("id"), F.col("source").alias("text")), new.unionByName(old), t.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id")))
+    current = t.select(i.alias("id"), F.col("source").alias("text"), F.create_map(F.lit("lang"), F.col("lang"), F.lit("kind"), F.lit("doc")).alias("metadata"))
+    out = S.upsert_chunks(current, new.unionByName(old), t.where("doc_id % 10 = 0").select(i.alias("id")))
+    return out.select("id", "text", *(F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("lang", "kind", "origin")))
 
 
 @query("recent_logs", "SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, 'ERROR' AS level, event_type AS logger, concat('m', event_id) AS message FROM events WHERE event_type = 'error' ORDER BY 1 DESC, 4 LIMIT 100")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import stage
 from loamwork.operators import graph as G
-from loamwork.operators.components import connected_components
+from loamwork.operators.components import component_sizes, connected_components
+from loamwork.operators.vectors import cosine_links
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import rounded
 
@@ -58,10 +60,10 @@ def _(s, d):
     return edges.crossJoin(new.agg(F.count(F.lit(1)).alias("n_new")))
 
 
-@query("merge_topic_points", "WITH p AS (SELECT source AS topic, (['point', 'insight', 'update'])[doc_id % 3 + 1] AS kind, substring(text, 1, 40) AS text, doc_id AS seq FROM documents), t AS (SELECT concat('topic_', topic) AS id, 'topic' AS type, count(*) FILTER (kind = 'update') AS update_count, max(seq) AS updated_at FROM p GROUP BY topic), q AS (SELECT concat_ws('_', kind, md5(concat_ws('|', topic, text))) AS id, kind AS type, CAST(0 AS BIGINT) AS update_count, max(seq) AS updated_at FROM p GROUP BY 1, 2) SELECT * FROM t UNION ALL SELECT * FROM q")
+@query("merge_topic_points", "WITH p AS (SELECT source AS topic, (['point', 'insight', 'update'])[doc_id % 3 + 1] AS kind, text, doc_id AS seq FROM documents), t AS (SELECT concat('topic_', topic) AS id, 'topic' AS type, count(*) FILTER (kind = 'update') AS update_count, max(seq) AS updated_at FROM p GROUP BY topic), q AS (SELECT concat_ws('_', kind, md5(concat_ws('|', topic, text))) AS id, kind AS type, CAST(0 AS BIGINT) AS update_count, max(seq) AS updated_at FROM p GROUP BY 1, 2) SELECT * FROM t UNION ALL SELECT * FROM q")
 def _(s, d):
     i = F.col("doc_id")
-    p = table(s, d, "documents").select(F.col("source").alias("topic"), F.element_at(F.array(F.lit("point"), F.lit("insight"), F.lit("update")), (i % 3 + 1).cast("int")).alias("kind"), F.substring("text", 1, 40).alias("text"), i.alias("seq"))
+    p = table(s, d, "documents").select(F.col("source").alias("topic"), F.element_at(F.array(F.lit("point"), F.lit("insight"), F.lit("update")), (i % 3 + 1).cast("int")).alias("kind"), "text", i.alias("seq"))
     return G.merge_points(p)[0]
 
 
@@ -128,20 +130,25 @@ def _(s, d):
     return rounded(G.degree_centrality(N(s, d), E(s, d)), 9)
 
 
-@query("connected_components", "WITH RECURSIVE e AS (SELECT c_custkey % 400 AS a, (c_custkey % 400) * 2 % 397 AS b FROM customer WHERE c_custkey % 400 % 5 < 3), u AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)), r AS (SELECT a AS node, a AS component FROM u UNION SELECT u.b, r.component FROM r JOIN u ON u.a = r.node) SELECT node, min(component) AS component FROM r GROUP BY node")
-def _(s, d):
-    k = F.col("c_custkey") % 400
-    return connected_components(table(s, d, "customer").where(k % 5 < 3).select(k.alias("a"), (k * 2 % 397).alias("b")))
+SIM = "u AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS n FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.n, b.n) > 0.3), f AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l)"
+
+
+def similar(s, d):
+    """All pairs of embeddings with a cosine over 0.3."""
+    return stage(cosine_links(table(s, d, "embeddings"), 0.3, strict=True).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "similar")
 
 
-TRI = "e AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM (SELECT concat('n', o_custkey % 90) AS a, concat('n', o_orderkey % 97) AS b FROM orders WHERE o_orderkey % 11 = 0) WHERE a <> b), f AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e), dg AS (SELECT u AS id, count(*) AS d FROM f GROUP BY u)"
+@query("connected_components", f"WITH RECURSIVE {SIM}, r AS (SELECT vec_id AS node, vec_id AS component FROM u UNION SELECT f.b, r.component FROM r JOIN f ON f.a = r.node), c AS (SELECT node, min(component) AS component FROM r GROUP BY node), z AS (SELECT component, count(*) AS size FROM c GROUP BY 1), t AS (SELECT *, row_number() OVER (ORDER BY size DESC, component) AS place FROM z) SELECT node, component, size, CASE WHEN place <= 5 THEN place END AS place, (SELECT count(*) FROM z) AS n_components FROM c JOIN t USING (component)")
+def _(s, d):
+    alone = table(s, d, "embeddings").select(F.col("vec_id").cast("long").alias("a"), F.col("vec_id").cast("long").alias("b"))
+    return component_sizes(stage(connected_components(similar(s, d).unionByName(alone)), "components"), 5)
 
 
-@query("clustering_coefficient", f"WITH {TRI}, t AS (SELECT x.u AS id, count(*) AS t FROM f x JOIN f y ON x.v = y.u JOIN f z ON y.v = z.u AND z.v = x.u GROUP BY 1) SELECT id, round(CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 9) AS coefficient FROM dg LEFT JOIN t USING (id)")
+@query("clustering_coefficient", f"WITH {SIM}, dg AS (SELECT a AS id, count(*) AS d FROM f GROUP BY a), t AS (SELECT x.a AS id, count(*) AS t FROM f x JOIN f y ON x.b = y.a JOIN f z ON y.b = z.a AND z.b = x.a GROUP BY 1), c AS (SELECT vec_id AS id, CASE WHEN d >= 2 THEN coalesce(t, 0) / (d * (d - 1)) ELSE 0 END AS coefficient FROM u LEFT JOIN dg ON dg.id = vec_id LEFT JOIN t ON t.id = vec_id) SELECT id, round(coefficient, 9) AS coefficient, round(avg(coefficient) OVER (), 9) AS average FROM c")
 def _(s, d):
-    e = table(s, d, "orders").where("o_orderkey % 11 = 0").select(F.concat(F.lit("n"), F.col("o_custkey") % 90).alias("src"), F.concat(F.lit("n"), F.col("o_orderkey") % 97).alias("dst"))
-    nodes = G.degrees(e.where("src <> dst")).select("id")
-    return rounded(G.clustering_coefficient(nodes, e), 9)
+    e = similar(s, d).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    c = stage(G.clustering_coefficient(table(s, d, "embeddings").select(F.col("vec_id").alias("id")), e), "coefficients")
+    return rounded(c.crossJoin(F.broadcast(c.agg(F.avg("coefficient").alias("average")))), 9)  # one row
 
 
 @query("optimize_graph", "WITH k AS (SELECT src AS id FROM {fx_edges} UNION SELECT dst FROM {fx_edges}) SELECT (SELECT count(*) FROM {fx_nodes}) - (SELECT count(*) FROM {fx_nodes} WHERE id IN (SELECT id FROM k)) AS isolated, (SELECT count(*) FROM {fx_edges} WHERE src = dst) AS loops")
@@ -210,6 +217,10 @@ def _(s, d):
     return G.list_snapshots(snapshots(s, d))
 
 
-@query("graph_export", """SELECT 'node' AS kind, CAST(json_object('id', id, 'type', coalesce(type, 'unknown')) AS VARCHAR) AS json FROM {fx_nodes} UNION ALL SELECT 'edge', CAST(json_object('source', src, 'target', dst, 'relation', relation) AS VARCHAR) FROM {fx_edges}""")
+NODE_JSON = "json_object('id', id, 'type', coalesce(type, 'unknown'), 'attributes', json_object('name', name, 'content', content, 'updated_at', updated_at))"
+EDGE_JSON = "json_object('source', src, 'target', dst, 'relation', coalesce(relation, 'unknown'), 'attributes', json_object('weight', CAST(weight AS DOUBLE)))"
+
+
+@query("graph_export", f"WITH n AS (SELECT count(*) AS nodes FROM {{fx_nodes}}), e AS (SELECT count(*) AS edges FROM {{fx_edges}}) SELECT 'node' AS kind, CAST({NODE_JSON} AS VARCHAR) AS json FROM {{fx_nodes}} UNION ALL SELECT 'edge', CAST({EDGE_JSON} AS VARCHAR) FROM {{fx_edges}} UNION ALL SELECT 'stats', CAST(json_object('nodes', nodes, 'edges', edges, 'density', printf('%.9f', 2.0 * edges / (nodes * (nodes - 1.0)))) AS VARCHAR) FROM n, e")
 def _(s, d):
-    return G.graph_export(N(s, d), E(s, d))
+    return G.graph_export(N(s, d), E(s, d).withColumn("weight", F.col("weight").cast("double")))

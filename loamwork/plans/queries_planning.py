@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions.storage import new_path
+from loamwork.operators import cleaning as T
 from loamwork.operators import graph as G
+from loamwork.operators import ingest as I
 from loamwork.operators import planning as W
 from loamwork.operators import questions as N
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import LOG, QT, policy_log, rounded
+from loamwork.plans.queries_corpus import CLEAN, JUNK
 from loamwork.plans.queries_rules import SENT, WORDS, has
 from loamwork.streaming import jobs as X
 
@@ -31,11 +34,11 @@ TEMPLATE_ROWS = ", ".join(f"('{k}', '{t}')" for k in N.DEPTHS[2] for t in N.TEMP
 MD5T = "md5(concat_ws(':', 'q', topic, replace(replace(template, '[t]', chr(123) || 'topic' || chr(125)), '[r]', chr(123) || 'related' || chr(125))))"
 
 
-@query("research_questions", f"WITH t(kind, template) AS (VALUES {TEMPLATE_ROWS}), p AS (SELECT DISTINCT name AS topic FROM {{fx_nodes}} WHERE type = 'topic'), c AS (SELECT topic, kind, template, row_number() OVER (PARTITION BY topic, kind ORDER BY {MD5T}) AS r FROM p, t), rel AS (SELECT DISTINCT source AS topic, lang AS related FROM documents), o AS (SELECT c.topic, kind, r, replace(replace(template, '[t]', c.topic), '[r]', coalesce(related, 'similar concepts')) AS question FROM c LEFT JOIN rel ON rel.topic = c.topic WHERE r <= 2), f AS (SELECT topic, question, min((kind, r)) AS at_ FROM o WHERE length(question) BETWEEN 10 AND 200 AND NOT contains(lower(question), 'better') GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY at_, question) AS place FROM f) SELECT topic, place, question FROM z WHERE place <= 6")
+@query("research_questions", f"WITH t(kind, template) AS (VALUES {TEMPLATE_ROWS}), p AS (SELECT DISTINCT name AS topic FROM {{fx_nodes}} WHERE type = 'topic'), c AS (SELECT topic, kind, template, row_number() OVER (PARTITION BY topic, kind ORDER BY {MD5T}) AS r FROM p, t), rel AS (SELECT DISTINCT source AS topic, lang AS related FROM documents), o AS (SELECT c.topic, kind, r, replace(replace(template, '[t]', c.topic), '[r]', coalesce(related, 'similar concepts')) AS question FROM c LEFT JOIN rel ON rel.topic = c.topic WHERE r <= 2), ov AS (SELECT topic, kind, r, 0 AS v, question FROM o UNION ALL SELECT topic, kind, r, i, concat(x, topic) FROM o, (VALUES (1, 'Расскажи о '), (2, 'Информация о '), (3, 'Подробнее о ')) AS z(i, x) WHERE contains(question, 'What is')), f AS (SELECT topic, question, min((kind, r, v)) AS at_ FROM ov WHERE length(question) BETWEEN 10 AND 200 AND NOT contains(lower(question), 'better') GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY at_, question) AS place FROM f) SELECT topic, place, question FROM z WHERE place <= 6")
 def _(s, d):
     topics = table(s, d, "fx_nodes").where("type = 'topic'").select(F.col("name").alias("topic"))
     rel = table(s, d, "documents").select(F.col("source").alias("topic"), F.col("lang").alias("related")).distinct()
-    return N.research_questions(topics, rel, 2, 6, stop=("better",))
+    return N.research_questions(topics, rel, 2, 6, stop=("better",), varied=("What is",))
 
 
 @query("clean_topics", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(trim(concat(CASE turn % 3 WHEN 0 THEN 'What is ' WHEN 1 THEN 'why ' ELSE '' END, question)), '\\?+$', ''), '^(что такое |кто такой |кто такая |как |почему |зачем |what is |who is |how to |why )', '', 'i')) AS topic FROM {fx_questions}")
@@ -48,9 +51,9 @@ def _(s, d):
 STRIP = "regexp_replace(raw, '^[.,!?;:()\\[\\]{}«»\"]+|[.,!?;:()\\[\\]{}«»\"]+$', '', 'g')"
 
 
-@query("deepening_questions", f"WITH r AS (SELECT source AS topic, doc_id AS seq, substring(text, 1, 60) AS text FROM documents WHERE doc_id % 20 < 9), w AS (SELECT topic, seq, generate_subscripts({WORDS('text')}, 1) AS pos, unnest({WORDS('text')}) AS raw FROM r), c AS (SELECT *, {STRIP} AS c FROM w), g AS (SELECT topic, 0 AS k, seq, pos, c AS term FROM c WHERE length(c) >= 5 AND (substring(c, 1, 1) <> lower(substring(c, 1, 1)) OR length(c) >= 7) AND regexp_full_match(c, '\\p{{L}}+')), n AS (SELECT topic, count(*) AS n FROM g GROUP BY 1), m AS (SELECT w.topic, 1 AS k, seq, pos, raw AS term FROM w LEFT JOIN n USING (topic) WHERE coalesce(n, 0) < 3 AND length(raw) > 5 AND regexp_full_match(raw, '\\p{{L}}+')), f AS (SELECT topic, term, min((k, seq, pos)) AS at_ FROM (SELECT * FROM g UNION ALL SELECT * FROM m) GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY at_) AS place FROM f) SELECT topic, place, concat('Как работает ', term, '?') AS question FROM z WHERE place <= 5")
+@query("deepening_questions", f"WITH r AS (SELECT source AS topic, doc_id AS seq, text FROM documents), w AS (SELECT topic, seq, generate_subscripts({WORDS('text')}, 1) AS pos, unnest({WORDS('text')}) AS raw FROM r), c AS (SELECT *, {STRIP} AS c FROM w), g AS (SELECT topic, 0 AS k, seq, pos, c AS term FROM c WHERE length(c) >= 5 AND (substring(c, 1, 1) <> lower(substring(c, 1, 1)) OR length(c) >= 7) AND regexp_full_match(c, '\\p{{L}}+')), n AS (SELECT topic, count(*) AS n FROM g GROUP BY 1), m AS (SELECT w.topic, 1 AS k, seq, pos, raw AS term FROM w LEFT JOIN n USING (topic) WHERE coalesce(n, 0) < 3 AND length(raw) > 5 AND regexp_full_match(raw, '\\p{{L}}+')), f AS (SELECT topic, term, min((k, seq, pos)) AS at_ FROM (SELECT * FROM g UNION ALL SELECT * FROM m) GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY at_) AS place FROM f) SELECT topic, place, concat('Как работает ', term, '?') AS question FROM z WHERE place <= 5")
 def _(s, d):
-    r = table(s, d, "documents").where("doc_id % 20 < 9").select(F.col("source").alias("topic"), F.col("doc_id").alias("seq"), F.substring("text", 1, 60).alias("text"))
+    r = table(s, d, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("seq"), "text")
     return N.deepening_questions(r, 1)
 
 
@@ -74,9 +77,9 @@ def asked(s, d) -> DataFrame:
     return table(s, d, "fx_questions").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "question")
 
 
-@query("question_topics", f"WITH {QT_SQL} SELECT topic, count(*) AS n FROM qt WHERE topic IS NOT NULL GROUP BY 1 ORDER BY n DESC, topic LIMIT 10")
+@query("question_topics", f"WITH {QT_SQL}, ty AS (SELECT conv_id * 100 + turn AS id, CASE WHEN {has('lower(question)', ('tion',))} THEN 'how_to' WHEN {has('lower(question)', ('that', 'with'))} THEN 'comparison' WHEN contains(question, '?') THEN 'factual' ELSE 'general' END AS type FROM {{fx_questions}}) SELECT topic, count(*) AS n, count(*) FILTER (type = 'how_to') AS how_to, count(*) FILTER (type = 'comparison') AS comparison, count(*) FILTER (type = 'factual') AS factual, count(*) FILTER (type = 'general') AS general FROM qt JOIN ty USING (id) WHERE topic IS NOT NULL GROUP BY 1 ORDER BY n DESC, topic LIMIT 10")
 def _(s, d):
-    return N.question_topics(asked(s, d), KEYS)
+    return N.question_topics(asked(s, d), KEYS, 10, ("tion",), ("that", "with"))
 
 
 @query("followups", f"WITH {QT_SQL}, rel AS (SELECT topic, max(topic2) AS related FROM (SELECT a.topic, b.topic AS topic2 FROM (SELECT DISTINCT topic FROM qt) a JOIN (SELECT DISTINCT topic FROM qt) b ON substring(a.topic, 1, 3) = substring(b.topic, 1, 3) AND a.topic <> b.topic) GROUP BY 1), a AS (SELECT id, 0 AS k, topic AS o, concat('Tell more about ', topic) AS question FROM qt WHERE topic IS NOT NULL UNION ALL SELECT id, 1, related, concat('What is ', related, '?') FROM qt JOIN rel USING (topic) UNION ALL SELECT id, 2, '000', 'What else?' FROM qt UNION ALL SELECT id, 2, '001', 'Any examples?' FROM qt UNION ALL SELECT id, 2, '002', 'Why so?' FROM qt), f AS (SELECT id, question, min((k, o)) AS at_ FROM a GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_, question) AS place FROM f) SELECT id, place, question FROM z WHERE place <= 3")
@@ -118,16 +121,16 @@ def _(s, d):
     return rounded(W.cycle_stats(table(s, d, "fx_task_log")))
 
 
-@query("adaptive_priorities", "WITH x AS (SELECT event_type AS type, pow(1.1, count(*) FILTER (k % 3 > 0)) * pow(0.9, count(*) FILTER (k % 3 = 0)) AS p FROM {fx_events} WHERE event_id % 50 = 0 GROUP BY 1) SELECT type, round(p / sum(p) OVER (), 6) AS priority FROM x")
+@query("adaptive_priorities", "WITH x AS (SELECT event_type AS type, count(*) FILTER (k % 3 > 0) * ln(1.1) + count(*) FILTER (k % 3 = 0) * ln(0.9) AS x FROM {fx_events} GROUP BY 1), y AS (SELECT type, exp(x - max(x) OVER ()) AS p FROM x) SELECT type, round(p / sum(p) OVER (), 6) AS priority FROM y")
 def _(s, d):
-    t = table(s, d, "fx_events").where("event_id % 50 = 0").select(F.col("event_type").alias("type"), (F.col("k") % 3 > 0).alias("success"))
+    t = table(s, d, "fx_events").select(F.col("event_type").alias("type"), (F.col("k") % 3 > 0).alias("success"))
     return rounded(W.adaptive_priorities(t))
 
 
-@query("store_topic_knowledge", f"WITH f AS (SELECT source AS topic, doc_id AS place, substring(text, 1, 90) AS sentence FROM documents), c AS (SELECT DISTINCT source AS topic, (CAST(substring(source, 4) AS INT) % 10) / 10 AS confidence FROM documents), j AS (SELECT * FROM f JOIN c USING (topic)), o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS r FROM j), s AS (SELECT topic, confidence, substring(string_agg(sentence, ' ' ORDER BY place), 1, 300) AS text FROM o WHERE r <= 3 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS q FROM j WHERE length(sentence) > 50) SELECT 'memory' AS kind, topic, text FROM s WHERE confidence >= 0.5 UNION ALL SELECT 'graph', topic, text FROM s WHERE confidence >= 0.6 UNION ALL SELECT 'document', topic, sentence FROM k WHERE q <= 5")
+@query("store_topic_knowledge", f"WITH f AS (SELECT source AS topic, doc_id AS place, text AS sentence FROM documents), c AS (SELECT DISTINCT source AS topic, (CAST(substring(source, 4) AS INT) % 10) / 10 AS confidence FROM documents), j AS (SELECT * FROM f JOIN c USING (topic)), o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS r FROM j), s AS (SELECT topic, confidence, substring(string_agg(sentence, ' ' ORDER BY place), 1, 300) AS text FROM o WHERE r <= 3 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY place) AS q FROM j WHERE length(sentence) > 50) SELECT 'memory' AS kind, topic, text FROM s WHERE confidence >= 0.5 UNION ALL SELECT 'graph', topic, text FROM s WHERE confidence >= 0.6 UNION ALL SELECT 'document', topic, sentence FROM k WHERE q <= 5")
 def _(s, d):
     t = table(s, d, "documents")
-    f = t.select(F.col("source").alias("topic"), F.col("doc_id").alias("place"), F.substring("text", 1, 90).alias("sentence"))
+    f = t.select(F.col("source").alias("topic"), F.col("doc_id").alias("place"), F.col("text").alias("sentence"))
     c = t.select(F.col("source").alias("topic"), ((F.substring("source", 4, 9).cast("int") % 10) / 10).alias("confidence")).distinct()
     return W.store_topic_knowledge(f, c)
 
@@ -138,14 +141,19 @@ def _(s, d):
     return W.link_topics(W.mentions(table(s, d, "documents"), topics, F.regexp_replace("text", r"[^\x00-\x7f]", " ")), 2)
 
 
-def as_stream(df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """df as a stream of files in order of a column, one file a batch. Files are read in the order they were written."""
+def as_stream(df: DataFrame, order: str, batches: int = 4, per_batch: int = 4) -> DataFrame:
+    """df as a stream in order of a column (null first): `batches` slices of it, each written by several tasks.
+
+    Files are read in the order they were written, `per_batch` at a time; every slice is as many files.
+    """
     s, path = df.sparkSession, new_path(df.sparkSession, "stream")
     at = F.col(order).cast("double") if dict(df.dtypes)[order] != "timestamp" else F.unix_micros(order).cast("double")
-    cuts = df.select(at.alias("x")).approxQuantile("x", [i / files for i in range(1, files)], 0.001)
-    for a, b in zip([float("-inf"), *cuts], [*cuts, float("inf")], strict=True):
-        df.where((at > a) & (at <= b)).coalesce(1).write.mode("append").parquet(path)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = df.withColumn("_at", F.coalesce(at, F.lit(float("-inf"))))
+    cuts = rows.where("_at > double('-inf')").approxQuantile("_at", [i / batches for i in range(1, batches)], 0.001) or [0.0]
+    for a, b in zip([None, *cuts], [*cuts, float("inf")], strict=True):
+        mine = rows.where((F.lit(True) if a is None else F.col("_at") > a) & (F.col("_at") <= b)).drop("_at")
+        mine.repartition(per_batch, F.xxhash64(*(c for c in df.columns if dict(df.dtypes)[c] != "map"))).write.mode("append").parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def streamed(s: SparkSession, d: str) -> DataFrame:
@@ -172,24 +180,33 @@ FINAL = "(SELECT max(ts) FROM events)"
 WINDOWS = f"SELECT * FROM (SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) / 300.0, 6) AS per_second, round(avg(value), 6) AS mean_value FROM events GROUP BY 1) WHERE start + 300 <= epoch({FINAL}) - 600"
 
 
-@query("stream_metric_windows", WINDOWS)
+def windows_sql(kind: str, by: str, width: int, start: str, source: str = "events") -> str:
+    return f"SELECT '{kind}' AS kind, * FROM (SELECT {start} AS start, {by} AS type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) / {width}.0, 6) AS per_second, round(avg(value), 6) AS mean_value FROM {source} GROUP BY 1, 2) WHERE start + {width} <= epoch({FINAL}) - 600"
+
+
+FIVE = "CAST(floor(epoch(ts) / 300) AS BIGINT) * 300"
+
+
+@query("stream_metric_windows", " UNION ALL ".join((windows_sql("tumbling", "'all'", 300, FIVE), windows_sql("by_type", "event_type", 300, FIVE), windows_sql("sliding", "'all'", 600, f"{FIVE} - 300 * back", "events, (VALUES (0), (1)) AS z(back)"))))
 def _(s, d):
-    return rounded(drained(s, X.metric_windows(streamed(s, d)), "append"))
+    run = lambda kind, **how: drained(s, X.metric_windows(streamed(s, d), **how), "append").select(F.lit(kind).alias("kind"), "*")
+    return rounded(run("tumbling").unionByName(run("by_type", by_type=True)).unionByName(run("sliding", minutes=10, slide=5)))
+
+
+STREAM_CLEAN = CLEAN("text")
 
 
-@query("stream_ingest", "SELECT event_type AS id, arg_max(concat(event_id, ' ', props), event_id) AS text FROM events GROUP BY 1")
+@query("stream_ingest", f"WITH c AS (SELECT doc_id, {STREAM_CLEAN} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 900)) AS off FROM c WHERE length(t) > 0), k AS (SELECT concat(doc_id % 700, '_', off) AS id, doc_id, substring(t, CAST(off AS INT) + 1, 1000) AS text FROM w) SELECT id, arg_max(text, doc_id) AS text FROM k GROUP BY id")
 def _(s, d):
     target = new_path(s, "stream-table")
 
     def chunker(batch):
-        return batch.select(F.col("event_type").alias("id"), F.concat_ws(" ", "event_id", "props").alias("text"), F.col("event_id").alias("seq"))
+        clean = T.clean_corpus(batch, JUNK).select("doc_id", F.col("clean_text").alias("content"))
+        return I.chunk_fixed(clean).select(F.concat_ws("_", F.col("doc_id") % 700, "offset").alias("id"), "text", F.col("doc_id").alias("seq"))
 
-    e = table(s, d, "events").select("event_id", "event_type", "props")
-    stream = as_stream(e, "event_id")
-    seen: list[int] = []
-    run = X.ingest_batch(target, chunker)
-    drained(s, stream, "append", lambda df, i: (run(df, i), seen.append(i)))
-    return s.read.parquet(f"{target}/v{max(seen)}").select("id", "text")
+    stream = as_stream(table(s, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    drained(s, stream, "append", X.ingest_batch(target, chunker))
+    return X.stored(s, target).select("id", "text")
 
 
 @query("stream_dedup")
@@ -211,11 +228,14 @@ def _(s, d):
     return rounded(last.select("state", "action", "x.n", "x.q"))
 
 
-@query("stream_feedback_stats", "SELECT rating, count(*) AS n, count(*) FILTER (helpful) AS helpful FROM {fx_feedback} GROUP BY rating")
+@query("stream_feedback_stats", f"SELECT 'rating' AS kind, CAST(rating AS BIGINT) AS slot, count(*) AS n, count(*) FILTER (helpful) AS helpful, round(avg(rating), 6) AS average FROM {{fx_feedback}} GROUP BY rating UNION ALL SELECT 'day', * FROM (SELECT CAST(floor(epoch(created_at) / 86400) AS BIGINT) * 86400 AS slot, count(*), count(*) FILTER (helpful), round(avg(rating), 6) FROM {{fx_feedback}} GROUP BY 1) WHERE slot + 86400 <= epoch({FINAL}) - 3600")
 def _(s, d):
-    f = table(s, d, "fx_feedback").select("id", "rating", "helpful")
+    f = table(s, d, "fx_feedback").select("id", "rating", "helpful", F.col("created_at").cast("timestamp").alias("created_at"))
     out = drained(s, X.feedback_totals(as_stream(f, "id")), "complete")
-    return out.groupBy("rating").agg(F.max(F.struct("batch", "n", "helpful")).alias("x")).select("rating", "x.n", "x.helpful")
+    last = out.groupBy("rating").agg(F.max(F.struct("batch", "n", "helpful")).alias("x"))
+    totals = last.select(F.lit("rating").alias("kind"), F.col("rating").cast("long").alias("slot"), "x.n", "x.helpful", F.col("rating").cast("double").alias("average"))
+    days = drained(s, X.feedback_windows(as_stream(f, "created_at")), "append")
+    return rounded(totals.unionByName(days.select(F.lit("day").alias("kind"), F.col("start").alias("slot"), "n", "helpful", "average")))
 
 
 @query("stream_rate_alerts", f"SELECT start, n, errors FROM ({WINDOWS}) WHERE errors > 0.004 * 300")

@@ -107,7 +107,7 @@ def _(s, d):
     return judged(s, d).where("approved").select("doc_id", "quality", "relevance")
 
 
-FS = f"fs AS (SELECT doc_id, topic, source_url, generate_subscripts({SENT('text')}, 1) - 1 AS pos, unnest({SENT('text')}) AS sentence FROM {{fx_chunks}})"
+FS = f"fs AS (SELECT seq AS doc_id, topic, source_url, generate_subscripts({SENT('text')}, 1) - 1 AS pos, unnest({SENT('text')}) AS sentence FROM {{fx_chunks}})"
 W2 = WORDS("sentence")
 inlist = lambda x, v: f"{x} IN (" + ", ".join(f"'{i}'" for i in v) + ")"
 FC = f"""{FS}, fw AS (SELECT *, {W2} AS w FROM fs), fr AS (SELECT *, CASE WHEN NOT length(sentence) BETWEEN 40 AND 600 THEN 'length' WHEN contains(lower(sentence), 'idiot') THEN 'junk' WHEN {has('lower(sentence)', ADS)} THEN 'ad' WHEN regexp_matches(sentence, 'https?://|www\\.') THEN 'url'
@@ -116,9 +116,14 @@ FC = f"""{FS}, fw AS (SELECT *, {W2} AS w FROM fs), fr AS (SELECT *, CASE WHEN N
 RULES = {"junk": ("idiot",), "ads": ADS, "stop": STOP, "asks": ASK}
 
 
+def parts(s, d):
+    """Chunks by their own number: in facts, doc_id is a chunk's."""
+    return table(s, d, "fx_chunks").withColumn("doc_id", F.col("seq"))
+
+
 @query("fact_candidates", f"WITH {FC} SELECT topic, coalesce(why, 'kept') AS why, count(*) AS n FROM fr GROUP BY 1, 2")
 def _(s, d):
-    f = A.fact_sentences(table(s, d, "fx_chunks")).withColumn("why", F.coalesce(A.drop_reason(F.col("sentence"), **RULES), F.lit("kept")))
+    f = A.fact_sentences(parts(s, d)).withColumn("why", F.coalesce(A.drop_reason(F.col("sentence"), **RULES), F.lit("kept")))
     return f.groupBy("topic", "why").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -128,7 +133,7 @@ HOSTS = {"priority": ("src1.example.org", "src2.example.org"), "low_trust": ("sr
 
 
 def scored(s, d):
-    return A.score_facts(A.fact_candidates(table(s, d, "fx_chunks"), **RULES), ["tion", "with"], F.lit(0.5), **HOSTS)
+    return A.score_facts(A.fact_candidates(parts(s, d), **RULES), ["tion", "with"], F.lit(0.5), **HOSTS)
 
 
 @query("score_facts", f"WITH {FC}, {SC} SELECT doc_id, pos, round(CAST(total_score AS DOUBLE), 6) AS total_score FROM sc")
@@ -138,7 +143,7 @@ def _(s, d):
 
 @query("dedup_facts_prefix", f"WITH {FC} SELECT topic, count(*) AS n FROM (SELECT topic, row_number() OVER (PARTITION BY topic, substring(lower(sentence), 1, 100) ORDER BY doc_id, pos) AS rn FROM fc) WHERE rn = 1 GROUP BY 1")
 def _(s, d):
-    f = A.first_by_prefix(A.fact_candidates(table(s, d, "fx_chunks"), **RULES), "sentence", ["topic"], ["doc_id", "pos"], 100)
+    f = A.first_by_prefix(A.fact_candidates(parts(s, d), **RULES), "sentence", ["topic"], ["doc_id", "pos"], 100)
     return f.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -169,11 +174,11 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", A.domain_credit(host(F.col("url")), PRIO, LOW).alias("credit"))
 
 
-@query("rank_facts", f"""WITH {FC}, {SC}, {TOPF}, p(p, a, b, c, n, l, x, o, st) AS (VALUES ('default', 0.35, 0.30, 0.10, 0.15, 0.05, 0.10, 120, 0.08), ('factoid', 0.30, 0.35, 0.05, 0.35, 0.0, 0.0, 100, 0.1), ('how_why', 0.30, 0.20, 0.10, 0.0, 0.0, 0.40, 150, 0.08), ('evaluation', 0.50, 0.25, 0.05, 0.10, 0.0, 0.10, 150, 0.08))
- SELECT doc_id, pos, round(CAST(a * least(total_score / 5, 1) + b * 0.6 + c * 0.5 + n * least((doc_id % 30) / 20, 1) + l / (1 + exp(-(length(sentence) - o) * st)) + x * (CASE WHEN regexp_matches(lower(sentence), '—| это | является |определяет') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(sentence), 'потому что|так как|следовательно|поэтому|из-за|вследствие') THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS score FROM tf JOIN p ON p = (['default', 'factoid', 'how_why', 'evaluation', 'default'])[doc_id % 5 + 1]""")
+@query("rank_facts", f"""WITH {FC}, {SC}, {TOPF}, p(p, a, b, c, n, l, x, o, st) AS (VALUES ('default', 0.35, 0.30, 0.10, 0.15, 0.05, 0.10, 120, 0.08), ('factoid', 0.30, 0.35, 0.05, 0.35, 0.0, 0.0, 100, 0.1), ('how_why', 0.30, 0.20, 0.10, 0.0, 0.0, 0.40, 150, 0.08), ('evaluation', 0.50, 0.25, 0.05, 0.10, 0.0, 0.10, 150, 0.08), ('mathematical_theorem', 0.35, 0.2, 0.0, 0.1, 0.0, 0.35, 150, 0.08), ('scientific_concept', 0.35, 0.2, 0.0, 0.1, 0.0, 0.35, 150, 0.08), ('quantum_physics_deep', 0.35, 0.2, 0.0, 0.1, 0.0, 0.35, 150, 0.08), ('philosophical_concept', 0.3, 0.2, 0.0, 0.1, 0.0, 0.4, 150, 0.08), ('biological_system', 0.3, 0.2, 0.0, 0.1, 0.0, 0.4, 150, 0.08), ('programming_concept', 0.4, 0.2, 0.0, 0.1, 0.0, 0.3, 120, 0.08), ('ai_concept', 0.35, 0.2, 0.0, 0.15, 0.0, 0.3, 120, 0.08), ('historical_event', 0.3, 0.2, 0.1, 0.35, 0.0, 0.05, 150, 0.08))
+ SELECT doc_id, pos, round(CAST(a * least(total_score / 5, 1) + b * 0.6 + c * 0.5 + n * least((doc_id % 30) / 20, 1) + l / (1 + exp(-(length(sentence) - o) * st)) + x * (CASE WHEN regexp_matches(lower(sentence), '—| это | является |определяет') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(lower(sentence), 'потому что|так как|следовательно|поэтому|из-за|вследствие') THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS score FROM tf JOIN p ON p = (['default', 'factoid', 'how_why', 'evaluation', 'mathematical_theorem', 'scientific_concept', 'quantum_physics_deep', 'philosophical_concept', 'biological_system', 'programming_concept', 'ai_concept', 'historical_event', 'default'])[doc_id % 13 + 1]""")
 def _(s, d):
-    names = F.array(*map(F.lit, ("default", "factoid", "how_why", "evaluation", "unknown")))
-    f = top(s, d).select("*", F.element_at(names, (F.col("doc_id") % 5 + 1).cast("int")).alias("profile"), F.least(F.col("total_score") / 5, F.lit(1.0)).alias("relevance"), F.lit(0.6).alias("credit"), F.lit(0.5).alias("position"), (F.col("doc_id") % 30).alias("ner"))
+    names = F.array(*map(F.lit, (*A.PROFILES, "unknown")))
+    f = top(s, d).select("*", F.element_at(names, (F.col("doc_id") % 13 + 1).cast("int")).alias("profile"), F.least(F.col("total_score") / 5, F.lit(1.0)).alias("relevance"), F.lit(0.6).alias("credit"), F.lit(0.5).alias("position"), (F.col("doc_id") % 30).alias("ner"))
     return rounded(A.rank_facts(f).select("doc_id", F.col("pos").cast("long").alias("pos"), "score"))
 
 
@@ -210,7 +215,7 @@ def _(s, d):
 
 @query("fact_pipeline")
 def _(s, d):
-    return A.fact_pipeline(table(s, d, "fx_chunks"), ["tion", "with"], **RULES)
+    return A.fact_pipeline(parts(s, d), ["tion", "with"], **RULES)
 
 
 KIN = {"factual": ("the ", "of "), "how_to": ("tion",), "news": ("la ",)}

@@ -76,11 +76,11 @@ def _(s, d):
     return V.topk(few(s, d), emb(s, d), 10, "cosine", 0.25)
 
 
-KQ = "q AS (SELECT item_id AS query_id, substring(text, 1, 60) AS query FROM benchmark WHERE item_id % 10 = 0), qt AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+')) AS w FROM q), t AS (SELECT query_id, w, count(*) OVER (PARTITION BY query_id) AS n FROM qt WHERE length(w) >= 3 AND w NOT IN ('the', 'and')), dt AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents), h AS (SELECT query_id, doc_id, count(DISTINCT w) / max(n) AS score FROM dt JOIN t USING (w) GROUP BY 1, 2), kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM h)"
+KQ = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark), qt AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+')) AS w FROM q), t AS (SELECT query_id, w, count(*) OVER (PARTITION BY query_id) AS n FROM qt WHERE length(w) >= 3 AND w NOT IN ('the', 'and')), dt AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+')) AS w FROM documents), h AS (SELECT query_id, doc_id, count(DISTINCT w) / max(n) AS score FROM dt JOIN t USING (w) GROUP BY 1, 2), kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM h)"
 
 
 def bench(s, d):
-    return table(s, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("keyword_search", f"WITH {KQ} SELECT query_id, place, doc_id, round(score, 6) AS score FROM kw WHERE place <= 5")
@@ -88,7 +88,7 @@ def _(s, d):
     return rounded(V.keyword_search(bench(s, d), table(s, d, "documents"), 5, ("the", "and")))
 
 
-@query("hybrid_search", f"WITH {KQ}, {EMB}, qv AS (SELECT item_id AS query_id, e AS qv FROM benchmark JOIN v ON vec_id = item_id WHERE item_id % 10 = 0), s AS (SELECT query_id, vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, vec_id) AS place FROM v, qv), b AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM s WHERE place <= 10 UNION ALL SELECT query_id, doc_id, score FROM kw WHERE place <= 5) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM b) SELECT query_id, place, id, round(score, 6) AS score FROM r WHERE place <= 5")
+@query("hybrid_search", f"WITH {KQ}, {EMB}, qv AS (SELECT item_id AS query_id, e AS qv FROM benchmark JOIN v ON vec_id = item_id), s AS (SELECT query_id, vec_id AS id, {COS} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COS} DESC, vec_id) AS place FROM v, qv), b AS (SELECT query_id, id, max(score) AS score FROM (SELECT query_id, id, score FROM s WHERE place <= 10 UNION ALL SELECT query_id, doc_id, score FROM kw WHERE place <= 5) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS place FROM b) SELECT query_id, place, id, round(score, 6) AS score FROM r WHERE place <= 5")
 def _(s, d):
     q = emb(s, d).join(bench(s, d).select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), V.doubles("embedding").alias("qv"))
     sem = V.topk(q, emb(s, d), 10, "cosine", -1.0).select("query_id", F.col("vec_id").alias("id"), "score")
@@ -121,9 +121,9 @@ def _(s, d):
     return rounded(V.collection_stats(table(s, d, "documents")))
 
 
-@query("semantic_dedup", f"WITH RECURSIVE {UNIT}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_dot_product(a.n, b.n) >= 0.25), o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM v), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.b = o.id AND list_contains(r.kept, l.a)) THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.k = r.k + 1) SELECT id, list_contains((SELECT arg_max(kept, k) FROM r), id) AS kept FROM o")
+@query("semantic_dedup", f"WITH RECURSIVE {UNIT}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.n, b.n) > 0.3), o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM v), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.b = o.id AND list_contains(r.kept, l.a)) THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.k = r.k + 1) SELECT id, list_contains((SELECT arg_max(kept, k) FROM r), id) AS kept FROM o")
 def _(s, d):
-    links = V.pairwise_cosine(emb(s, d), "label", 0.25).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    links = V.cosine_links(emb(s, d), 0.3, strict=True).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     return V.semantic_dedup(emb(s, d).select(F.col("vec_id").alias("id")), links)
 
 

@@ -5,34 +5,53 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loamwork.functions.storage import stage
 from loamwork.operators.policy import start_value
 from loamwork.sources.tables import upsert_chunks
 
 
-def metric_windows(events: DataFrame, minutes: int = 5, slide: int | None = None, late: str = "10 minutes") -> DataFrame:
-    """start (epoch seconds), n, errors, per_second, mean_value by event-time windows; rows later than `late` are dropped."""
+def metric_windows(events: DataFrame, minutes: int = 5, slide: int | None = None, late: str = "10 minutes", by_type: bool = False) -> DataFrame:
+    """start (epoch seconds), type, n, errors, per_second, mean_value by event-time windows, sliding if `slide` is given.
+
+    by_type: a row for each window and event_type; else type is `all`. Rows later than `late` are dropped.
+    """
     w = F.window("ts", f"{minutes} minutes", f"{slide or minutes} minutes")
-    agg = events.withWatermark("ts", late).groupBy(w.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.avg("value").alias("mean_value"))
-    return agg.select(F.unix_timestamp("w.start").alias("start"), "n", "errors", (F.col("n") / (60.0 * minutes)).alias("per_second"), "mean_value")
+    kind = F.col("event_type") if by_type else F.lit("all")
+    agg = events.withWatermark("ts", late).groupBy(w.alias("w"), kind.alias("type")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"), F.avg("value").alias("mean_value"))
+    return agg.select(F.unix_timestamp("w.start").alias("start"), "type", "n", "errors", (F.col("n") / (60.0 * minutes)).alias("per_second"), "mean_value")
+
 
+def stored(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """The rows of a table that ingest_batch keeps: of each bucket, those of its newest version (under `before`, if given)."""
+    every = spark.read.parquet(target)
+    every = every if before is None else every.where(F.col("_version") < before)
+    newest = every.groupBy("_bucket").agg(F.max("_version").alias("_version"))  # a row for each bucket
+    return every.join(F.broadcast(newest), ["_bucket", "_version"])
 
-def ingest_batch(target: str, chunker):
-    """For foreachBatch: chunk the batch (id, text, seq) and upsert it into the Parquet table at target, a version for each batch.
 
-    The new version is written beside the old one, so a batch that fails and runs again changes nothing twice.
+def ingest_batch(target: str, chunker, buckets: int = 64):
+    """For foreachBatch: make chunks (id, text, seq) of the batch and upsert them into the Parquet table at target.
+
+    Chunks are dealt to buckets by a hash of id. A batch reads and writes only the buckets that it touches, each as a
+    new version beside the old ones, so a batch that fails and runs again changes nothing twice. `stored` reads the table.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = chunker(batch)
+        new = stage(chunker(batch), "ingest")
+        bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("_bucket")
         if epoch:
-            old = spark.read.parquet(f"{target}/v{epoch - 1}")
+            touched = new.select(bucket).distinct()  # at most `buckets` rows
+            old = stored(spark, target, epoch).join(F.broadcast(touched), "_bucket", "left_semi").drop("_bucket", "_version")
             new = upsert_chunks(old, new.select(*old.columns))
-        new.write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        else:
+            new = upsert_chunks(new.where("false"), new)
+        spread = new.select("*", bucket, F.lit(epoch).alias("_version"))
+        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket", "_version").parquet(target)
 
     return run
 
@@ -70,6 +89,13 @@ def feedback_totals(feedback: DataFrame) -> DataFrame:
     return feedback.groupBy("rating").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("helpful"), 1)).alias("helpful"))
 
 
+def feedback_windows(feedback: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """start (epoch seconds), n, helpful, average (rating) of each window."""
+    agg = feedback.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w"))
+    got = agg.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("helpful"), 1)).alias("helpful"), F.avg("rating").alias("average"))
+    return got.select(F.unix_timestamp("w.start").alias("start"), "n", "helpful", "average")
+
+
 def rate_alerts(windows: DataFrame, limit: float) -> DataFrame:
     """Windows whose errors a second exceed limit. windows: of metric_windows."""
     return windows.where(F.col("errors") > limit * F.col("n") / F.greatest(F.col("per_second"), F.lit(1e-12)))
