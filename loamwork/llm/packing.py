@@ -26,7 +26,8 @@ class Encoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
     A text is cut before single spaces, where the pattern always cuts, and words are looked up in a bounded table.
-    Long words go to the tokenizers library, whose merging isn't quadratic in the length of a word.
+    Long words go to the tokenizers library, whose merging isn't quadratic in the length of a word, and so do whole texts
+    that hold one of the file's added tokens, which that library gives ids of their own.
     """
 
     def __init__(self, path: str, cache: int = 250_000):
@@ -34,14 +35,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            spec = json.load(f)
+        vocab, added = spec["model"]["vocab"], [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and t != "<|endoftext|>"}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if all(c in byte for c in t) and t not in added}
         self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.most = cache
 
@@ -53,6 +55,8 @@ class Encoder:
         return np.array(got, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if INNER_SPACE.search(text):
             return self.ids(text)
         first, *rest = text.split(" ")

@@ -293,7 +293,6 @@ def test_encoder(docs):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(Q.byte_bpe())
-    plain.encode_special_tokens = True
     encode = Encoder(Q.byte_bpe(), cache=50)
     odd = ["", " ", "  a", "a  b", "a \n b", "a\n \nb", " \n", "it's  we'll", "x" * 2500 + " y", "ü 漢字🙂 <|endoftext|> z", "a   b", "tab\t \tend ", "1 22  333"]
     for t in [d.text for d in docs[:60]] + odd:
