@@ -74,7 +74,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
 
     Documents link where the Jaccard similarity of their sets of `words`-word shingles is percent / 100 at least. Texts
     without words are empty and link with nothing; neither do rows without doc_id (component_id null, kept). Repeated
-    rows have one component and are kept alike.
+    rows have one component and are kept alike. doc_id names one text: of several texts that share an id and no class,
+    the one of the least hash stands for all when links are confirmed.
 
     Equal sets form classes, each with its smallest doc_id as representative. Two collections of band hashes, left and
     right, are made; every pair of a left and a right band is a table, keyed by both: left[0] * right[0] tables for
@@ -99,7 +100,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     ids = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     texts = sized_join(docs.select(F.col("doc_id").cast("long"), "text"), ids, ["doc_id"])
-    texts = stage(texts.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "id"), "texts")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = stage(texts.withColumnRenamed("doc_id", "id"), "texts")
 
     at: DataFrame | None = None  # rep, comp: where components stand
     tried: DataFrame | None = None
@@ -159,7 +161,7 @@ def shingle_arrays(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("id", "text").mapInArrow(sets, "rep long, elems array<long>")
 
 
-def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int, small: int = 32) -> DataFrame:
+def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int, small: int = 32, slice_rows: int = 1000) -> DataFrame:
     """Pairs (a, b) of open_ (key, rep, n, comp) that may link: all across the components of a bucket but those ruled out.
 
     In buckets of at most `small` members every pair across components is one. Larger buckets are joined to clusters by
@@ -186,13 +188,17 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     sets = stage(mine.join(shingle_arrays(texts, words), "rep"), "cluster-sets")
     parts = sets.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
     info = parts.groupBy("cluster").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).select("cluster", "size", F.col("top.comp").alias("main"))
+    info = stage(info.withColumn("slices", F.ceil(F.col("size") / slice_rows).cast("int")), "clusters")
     usual = sets.select("cluster", F.explode("elems").alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("k"))
-    p = usual.join(info, "cluster").where("2 * k > size").groupBy("cluster").agg(F.collect_set("e").alias("p"))
-    info = stage(info.join(p, "cluster", "left").select("cluster", "main", F.coalesce("p", F.array().cast("array<long>")).alias("p")), "consensus")
-    d = sized_join(sets, info, ["cluster"], most=5000).withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
+    p = sized_join(usual, info, ["cluster"]).where("2 * k > size").groupBy("cluster").agg(F.collect_set("e").alias("p"))
+    # a cluster's members are dealt to slices; what all of them need is sent to each slice, so a large cluster is many groups
+    own = sized_join(sets, info, ["cluster"]).withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")).drop("slices", "size")
+    spread = lambda rows: sized_join(rows, info.select("cluster", "slices"), ["cluster"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    d = own.join(spread(stage(p, "consensus")), ["cluster", "slice"], "left").withColumn("p", F.coalesce("p", F.array().cast("array<long>")))
+    d = d.withColumn("d", F.concat(F.array_except("elems", "p"), F.array_except("p", "elems")))
     h, n, np_ = F.size("d").cast("long"), F.col("n"), F.size("p").cast("long")
     m = F.floor((h * keep - (n - np_) * lose) / (2 * keep))
-    d = d.select("cluster", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), (h - m).alias("part"))
+    d = d.select("cluster", "slice", "rep", "n", "comp", "d", (F.col("comp") != F.col("main")).alias("outside"), (h * keep <= (n + np_) * lose).alias("near_p"), (h - m).alias("part"))
     d = stage(d, "differences")
     x = d.where("outside AND NOT near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.explode("d").alias("e"))
     y = d.select("cluster", "rep", "n", "comp", "part", F.explode("d").alias("e"))
@@ -203,7 +209,7 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     z = d.where("outside AND near_p").select("cluster", F.col("rep").alias("r"), F.col("n").alias("m"), F.col("comp").alias("rc"), F.col("d").alias("e"))
     apart = F.size("d") + F.size("e") - 2 * F.size(F.array_intersect("d", "e"))  # the size of the difference of the two sets
     linked = (F.col("comp") != F.col("rc")) & close & (apart * keep <= (F.col("n") + F.col("m")) * lose)
-    direct = z.join(d.select("cluster", "rep", "n", "comp", "d"), "cluster").where(linked).select("rep", "r")
+    direct = d.select("cluster", "slice", "rep", "n", "comp", "d").join(spread(z), ["cluster", "slice"]).where(linked).select("rep", "r")
     both = met.unionByName(direct).select(F.least("rep", "r").alias("a"), F.greatest("rep", "r").alias("b"))
     return pairs.unionByName(both)
 
