@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,15 +43,13 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of the rows of x and y (i < j if they are the same rows) with cosine >= threshold.
+def linked_pairs(x: np.ndarray, rx: np.ndarray, y: np.ndarray, ry: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the rows of x and y (i < j if they are the same rows) with cosine >= threshold. rx, ry: as unit vectors on the axes.
 
     Products are summed over the leading axes first. What the others can add is at most the product of the norms of
-    the rest of both rows; when no pair can reach the threshold, the tile is done, and when few can, only those are
+    the rest of both rows; when no pair can reach the threshold, the block is done, and when few can, only those are
     summed up. Pairs are confirmed in double precision on the vectors as they are.
     """
-    ux, uy = unit(x), unit(y)
-    rx, ry = ux @ axes, uy @ axes
     d = x.shape[1]
     total = np.zeros((len(x), len(y)))
     cuts = sorted({0, max(1, d // 8), max(1, d // 4), max(1, d // 2), d})
@@ -73,6 +73,26 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: floa
     return found[:, 0], found[:, 1]
 
 
+def linked_blocks(x: np.ndarray, lhs: np.ndarray, rhs: np.ndarray | None, axes: np.ndarray, threshold: float, block: int = 1024, boxes: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), row numbers of x, of the links between the rows lhs and rhs (within lhs, if rhs is None), block by block.
+
+    Rows are ordered on the first axis and cut to blocks. Two blocks are skipped if the boxes that hold them on the
+    first `boxes` axes lie farther apart than two unit vectors of the threshold's cosine can.
+    """
+    r = unit(x) @ axes
+    reach = 2 - 2 * threshold + 1e-9
+    cut = lambda rows: [(b, r[b, :boxes].min(0), r[b, :boxes].max(0)) for b in np.array_split(rows[np.argsort(r[rows, 0], kind="stable")], max(1, -(-len(rows) // block))) if len(b)]
+    left = cut(lhs)
+    right = left if rhs is None else cut(rhs)
+    for k, (p, p0, p1) in enumerate(left):
+        for q, q0, q1 in right[k if rhs is None else 0 :]:
+            gap = np.maximum(0.0, np.maximum(q0 - p1, p0 - q1))
+            if gap @ gap <= reach:
+                i, j = linked_pairs(x[p], r[p], x[q], r[q], threshold, p is q)
+                if len(i):
+                    yield p[i], q[j]
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For n nodes and links (i, j): the smallest node that each can reach."""
     low = np.arange(n)
@@ -86,16 +106,17 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 
     Rows are compared when their labels are equal and not null and their vectors have as many dimensions. Vectors
     without a direction, null labels and null ids link with nothing. Equal vectors of a label are one class, compared
-    once; a repeated row counts as another vector.
+    once; a repeated row counts as another vector. An id that several vectors have is one node with the links of all.
 
     A label's classes are dealt to tiles of about `tile` rows by their place on the first principal axis, and pairs of
     tiles are compared unless they lie too far apart on it: the cosine of unit vectors bounds their distance. A tile
-    pair returns each row's links as a count and a forest in place of its pairs, so a dense group stays small.
+    pair is compared in blocks (see linked_blocks) and returns each row's links as a count and a forest in place of its
+    pairs, so a dense group stays small. A label of n classes is up to n / tile copies of its rows in the shuffle.
     """
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     ok = usable(F.col("v")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -136,8 +157,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024)
     close = pairs.where("q0 <= q1 + 1").unionByName(pairs.where("q0 > q1 + 1").join(F.broadcast(near), ["d", "q1", "q0"], "left_semi").select(*pairs.columns))
     close = stage(close.select("label", "d", "b1", "p1", "b2", "p2").withColumn("pair", F.xxhash64("label", "d", "b1", "p1", "b2", "p2")), "tiles")
     key = ["label", "d", "pair"]
-    left = placed.join(close.select(*key, F.col("b1").alias("b"), F.col("p1").alias("p")), ["label", "d", "b", "p"]).select(*key, F.lit(0).alias("side"), "rep", "m", "v")
-    right = placed.join(close.where("b1 <> b2 OR p1 <> p2").select(*key, F.col("b2").alias("b"), F.col("p2").alias("p")), ["label", "d", "b", "p"]).select(*key, F.lit(1).alias("side"), "rep", "m", "v")
+    close = close.withColumn("own", F.expr("b1 = b2 AND p1 = p2"))
+    left = placed.join(close.select(*key, "own", F.col("b1").alias("b"), F.col("p1").alias("p")), ["label", "d", "b", "p"]).select(*key, "own", F.lit(0).alias("side"), "rep", "m", "v")
+    right = placed.join(close.where("NOT own").select(*key, "own", F.col("b2").alias("b"), F.col("p2").alias("p")), ["label", "d", "b", "p"]).select(*key, "own", F.lit(1).alias("side"), "rep", "m", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
@@ -147,14 +169,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 1024)
         x = (v.values if isinstance(v, pa.ListArray) else v.chunk(0).values).to_numpy(zero_copy_only=False).reshape(-1, d)
         a = shared.value[d][0] if d in shared.value else np.eye(d)
         lhs, rhs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(rhs)
-        i, j = linked_pairs(x[lhs], x[lhs if same else rhs], a, threshold, same)
-        i, j = lhs[i], (lhs if same else rhs)[j]
-        links = (np.bincount(i, m[j], len(rep)) + np.bincount(j, m[i], len(rep))).astype("i8")
         order = np.argsort(rep, kind="stable")  # so that the forest's roots are the smallest ids
-        place = np.empty(len(rep), int)
-        place[order] = np.arange(len(rep))
-        low = rep[order][forest(len(rep), place[i], place[j])][place]
+        place, every = np.empty(len(rep), int), np.arange(len(rep))
+        place[order] = every
+        links, low = np.zeros(len(rep), np.int64), every
+        for i, j in linked_blocks(x, lhs, None if table["own"][0].as_py() else rhs, a, threshold):  # a block's pairs at a time
+            links += (np.bincount(i, m[j], len(rep)) + np.bincount(j, m[i], len(rep))).astype("i8")
+            low = forest(len(rep), np.r_[place[i], every], np.r_[place[j], low])
+        low = rep[order][low][place]
         some = links > 0
         return pa.table({"rep": rep[some], "links": links[some], "low": low[some]})
 
