@@ -42,21 +42,29 @@ def fingerprint_text(x: Column) -> Column:
     return F.array_join(F.transform(x, lambda e: F.lpad(F.lower(F.hex(e)), 6, "0")), "")
 
 
-def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000) -> DataFrame:
+NO_ID = -(2**63)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """text (null is empty), oid (doc_id, the least long for null) and tie (a hash of the text) of docs."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("oid"), F.xxhash64(text).alias("tie"))
+
+
+def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 100_000) -> DataFrame:
     """docs (doc_id, text) in ranges of ascending doc_id, for windows: b, ghost, oid, text, tie.
 
     Range limits are approximate quantiles, at most `most`. The first rows of each range are repeated as ghosts at the
     end of the range before it (of the last range, for the first), so the next row is at hand in every range. oid is
     doc_id with the least long for null. Rows are dealt to a task for every two ranges.
     """
-    oid = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), oid.alias("oid"))
+    rows = numbered(docs)
     n = max(1, min(most, docs.count() // rows_per_range))
     cuts = rows.agg(F.percentile_approx("oid", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     splits = sorted({float(x) for x in cuts or []} - {float("-inf")})
     marks = [float("-inf"), *splits, float("inf")]
     ranged = Bucketizer(splits=marks, inputCol="_at", outputCol="_b").transform(rows.withColumn("_at", F.col("oid").cast("double"))) if splits else rows.withColumn("_b", F.lit(0.0))
-    ranged = ranged.select("text", "oid", F.col("_b").cast("int").alias("b"))
+    ranged = ranged.select("text", "oid", "tie", F.col("_b").cast("int").alias("b"))
     firsts = ranged.groupBy("b").agg(F.min("oid").alias("oid"))
     order, all_ = Window.orderBy("b"), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("b", "oid", F.coalesce(F.lag("b").over(order), F.last("b").over(all_)).alias("before"))  # a row for each range
@@ -64,7 +72,7 @@ def with_ranges(docs: DataFrame, rows_per_range: int = 500, most: int = 20_000)
     own = F.struct(F.col("b"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.col("before").alias("b"), F.lit(True).alias("ghost"))
     places = F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ghost)))
-    out = joined.select("text", "oid", places.alias("p")).select("p.b", "p.ghost", "oid", "text", F.xxhash64("text").alias("tie"))
+    out = joined.select("text", "oid", "tie", places.alias("p")).select("p.b", "p.ghost", "oid", "text", "tie")
     return out.repartition(max(n // 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "b")
 
 
@@ -88,45 +96,50 @@ def samples(texts: DataFrame, keys: list[str], theta: float | None) -> DataFrame
     return least.select(*keys, "at", F.array(*map(code, range(TOGETHER))).alias("c"))
 
 
-def fingerprints(texts: DataFrame, keys: list[str], theta: float = 10.0) -> DataFrame:
-    """keys and, for every column t of texts besides them, t as a sorted array of place * 65536 + sample, one per place.
+def with_texts(want: DataFrame, docs: DataFrame) -> DataFrame:
+    """b, seq, v, t of want (b, seq, v, oid, tie, noid, ntie; few rows): the texts are fetched by id and hash, not dealt again."""
+    need = want.select("oid", "tie").unionByName(want.where("noid IS NOT NULL").select(F.col("noid").alias("oid"), F.col("ntie").alias("tie")))
+    got = sized_join(numbered(docs), stage(need.distinct(), "needed"), ["oid", "tie"]).dropDuplicates(["oid", "tie"])
+    got = stage(got.select("oid", "tie", "text"), "texts")
+    both = want.join(got, ["oid", "tie"]).join(got.select(F.col("oid").alias("noid"), F.col("tie").alias("ntie"), F.col("text").alias("next")), ["noid", "ntie"], "left")
+    t = F.when(F.col("v") == 0, F.col("text")).otherwise(edited(F.col("text"), F.coalesce("next", F.lit(""))))
+    return both.select("b", "seq", "v", t.alias("t"))
 
-    keys must identify rows and not be null. Texts without words give empty arrays. The least of the values of a place
-    is over theta / weight with probability exp(-theta); the few texts with such a place are worked out in full.
-    """
-    names = [c for c in texts.columns if c not in keys]
-    both = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("v"), F.col(c).alias("t")) for i, c in enumerate(names))))
-    rows = texts.select(*keys, both.alias("x")).select(*keys, "x.*")
-    first = stage(samples(rows, [*keys, "v"], theta), "samples")
-    open_ = F.exists("c", lambda x: x.isNull())
-    rest = stage(first.where(open_).select(*keys, "v").distinct(), "open")
-    again = samples(sized_join(rows, rest, [*keys, "v"], "left_semi"), [*keys, "v"], None)
-    whole = sized_join(first, rest, [*keys, "v"], "left_anti").unionByName(again)
-    coded = F.transform("c", lambda x, i: F.shiftleft(F.col("at") + i, 16) + x.cast("int") + 32768)
-    mine = whole.select(*keys, "v", coded.alias("c"))
-    return mine.groupBy(*keys).agg(*(F.sort_array(F.flatten(F.collect_list(F.when(F.col("v") == i, F.col("c"))))).alias(c) for i, c in enumerate(names)))
 
+def edited(text: Column, after: Column) -> Column:
+    """text with its last half of code points replaced by the first as many of the text after it."""
+    half = F.call_function("div", F.length(text), F.lit(2)).cast("int")
+    return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(after, F.lit(1), half))
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+
+def fingerprint_documents(docs: DataFrame, theta: float = 10.0) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
 
     The edited text is the text with its last n_chars div 2 code points replaced by the first as many of the next
     document by ascending doc_id (null first; after the last, the first; equal ids by a hash of the text). A null text
     is empty, and the likeness of two texts without words is 1. A document alone is its own next. The texts are
-    shuffled once, into ranges of doc_id; all else happens there.
+    shuffled once, into ranges of doc_id, where samples and all facts are taken in one job. The least value of a place
+    is over theta / weight with probability exp(-theta); the few texts with such a place are sampled again in full.
     """
     w = Window.partitionBy("b").orderBy("ghost", "oid", "tie")
-    half = F.call_function("div", F.length("text"), F.lit(2)).cast("int")
     rows = with_ranges(docs)  # one exchange, whose columns both branches below read
-    rows = rows.select("b", F.row_number().over(w).alias("seq"), "ghost", "oid", "text", F.coalesce(F.lead("text").over(w), F.lit("")).alias("next"))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next"), F.lit(1), half))
-    rows = rows.select("b", "seq", "ghost", "oid", "text", edited.alias("edited"))
-    found = fingerprints(rows.select("b", "seq", "text", "edited"), ["b", "seq"])
+    rows = rows.select("b", F.row_number().over(w).alias("seq"), "ghost", "oid", "tie", "text", edited(F.col("text"), F.coalesce(F.lead("text").over(w), F.lit(""))).alias("edited"))
+    both = F.explode(F.array(*(F.struct(F.lit(i).cast("byte").alias("v"), F.col(c).alias("t")) for i, c in enumerate(("text", "edited")))))
+    sampled = samples(rows.select("b", "seq", both.alias("x")).select("b", "seq", "x.*"), ["b", "seq", "v"], theta)
+    facts = rows.select("b", "seq", "ghost", "oid", "tie", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    first = stage(sampled.unionByName(facts, allowMissingColumns=True), "samples")
+    own = Window.partitionBy("b").orderBy("seq")
+    facts = first.where("at IS NULL").select("b", "seq", "ghost", "oid", "tie", "n_chars", "edited_sha256")
+    sampled = first.where("at IS NOT NULL").select("b", "seq", "v", "at", "c")
+    rest = stage(sampled.where(F.exists("c", lambda x: x.isNull())).select("b", "seq", "v").distinct(), "open")
+    nexts = facts.select("b", "seq", "oid", "tie", F.lead("oid").over(own).alias("noid"), F.lead("tie").over(own).alias("ntie"))
+    want = stage(sized_join(nexts, rest, ["b", "seq"]), "want")
+    whole = sized_join(sampled, rest, ["b", "seq", "v"], "left_anti").unionByName(samples(with_texts(want, docs), ["b", "seq", "v"], None))
+    coded = F.transform("c", lambda x, i: F.shiftleft(F.col("at") + i, 16) + x.cast("int") + 32768)
+    found = whole.select("b", "seq", "v", coded.alias("c")).groupBy("b", "seq").agg(*(F.sort_array(F.flatten(F.collect_list(F.when(F.col("v") == i, F.col("c"))))).alias(c) for i, c in enumerate(("p", "e"))))
     none = F.array().cast("array<int>")
-    prints = rows.select("b", "seq").join(found, ["b", "seq"], "left").select("b", "seq", F.coalesce("text", none).alias("text"), F.coalesce("edited", none).alias("edited"))
-    after = F.lead("text").over(Window.partitionBy("b").orderBy("seq"))
-    prints = prints.select("b", "seq", F.col("text").alias("p"), F.col("edited").alias("e"), after.alias("q"))
-    facts = rows.where("NOT ghost").select("b", "seq", F.when(F.col("oid") != -(2**63), F.col("oid")).alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    out = facts.join(prints, ["b", "seq"])
+    out = facts.join(found, ["b", "seq"], "left").withColumns({"p": F.coalesce("p", none), "e": F.coalesce("e", none)})
+    out = out.withColumn("q", F.lead("p").over(own)).where("NOT ghost")
     p, e, q = F.col("p"), F.col("e"), F.col("q")
-    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint_text(p).alias("fingerprint"), fingerprint_text(e).alias("edited_fingerprint"), likeness(p, e).alias("near_edited"), likeness(p, q).alias("near_next"))
+    doc_id = F.when(F.col("oid") != NO_ID, F.col("oid"))
+    return out.select(doc_id.alias("doc_id"), "n_chars", "edited_sha256", fingerprint_text(p).alias("fingerprint"), fingerprint_text(e).alias("edited_fingerprint"), likeness(p, e).alias("near_edited"), likeness(p, q).alias("near_next"))

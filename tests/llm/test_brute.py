@@ -154,6 +154,14 @@ def test_fingerprints(spark, docs):
     assert np.abs(off).mean() < 0.06 and abs(np.mean(off)) < 0.02
 
 
+@pytest.mark.parametrize("theta", [0.5, 3.0])
+def test_fingerprints_do_not_depend_on_the_bound(spark, theta):
+    from loamwork.llm.fingerprints import fingerprint_documents
+
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame([(60, ""), (61, None), (61, "x y"), (62, "one")], "doc_id long, text string"))
+    assert sorted(map(tuple, fingerprint_documents(rows, theta).collect())) == sorted(map(tuple, fingerprint_documents(rows, 20.0).collect()))
+
+
 def test_fingerprints_of_skewed_and_short_texts(spark):
     from loamwork.llm.fingerprints import fingerprint_documents
 
@@ -213,6 +221,20 @@ def test_vectors(spark, tile):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, 0.93, tile).collect()} == want
 
 
+def test_linked_blocks():
+    from loamwork.llm.vectors import linked_blocks
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((90, 12)), rng.standard_normal(12) + rng.standard_normal((60, 12)) * 0.2])
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1]
+    cos = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    every, some, rest = np.arange(150), np.arange(0, 150, 2), np.arange(1, 150, 2)
+    for lhs, rhs in ((every, None), (some, rest)):
+        got = {(min(i, j), max(i, j)) for p, q in linked_blocks(x, lhs, rhs, axes, 0.93, block=16) for i, j in zip(p.tolist(), q.tolist(), strict=True)}
+        want = {(i, j) for i in range(150) for j in range(i + 1, 150) if cos[i, j] >= 0.93 and (rhs is None or (i - j) % 2)}
+        assert got == want and want
+
+
 def luhn(d):
     x = [int(c) for c in d][::-1]
     return (sum(x[::2]) + sum(sum(divmod(2 * y, 10)) for y in x[1::2])) % 10 == 0
@@ -289,6 +311,21 @@ def test_minhash(spark, docs, k):
     assert got == {i: (len(s), root[i], root[i] == i) for i, s in sets.items()}
 
 
+def test_minhash_slices(spark, monkeypatch):
+    """A large cluster that is dealt to many slices gives the same links."""
+    from loamwork.llm import minhash
+
+    rng = random.Random(8)
+    texts = [t for _ in range(2) for t in near_copies(rng, 120, 60)]
+    rows = list(enumerate(texts))
+    sets = {i: shingle_set(t, 2) for i, t in rows}
+    root = roots(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    whole = minhash.unsettled_pairs
+    monkeypatch.setattr(minhash, "unsettled_pairs", lambda *a: whole(*a, slice_rows=7))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2, pivots=1).collect()}
+    assert got == root
+
+
 def test_encoder(docs):
     from tokenizers import Tokenizer
 
