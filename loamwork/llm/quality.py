@@ -121,7 +121,8 @@ class QualityModel:
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> QualityModel:
     """Fit on about `most_rows` labelled rows of each class that are not held out; a fifth of them calibrates.
 
-    Only `quality` of labels is read (0 or 1; others and null are left out). The sample meets the driver as lists of
+    Only `quality` of labels is read (0 or 1; others and null are left out). A document that labels call both 0 and 1 is
+    a row of each class; repeated labels count once. The sample meets the driver as lists of
     feature numbers; it is bounded by most_rows, whatever the size of docs.
     """
     marked = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality IN (0, 1)").where(~held_out(F.col("doc_id")))
