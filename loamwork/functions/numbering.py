@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, order: list[str], name: str, groups: list[str] | None = None, buckets: int = 1024) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], name: str, groups: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Add `name`: 0, 1, 2, ... over all rows (or within `groups`), in the order (hash bucket of `order`, `order`).
 
-    Rows are dealt to buckets by a hash of `order`; a bucket's rows are numbered by a window, and the sizes of the
-    buckets before it are added. No task holds more than a bucket. `df` is read twice, so stage it if it is costly.
+    Rows are dealt to buckets by a hash of `order` (a bucket for every 500,000 rows, 1024 at least); a bucket's rows are
+    numbered by a window, and the sizes of the buckets before it are added. No task holds more than a bucket. `df` is
+    read three times, so stage it if it is costly.
     Rows that agree in all of `order` share a bucket and are interchangeable. The numbers depend on the data alone.
     """
-    groups = groups or []
+    groups, buckets = groups or [], buckets or max(1024, df.count() // 500_000)
     b = "_lw_bucket"
     rows = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = rows.groupBy(*groups, b).agg(F.count(F.lit(1)).alias("_lw_n"))
