@@ -44,7 +44,7 @@ def feistel(at: Column, n: int, seed: int = 11, rounds: int = 8) -> Column:
     return place
 
 
-def shard_rows(rows: DataFrame, shards: int, order: list[str], seed: int = 11, buckets: int = 1024) -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int, order: list[str], seed: int = 11, buckets: int | None = None) -> DataFrame:
     """rows with shard (0 to shards - 1) and slot (gapless from 0 in each shard); shards differ by one row at most.
 
     A row's global number comes from the hash order of `order`; its permuted number p gives shard p mod shards and slot
