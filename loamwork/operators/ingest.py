@@ -14,6 +14,9 @@ QUESTION_KEYS = ("question", "input", "q", "вопрос", "query", "prompt")
 ANSWER_KEYS = ("answer", "output", "a", "ответ", "response", "completion")
 PAIR = r"(?isu)(?:Вопрос|Question|Q)[:\s]+(.*?)\s*(?:Ответ|Answer|A)[:\s]+(.*?)(?=\n\s*(?:Вопрос|Question|Q)[:\s]|$)"
 
+#: Marked pairs, pairs marked by one letter, and lines of a question before a colon and its answer after it.
+PAIRS = (PAIR, r"(?isu)(?:^|\n)\s*(?:В|Q)[:.]\s*(.*?)\s*\n\s*(?:О|A)[:.]\s*(.*?)(?=\n\s*(?:В|Q)[:.]|$)", r"(?mu)^([^:\n]+\?):?[ \t]*([^\n]+)$")
+
 
 def is_json(c: Column) -> Column:
     """Whether the text is one JSON value and nothing else: in brackets, it is an array of one item."""
@@ -91,12 +94,21 @@ def chunk_csv(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row_idx", F.concat(F.lit("Строка "), (F.col("row_idx") + 1).cast("string"), F.lit(": "), F.array_join(cells, ", ")).alias("text"), "delimiter")
 
 
-def extract_qa_pairs(docs: DataFrame, least: int = 3) -> DataFrame:
-    """doc_id, idx, question, answer: pairs whose sides both have more than `least` characters."""
-    q = F.regexp_extract_all("content", F.lit(PAIR), F.lit(1))
-    a = F.regexp_extract_all("content", F.lit(PAIR), F.lit(2))
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(q.alias("q"), a.alias("a"))).alias("idx", "x"))
-    return rows.select("doc_id", "idx", F.trim("x.q").alias("question"), F.trim("x.a").alias("answer")).where((F.length("question") > least) & (F.length("answer") > least))
+def extract_qa_pairs(docs: DataFrame, least: int = 3, patterns: tuple[str, ...] = PAIRS) -> DataFrame:
+    """doc_id, idx, question, answer: the pairs whose sides both have more than `least` characters.
+
+    Of the patterns, the first with such a pair in a text is the one whose pairs it gives; idx counts its matches, those
+    that are too short included.
+    """
+    keep = lambda x: (F.length(x["q"]) > least) & (F.length(x["a"]) > least)
+    found = []
+    for p in patterns:
+        side = lambda k: F.regexp_extract_all("content", F.lit(p), F.lit(k))  # noqa: B023, E731
+        pairs = F.transform(F.arrays_zip(side(1).alias("q"), side(2).alias("a")), lambda x, i: F.struct(i.alias("idx"), F.trim(x["q"]).alias("q"), F.trim(x["a"]).alias("a")))
+        good = F.filter(pairs, keep)
+        found.append(F.when(F.size(good) > 0, good))
+    rows = docs.select("doc_id", F.explode(F.coalesce(*found)).alias("x"))
+    return rows.select("doc_id", "x.idx", F.col("x.q").alias("question"), F.col("x.a").alias("answer"))
 
 
 def qa_records(messages: DataFrame, least: int = 5) -> DataFrame:

@@ -153,9 +153,9 @@ def _(s, d):
     return I.chunk_csv(RAW(s, d))
 
 
-@query("extract_qa_pairs", "WITH q AS (SELECT doc_id, string_split(content, 'Question: ') AS p FROM {fx_raw_files} WHERE doc_id % 9 = 5), u AS (SELECT doc_id, generate_subscripts(p, 1) - 2 AS idx, unnest(p) AS t FROM q) SELECT doc_id, CAST(idx AS INTEGER) AS idx, trim(split_part(t, chr(10) || 'Answer: ', 1)) AS question, trim(rtrim(split_part(t, 'Answer: ', 2), chr(10))) AS answer FROM u WHERE idx >= 0 AND length(trim(split_part(t, 'Answer: ', 2))) > 3")
+@query("extract_qa_pairs", f"WITH q AS (SELECT doc_id, string_split(content, 'Question: ') AS p FROM {{fx_raw_files}} WHERE {FORMAT} = 'qa_text'), u AS (SELECT doc_id, generate_subscripts(p, 1) - 2 AS idx, unnest(p) AS t FROM q) SELECT doc_id, CAST(idx AS INTEGER) AS idx, trim(split_part(t, chr(10) || 'Answer: ', 1)) AS question, trim(rtrim(split_part(t, 'Answer: ', 2), chr(10))) AS answer FROM u WHERE idx >= 0 AND length(trim(split_part(t, 'Answer: ', 2))) > 3")
 def _(s, d):
-    return I.extract_qa_pairs(RAW(s, d).where("doc_id % 9 = 5"))
+    return I.extract_qa_pairs(RAW(s, d).join(I.detect_formats(RAW(s, d)).where("format = 'qa_text'"), "doc_id", "left_semi"))
 
 
 @query("qa_records", "WITH n AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), a AS (SELECT conv_id, turn, text AS question, CASE WHEN r2 = 'assistant' THEN t2 END AS answer FROM n WHERE role = 'user') SELECT conv_id, turn, CASE WHEN length(question) >= 5 AND length(answer) >= 5 THEN 'qa_pair' WHEN length(question) >= 5 THEN 'question_only' WHEN length(answer) >= 5 THEN 'answer_only' ELSE 'neither' END AS kind, question, answer FROM a")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators import cleaning as T
 from loamwork.operators import facts as A
+from loamwork.operators import ingest as I
 from loamwork.operators import metrics as P
 from loamwork.operators import policy as L
 from loamwork.operators import sessions as M
@@ -160,3 +161,9 @@ def test_fact_pipeline(spark):
     assert got and {r.topic for r in got} == {"t"} and [r.place for r in got] == list(range(1, len(got) + 1))
     assert got[0].sentence.startswith("Rivers") and sum(r.sentence.startswith("Rivers") for r in got) == 1  # its near copy goes
     assert all(a.score >= b.score for a, b in zip(got, got[1:], strict=False)) and all(0 < r.confidence <= 1 for r in got)
+
+
+def test_qa_patterns(spark):
+    texts = ["Question: what is it?\nAnswer: a thing\nQuestion: a\nAnswer: b\nВопрос: что это такое\nОтвет: вещь", "Q. who came?\nA. nobody\nQ. why so?\nA. it rained", "Where is it?: over there\nno pair here\nWhen was that? long ago", "nothing", "", None]
+    got = [(r.doc_id, r.idx, r.question, r.answer) for r in I.extract_qa_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")).orderBy("doc_id", "idx").collect()]
+    assert got == [(0, 0, "what is it?", "a thing"), (0, 2, "что это такое", "вещь"), (1, 0, "who came?", "nobody"), (1, 1, "why so?", "it rained"), (2, 0, "Where is it?", "over there"), (2, 1, "When was that?", "long ago")]
