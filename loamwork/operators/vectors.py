@@ -111,17 +111,24 @@ def pairwise_cosine(vectors: DataFrame, block: str, least: float) -> DataFrame:
     return cosine_links(vectors, least, block)
 
 
-def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least: float = 0.0, where: Column | None = None) -> DataFrame:
-    """query_id, place, vec_id, score: the k best rows of docs for each of a few queries (query_id, qv).
+def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least: float = 0.0, where: Column | None = None, block: int = 20_000) -> DataFrame:
+    """query_id, place, vec_id, score: the k best rows of docs for each query (query_id, qv).
 
     score: l2 (1 / (1 + squared distance)) or cosine (clipped). Filters apply before the top k; scores under `least`
-    go after it. The queries are broadcast to the rows; each task keeps its own best k of every query before the shuffle.
+    go after it. Up to `block` queries are broadcast to the rows; more are dealt to blocks, and the rows are sent to each
+    block. Each task keeps its own best k of every query before the shuffle.
     """
     d = docs if where is None else docs.where(where)
     own = (lambda c: c) if score == "l2" else unit  # cosine: each vector is normalised once, before pairs are formed
     v = d.where("embedding IS NOT NULL").select("vec_id", own(doubles("embedding")).alias("v"))
     q = queries.where("qv IS NOT NULL").select("query_id", own(F.col("qv")).alias("qv"))
-    both = v.join(F.broadcast(q), F.size("v") == F.size("qv"))
+    q = stage(q, "queries")
+    blocks = -(-q.count() // block)
+    if blocks > 1:
+        v = v.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        both = v.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block").where(F.size("v") == F.size("qv"))
+    else:
+        both = v.join(F.broadcast(q), F.size("v") == F.size("qv"))
     l2 = 1 / (1 + F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     s = l2 if score == "l2" else F.greatest(F.least(dot(F.col("v"), F.col("qv")), F.lit(1.0)), F.lit(-1.0))
     rated = both.select("query_id", "vec_id", F.round(s, 9).alias("score"))

@@ -167,3 +167,10 @@ def test_qa_patterns(spark):
     texts = ["Question: what is it?\nAnswer: a thing\nQuestion: a\nAnswer: b\nВопрос: что это такое\nОтвет: вещь", "Q. who came?\nA. nobody\nQ. why so?\nA. it rained", "Where is it?: over there\nno pair here\nWhen was that? long ago", "nothing", "", None]
     got = [(r.doc_id, r.idx, r.question, r.answer) for r in I.extract_qa_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")).orderBy("doc_id", "idx").collect()]
     assert got == [(0, 0, "what is it?", "a thing"), (0, 2, "что это такое", "вещь"), (1, 0, "who came?", "nobody"), (1, 1, "why so?", "it rained"), (2, 0, "Where is it?", "over there"), (2, 1, "When was that?", "long ago")]
+
+
+def test_topk_in_blocks(spark, small):
+    e = spark.read.parquet(f"{small}/embeddings.parquet")
+    q = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("query_id"), V.doubles("embedding").alias("qv"))
+    one, many = (sorted(map(tuple, V.topk(q, e, 3, "cosine", -1.0, block=n).collect())) for n in (10**6, 4))
+    assert one == many and one
