@@ -56,12 +56,31 @@ def windowed_rates(requests: DataFrame, minutes: int = 5) -> DataFrame:
     return w.select(start.alias("start"), "n", (F.col("n") / (60.0 * minutes)).alias("per_second"), "mean_seconds", "hit_ratio")
 
 
-def moving_average(series: DataFrame, key: str, order: list[str], value: str, width: int = 5) -> DataFrame:
-    """key, order, value, average of the last `width` values: null before as many, or if there are not more than that."""
-    w = Window.partitionBy(key)
-    near = w.orderBy(*order).rowsBetween(1 - width, 0)
-    full = (F.count(F.lit(1)).over(near) == width) & (F.count(F.lit(1)).over(w) > width)
-    return series.select(key, *order, value, F.when(full, F.avg(value).over(near)).alias("average"))
+def numbered_by_key(series: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """series with _rn (1, 2, ... within the key, in order; by ranges of the first order column) and _total (rows of the key)."""
+    b = in_ranges(series, order[0])
+    sizes = b.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key)  # at most RANGES rows a key
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), before.alias("_before"), F.sum("_n").over(w).alias("_total"))
+    at = b.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_range").orderBy(*order)))
+    joined = at.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*series.columns, (F.col("_at") + F.col("_before")).alias("_rn"), "_total")
+
+
+def moving_average(series: DataFrame, key: str, order: list[str], value: str, width: int = 5, slice_rows: int = 100_000) -> DataFrame:
+    """key, order, value, average of the last `width` values: null before as many, or if there are not more than that.
+
+    A key's rows are averaged by slices of slice_rows; the last rows of a slice are lent to the one after it.
+    """
+    rows = numbered_by_key(series.select(key, *order, value), key, order)
+    own = F.floor((F.col("_rn") - 1) / slice_rows)
+    lent = (F.col("_rn") - 1) % slice_rows >= slice_rows - (width - 1)
+    sent = rows.withColumn("_slice", F.explode(F.when(lent, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("_own", F.col("_slice") == own)
+    near = Window.partitionBy(key, "_slice").orderBy("_rn").rowsBetween(1 - width, 0)
+    full = (F.count(F.lit(1)).over(near) == width) & (F.col("_total") > width)
+    out = sent.withColumn("average", F.when(full, F.avg(value).over(near))).where("_own")
+    return out.select(key, *order, value, "average")
 
 
 def task_ewma(tasks: DataFrame, keep: float = 0.9) -> DataFrame:

@@ -18,7 +18,7 @@ VIEWS = {
     "fx_feedback": "SELECT event_id AS id, user_id AS conversation_id, event_id % 8 AS message_id, 1 + k % 5 AS rating, CASE WHEN event_type = 'purchase' THEN true WHEN event_type = 'error' THEN false END AS helpful, CASE WHEN event_type = 'click' THEN repeat(props, CAST(1 + k % 12 AS INT)) END AS comment, ts AS created_at FROM {fx_events}",
     "fx_feedback_raw": "SELECT event_id AS id, k % 8 AS rating, CASE WHEN event_type = 'click' THEN repeat(props, CAST(1 + k AS INT)) END AS comment FROM {fx_events}",
     "fx_requests": "SELECT event_id, event_type AS endpoint, value / 50 AS seconds, k % 3 = 0 AS from_cache, event_type = 'error' AS error, concat('e', k % 4) AS error_type, ts FROM {fx_events}",
-    "fx_questions": "SELECT conv_id, turn, concat(substring(text, 1, 80), CASE WHEN conv_id % 2 = 0 THEN '?' ELSE '' END) AS question FROM {conversations} WHERE role = 'user'",
+    "fx_questions": "SELECT conv_id, turn, concat(text, CASE WHEN conv_id % 2 = 0 THEN '?' ELSE '' END) AS question FROM {conversations} WHERE role = 'user'",
     "fx_question_log": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN concat('  Topic ', k % 20, ' ?') ELSE concat('topic  ', k % 20, ' ? ') END AS question, ts FROM {fx_events}",
     "fx_memory": "SELECT p_partkey, p_name AS key, p_type AS content, (p_size % 10) / 10.0 AS confidence, 1704067200 + p_partkey * 60 AS created_at FROM {part}",
     "fx_experiment_events": "SELECT event_id, user_id, event_type = 'purchase' AS converted, event_type = 'click' AS engaged, 1 + k % 5 AS rating, ts FROM {fx_events}",

@@ -104,6 +104,11 @@ def test_folds(spark, log):
         means[k] = sum(seen[a]) / len(seen[a])
     got = {r.seq: r.running_mean for r in P.running_mean(df, "action", ["seq"], "reward").collect()}
     assert got.keys() == means.keys() and all(abs(got[k] - means[k]) < 1e-9 for k in means)
+    for size in (7, 50, 10**6):
+        got = {r.seq: r.average for r in P.moving_average(df, "action", ["seq"], "reward", 5, size).collect()}
+        for a in seen:
+            ids = [k for k, _, x, _ in log if x == a]
+            assert all(got[k] is None if i < 4 else abs(got[k] - sum(seen[a][i - 4 : i + 1]) / 5) < 1e-9 for i, k in enumerate(ids))
     tasks = df.select(F.col("seq").alias("event_id"), F.col("action").alias("type"), F.lit(True).alias("success"), (F.col("reward") + 6).alias("processing_time"), F.timestamp_seconds("t").alias("ts"))
     ewma = {}
     for _, _, a, r in log:
