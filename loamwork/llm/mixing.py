@@ -176,5 +176,6 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share
 def mix_stage(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix: each row of docs as many times as the mix reads it (rows of no words: not at all)."""
     _, plan = mix_documents(docs, **how)
-    read = apply_plan(docs, F.array("source"), plan, how.get("seed", 7), "_lw_passes").where("_lw_passes > 0")
+    some = docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    read = apply_plan(some, F.array("source"), plan, how.get("seed", 7), "_lw_passes").where("_lw_passes > 0")
     return read.withColumn("_lw_k", F.explode(F.sequence(F.lit(1), F.col("_lw_passes")))).select(*docs.columns)
