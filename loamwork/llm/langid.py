@@ -158,7 +158,7 @@ class Model:
         """For blocks of rows: (bits of each class under each language, row of each, letters of each row)."""
         raw, at = text_buffers(column)
         L = len(self.langs)
-        for i, j in slices(at, 1_000_000):
+        for i, j in slices(at, 250_000):
             n = j - i
             c, r = classes(*lowered(column, i, j), self.table, n)
             letters = np.bincount(r[c != GAP], minlength=n)

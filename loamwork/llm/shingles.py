@@ -44,7 +44,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]] if len(at) else raw[:0], at - at[0] if len(at) else np.zeros(1, np.int64)
 
 
-def slices(at: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` bytes together; a longer text is a range of its own."""
     i, n = 0, len(at) - 1
     while i < n:
