@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.joins import sized_join
-from loamwork.functions.storage import stage
+from loamwork.functions.numbering import number_rows
+from loamwork.functions.storage import arrow_batches, stage
 from loamwork.llm.shingles import U, mix, shingle_sets
 from loamwork.operators.components import connected_components
 
 
 def signatures(docs: DataFrame, words: int, left: tuple[int, int], right: tuple[int, int], seed: int = 3) -> DataFrame:
-    """doc_id, n (distinct shingles), s0 and s1 (hashes of the whole set), a and b (band hashes of two collections).
+    """doc_id, th (hash of the text), n (distinct shingles), s0 and s1 (hashes of the whole set), a and b (band hashes of two collections).
 
     left and right: (bands, minhashes in a band). A text without words has n = 0 and empty a and b.
     """
@@ -26,7 +27,7 @@ def signatures(docs: DataFrame, words: int, left: tuple[int, int], right: tuple[
     def sign(batches):
         for batch in batches:
             n, s0, s1, rows = [], [], [], []
-            for x in shingle_sets(batch.column(1), words):
+            for x in shingle_sets(batch.column(2), words):
                 n.append(len(x))
                 s0.append(int(mix(x).sum(dtype=U).astype("i8")))
                 s1.append(int(mix(x ^ U(0x5851F42D4C957F2D)).sum(dtype=U).astype("i8")))
@@ -41,9 +42,14 @@ def signatures(docs: DataFrame, words: int, left: tuple[int, int], right: tuple[
                 rows.append(h.astype("i8"))
             a, b = ([x[: left[0]] for x in rows], [x[left[0] :] for x in rows])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(a, longs), pa.array(b, longs)], ["doc_id", "n", "s0", "s1", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s0, pa.int64()), pa.array(s1, pa.int64()), pa.array(a, longs), pa.array(b, longs)], ["doc_id", "th", "n", "s0", "s1", "a", "b"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n long, s0 long, s1 long, a array<long>, b array<long>")
+    return keyed(docs).mapInArrow(sign, "doc_id long, th long, n long, s0 long, s1 long, a array<long>, b array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, th, text: what names a row is its id and a hash of its text (null: empty), for several texts may share an id."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -69,15 +75,22 @@ def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.join(seen, key)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tuple[int, int] = (16, 4), right: tuple[int, int] = (8, 2), pivots: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (doc_id is component_id) for every row of docs. See components_of."""
+    out = components_of(docs, words, percent, **how)
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def components_of(docs: DataFrame, words: int = 5, percent: int = 80, left: tuple[int, int] = (16, 4), right: tuple[int, int] = (8, 2), pivots: int = 2) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, first for every row of docs (doc_id, text).
 
     Documents link where the Jaccard similarity of their sets of `words`-word shingles is percent / 100 at least. Texts
-    without words are empty and link with nothing; neither do rows without doc_id (component_id null, kept). Repeated
-    rows have one component and are kept alike. doc_id names one text: of several texts that share an id and no class,
-    the one of the least hash stands for all when links are confirmed.
+    without words are empty and link with nothing; neither do rows without doc_id (component_id null, first). Repeated
+    rows have one component. Several texts may share an id: each goes its own way, and component_id is the smallest
+    doc_id of any row of the component. first: the row has the least (doc_id, th) of its component.
 
-    Equal sets form classes, each with its smallest doc_id as representative. Two collections of band hashes, left and
+    Equal sets form classes (by size and two 64-bit sums), numbered from 0; the row of least (doc_id, th) stands for its
+    class. Two collections of band hashes, left and
     right, are made; every pair of a left and a right band is a table, keyed by both: left[0] * right[0] tables for
     left[0] * left[1] + right[0] * right[1] minhashes. A left band that no other class has can't be part of a shared
     key, so it is dropped before pairs are formed. A pair at the threshold meets with a probability over 0.999.
@@ -87,21 +100,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     out by an exact bound (unsettled_pairs). So each pair that shares a bucket is linked by checked links, checked
     itself, or proved apart; there is no cap.
     """
-    sigs = stage(signatures(docs, words, left, right), "sigs")
+    spark = docs.sparkSession
+    with arrow_batches(spark):
+        sigs = stage(signatures(docs, words, left, right), "sigs")
     sets = ["n", "s0", "s1"]
     usable = sigs.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy(*sets).agg(F.min("doc_id").alias("rep"))
+    rows = usable.groupBy(*sets, "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    heads = rows.groupBy(*sets).agg(F.min(F.struct("doc_id", "th", "c")).alias("head"))
+    classes = number_rows(stage(heads, "heads"), sets, "rep").select(*sets, "rep", "head.doc_id", "head.th", "head.c")
+    classes = stage(classes, "classes")
+    head = classes.select("rep", "doc_id", "th", "c")
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1) or n == 9_999)  # smaller sets link with equal ones only
-    firsts = usable.where(F.col("n") >= least).join(classes, sets).where("doc_id = rep").select("rep", "n", "a", "b")
+    firsts = usable.where(F.col("n") >= least).select("doc_id", "th", "n", "a", "b").join(head, ["doc_id", "th"])
+    firsts = _one_each(stage(firsts, "firsts"), "rep")
     lefts = _shared(firsts.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"])
     rights = firsts.select("rep", "n", "b")
     keys = lefts.join(rights, "rep").select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key"))
     members = stage(_shared(keys, ["key"]).distinct(), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    ids = stage(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    texts = sized_join(docs.select(F.col("doc_id").cast("long"), "text"), ids, ["doc_id"])
-    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    texts = stage(texts.withColumnRenamed("doc_id", "id"), "texts")
+    wanted = stage(head.join(members.select("rep").distinct(), "rep").withColumnRenamed("rep", "id"), "ids")
+    texts = _one_each(stage(sized_join(keyed(docs), wanted, ["doc_id", "th"]), "texts"), "id").select("id", "text")
 
     at: DataFrame | None = None  # rep, comp: where components stand
     tried: DataFrame | None = None
@@ -112,12 +130,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
+        if pairs.isEmpty():
+            return
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = verified(pairs, texts, words, percent)
         if at is not None:
             ca, cb = at.select(F.col("rep").alias("a"), F.col("comp").alias("ca")), at.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
             links = links.join(ca, "a", "left").join(cb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        found = connected_components(stage(links, "checked"))
+        with arrow_batches(spark, 500):
+            links = stage(links, "checked")
+        found = connected_components(links)
         if at is None:
             at = stage(found.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "comps")
         else:
@@ -135,7 +157,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
         if k == 0:  # one pivot for each member will do at first
             met = met.groupBy("rep").agg(F.min("pivot").alias("pivot"))
         settle(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
-        now = members.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = members.withColumn("comp", F.col("rep")) if at is None else members.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
         open_ = stage(now.join(split, "key"), "open")
         if open_.isEmpty():
@@ -143,11 +165,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, left: tu
     else:
         settle(unsettled_pairs(open_, texts, words, percent))
 
-    found = at.select(F.col("rep"), F.col("comp"))
-    out = sigs.join(classes, sets, "left").join(found, "rep", "left")
+    tops = classes.select(*sets, "rep", F.struct("doc_id", "th").alias("own"))
+    if at is not None:
+        moved = stage(tops.join(at, "rep"), "moved")  # only classes that link
+        tops = tops.join(moved.join(moved.groupBy("comp").agg(F.min("own").alias("top")), "comp").select("rep", "top"), "rep", "left")
+        tops = tops.withColumn("own", F.coalesce("top", "own"))
+    out = sigs.select("doc_id", "th", *sets).join(tops.select(*sets, "own"), sets, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    comp = F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    comp = F.when(alone, F.col("doc_id")).otherwise(F.col("own.doc_id"))
+    first = alone | ((F.col("doc_id") == F.col("own.doc_id")) & (F.col("th") == F.col("own.th")))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), comp.alias("component_id"), first.alias("first"))
+
+
+def _one_each(rows: DataFrame, key: str) -> DataFrame:
+    """One of the rows of each key; c counts them, and only those of a count over 1, which are alike, are grouped."""
+    many = rows.where("c > 1")
+    if many.isEmpty():
+        return rows
+    one = many.groupBy(key).agg(*(F.first(x).alias(x) for x in rows.columns if x != key))
+    return rows.where("c = 1").unionByName(stage(one, "one-each"))
 
 
 def shingle_arrays(texts: DataFrame, words: int) -> DataFrame:
@@ -185,7 +221,8 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
     stars = many.join(many.groupBy("key").agg(F.min("rep").alias("hub")), "key").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     clusters = connected_components(stars.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     mine = many.select("rep", "n", "comp").distinct().join(clusters, "rep")
-    sets = stage(mine.join(shingle_arrays(texts, words), "rep"), "cluster-sets")
+    with arrow_batches(texts.sparkSession):
+        sets = stage(mine.join(shingle_arrays(texts, words), "rep"), "cluster-sets")
     parts = sets.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"))
     info = parts.groupBy("cluster").agg(F.sum("k").alias("size"), F.max(F.struct("k", "comp")).alias("top")).select("cluster", "size", F.col("top.comp").alias("main"))
     info = stage(info.withColumn("slices", F.ceil(F.col("size") / slice_rows).cast("int")), "clusters")
@@ -215,6 +252,18 @@ def unsettled_pairs(open_: DataFrame, texts: DataFrame, words: int, percent: int
 
 
 def dedup_stage(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept: one document of each group of near-duplicates, and all that link with nothing."""
-    gone = stage(near_duplicates(docs, words, percent).where("NOT kept").select("doc_id").distinct(), "gone")
-    return sized_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """The rows of docs that are kept: one row of each group of near-duplicates, and all that link with nothing.
+
+    A group keeps the row of the least (doc_id, hash of its text), once if it is repeated. Rows are dropped, not ids:
+    another text under a dropped row's id has its own place. Rows without words or doc_id stay.
+    """
+    found = stage(components_of(docs, words, percent), "found")
+    key = ["_lw_id", "_lw_th"]
+    named = found.withColumnsRenamed({"doc_id": "_lw_id", "th": "_lw_th"})
+    gone = stage(named.where("NOT first").select(*key).distinct(), "gone")
+    many = stage(named.where("first AND n_shingles > 0 AND _lw_id IS NOT NULL").groupBy(*key).count().where("count > 1").select(*key), "many")
+    rows = docs.withColumns({"_lw_id": F.col("doc_id").cast("long"), "_lw_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    kept = sized_join(rows, gone, key, "left_anti")
+    if not many.isEmpty():
+        kept = sized_join(kept, many, key, "left_anti").unionByName(sized_join(kept, many, key, "left_semi").dropDuplicates(key))
+    return kept.select(*docs.columns)
