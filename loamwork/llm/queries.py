@@ -15,6 +15,7 @@ from loamwork.llm.packing import pack_documents
 from loamwork.llm.pii import pii_documents
 from loamwork.llm.quality import score_documents
 from loamwork.llm.sharding import shard_documents
+from loamwork.llm.token_files import token_documents
 from loamwork.llm.vectors import near_vectors
 
 
@@ -29,6 +30,12 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +76,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_shard": op2_shard,
@@ -80,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
+    "op13_token_files": op13_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
