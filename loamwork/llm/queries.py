@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamwork.llm.arc import archive_pages
+from loamwork.llm.dialogue import repair_conversations
 from loamwork.llm.fingerprints import fingerprint_documents
 from loamwork.llm.langid import identify_documents
 from loamwork.llm.minhash import near_duplicates
@@ -76,6 +77,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
+    "op11_repair": op11_repair,
     "op13_token_files": op13_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
