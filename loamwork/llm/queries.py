@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loamwork.llm.arc import archive_pages
+from loamwork.llm.collocations import COLLOCATIONS_SQL, collocations
 from loamwork.llm.dialogue import repair_conversations
 from loamwork.llm.fingerprints import fingerprint_documents
 from loamwork.llm.langid import identify_documents
@@ -81,6 +82,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), word_bpe())
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_pack": op10_pack,
     "op11_repair": op11_repair,
+    "op12_collocations": op12_collocations,
     "op13_token_files": op13_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_collocations": COLLOCATIONS_SQL}
