@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import functools
+from collections import namedtuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.histograms import cumulative_buckets
+from loamwork.functions.storage import stage
 
 
-RANGES = 1024
+#: Most ranges, and the rows for which there is another one.
+RANGES, RANGE_ROWS = 1024, 50_000
 
 
-def in_ranges(rows: DataFrame, order: str, ranges: int = RANGES) -> DataFrame:
-    """rows with _range: RANGES slices of equal width of a numeric column, ascending, so that a key's history is many groups."""
-    ends = rows.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))  # one row
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(order).cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * ranges), F.lit(ranges - 1))).otherwise(0)
-    return rows.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(at, F.lit(0)).cast("int")).drop("_lo", "_hi")
+def in_ranges(rows: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """rows with _range: slices of about equal size in the order of some columns, ascending, so that a key's history is many
+    groups. A written table, since the cuts are quantiles of a sample (as Spark deals rows by range) and must be the same for all
+    who read it. Rows of one first column are parted by the others; only rows that agree in all of them stay together."""
+    n = ranges or min(RANGES, max(1, -(-rows.count() // RANGE_ROWS)))
+    if n == 1:
+        return rows.withColumn("_range", F.lit(0))
+    return stage(rows.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
 def decayed_sums(rows: DataFrame, keys: list[str], order: list[str], value: str, keep: float) -> DataFrame:
@@ -23,7 +31,7 @@ def decayed_sums(rows: DataFrame, keys: list[str], order: list[str], value: str,
 
     The sum of a range decays by the rows of the ranges after it, so ranges are summed apart and then put together.
     """
-    b = in_ranges(rows, order[0])
+    b = in_ranges(rows, order)
     back = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*(F.desc(c) for c in order))) - 1
     part = b.withColumn("_x", F.pow(F.lit(keep), back) * F.col(value)).groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum("_x").alias("_s"), F.min_by(value, F.struct(*order)).alias("_first"))
     later = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most RANGES rows
@@ -57,8 +65,8 @@ def windowed_rates(requests: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def numbered_by_key(series: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """series with _rn (1, 2, ... within the key, in order; by ranges of the first order column) and _total (rows of the key)."""
-    b = in_ranges(series, order[0])
+    """series with _rn (1, 2, ... within the key, in order; by ranges of the order) and _total (rows of the key)."""
+    b = in_ranges(series, order)
     sizes = b.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key)  # at most RANGES rows a key
     before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -96,8 +104,8 @@ def task_ewma(tasks: DataFrame, keep: float = 0.9) -> DataFrame:
 
 
 def running_mean(series: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """key, order, running_mean of all values up to the row. A key's rows are summed by ranges of the first order column, then within a range."""
-    b = in_ranges(series, order[0])
+    """key, order, running_mean of all values up to the row. A key's rows are summed by ranges of the order, then within a range."""
+    b = in_ranges(series, order)
     sums = b.groupBy(key, "_range").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows a key
     starts = sums.select(F.col(key).alias("_k"), F.col("_range").alias("_r"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
@@ -118,20 +126,44 @@ def value_histogram(df: DataFrame, value: str, bins: int = 20) -> DataFrame:
     return df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(at.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def alert_intervals(requests: DataFrame, rule: str = "errors", limit: float = 0.001, minutes: int = 60, least: int = 1) -> DataFrame:
-    """rule, begin, end (epoch seconds), windows: runs of at least `least` windows of a dense grid in which the rule fires.
+#: A rule of alerts: kind (errors: more than limit a second; silent: no requests; gauge: the newest value over limit), the
+#: minutes that an evaluation looks back over, and those for which it must hold before it fires.
+AlertRule = namedtuple("AlertRule", "name kind limit window hold")
+
+
+def metric_bins(requests: DataFrame, step: int, by: list[str]) -> DataFrame:
+    """by, bin (`step` minutes each, counted from the epoch), n, errors, last (the newest value of seconds; ties by event_id)."""
+    at = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / (step * 60))
+    return requests.where("ts IS NOT NULL").groupBy(*by, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("error"), 1)).alias("errors"), F.max_by("seconds", F.struct("ts", "event_id")).alias("last"))
+
+
+def alert_intervals(bins: DataFrame, rule: AlertRule, step: int, by: list[str]) -> DataFrame:
+    """rule, by, pending, firing, resolved (epoch seconds) of every run of evaluations in which the rule holds.
 
-    errors: more than `limit` errors a second; silent: no requests at all; gauge: some value of seconds over `limit`.
+    bins: of metric_bins. Each key is evaluated at the end of every bin from its first to its last, over the bins of the last
+    `window` minutes; bins without requests count as empty. A run is pending from its first evaluation, fires at the
+    first one `hold` minutes later (null if the run is shorter) and is resolved at the first that fails (null if none does).
     """
-    step = minutes * 60
-    at = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / step)
-    counts = requests.groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("error"), 1)).alias("errors"), F.max("seconds").alias("gauge"))
-    grid = counts.agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a IS NOT NULL").select(F.explode(F.sequence("a", "b")).alias("at"))
-    fires = {"errors": F.coalesce("errors", F.lit(0)) / step > limit, "silent": F.col("n").isNull(), "gauge": F.col("gauge") > limit}[rule]
-    rates = grid.join(counts, "at", "left").where(fires).select("at")
-    run = rates.withColumn("island", F.col("at") - F.row_number().over(Window.orderBy("at")))  # a row for each window
-    found = run.groupBy("island").agg((F.min("at") * step).alias("begin"), ((F.max("at") + 1) * step).alias("end"), F.count(F.lit(1)).alias("windows"))
-    return found.where(F.col("windows") >= least).select(F.lit(rule).alias("rule"), "begin", "end", "windows")
+    back = rule.window // step
+    ends = bins.groupBy(*by).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
+    grid = ends.select(*by, F.explode(F.sequence("_a", "_b")).alias("bin"), "_b")
+    same = lambda x, y: functools.reduce(lambda p, q: p & q, [x[c].eqNullSafe(y[c]) for c in by], x["bin"] == y["bin"])
+    full = grid.join(bins, same(grid, bins), "left").select(*(grid[c] for c in [*by, "bin", "_b"]), "n", "errors", "last")
+    seen = Window.partitionBy(*by).orderBy("bin").rowsBetween(1 - back, 0)  # a key's bins: its time span over `step`
+    value = {
+        "errors": F.coalesce(F.sum("errors").over(seen), F.lit(0)) / (rule.window * 60) > rule.limit,
+        "silent": F.coalesce(F.sum("n").over(seen), F.lit(0)) == 0,
+        "gauge": F.coalesce(F.last("last", True).over(seen) > rule.limit, F.lit(False)),
+    }[rule.kind]
+    held = full.withColumn("holds", value).where("holds")
+    run = held.withColumn("_run", F.col("bin") - F.row_number().over(Window.partitionBy(*by).orderBy("bin")))
+    runs = run.groupBy(*by, "_run", "_b").agg(F.min("bin").alias("_first"), F.max("bin").alias("_last"))
+    time = lambda c: (c + 1) * step * 60
+    fires = F.col("_first") + -(-rule.hold // step)
+    return runs.select(
+        F.lit(rule.name).alias("rule"), *by, time(F.col("_first")).alias("pending"),
+        F.when(fires <= F.col("_last"), time(fires)).alias("firing"), F.when(F.col("_last") < F.col("_b"), time(F.col("_last") + 1)).alias("resolved"),
+    )
 
 
 def topic_engagement(events: DataFrame, topic: str, n: int = 5) -> DataFrame:

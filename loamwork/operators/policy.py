@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loamwork.operators.experiments import draw
 from loamwork.operators.metrics import decayed_sums
 
+# The names of states and actions, and what each action makes of a base confidence.
 ACTIONS = ("high", "medium", "low", "cautious")
 FACTOR = {"high": 0.9, "medium": 0.7, "low": 0.4, "cautious": 0.2}
 STATES = ("factual_known", "factual_unknown", "conversational_known", "conversational_unknown", "ambiguous")

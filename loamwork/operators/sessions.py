@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamwork.operators.metrics import in_ranges
 
+# How roles are written in a context.
 ROLES = {"user": "Пользователь", "assistant": "Ассистент", "system": "Система"}
 ORDER = ("created_at", "conv_id", "turn")
 
@@ -147,14 +148,14 @@ def memory_upsert(writes: DataFrame) -> DataFrame:
 def lru_trim(entries: DataFrame, most: int, order: list[str]) -> DataFrame:
     """If there are more than `most` entries, without the oldest fifth of `most` (and what exceeds it); else all.
 
-    The rows to drop are those up to an order statistic. Counts of a thousand slices of the first order column (a
-    number) say which slice holds it; only that slice's rows are ranked, and the slices before it go whole.
+    The rows to drop are those up to an order statistic. Counts of slices of the order say
+    which slice holds it; only that slice's rows are ranked, and the slices before it go whole.
     """
     n = entries.count()
     if n <= most:
         return entries
     drop = n - most + most // 5
-    b = in_ranges(entries, order[0])
+    b = in_ranges(entries, order)
     sizes = sorted((r["_range"], r["n"]) for r in b.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # RANGES rows at most
     seen = 0
     for at, k in sizes:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loamwork.functions.joins import MOST_ROWS, sized_join
 from loamwork.functions.storage import stage
 from loamwork.functions.text import words
+from loamwork.operators.boxes import box_tiles, close_tiles
+from loamwork.operators.inverted import build_index, nearest
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -76,15 +78,19 @@ def cosine_links(vectors: DataFrame, least: float, block: str | None = None, str
     """id_a < id_b, cosine of the pairs whose cosine is `least` or more (over it, if strict), of all rows or of each block.
 
     vectors: vec_id, embedding and the block column; ids are unique. Null and zero vectors and null blocks link with
-    nothing. Rows are dealt by hash to tiles of about `tile`; each pair of tiles is one product of matrices, so a block
-    of n rows is n / tile copies of its rows in the shuffle, its work is split evenly, and only links come back.
+    nothing. Rows are dealt to tiles of about `tile` neighbours (box_tiles), and a tile meets only those whose boxes are close
+    enough for a cosine of `least` (close_tiles): far pairs are dropped before the shuffle. Each pair of tiles is one
+    product of matrices, and only links come back.
     """
     k = F.col(block).cast("string") if block else F.lit("all")
     v = vectors.select(k.alias("k"), F.col("vec_id").cast("long").alias("id"), doubles("embedding").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
     v = v.where(F.exists("v", lambda x: x != 0)).withColumn("d", F.size("v"))
-    parts = v.groupBy("k", "d").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    dealt = sized_join(v, stage(parts, "tiles"), ["k", "d"]).withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    sent = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("k", "d", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "id", "v")
+    v = stage(v, "vectors")
+    places, boxes = box_tiles(v, tile)
+    pairs = stage(close_tiles(boxes, least), "tile-pairs")
+    ends = pairs.select("k", "d", F.col("i").alias("t"), "i", "j").unionByName(pairs.where("i <> j").select("k", "d", F.col("j").alias("t"), "i", "j"))
+    dealt = v.join(places, ["k", "d", "id"])
+    sent = sized_join(dealt, stage(ends, "tile-ends"), ["k", "d", "t"]).select("k", "d", "i", "j", F.col("t").alias("p"), "id", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         p, ids = table["p"].to_numpy(), table["id"].to_numpy()
@@ -156,46 +162,15 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     return both.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "id", "score")
 
 
-def sign_bits(dim: int, bits: int, bands: int, seed: int) -> list[np.ndarray]:
-    rng = np.random.default_rng(seed)
-    return [rng.standard_normal((dim, bits)) for _ in range(bands)]
+def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int) -> DataFrame:
+    """query_id, place, vec_id, score, scanned, ranked: the k best rows by cosine, from an inverted file. See inverted.nearest."""
+    return nearest(build_index(docs, dim), queries, docs, k)
 
 
-def band_keys(vectors: DataFrame, key: str, value: str, planes: list[np.ndarray], probes: int) -> DataFrame:
-    """key, band, code: the side of random planes, and the codes with the `probes` least certain bits turned."""
-
-    def run(batches):
-        for b in batches:
-            v = np.array(b.column(1).to_pylist(), float).reshape(-1, planes[0].shape[0])
-            ids, bands, codes = [], [], []
-            for i, p in enumerate(planes):
-                x = v @ p
-                own = (x > 0) @ (1 << np.arange(p.shape[1]))
-                near = np.argsort(np.abs(x), axis=1)[:, :probes]
-                for c in [own, *(own ^ (1 << near[:, j]) for j in range(probes))]:
-                    ids.append(b.column(0).to_numpy())
-                    bands.append(np.full(len(own), i))
-                    codes.append(c)
-            if len(v):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(bands).astype("i4")), pa.array(np.concatenate(codes).astype("i8"))], [key, "band", "code"])
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, F.col(value).cast("array<double>")).mapInArrow(run, f"{key} {kind}, band int, code long")
-
-
-def ann_search(queries: DataFrame, docs: DataFrame, k: int, dim: int, bits: int = 6, bands: int = 16, probes: int = 4, seed: int = 1) -> DataFrame:
-    """query_id, place, vec_id, score (cosine): candidates of shared hyperplane codes, ranked exactly.
-
-    Every row of docs is indexed; queries probe neighbouring codes. docs: vectors of `dim` components.
-    """
-    planes = sign_bits(dim, bits, bands, seed)
-    q = band_keys(queries, "query_id", "qv", planes, probes)
-    found = sized_join(band_keys(docs, "vec_id", "embedding", planes, 0), stage(q, "probes"), ["band", "code"]).select("query_id", "vec_id").distinct()
-    few = stage(queries.select("query_id", unit(F.col("qv")).alias("qv")), "queries")
-    pairs = sized_join(found, few, ["query_id"], most=50_000).join(docs.select("vec_id", unit(doubles("embedding")).alias("v")), "vec_id")
-    rated = pairs.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("qv")), 9).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return rated.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "vec_id", "score")
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """query_id, recall: the share of each query's rows in exact (query_id, vec_id) that found has."""
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def reuse_embeddings(texts: DataFrame, stored: DataFrame) -> DataFrame:

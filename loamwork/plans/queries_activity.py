@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import stage
 from loamwork.operators import experiments as E
 from loamwork.operators import feedback as K
 from loamwork.operators import metrics as P
@@ -231,16 +232,25 @@ def _(s, d):
     return P.value_histogram(table(s, d, "events"), "value")
 
 
-def alert_sql(rule: str, step: int, fires: str) -> str:
-    return f"""(WITH c AS (SELECT CAST(floor(epoch(ts) / {step}) AS BIGINT) AS slot, count(*) AS n, count(*) FILTER (error) AS errors, max(seconds) AS gauge FROM {{fx_requests}} GROUP BY 1), g AS (SELECT unnest(range((SELECT min(slot) FROM c), (SELECT max(slot) + 1 FROM c))) AS slot),
- f AS (SELECT slot, slot - row_number() OVER (ORDER BY slot) AS island FROM g LEFT JOIN c USING (slot) WHERE {fires}) SELECT '{rule}' AS rule, min(slot) * {step} AS begin, (max(slot) + 1) * {step} AS "end", count(*) AS windows FROM f GROUP BY island)"""
+RULES = (P.AlertRule("errors", "errors", 0.0005, 60, 60), P.AlertRule("silent", "silent", 0, 60, 30), P.AlertRule("gauge", "gauge", 8.0, 60, 30))
+HOLDS = {"errors": "coalesce(sum(errors) OVER s, 0) / {w} > {limit}", "silent": "coalesce(sum(n) OVER s, 0) = 0", "gauge": "coalesce(last_value(last IGNORE NULLS) OVER s > {limit}, false)"}
 
 
-@query("alert_intervals", f"SELECT * FROM {alert_sql('errors', 3600, 'coalesce(errors, 0) / 3600 > 0.001')} UNION ALL SELECT * FROM {alert_sql('silent', 3600, 'n IS NULL')} UNION ALL SELECT * FROM {alert_sql('gauge', 300, 'gauge > 9.5')}")
+def alert_sql(rule: P.AlertRule, step: int = 5, until: str = "true") -> str:
+    width, hold = step * 60, -(-rule.hold // step)
+    holds = HOLDS[rule.kind].format(w=rule.window * 60, limit=rule.limit)
+    return f"""(WITH c AS (SELECT endpoint, CAST(floor(epoch(ts) / {width}) AS BIGINT) AS bin, count(*) AS n, count(*) FILTER (error) AS errors, arg_max(seconds, (ts, event_id)) AS last FROM {{fx_requests}} GROUP BY 1, 2),
+ k AS (SELECT * FROM c WHERE {until}), e AS (SELECT endpoint, min(bin) AS a, max(bin) AS b FROM k GROUP BY 1), g AS (SELECT endpoint, b, unnest(range(a, b + 1)) AS bin FROM e),
+ h AS (SELECT g.endpoint, g.bin, b, {holds} AS holds FROM g LEFT JOIN k ON k.endpoint = g.endpoint AND k.bin = g.bin WINDOW s AS (PARTITION BY g.endpoint ORDER BY g.bin ROWS BETWEEN {rule.window // step - 1} PRECEDING AND CURRENT ROW)),
+ r AS (SELECT *, bin - row_number() OVER (PARTITION BY endpoint ORDER BY bin) AS run FROM h WHERE holds), x AS (SELECT endpoint, b, min(bin) AS first, max(bin) AS last FROM r GROUP BY endpoint, b, run)
+ SELECT '{rule.name}' AS rule, endpoint, (first + 1) * {width} AS pending, CASE WHEN first + {hold} <= last THEN (first + {hold} + 1) * {width} END AS firing, CASE WHEN last < b THEN (last + 2) * {width} END AS resolved FROM x)"""
+
+
+@query("alert_intervals", " UNION ALL ".join(f"SELECT * FROM {alert_sql(r)}" for r in RULES))
 def _(s, d):
-    r = table(s, d, "fx_requests")
-    rules = P.alert_intervals(r, "errors", 0.001), P.alert_intervals(r, "silent"), P.alert_intervals(r, "gauge", 9.5, 5)
-    return rules[0].unionByName(rules[1]).unionByName(rules[2])
+    bins = stage(P.metric_bins(table(s, d, "fx_requests"), 5, ["endpoint"]), "bins")
+    one, two, three = (P.alert_intervals(bins, r, 5, ["endpoint"]) for r in RULES)
+    return one.unionByName(two).unionByName(three)
 
 
 @query("topic_engagement", """WITH p AS (SELECT event_type AS topic, count(*) AS n, count(*) / count(DISTINCT user_id) AS engagement, avg(CAST(event_type = 'click' AS INT)) AS ctr FROM events GROUP BY 1 ORDER BY n DESC, topic LIMIT 3)

@@ -12,7 +12,7 @@ from loamwork.operators import ingest as I
 from loamwork.operators import planning as W
 from loamwork.operators import questions as N
 from loamwork.plans.fixtures import oracle, table
-from loamwork.plans.queries_activity import LOG, QT, policy_log, rounded
+from loamwork.plans.queries_activity import LOG, QT, RULES, alert_sql, policy_log, rounded
 from loamwork.plans.queries_corpus import CLEAN, JUNK
 from loamwork.plans.queries_rules import SENT, WORDS, has
 from loamwork.streaming import jobs as X
@@ -222,10 +222,9 @@ def _(s, d):
 
 @query("stream_q_update", f"WITH {LOG}, {QT} SELECT state, action, n, round(q, 6) AS q FROM q")
 def _(s, d):
-    log = policy_log(s, d).select("state", "action", "reward", "seq")
-    out = drained(s, X.q_updates(as_stream(log, "seq")), "update")
-    last = out.groupBy("state", "action").agg(F.max(F.struct("n", "q")).alias("x"))
-    return rounded(last.select("state", "action", "x.n", "x.q"))
+    target = new_path(s, "stream-values")
+    drained(s, as_stream(policy_log(s, d).select("state", "action", "reward", "seq"), "seq"), "append", X.q_batch(target))
+    return rounded(X.stored(s, target).select("state", "action", "n", "q"))
 
 
 @query("stream_feedback_stats", f"SELECT 'rating' AS kind, CAST(rating AS BIGINT) AS slot, count(*) AS n, count(*) FILTER (helpful) AS helpful, round(avg(rating), 6) AS average FROM {{fx_feedback}} GROUP BY rating UNION ALL SELECT 'day', * FROM (SELECT CAST(floor(epoch(created_at) / 86400) AS BIGINT) * 86400 AS slot, count(*), count(*) FILTER (helpful), round(avg(rating), 6) FROM {{fx_feedback}} GROUP BY 1) WHERE slot + 86400 <= epoch({FINAL}) - 3600")
@@ -242,3 +241,14 @@ def _(s, d):
 def _(s, d):
     w = X.metric_windows(streamed(s, d))
     return X.rate_alerts(drained(s, w, "append"), 0.004).select("start", "n", "errors")
+
+
+PASSED = f"(bin + 1) * 300 <= epoch({FINAL}) - 600"
+MOVES = " UNION ALL ".join(f"SELECT rule, endpoint, '{x}' AS state, {x} AS at FROM {alert_sql(r, until=PASSED)} WHERE {x} IS NOT NULL" for r in RULES for x in ("pending", "firing", "resolved"))
+
+
+@query("stream_timed_alerts", MOVES)
+def _(s, d):
+    r = table(s, d, "fx_requests").select("event_id", "endpoint", "seconds", "error", F.col("ts").cast("timestamp").alias("ts"))
+    with X.rocksdb_state(s):
+        return drained(s, X.timed_alerts(as_stream(r, "ts"), list(RULES), 5, "endpoint"), "append")

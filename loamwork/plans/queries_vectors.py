@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamwork.functions.storage import stage
 from loamwork.operators import vectors as V
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import rounded
@@ -96,9 +97,11 @@ def _(s, d):
     return rounded(V.hybrid(sem, key, 5))
 
 
-@query("ann_search")
+@query("ann_search", f"WITH {EMB}, {Q}, r AS (SELECT query_id, vec_id, {COS} AS score FROM v, q), p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM r) SELECT query_id, place, vec_id, score, CAST(1 AS DOUBLE) AS recall FROM p WHERE place <= 5")
 def _(s, d):
-    return V.ann_search(few(s, d), emb(s, d), 5, 64)
+    found = stage(V.ann_search(few(s, d), emb(s, d), 5, 64), "found")
+    exact = V.topk(few(s, d), emb(s, d), 5, "cosine", -1.0)
+    return found.select("query_id", "place", "vec_id", "score").join(V.recall(found, exact), "query_id")
 
 
 @query("knn_self", f"WITH {UNIT}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.n, b.n), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.n, b.n), 9) DESC, b.vec_id) AS place FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT query_id, place, vec_id, score FROM p WHERE place <= 3")

@@ -148,15 +148,6 @@ def test_bad_vectors(spark):
     assert got[1] == ([0.0, 0.0], 0.0) and np.allclose(got[2][0], [0.6, 0.8])
 
 
-def test_ann_recall(spark):
-    d = "/root/testdata/sf0.01"
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), V.doubles("embedding").alias("qv"))
-    true = {(r.query_id, r.vec_id) for r in V.topk(q, e, 5, "cosine", -1.0).collect()}
-    got = {(r.query_id, r.vec_id) for r in V.ann_search(q, e, 5, 64).collect()}
-    assert len(true & got) / len(true) >= 0.9
-
-
 def test_greedy_dedup(spark):
     rng = random.Random(2)
     links = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)}
