@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,72 +21,120 @@ from loamwork.llm.huffman import Code, code_lengths, read_blocks, write_block
 #: Longest code in bits: tables of a million entries, and room for a million different ids.
 LIMIT = 20
 
+# The tokenizer's words, as its file has them and for the letters a-z and Latin ones up to U+02C1.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+LETTER, DIGIT, BLANK = "a-zªµºß-öø-ÿĀ-ˁ", "0-9²³¹¼½¾", " \t\n\x0b\x0c\r\x85\xa0"
+WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTER}]+|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+")
+#: Characters of which WORDS does not know the kind: all but ASCII, Latin, general punctuation and the euro sign.
+OTHER = re.compile("[^\x00-ˁ\u2010-\u2027\u2030-\u205e€]")
+#: Longer words go to the tokenizers library, whose merging isn't quadratic in their length.
+LONG_WORD = 1000
 
-class WordEncoder:
-    """Token ids of whole texts under a tokenizer that drops white space and never joins what white space parts.
 
-    A text is cut at ASCII white space and each piece looked up in a bounded table; unknown pieces go to the tokenizers
-    library together. Texts that hold the string of one of the file's added tokens go there whole.
+class WordEncoder(dict):
+    """Token ids of whole texts under a word-level BPE file, as little-endian 16- or 32-bit numbers.
+
+    Words of lower-cased, normalised text are looked up in a bounded table (this one); a new one is merged by tiktoken, which
+    gets the file's merges as ranks and the end of a word as a byte that UTF-8 never has. Pieces between white space that hold
+    characters of other scripts go to the tokenizers library, and so do whole texts with the string of an added
+    token, and all texts if the file splits words in another way.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.size = self.tokenizer.get_vocab_size()
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile(b"|".join(map(re.escape, added))) if added else None
-        self.known: dict[bytes, bytes] = {}
-        self.most = most
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: bytes) -> bytes:
-        if self.added and self.added.search(text):
-            return self.ids([text.decode()])[0]
-        pieces, known = text.split(), self.known
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            new = list({p for p in pieces if p not in known})
-        found = dict(zip(new, self.ids([p.decode() for p in new]), strict=True))
-        out = b"".join([known.get(p) or found.get(p, b"") for p in pieces])
-        if len(known) + len(found) > self.most:
-            known.clear()
-        if len(found) < self.most:
-            known.update((p, x) for p, x in found.items() if len(p) < 40)
-        return out
+        super().__init__()
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        model, pattern = spec["model"], spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        self.core = None
+        if pattern == SPLIT and steps == ["NFC", "Replace", "Lowercase"] and model["end_of_word_suffix"] == "</w>" and merged == sorted(merged):
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            hidden = [b for b in range(256) if b not in set(shown)]
+            byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+            bytes_of = lambda t: bytes(byte[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>")
+            ranks = {bytes_of(t): i for t, i in model["vocab"].items() if t not in added}
+            self.core = tiktoken.Encoding("file", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONG_WORD:
+            return self.library(word)
+        ids = np.array(self.core.encode_single_piece(word.encode() + b"\xff"), self.kind).tobytes()
+        if len(word) < 40:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def lowered(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # one letter at a time: no final sigma
+
+    def __call__(self, text: str) -> bytes:
+        if self.core is None or self.added and self.added.search(text):
+            return self.library(text)
+        low = self.lowered(text)
+        if low.isascii() or not OTHER.search(low):
+            return b"".join(map(self.__getitem__, WORDS.findall(low)))
+        out = []
+        for piece in map(bytes.decode, text.encode().split()):
+            low = self.lowered(piece)
+            out.append(self.library(piece) if OTHER.search(low) else b"".join(map(self.__getitem__, WORDS.findall(low))))
+        return b"".join(out)
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One table for all the tasks that a Python worker runs."""
+    return WordEncoder(path)
 
 
 def token_ids(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n, tie, ids (little-endian unsigned 32-bit) of docs (doc_id, text): a text's ids and then end_id; null is empty."""
+    """doc_id, n, tie, ids (as WordEncoder has them) of docs (doc_id, text): a text's ids and then end_id; null is empty.
+
+    Each task ends with a row of n = -1 whose `ids` are its counts of all ids, 64 bits each.
+    """
 
     def run(batches):
-        encode, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer)
+        end, total = np.array([end_id], encode.kind).tobytes(), np.zeros(encode.tokenizer.get_vocab_size(), np.int64)
+
+        def rows(names, n, tie, ids):
+            return pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "tie", "ids"])
+
         for batch in batches:
-            ids = [encode(x.as_py() or b"") + end for x in batch.column(1)]
-            tie = [zlib.crc32(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(tie, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "tie", "ids"])
+            ids = [encode(x.as_py() or "") + end for x in batch.column(1)]
+            flat = [np.frombuffer(x, encode.kind).astype("<u4") for x in ids]
+            if flat:
+                total += np.bincount(np.concatenate(flat), minlength=len(total))
+            yield rows(batch.column(0), [len(x) for x in flat], [zlib.crc32(x) for x in flat], ids)
+        yield rows(pa.array([None], pa.int64()), [-1], [0], [total.astype("<i8").tobytes()])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n long, tie long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, tie long, ids binary")
 
 
 def id_counts(ids: DataFrame) -> DataFrame:
-    """id, n over all rows of ids (ids): each task counts its own in one array as long as the largest id."""
+    """id, n over all rows: the tasks' counts, summed."""
 
-    def count(batches):
-        total = np.zeros(1, np.int64)
+    def unpack(batches):
         for batch in batches:
             for x in batch.column(0):
-                got = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(got) > len(total):
-                    got, total = total, got
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+                total = np.frombuffer(x.as_buffer(), "<i8")
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.where("n < 0").select("ids").mapInArrow(unpack, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, block_ids: int = 65_536, file_blocks: int = 64, part_ids: int = 8_000_000) -> None:
@@ -107,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
         total = int(counts.sum())
 
         def blocks(batches):
-            code, part = Code(lengths), TaskContext.get().partitionId()
+            code, part, kind = Code(lengths), TaskContext.get().partitionId(), encoder(tokenizer).kind
             held: list[tuple[int | None, np.ndarray]] = []
             n, first, number = 0, 0, 0
 
@@ -116,7 +167,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
             for batch in batches:
                 for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    held.append((d, np.frombuffer(x.as_py(), "<u4")))
+                    held.append((d, np.frombuffer(x.as_py(), kind)))
                     n += len(held[-1][1])
                     if n >= block_ids:
                         yield cut()
@@ -124,7 +175,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
             if held:
                 yield cut()
 
-        ranges = ids.repartitionByRange(max(1, -(-total // part_ids)), F.col("doc_id").asc_nulls_first(), "tie", "n")
+        ranges = ids.where("n >= 0").repartitionByRange(max(1, -(-total // part_ids)), F.col("doc_id").asc_nulls_first(), "tie", "n")
         ordered = ranges.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "n").select("doc_id", "ids")
         out = ordered.mapInArrow(blocks, "block binary").select(F.col("block").cast("string").alias("value"))
         out.write.option("maxRecordsPerFile", file_blocks).text(f"{path}/blocks")
