@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.operators.metrics import in_ranges
+from loamwork.operators.postings import containing
 
 # How roles are written in a context.
 ROLES = {"user": "Пользователь", "assistant": "Ассистент", "system": "Система"}
@@ -17,11 +18,12 @@ def _newest(group: str) -> Column:
 
 
 def session_history(messages: DataFrame, keep: int = 50) -> DataFrame:
-    """The newest `keep` messages of each session: ordinal counts all from 1, message_count is of all."""
-    w = Window.partitionBy("session_id")
-    at = F.row_number().over(w.orderBy(*ORDER)).cast("long")
-    rows = messages.withColumn("ordinal", at).withColumn("message_count", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("ordinal") > F.col("message_count") - keep).select("session_id", "ordinal", "message_count", "role", "conv_id", "turn")
+    """The newest `keep` messages of each session: ordinal counts all from 1, message_count is of all. Sessions are counted apart,
+    so only each task's newest messages are sorted with others."""
+    n = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
+    newest = messages.withColumn("back", _newest("session_id").cast("long")).where(F.col("back") <= keep)
+    both = newest.join(n.withColumnRenamed("session_id", "_s"), F.col("session_id").eqNullSafe(F.col("_s")))
+    return both.withColumn("ordinal", F.col("message_count") - F.col("back") + 1).select("session_id", "ordinal", "message_count", "role", "conv_id", "turn")
 
 
 def context_window(messages: DataFrame, size: int = 10, limit: int | None = None) -> DataFrame:
@@ -67,9 +69,10 @@ def latest_conversation(conversations: DataFrame, messages: DataFrame) -> DataFr
 
 def history_page(messages: DataFrame, limit: int = 5, offset: int = 2) -> DataFrame:
     """A page of each conversation's whole history, newest first: position, total, has_more."""
-    w = Window.partitionBy("conv_id")
-    rows = messages.withColumn("position", F.row_number().over(w.orderBy(F.desc("turn"))).cast("long")).withColumn("total", F.count(F.lit(1)).over(w))
-    return rows.where((F.col("position") > offset) & (F.col("position") <= offset + limit)).select("conv_id", "position", "turn", "role", "total", (F.col("total") > offset + limit).alias("has_more"))
+    n = messages.groupBy(F.col("conv_id").alias("_c")).agg(F.count(F.lit(1)).alias("total"))
+    at = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))).cast("long")
+    rows = messages.withColumn("position", at).where(F.col("position") <= offset + limit).where(F.col("position") > offset)
+    return rows.join(n, F.col("conv_id").eqNullSafe(F.col("_c"))).select("conv_id", "position", "turn", "role", "total", (F.col("total") > offset + limit).alias("has_more"))
 
 
 def session_stats(messages: DataFrame, as_of: int, active_hours: int = 24, ttl: int = 86_400) -> DataFrame:
@@ -121,13 +124,14 @@ def live_entries(writes: DataFrame, as_of: int, ttl: int, tags: DataFrame | None
 
 def memory_lookup(memory: DataFrame, queries: DataFrame, least: float = 0.3, k: int = 3) -> DataFrame:
     """query, place, key, confidence: an exact key of confidence `least` or more; else keys that contain the query, 0.9 of
-    whose confidence is told. At most k for each query, by key. Exact matches are an equi-join; only queries without one
-    meet the table by containment, so queries must be few (they are broadcast)."""
+    whose confidence is told. At most k for each query, by key. Exact matches are an equi-join; the other queries meet the
+    keys by postings of their rarest run of three characters (see postings.containing)."""
     good = memory.where(F.col("confidence") >= least)
     q = queries.select("query").distinct()
     exact = q.join(good, F.col("query") == F.col("key")).select("query", "key", F.col("confidence").cast("double").alias("confidence"))
     rest = q.join(exact.select("query").distinct(), "query", "left_anti")
-    part = good.join(F.broadcast(rest), F.contains(F.lower("key"), F.lower("query"))).select("query", "key", (F.col("confidence") * 0.9).cast("double").alias("confidence"))
+    held = containing(good.select(F.col("key").alias("text")), rest.select(F.col("query").alias("needle")))
+    part = held.join(good, F.col("text") == F.col("key")).select(F.col("needle").alias("query"), "key", (F.col("confidence") * 0.9).cast("double").alias("confidence"))
     w = Window.partitionBy("query").orderBy("key", F.desc("confidence"))
     return exact.unionByName(part).withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query", "place", "key", "confidence")
 

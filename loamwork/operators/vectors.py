@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.joins import MOST_ROWS, sized_join
-from loamwork.functions.storage import stage
+from loamwork.functions.joins import sized_join
+from loamwork.functions.storage import new_path, stage
 from loamwork.functions.text import words
 from loamwork.operators.boxes import box_tiles, close_tiles
 from loamwork.operators.inverted import build_index, nearest
+from loamwork.operators.postings import TermIndex
 
 
 def dot(x: Column, y: Column) -> Column:
@@ -117,12 +118,12 @@ def pairwise_cosine(vectors: DataFrame, block: str, least: float) -> DataFrame:
     return cosine_links(vectors, least, block)
 
 
-def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least: float = 0.0, where: Column | None = None, block: int = 20_000) -> DataFrame:
+def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least: float = 0.0, where: Column | None = None, block: int = 20_000, slice_rows: int = 50_000) -> DataFrame:
     """query_id, place, vec_id, score: the k best rows of docs for each query (query_id, qv).
 
     score: l2 (1 / (1 + squared distance)) or cosine (clipped). Filters apply before the top k; scores under `least`
-    go after it. Up to `block` queries are broadcast to the rows; more are dealt to blocks, and the rows are sent to each
-    block. Each task keeps its own best k of every query before the shuffle.
+    go after it. Up to `block` queries are broadcast to the rows; more are dealt to blocks and the rows to slices, and
+    each slice meets each block in a task of its own. Each task keeps its own best k of every query before the shuffle.
     """
     d = docs if where is None else docs.where(where)
     own = (lambda c: c) if score == "l2" else unit  # cosine: each vector is normalised once, before pairs are formed
@@ -131,8 +132,10 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least:
     q = stage(q, "queries")
     blocks = -(-q.count() // block)
     if blocks > 1:
-        v = v.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        both = v.join(q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "_block").where(F.size("v") == F.size("qv"))
+        parts = max(1, -(-v.count() // slice_rows))
+        v = v.withColumn("_slice", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        asked = q.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        both = v.join(asked, ["_block", "_slice"]).where(F.size("v") == F.size("qv"))
     else:
         both = v.join(F.broadcast(q), F.size("v") == F.size("qv"))
     l2 = 1 / (1 + F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
@@ -143,16 +146,11 @@ def topk(queries: DataFrame, docs: DataFrame, k: int, score: str = "l2", least:
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int, stop: tuple[str, ...] = (), least_length: int = 3) -> DataFrame:
-    """query_id, place, doc_id, score: share of the query's distinct words (3 letters or more, no stop words) in the document."""
-    token = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= least_length) & ~w.isin(*stop)))
-    q = queries.select("query_id", token(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    q = stage(q, "terms")
-    wanted = q.select("w").distinct()
-    few = q.limit(MOST_ROWS + 1).count() <= MOST_ROWS
-    postings = docs.select("doc_id", F.explode(token(F.col("text"))).alias("w")).join(F.broadcast(wanted) if few else wanted, "w")
-    hits = postings.join(F.broadcast(q) if few else q, "w").groupBy("query_id", "doc_id").agg((F.count_distinct("w") / F.max("n")).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return hits.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).select("query_id", "place", "doc_id", "score")
+    """query_id, place, doc_id, score: share of the query's distinct words (3 letters or more, no stop words) in the document.
+    For one batch of queries; where there are more, keep the TermIndex."""
+    index = TermIndex(docs.sparkSession, new_path(docs.sparkSession, "term-index"), least_length)
+    index.add(docs)
+    return index.search(queries, k, stop)
 
 
 def hybrid(semantic: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
