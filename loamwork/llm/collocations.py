@@ -20,7 +20,7 @@ TILE = 10
 #: A tile this full (one cell in eight) is counted by direct addresses, and its ids are among the first HOT tiles' ones.
 DENSE, HOT = 1 << (2 * TILE - 3), 8
 #: As many blobs of cells are merged at once, and as many finer buckets made of one.
-FAN = 64
+FAN = 256
 
 
 class _Codes(dict):
@@ -29,43 +29,43 @@ class _Codes(dict):
         return n
 
 
-def word_chunks(docs: DataFrame, most_ids: int = 4_000_000, most_words: int = 400_000) -> DataFrame:
+def word_chunks(docs: DataFrame, most_ids: int = 1_000_000, most_words: int = 200_000) -> DataFrame:
     """lang, chunk, n, words, counts, codes: the texts of docs (lang, text) in chunks of one language.
 
     codes are little-endian 32-bit numbers: 0 ends a piece, k + 1 is words[k]. n counts the words. A chunk ends after the
-    document that brings a task's chunks to most_ids words or most_words different ones.
+    document that brings it to most_ids words or most_words different ones; all of a task's end when they hold four times most_ids.
     """
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         known: dict[str, tuple[_Codes, list[np.ndarray]]] = {}
-        held = 0
+        held: dict[str, int] = {}
 
-        def flush():
-            nonlocal seq, held
-            rows: list[dict] = []
-            for lang, (codes, parts) in known.items():
+        def flush(langs):
+            nonlocal seq
+            for lang in langs:
+                codes, parts = known.pop(lang)
+                held.pop(lang)
                 all_codes = np.concatenate(parts)
                 counts = np.bincount(all_codes, minlength=len(codes))[1:]
-                rows.append({"lang": lang, "chunk": (part << 33) + seq, "n": int(counts.sum()), "words": list(codes)[1:], "counts": counts, "codes": all_codes.tobytes()})
+                row = {"lang": lang, "chunk": (part << 33) + seq, "n": int(counts.sum()), "words": list(codes)[1:], "counts": counts, "codes": all_codes.tobytes()}
                 seq += 1
-            known.clear()
-            held = 0
-            for row in rows:
                 yield pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if lang not in known:
-                    known[lang] = (_Codes({b"\xff": 0}), [])
+                    known[lang], held[lang] = (_Codes({b"\xff": 0}), []), 0
                 codes, parts = known[lang]
                 words = (text.as_py() or b"").translate(BYTES).replace(b"\xff", b" \xff ").split()
                 words.append(b"\xff")
                 parts.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
-                held += len(words)
-                if held >= most_ids or len(codes) >= most_words:
-                    yield from flush()
-        yield from flush()
+                held[lang] += len(words)
+                if sum(held.values()) >= 4 * most_ids:
+                    yield from flush(list(known))
+                elif held[lang] >= most_ids or len(codes) >= most_words:
+                    yield from flush([lang])
+        yield from flush(list(known))
 
     schema = pa.schema([("lang", pa.string()), ("chunk", pa.int64()), ("n", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary"))
@@ -82,7 +82,7 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def sequences(chunks: DataFrame, frequent: DataFrame, langs: DataFrame) -> DataFrame:
-    """lang, g, buckets, w, u: chunks numbered from 0 in each language, as ids of frequent words (-1: a break).
+    """lang, g, buckets, w, u: chunks numbered from 0 in each language, as ids of frequent words (-1: a break); an empty u says that the units are the words.
 
     A chunk's own words meet the ids of frequent ones; codes are then looked up in an array, so no table of words is sent
     to all tasks.
@@ -104,8 +104,8 @@ def sequences(chunks: DataFrame, frequent: DataFrame, langs: DataFrame) -> DataF
                 w = table[x]
                 w = w[np.concatenate([[True], (w[1:] >= 0) | (w[:-1] >= 0)])]
                 out.append(w.astype("<i4").tobytes())
-            w = pa.array(out, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), w, w], ["lang", "g", "buckets", "w", "u"])
+            none = pa.array([b""] * len(out), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary()), none], ["lang", "g", "buckets", "w", "u"])
 
     both = chunks.select("lang", "chunk", "codes").join(ids, ["lang", "chunk"]).select("lang", "g", "buckets", "codes", "ids")
     return both.mapInArrow(run, "lang string, g long, buckets long, w binary, u binary")
@@ -118,7 +118,7 @@ def cell_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The bucket, of n, of each key, by its tile and the row there; those of 64 n buckets are finer ones."""
+    """The bucket, of n, of each key, by its tile and the row there; those of FAN n buckets are finer ones."""
     strip = ((keys >> U(20)) << U(TILE)) | ((keys >> U(TILE)) & U((1 << TILE) - 1))
     h = (strip ^ (strip >> U(31))) * U(0xBF58476D1CE4E5B9)
     h = ((h ^ (h >> U(29))) * U(0x94D049BB133111EB)) >> U(32)
@@ -144,8 +144,14 @@ def count_cells(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _pairs(w: np.ndarray, u: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ids(x: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), "<i4")
+
+
+def _pairs(w: pa.Scalar, u: pa.Scalar, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, unit, word) where a frequent phrase of k words and the one a word later stand: only there may k + 1 be frequent."""
+    w, u = _ids(w), _ids(u)
+    u = u if len(u) else w
     n = max(0, len(w) - k)
     at = np.flatnonzero((u[:n] >= 0) & (u[1 : n + 1] >= 0))
     return at, u[at].astype(np.int64), w[at + k].astype(np.int64)
@@ -157,7 +163,7 @@ def tile_cells(seqs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for lang, g, n, w, u in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4), strict=True):
-                _, a, b = _pairs(np.frombuffer(w.as_buffer(), "<i4"), np.frombuffer(u.as_buffer(), "<i4"), k)
+                _, a, b = _pairs(w, u, k)
                 keys, counts = count_cells(a, b)
                 yield pa.RecordBatch.from_pylist([{"lang": lang, "g": g, "bucket": x, "buckets": n, "keys": key, "counts": c} for x, key, c in _split(keys, counts, n)], _CELLS)
 
@@ -236,8 +242,8 @@ def next_units(seqs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         keys, number = keys[order], number[order]
         out = []
         for r, w, u in zip(rows.select(["lang", "g", "buckets"]).to_pylist(), rows["w"], rows["u"], strict=True):
-            w, u = np.frombuffer(w.as_buffer(), "<i4"), np.frombuffer(u.as_buffer(), "<i4")
             at, a, b = _pairs(w, u, k)
+            w = _ids(w)
             new = np.full(len(w), -1, "<i4")
             if len(keys) and len(at):
                 own = cell_keys(a, b)
@@ -264,7 +270,7 @@ def _frequent(cells: DataFrame) -> DataFrame:
     return cells.select("lang", "bucket", "keys", "counts").mapInArrow(run, "lang string, bucket long, key long, a long, b long, f long")
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, chunk_ids: int = 4_000_000, bucket_cells: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, chunk_ids: int = 1_000_000, bucket_cells: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, k, f of every phrase of k = 1 to `longest` words that occurs `least` times; lang, n of every language).
 
     Words are ranked by frequency in each language. In each chunk of text, pairs of neighbouring ids fall into tiles of
@@ -291,7 +297,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, chunk_ids:
     units = words.select("lang", "id", F.col("word").alias("phrase"), "f")
     single = units.select("lang", F.col("id").alias("b"), F.col("phrase").alias("last"))
     found = [units.withColumn("k", F.lit(1))]
-    with arrow_batches(docs.sparkSession, 20):  # rows are chunks and blobs of some MB
+    with arrow_batches(docs.sparkSession, 4):  # rows are chunks and blobs of some MB
         for k in range(1, longest):
             seqs = stage(seqs, "sequences")
             levels = [stage(tile_cells(seqs, k), "cells")]
