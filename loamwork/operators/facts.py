@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import sized_join
 from loamwork.functions.storage import stage
 from loamwork.functions.text import AD_MARKERS, FACT_JUNK, LOW_TRUST_HOSTS, PRIORITY_HOSTS, QUESTION_WORDS, STOP_WORDS, has_any, host, sentences, words
+from loamwork.operators.quality_gate import chunk_quality_gate, length_quality  # noqa: F401
 from loamwork.operators.vectors import cosine_links, dot, embed_corpus, hashed_words, semantic_dedup
 
 # Ranking profiles and the patterns that choose them, in order.
@@ -68,11 +70,14 @@ def fact_candidates(chunks: DataFrame, **rules) -> DataFrame:
     return rows.withColumn("why", drop_reason(F.col("sentence"), w=F.col("_lw_w"), **rules)).where("why IS NULL").drop("why", "_lw_w")
 
 
-def score_facts(facts: DataFrame, keywords: list[str], position: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> DataFrame:
+def score_facts(facts: DataFrame, keywords: list[str] | Column, position: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> DataFrame:
     """facts with total_score: keywords held, place, length, digits, dates and definition; times 1.2 or 0.5 by the exact host."""
     s = F.col("sentence")
     low, n, h = F.lower(s), F.length(s), host(F.col("source_url"))
-    base = sum((F.contains(low, F.lit(k.lower())).cast("double") for k in keywords), F.lit(0.0))
+    if isinstance(keywords, Column):  # an array of lower-case words for each row
+        base = F.aggregate(keywords, F.lit(0.0), lambda n, k: n + F.contains(low, k).cast("double"))
+    else:
+        base = sum((F.contains(low, F.lit(k.lower())).cast("double") for k in keywords), F.lit(0.0))
     bonus = F.when(n.between(80, 250), 0.5).when(n.between(251, 400), 0.3).otherwise(0.0)
     digits = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d+($|[^\p{L}\p{N}_])"), 0.5).otherwise(0.0)
     dates = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d{4}($|[^\p{L}\p{N}_])") | low.rlike("млн лет"), 0.5).otherwise(0.0)
@@ -179,33 +184,55 @@ def best_chunk(chunks: DataFrame) -> DataFrame:
     return b.select("topic", "x.chunk_id", (-F.col("x.q")).alias("quality"))
 
 
-def length_quality(length: Column) -> Column:
-    return F.when(length >= 800, 0.8).when(length >= 500, 0.6).when(length >= 300, 0.4).otherwise(0.2)
+def answer_queries(queries: DataFrame, pairs: DataFrame, chunks: DataFrame, n: int = 20, encoder=None, similar: float = 0.85, most_chunks: int = 50, unasked: tuple[str, ...] = (), patterns: dict[str, str] = PROFILE_PATTERNS, profile: str | None = None, keywords: list[str] | None = None, **rules) -> DataFrame:
+    """query_id, place, sentence, score, profile, confidence: what the documents paired with each query say about it.
 
-
-def fact_pipeline(chunks: DataFrame, keywords: list[str], profile: str = "default", n: int = 20, encoder=None, similar: float = 0.85, **rules) -> DataFrame:
-    """topic, place, sentence, score, profile, confidence: gate chunks, take their sentences, drop repeats, score and keep
-    the 50 best of each topic; of those, drop what is like a better one (cosine over `similar`), rank, rerank, select.
-
-    encoder: a function of texts to vectors (see embed_corpus). Relevance is the cosine to the keywords, position the
-    share of the chunk before the sentence, ner the number of capitalised words after its first.
+    queries: query_id, query; pairs: query_id, doc_id; chunks: doc_id, idx, source_url, text. A document's chunks pass the gate
+    (quality 0.5, the first most_chunks of each document), and its sentences are found once, however many queries ask for it. For
+    each query, chunks and sentences that begin alike are taken once, sentences are scored by the query's words, and the 50
+    best stay; of those, what is like a better one (cosine over `similar`) goes, and the rest are ranked by the query's profile
+    (see profile_of), reranked and selected. Relevance is the cosine to the query's vector, position the share of the
+    chunk before the sentence, ner the number of capitalised words after its first. Queries without a sentence have no
+    rows. encoder: a function of texts to vectors (see embed_corpus); unasked: words of a query that are no
+    keywords; profile and keywords: the same for all queries; rules: of drop_reason.
     """
     encoder = encoder or hashed_words(64)
-    gated = first_by_prefix(chunks.withColumn("quality", length_quality(F.col("length"))).where("quality >= 0.5"), "text", ["topic"], ["doc_id"], 200, False)
-    gated = gated.withColumn("trust", domain_credit(host(F.col("source_url"))))
-    facts = first_by_prefix(fact_candidates(gated, **rules), "sentence", ["topic"], ["doc_id", "pos"], 100)
-    scored = score_facts(facts, keywords, F.col("pos") / F.col("of"))
-    top = best_per(scored, "topic", [F.desc(F.round("total_score", 6)), F.col("doc_id"), F.col("pos")], 50)
-    number = F.shiftleft(F.pmod(F.xxhash64("topic"), F.lit(1 << 40)), 6) + F.col("place")  # ascends by place within a topic
+    split = F.array_distinct(F.split(F.lower("query"), r"[^\p{L}\p{N}_]+"))
+    own = F.filter(split, lambda w: (F.length(w) > 2) & ~w.isin(*unasked)) if keywords is None else F.array(*(F.lit(k.lower()) for k in keywords))
+    kind = profile_of(F.col("query"), patterns) if profile is None else F.lit(profile)
+    asked = stage(queries.select("query_id", "query", own.alias("keywords"), kind.alias("profile")), "asked")
+    wanted = stage(embed_corpus(asked, "query_id", "query", encoder).withColumnRenamed("embedding", "wanted"), "query-vectors")
+    pairs = stage(pairs.select("query_id", "doc_id").distinct(), "pairs")
+    mine = sized_join(chunks.select("doc_id", "idx", "source_url", "text"), stage(pairs.select("doc_id").distinct(), "asked-docs"), ["doc_id"])
+    gated = stage(chunk_quality_gate(mine, most=most_chunks).withColumn("trust", domain_credit(host(F.col("source_url")))), "gated")
+    heads = pairs.join(gated.select("doc_id", "idx", "source_url", "quality_score", "trust", F.substring("text", 1, 200).alias("head")), "doc_id")
+    kept = stage(first_by_prefix(heads, "head", ["query_id"], ["doc_id", "idx"], 200, False).drop("head"), "kept-chunks")
+    said = stage(fact_candidates(gated.withColumn("topic", F.col("idx")), **rules).withColumnRenamed("topic", "idx"), "said")
+    facts = kept.select("query_id", "doc_id", "idx").join(said, ["doc_id", "idx"])
+    facts = first_by_prefix(facts, "sentence", ["query_id"], ["doc_id", "idx", "pos"], 100)
+    known = sized_join(facts, asked.drop("query"), ["query_id"])
+    scored = score_facts(known, F.col("keywords"), F.col("pos") / F.col("of"))
+    top = best_per(scored, "query_id", [F.desc(F.round("total_score", 6)), F.col("doc_id"), F.col("idx"), F.col("pos")], 50)
+    number = F.shiftleft(F.pmod(F.xxhash64("query_id"), F.lit(1 << 40)), 6) + F.col("place")  # ascends by place within a query
     top = stage(top.withColumn("id", number), "facts")
     top = stage(top.join(embed_corpus(top, "id", "sentence", encoder), "id"), "facts")
-    links = cosine_links(top.select(F.col("id").alias("vec_id"), "embedding", "topic"), similar, "topic", strict=True)
-    kept = semantic_dedup(top.select("id"), links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).where("kept").select("id")
-    wanted = F.array(*map(F.lit, encoder([" ".join(keywords)])[0]))
+    links = cosine_links(top.select(F.col("id").alias("vec_id"), "embedding", "query_id"), similar, "query_id", strict=True)
+    alone = semantic_dedup(top.select("id"), links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).where("kept").select("id")
     named = F.size(F.filter(F.slice(words(F.col("sentence")), 2, 10_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1)))))
-    rated = top.join(kept, "id").drop("place").withColumns({"profile": F.lit(profile), "relevance": F.greatest(dot(F.col("embedding"), wanted), F.lit(0.0)), "credit": domain_credit(host(F.col("source_url"))), "position": F.col("pos") / F.col("of"), "ner": named})
+    rated = sized_join(top.join(alone, "id").drop("place"), wanted, ["query_id"])
+    rated = rated.withColumns({"relevance": F.greatest(dot(F.col("embedding"), F.col("wanted")), F.lit(0.0)), "credit": domain_credit(host(F.col("source_url"))), "position": F.col("pos") / F.col("of"), "ner": named})
     ranked = stage(rank_facts(rated).withColumn("score", F.round("score", 6)), "ranked")
-    order = mmr_rerank(ranked.select(F.col("topic").alias("query_id"), F.col("id").alias("vec_id"), "score", F.col("embedding").alias("v")))
+    order = mmr_rerank(ranked.select("query_id", F.col("id").alias("vec_id"), "score", F.col("embedding").alias("v")))
     again = order.select(F.col("vec_id").alias("id"), F.col("place").alias("key"), F.round("mmr_score", 6).alias("mmr"))
-    chosen = dynamic_selection(ranked.join(again, "id").drop("score").withColumnRenamed("mmr", "score"), "topic", "key", 0.6, 2, n)
-    return chosen.join(answer_confidence(gated, chosen), "topic").select("topic", "place", "sentence", "score", "profile", "confidence")
+    chosen = stage(dynamic_selection(ranked.join(again, "id").drop("score").withColumnRenamed("mmr", "score"), "query_id", "key", 0.6, 2, n), "chosen")
+    sure = answer_confidence(kept.select(F.col("query_id").alias("topic"), F.col("quality_score").alias("quality"), "trust", "source_url"), chosen.select(F.col("query_id").alias("topic"), "place", "sentence"))
+    return sized_join(chosen, stage(sure.withColumnRenamed("topic", "query_id"), "confidence"), ["query_id"]).select("query_id", "place", "sentence", "score", "profile", "confidence")
+
+
+def fact_pipeline(chunks: DataFrame, keywords: list[str], profile: str = "default", n: int = 20, encoder=None, similar: float = 0.85, **rules) -> DataFrame:
+    """topic, place, sentence, score, profile, confidence: answer_queries for each topic of chunks (doc_id, topic, source_url,
+    text), asked with the same keywords; every row is a document of one chunk."""
+    rows = chunks.withColumn("idx", F.lit(0))
+    queries = chunks.select(F.col("topic").alias("query_id"), F.lit(" ".join(keywords)).alias("query")).distinct()
+    found = answer_queries(queries, chunks.select(F.col("topic").alias("query_id"), "doc_id"), rows, n, encoder, similar, profile=profile, keywords=keywords, **rules)
+    return found.withColumnRenamed("query_id", "topic")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.histograms import any_of
-from loamwork.operators.facts import length_quality
+from loamwork.functions.storage import stage
+from loamwork.operators.quality_gate import chunk_quality_gate, length_quality  # noqa: F401
 
 # What marks question-and-answer text, and the keys of such records, in order.
 QA_PATTERNS = (r"(?isu)(Вопрос|Question|Q)\s*:.*?(Ответ|Answer|A)\s*:", r"(?isu)(В|Q)\s*\..*?(О|A)\s*\.\s*\S", r"(?isu)\bFAQ\b.*?\?", r"(?imu)^\s*\d+[.)]\s*[^\n]*\?\s*$")
@@ -39,7 +40,7 @@ def format_of(content: Column) -> Column:
     qa = any_of([t.rlike(p) for p in QA_PATTERNS])
     return (
         F.when(content.isNull() | (t == ""), "empty").when(starts_ends(t, "[", "]") & is_json(t), "json_array").when(starts_ends(t, "{", "}") & is_json(t), "json_object").when(F.size(some) >= 2, "jsonl")
-        .when((F.size(lines(t)) >= 2) & first.rlike("[,;]") & first.rlike(r"\p{L}"), "csv").when(qa, "qa_text").otherwise("text")
+        .when((F.size(lines(t)) >= 2) & first.rlike("[,;\t]") & first.rlike(r"\p{L}"), "csv").when(qa, "qa_text").otherwise("text")
     )
 
 
@@ -111,6 +112,52 @@ def extract_qa_pairs(docs: DataFrame, least: int = 3, patterns: tuple[str, ...]
     return rows.select("doc_id", "x.idx", F.col("x.q").alias("question"), F.col("x.a").alias("answer"))
 
 
+#: What the route for question-and-answer files looks for: pairs that end at a blank line or the next question.
+ROUTE_PAIRS = (
+    r"(?isu)(?:Вопрос|Question|Q)[:\s]*(.*?)[\s\n]*(?:Ответ|Answer|A)[:\s]*(.*?)(?=\n\n|\n(?:Вопрос|Question|Q)[:\s]|$)",
+    r"(?isu)(?:Q:|Question:|Вопрос:|В:)[\s\n]*(.*?)[\s\n]*(?:A:|Answer:|Ответ:|О:)[\s\n]*(.*?)(?=\n\n|\n(?:Q:|Question:|Вопрос:|В:)|$)",
+)
+
+
+def qa_text() -> Column:
+    """A pair as one text."""
+    return F.concat(F.lit("Вопрос: "), "question", F.lit("\n\nОтвет: "), "answer")
+
+
+def qa_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, route, idx, question, answer, content, metadata of the pairs in docs (doc_id, content), by the route of each text.
+
+    The qa route has two patterns and wants five characters on both sides; its metadata keep 200 characters of the question and
+    500 of the answer. The universal route has three (see extract_qa_pairs), wants more than three, keeps 500 and 2000,
+    and cuts the content at 5000. Texts without a pair have no rows.
+    """
+    routed = docs.withColumn("route", route_of(F.col("content")))
+    found = []
+    for route, least, patterns, q, a, most in (("qa", 4, ROUTE_PAIRS, 200, 500, None), ("universal", 3, PAIRS, 500, 2000, 5000)):
+        pairs = extract_qa_pairs(routed.where(F.col("route") == route), least, patterns)
+        text = qa_text()
+        meta = F.create_map(F.lit("type"), F.lit("qa_pair"), F.lit("question"), F.substring("question", 1, q), F.lit("answer"), F.substring("answer", 1, a))
+        found.append(pairs.select("doc_id", F.lit(route).alias("route"), "idx", "question", "answer", (text if most is None else F.substring(text, 1, most)).alias("content"), meta.alias("metadata")))
+    return found[0].unionByName(found[1])
+
+
+def chunk_files(docs: DataFrame) -> DataFrame:
+    """doc_id, kind, idx, part, text of the chunks of docs (doc_id, content), each by its format and route: pairs of questions and
+    answers, items of JSON arrays, lines of JSON, rows of CSV, else paragraphs. A text of over ten characters without
+    any chunk is one itself; empty texts and null ones have none."""
+    d = stage(docs.select("doc_id", "content").withColumns({"format": format_of(F.col("content")), "route": route_of(F.col("content"))}), "routed")
+    part = F.lit(0).alias("part")
+    pairs = stage(qa_chunks(d.where("format <> 'empty'")).select("doc_id", F.lit("qa_pair").alias("kind"), "idx", part, F.col("content").alias("text")), "pairs")
+    rest = stage(d.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
+    items = chunk_json_array(rest).select("doc_id", F.concat(F.lit("json_"), "json_type").alias("kind"), "idx", part, "text")
+    rows = chunk_jsonl(rest).select("doc_id", F.col("json_type").alias("kind"), "idx", part, "text")
+    cells = chunk_csv(rest).select("doc_id", F.lit("csv_row").alias("kind"), F.col("row_idx").alias("idx"), part, "text")
+    plain = chunk_paragraphs(rest.where("format IN ('text', 'qa_text', 'json_object')")).select("doc_id", F.lit("paragraph").alias("kind"), "idx", "part", "text")
+    found = stage(pairs.unionByName(items).unionByName(rows).unionByName(cells).unionByName(plain), "file-chunks")
+    none = d.where(F.length("content") > 10).join(found.select("doc_id").distinct(), "doc_id", "left_anti").where("format <> 'empty'")
+    return found.unionByName(none.select("doc_id", F.lit("whole").alias("kind"), F.lit(0).alias("idx"), part, F.col("content").alias("text")))
+
+
 def qa_records(messages: DataFrame, least: int = 5) -> DataFrame:
     """conv_id, turn, kind, question, answer: each user turn with the assistant turn right after it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -176,14 +223,6 @@ def chunk_page_blocks(pages: DataFrame, n: int = 8) -> DataFrame:
     return x.select(F.concat_ws("_", "h", F.col("i").cast("string")).alias("chunk_id"), "page_id", F.least(F.length("t"), F.lit(8000)).alias("length"))
 
 
-def chunk_quality_gate(chunks: DataFrame, discovery: bool = False, most: int = 50) -> DataFrame:
-    """chunks (doc_id, idx, text) that pass: chunk_index, total_chunks (before the gate), quality_score."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
-    q = chunks.withColumn("total_chunks", total).withColumn("quality_score", length_quality(F.length("text"))).where(F.col("quality_score") >= (0.2 if discovery else 0.5))
-    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")).cast("long")
-    return q.withColumn("chunk_index", at).where(F.col("chunk_index") <= (2 * most if discovery else most))
-
-
 def fallback_chunks(docs: DataFrame, chunks: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, n_chunks, fallback: documents without chunks but of over `least` characters get one of the whole text."""
     n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

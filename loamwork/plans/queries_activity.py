@@ -266,12 +266,12 @@ def _(s, d):
 
 LINE = "concat(CASE role WHEN 'user' THEN 'Пользователь' WHEN 'assistant' THEN 'Ассистент' WHEN 'system' THEN 'Система' ELSE role END, ': ', text)"
 BACK = "row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, conv_id DESC, turn DESC)"
-BYSESSION = "m AS (SELECT * REPLACE (concat('s', conv_id % 10) AS session_id) FROM {fx_messages})"
+BYSESSION = "m AS (SELECT * REPLACE (concat('s', conv_id // 4) AS session_id) FROM {fx_messages})"
 CTX = f"{BYSESSION}, b AS (SELECT *, {BACK} AS back, {LINE} AS line FROM m), c AS (SELECT *, sum(length(line)) OVER (PARTITION BY session_id ORDER BY back DESC) AS upto FROM b WHERE back <= 10), ctx AS (SELECT session_id, count(*) AS n, string_agg(line, chr(10) ORDER BY back DESC) AS context FROM c WHERE upto <= 2000 GROUP BY session_id)"
 
 
 def by_session(s, d) -> DataFrame:
-    return table(s, d, "fx_messages").withColumn("session_id", F.concat(F.lit("s"), (F.col("conv_id") % 10).cast("string")))
+    return table(s, d, "fx_messages").withColumn("session_id", F.concat(F.lit("s"), F.floor(F.col("conv_id") / 4).cast("string")))
 
 
 @query("session_history", f"WITH {BYSESSION} SELECT session_id, ordinal, message_count, role, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, conv_id, turn) AS ordinal, count(*) OVER (PARTITION BY session_id) AS message_count FROM m) WHERE ordinal > message_count - 50")
@@ -289,9 +289,9 @@ def _(s, d):
     return M.conversation_context(by_session(s, d))
 
 
-@query("enriched_questions", f"WITH {CTX} SELECT session_id, conv_id, turn, CASE WHEN length(coalesce(context, '')) >= 20 THEN concat('Контекст:', chr(10), right(context, 2000), chr(10), chr(10), 'Вопрос: ', question) ELSE question END AS prompt FROM (SELECT *, concat('s', conv_id % 10) AS session_id FROM {{fx_questions}}) LEFT JOIN ctx USING (session_id)")
+@query("enriched_questions", f"WITH {CTX} SELECT session_id, conv_id, turn, CASE WHEN length(coalesce(context, '')) >= 20 THEN concat('Контекст:', chr(10), right(context, 2000), chr(10), chr(10), 'Вопрос: ', question) ELSE question END AS prompt FROM (SELECT *, concat('s', conv_id // 4) AS session_id FROM {{fx_questions}}) LEFT JOIN ctx USING (session_id)")
 def _(s, d):
-    q = table(s, d, "fx_questions").withColumn("session_id", F.concat(F.lit("s"), (F.col("conv_id") % 10).cast("string")))
+    q = table(s, d, "fx_questions").withColumn("session_id", F.concat(F.lit("s"), F.floor(F.col("conv_id") / 4).cast("string")))
     return M.enriched_questions(q, M.conversation_context(by_session(s, d)))
 
 

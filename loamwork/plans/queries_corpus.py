@@ -153,9 +153,10 @@ def _(s, d):
     return I.chunk_csv(RAW(s, d))
 
 
-@query("extract_qa_pairs", f"WITH q AS (SELECT doc_id, string_split(content, 'Question: ') AS p FROM {{fx_raw_files}} WHERE {FORMAT} = 'qa_text'), u AS (SELECT doc_id, generate_subscripts(p, 1) - 2 AS idx, unnest(p) AS t FROM q) SELECT doc_id, CAST(idx AS INTEGER) AS idx, trim(split_part(t, chr(10) || 'Answer: ', 1)) AS question, trim(rtrim(split_part(t, 'Answer: ', 2), chr(10))) AS answer FROM u WHERE idx >= 0 AND length(trim(split_part(t, 'Answer: ', 2))) > 3")
+@query("extract_qa_pairs", f"WITH q AS (SELECT doc_id, string_split(content, 'Question: ') AS p FROM {{fx_raw_files}} WHERE {FORMAT} = 'qa_text'), u AS (SELECT doc_id, generate_subscripts(p, 1) - 2 AS idx, unnest(p) AS t FROM q) SELECT doc_id, CAST(idx AS INTEGER) AS idx, trim(split_part(t, chr(10) || 'Answer: ', 1)) AS question, trim(rtrim(split_part(t, 'Answer: ', 2), chr(10))) AS answer, concat('Вопрос: ', trim(split_part(t, chr(10) || 'Answer: ', 1)), chr(10), chr(10), 'Ответ: ', trim(rtrim(split_part(t, 'Answer: ', 2), chr(10)))) AS content FROM u WHERE idx >= 0 AND length(trim(split_part(t, 'Answer: ', 2))) > 3")
 def _(s, d):
-    return I.extract_qa_pairs(RAW(s, d).join(I.detect_formats(RAW(s, d)).where("format = 'qa_text'"), "doc_id", "left_semi"))
+    found = I.extract_qa_pairs(RAW(s, d).join(I.detect_formats(RAW(s, d)).where("format = 'qa_text'"), "doc_id", "left_semi"))
+    return found.withColumn("content", I.qa_text())
 
 
 @query("qa_records", "WITH n AS (SELECT *, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), a AS (SELECT conv_id, turn, text AS question, CASE WHEN r2 = 'assistant' THEN t2 END AS answer FROM n WHERE role = 'user') SELECT conv_id, turn, CASE WHEN length(question) >= 5 AND length(answer) >= 5 THEN 'qa_pair' WHEN length(question) >= 5 THEN 'question_only' WHEN length(answer) >= 5 THEN 'answer_only' ELSE 'neither' END AS kind, question, answer FROM a")
@@ -214,11 +215,17 @@ def _(s, d):
     return I.ingest_summary(RAW(s, d), I.chunk_fixed(RAW(s, d)))
 
 
-@query("read_corpus_files")
-def _(s, d):
+def one_file_each(s, d) -> str:
+    """A folder with a text file for each raw document that is not empty, and a line feed after it."""
     path = new_path(s, "raw")
-    RAW(s, d).where("content <> ''").select("content").write.text(path)  # part files end in .txt
-    return S.read_corpus_files(s, path).select("size_bytes", F.length("content").alias("length"))
+    RAW(s, d).where("content <> ''").select("content").write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+@query("read_corpus_files", "SELECT CAST(strlen(content) + 1 AS BIGINT) AS size_bytes, CASE WHEN strlen(content) < 8192 THEN length(content) + 1 END AS length, CASE WHEN strlen(content) >= 8192 THEN 'too large' END AS problem FROM {fx_raw_files} WHERE content <> ''")
+def _(s, d):
+    found = S.read_corpus_files(s, one_file_each(s, d), most_bytes=8192)  # so that some are over the limit
+    return found.select("size_bytes", F.length("content").cast("long").alias("length"), "problem")
 
 
 @query("load_tables", "SELECT (SELECT count(*) FROM conversations) AS conversations, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM conversations c JOIN labels l ON l.doc_id = c.conv_id) AS joined")
@@ -229,11 +236,11 @@ def _(s, d):
     return n(t["conversations"], "conversations").crossJoin(n(t["documents"], "documents")).crossJoin(n(t["events"], "events")).crossJoin(n(j, "joined"))
 
 
-@query("knowledge_export", "SELECT doc_id, topic, CAST(length AS INTEGER) AS length FROM {fx_chunks}")
+@query("knowledge_export", "SELECT doc_id, topic, CAST(length AS INTEGER) AS length, text FROM {fx_chunks}")
 def _(s, d):
     path = new_path(s, "export")
-    S.knowledge_export(table(s, d, "fx_chunks").select("doc_id", "topic", "length"), path, "csv")
-    return s.read.option("header", "true").schema("doc_id long, topic string, length int").csv(path)
+    S.knowledge_export(table(s, d, "fx_chunks").select("doc_id", "topic", "length", "text"), path)
+    return s.read.schema("doc_id long, topic string, length int, text string").json(path)
 
 
 METRICS = "SELECT event_id AS seq, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('# HELP m', event_id % 50) WHEN 2 THEN concat('m', event_id % 50, '   ', value, ' 17') WHEN 3 THEN concat(' m', event_id % 50, ' x', value) WHEN 4 THEN concat('m', event_id % 50, '_total ', event_id) ELSE concat('m', event_id % 50) END AS value FROM events"

@@ -49,13 +49,13 @@ def _(s, d):
     return rounded(edges.crossJoin(nodes.agg(F.count(F.lit(1)).alias("n_nodes"))))
 
 
-REL = "r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE concat('e', doc_id % 50) END AS source, concat('e', (doc_id * 7) % 50) AS target, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'uses' END AS type, concat('chunk_', doc_id % 300) AS chunk_id, doc_id AS seq FROM documents)"
+REL = "r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE concat('e', doc_id // 2) END AS source, concat('e', doc_id // 3) AS target, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'uses' END AS type, concat('chunk_', doc_id) AS chunk_id, doc_id AS seq FROM documents)"
 
 
 @query("add_relations", f"WITH {REL}, k AS (SELECT * FROM r WHERE trim(source) <> ''), a AS (SELECT source AS src, target AS dst, coalesce(type, 'related') AS relation, 0.8 AS weight, seq FROM k UNION ALL SELECT chunk_id, source, 'contains_entity', 1.0, seq FROM k UNION ALL SELECT chunk_id, target, 'contains_entity', 1.0, seq FROM k), z AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, max((seq, relation, weight)) AS x FROM a GROUP BY 1, 2) SELECT src, dst, x[2] AS relation, CAST(x[3] AS DOUBLE) AS weight, (SELECT count(*) FROM (SELECT source FROM k UNION SELECT target FROM k)) AS n_new FROM z")
 def _(s, d):
     i = F.col("doc_id")
-    r = table(s, d, "documents").select(F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("e"), i % 50)).alias("source"), F.concat(F.lit("e"), (i * 7) % 50).alias("target"), F.when(i % 4 == 0, None).otherwise("uses").alias("type"), F.concat(F.lit("chunk_"), i % 300).alias("chunk_id"), i.alias("seq"))
+    r = table(s, d, "documents").select(F.when(i % 11 == 0, " ").otherwise(F.concat(F.lit("e"), F.floor(i / 2))).alias("source"), F.concat(F.lit("e"), F.floor(i / 3)).alias("target"), F.when(i % 4 == 0, None).otherwise("uses").alias("type"), F.concat(F.lit("chunk_"), i).alias("chunk_id"), i.alias("seq"))
     new, edges = G.add_relations(N(s, d), r)
     return edges.crossJoin(new.agg(F.count(F.lit(1)).alias("n_new")))
 

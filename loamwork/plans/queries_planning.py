@@ -13,8 +13,9 @@ from loamwork.operators import planning as W
 from loamwork.operators import questions as N
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import LOG, QT, RULES, alert_sql, policy_log, rounded
-from loamwork.plans.queries_corpus import CLEAN, JUNK
+from loamwork.plans.queries_corpus import CLEAN, JUNK, one_file_each
 from loamwork.plans.queries_rules import SENT, WORDS, has
+from loamwork.sources.tables import stream_corpus_files
 from loamwork.streaming import jobs as X
 
 QUERIES, SQL = {}, {}
@@ -194,21 +195,32 @@ def _(s, d):
 
 
 STREAM_CLEAN = CLEAN("text")
+RETOLD = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN concat(source, ' was told again in ', coalesce(lang, 'no language'), ' by ', doc_id, '.') ELSE text END AS text"
 
 
-@query("stream_ingest", f"WITH c AS (SELECT doc_id, {STREAM_CLEAN} AS t FROM documents), w AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 900)) AS off FROM c WHERE length(t) > 0), k AS (SELECT concat(doc_id % 700, '_', off) AS id, doc_id, substring(t, CAST(off AS INT) + 1, 1000) AS text FROM w) SELECT id, arg_max(text, doc_id) AS text FROM k GROUP BY id")
+@query("stream_ingest", f"WITH c AS (SELECT doc_id, {STREAM_CLEAN} AS t FROM ({RETOLD} FROM documents)), w AS (SELECT doc_id, t, unnest(range(0, greatest(length(t), 1), 900)) AS off FROM c WHERE length(t) > 0) SELECT concat(doc_id, '_', off) AS id, substring(t, CAST(off AS INT) + 1, 1000) AS text FROM w")
 def _(s, d):
-    target = new_path(s, "stream-table")
+    target, docs = new_path(s, "stream-table"), table(s, d, "documents")
 
     def chunker(batch):
-        clean = T.clean_corpus(batch, JUNK).select("doc_id", F.col("clean_text").alias("content"))
-        return I.chunk_fixed(clean).select(F.concat_ws("_", F.col("doc_id") % 700, "offset").alias("id"), "text", F.col("doc_id").alias("seq"))
-
-    stream = as_stream(table(s, d, "documents").select("doc_id", "source", "text"), "doc_id")
-    drained(s, stream, "append", X.ingest_batch(target, chunker))
+        last = batch.groupBy("doc_id").agg(F.max(F.struct("seq", "text", "source")).alias("x")).select("doc_id", "x.*")
+        clean = T.clean_corpus(last, JUNK).select("doc_id", F.col("clean_text").alias("content"))
+        made = I.chunk_fixed(clean).join(last.select("doc_id", "seq"), "doc_id")
+        return made.select(F.col("doc_id").alias("doc"), F.concat_ws("_", "doc_id", "offset").alias("id"), "text", "seq")
+
+    later = s.sql(RETOLD + ", source, doc_id + 1000000000 AS seq FROM {documents} WHERE doc_id % 5 = 0", documents=docs)  # a second version, of another length
+    rows = docs.select("doc_id", "text", "source", F.col("doc_id").alias("seq")).unionByName(later)
+    drained(s, as_stream(rows, "seq"), "append", X.ingest_batch(target, chunker))
     return X.stored(s, target).select("id", "text")
 
 
+@query("stream_files")
+def _(s, d):
+    target, folder = new_path(s, "stream-table"), one_file_each(s, d)
+    drained(s, stream_corpus_files(s, folder), "append", X.ingest_batch(target, X.file_chunks))
+    return X.stored(s, target).groupBy("kind").agg(F.count_distinct("doc").alias("n_files"), F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("total_length"))
+
+
 @query("stream_dedup")
 def _(s, d):
     out = drained(s, X.first_seen(streamed(s, d).select("ts", "user_id", "event_type", "event_id"), ["user_id", "event_type"], "1 hour"), "append")

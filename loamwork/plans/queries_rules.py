@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from loamwork.operators import facts as A
 from loamwork.operators import quality_gate as Q
 from loamwork.operators import results as R
+from loamwork.operators.ingest import chunk_paragraphs
 from loamwork.operators.vectors import doubles
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import rounded
+from loamwork.plans.queries_vectors import bench, shared_index
 
 QUERIES, SQL = {}, {}
 PRIO, LOW, BLACK = ("ththre.example.com", "thth.example.net"), ("cheap-pills.example.com", "m."), ("ersh",)
@@ -185,7 +187,8 @@ def _(s, d):
 @query("mmr_rerank")
 def _(s, d):
     e = table(s, d, "embeddings")
-    return A.mmr_rerank(e.select(F.col("label").alias("query_id"), "vec_id", ((F.col("vec_id") * 37 % 101) / 100).alias("score"), doubles("embedding").alias("v")))
+    rows = e.select(F.col("label").alias("query_id"), "vec_id", ((F.col("vec_id") * 37 % 101) / 100).alias("score"), doubles("embedding").alias("v"))
+    return A.mmr_rerank(A.best_per(rows, "query_id", [F.desc("score"), F.col("vec_id")], 50))
 
 
 @query("dynamic_selection", f"WITH {FC}, {SC}, {TOPF}, m AS (SELECT topic, doc_id, pos, round(CAST(total_score AS DOUBLE), 6) AS score, place, max(round(total_score, 6)) OVER (PARTITION BY topic) AS best FROM tf) SELECT topic, doc_id, pos, score FROM m WHERE place <= 20 AND (score >= best * 0.6 OR place <= 2)")
@@ -215,7 +218,12 @@ def _(s, d):
 
 @query("fact_pipeline")
 def _(s, d):
-    return A.fact_pipeline(parts(s, d), ["tion", "with"], **RULES)
+    asked = bench(s, d)
+    pairs = shared_index(s, d).search(asked, 5, ("the", "and")).select("query_id", "doc_id")
+    docs = table(s, d, "documents")
+    chunks = chunk_paragraphs(docs.select("doc_id", F.col("text").alias("content"))).withColumn("idx", F.col("idx").cast("long") * 100_000 + F.col("part"))
+    url = docs.select("doc_id", F.concat(F.lit("http://"), "source", F.lit(".example.org/"), "doc_id").alias("source_url"))
+    return A.answer_queries(asked, pairs, chunks.join(url, "doc_id"), unasked=("the", "and"), patterns=PAT, **RULES)
 
 
 KIN = {"factual": ("the ", "of "), "how_to": ("tion",), "news": ("la ",)}

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loamwork.functions.storage import stage
+from loamwork.operators.ingest import chunk_files
 from loamwork.operators.metrics import AlertRule, decayed_sums
 from loamwork.operators.policy import start_value
-from loamwork.sources.tables import upsert_chunks
 
 
 def metric_windows(events: DataFrame, minutes: int = 5, slide: int | None = None, late: str = "10 minutes", by_type: bool = False) -> DataFrame:
@@ -59,8 +59,27 @@ def merge_batch(target: str, key: list[str], make: Callable[[DataFrame], DataFra
 
 
 def ingest_batch(target: str, chunker: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: make chunks (id, text, seq) of the batch and upsert them into the table at target. See merge_batch."""
-    return merge_batch(target, ["id"], chunker, upsert_chunks, buckets)
+    """For foreachBatch: make chunks (doc, id, text, seq; others stay too) of the batch and put them in the table at target.
+
+    The chunks of a document's greatest seq replace all that it had, so none of a longer, older version stay. See merge_batch.
+    """
+
+    def replace(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.unionByName(new)
+        last = both.groupBy("doc").agg(F.max("seq").alias("_seq"))
+        return both.join(last.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")) & F.col("seq").eqNullSafe(F.col("_seq"))).drop("_doc", "_seq")
+
+    return merge_batch(target, ["doc"], chunker, replace, buckets)
+
+
+def file_chunks(batch: DataFrame) -> DataFrame:
+    """doc, id, text, kind, seq of a batch of files (path, content, seq): chunks by format and route, under the file's path. Files too
+    large to read have one row without text, of kind `too large`."""
+    docs = batch.select(F.col("path").alias("doc_id"), "content", "seq", "problem")
+    made = chunk_files(docs.where("problem IS NULL")).join(docs.select("doc_id", "seq"), "doc_id")
+    rows = made.select(F.col("doc_id").alias("doc"), F.concat_ws("_", "doc_id", "kind", "idx", "part").alias("id"), "text", "kind", "seq")
+    bad = docs.where("problem IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("problem").alias("kind"), "seq")
+    return rows.unionByName(bad)
 
 
 def first_seen(events: DataFrame, key: list[str], ttl: str = "1 hour") -> DataFrame:

@@ -169,7 +169,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.md").write_bytes(b"bad \xff byte")
     (tmp_path / "c.pdf").write_bytes(b"no")
     (tmp_path / "d.txt").write_bytes(b"x" * 100)
-    got = sorted(r.content for r in S.read_corpus_files(spark, str(tmp_path), most_bytes=50).collect())
-    assert got == ["bad � byte", "текст"]
+    rows = S.read_corpus_files(spark, str(tmp_path), most_bytes=50).collect()
+    assert sorted(r.content for r in rows if r.content is not None) == ["bad � byte", "текст"]
+    assert [(r.path[-5:], r.size_bytes, r.problem) for r in rows if r.content is None] == [("d.txt", 100, "too large")]
     with pytest.raises(ValueError):
         S.knowledge_export(spark.range(1), str(tmp_path / "x"), "xml")
