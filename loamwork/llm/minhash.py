@@ -112,10 +112,10 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, left: tupl
     head = classes.select("rep", "doc_id", "th", "c")
     least = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1) or n == 9_999)  # smaller sets link with equal ones only
     firsts = usable.where(F.col("n") >= least).select("doc_id", "th", "n", "a", "b").join(head, ["doc_id", "th"])
-    firsts = _one_each(stage(firsts, "firsts"), "rep")
+    firsts = _one_each(stage(firsts, "firsts"), "rep")  # doc_id: the class's smallest
     lefts = _shared(firsts.select("rep", F.posexplode("a").alias("i", "x")), ["i", "x"])
-    rights = firsts.select("rep", "n", "b")
-    keys = lefts.join(rights, "rep").select("rep", "n", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key"))
+    rights = firsts.select("rep", "n", F.col("doc_id").alias("low"), "b")
+    keys = lefts.join(rights, "rep").select("rep", "n", "low", "i", "x", F.posexplode("b").alias("j", "y")).select("rep", "n", "low", F.xxhash64("i", "x", "j", "y").alias("key"))
     members = stage(_shared(keys, ["key"]).distinct(), "members")
     near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     wanted = stage(head.join(members.select("rep").distinct(), "rep").withColumnRenamed("rep", "id"), "ids")
@@ -149,13 +149,13 @@ def components_of(docs: DataFrame, words: int = 5, percent: int = 80, left: tupl
 
     open_ = members.withColumn("comp", F.col("rep"))
     for k in range(pivots):
-        mark = F.xxhash64("rep", F.lit(k)) if k else F.col("rep")
+        mark = F.xxhash64("rep", F.lit(k)) if k else F.col("low")  # the first text of a group is often what the others were made from
         marked = open_.withColumn("mark", mark)
         lows = marked.groupBy("key").agg(F.min("mark").alias("mark"))
-        chosen = marked.join(lows, ["key", "mark"]).select("key", F.col("rep").alias("pivot"), F.col("n").alias("m"), F.col("comp").alias("pc"))
+        chosen = marked.join(lows, ["key", "mark"]).select("key", F.col("rep").alias("pivot"), F.col("low").alias("pl"), F.col("n").alias("m"), F.col("comp").alias("pc"))
         met = open_.join(chosen, "key").where((F.col("comp") != F.col("pc")) & near)
         if k == 0:  # one pivot for each member will do at first
-            met = met.groupBy("rep").agg(F.min("pivot").alias("pivot"))
+            met = met.groupBy("rep").agg(F.min_by("pivot", F.struct("pl", "pivot")).alias("pivot"))
         settle(met.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")))
         now = members.withColumn("comp", F.col("rep")) if at is None else members.join(at, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         split = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
