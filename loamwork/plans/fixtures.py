@@ -10,6 +10,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 CHUNK_COLUMNS = "SELECT doc_id, concat(source, '_', doc_id, '_', idx) AS chunk_id, source AS topic, concat('http://', source, '.example.org/', doc_id) AS source_url, trim(p) AS text, length(trim(p)) AS length, doc_id * 100000 + idx AS seq"
 
+#: Pages as results of five queries, with the first 200 characters of their text. Fallback results come for one query only.
+RESULT_COLUMNS = "SELECT page_id, q AS query, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substring([snippet], 1, 200) AS snippet, CASE page_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'beta_api' WHEN 3 THEN 'alpha_html' ELSE 'fallback' END AS source, CASE page_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 WHEN 3 THEN 0.7 ELSE 0.6 END AS relevance FROM {pages} CROSS JOIN (SELECT 'the' AS q UNION ALL SELECT 'of the' UNION ALL SELECT 'tion and' UNION ALL SELECT 'la vie' UNION ALL SELECT 'der Stadt') AS qs WHERE page_id % 5 <> 4 OR q = 'the'"
+
 #: {name} stands for a table or another view. Chunks are whole paragraphs (lines of over 10 characters), however long.
 VIEWS = {
     "fx_messages": "SELECT conv_id, turn, role, text, concat('s', conv_id) AS session_id, 1704067200 + conv_id * 3600 + turn * 60 AS created_at FROM {conversations}",
@@ -27,11 +30,14 @@ VIEWS = {
     "fx_task_log": "SELECT event_id, event_type AS type, event_type <> 'error' AS success, value AS processing_time, ts FROM {events}",
     "fx_chunks": CHUNK_COLUMNS + " FROM (SELECT doc_id, source, generate_subscripts(ps, 1) - 1 AS idx, unnest(ps) AS p FROM (SELECT doc_id, source, string_split(text, chr(10)) AS ps FROM {documents})) WHERE length(trim(p)) > 10",
     "fx_raw_files": "SELECT doc_id, translate(CASE doc_id % 9 WHEN 0 THEN concat('[«\"question\": \"What is ', source, '?\", \"answer\": \"A source of ', lang, '\"», \"plain ', doc_id, '\", [1, 2], ', doc_id, ']') WHEN 1 THEN concat('«\"id\": ', doc_id, ', \"text\": \"', source, '\"»') WHEN 2 THEN concat('«\"q\": \"why ', doc_id, '\", \"a\": \"so it is\"»', chr(10), chr(10), 'no json at all here', chr(10), '«\"q\": \"how\", \"a\": \"thus ', source, '\"»', chr(10), doc_id, chr(10), '«\"q\": \"x\", \"a\": \"y\"»') WHEN 3 THEN concat('name,lang,id', chr(10), source, ', ', lang, ',', doc_id, chr(10), chr(10), 'x,y,z') WHEN 4 THEN concat('name;id', chr(10), source, '; ', doc_id) WHEN 5 THEN concat('Question: what is ', source, '?', chr(10), 'Answer: it is a source', chr(10), 'Question: which language?', chr(10), 'Answer: ', lang) WHEN 6 THEN '' ELSE text END, '«»', concat(chr(123), chr(125))) AS content FROM {documents}",
-    "fx_search_results": "SELECT page_id, q AS query, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, substring(html, 1, 200) AS snippet, CASE page_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'beta_api' WHEN 3 THEN 'alpha_html' ELSE 'fallback' END AS source, CASE page_id % 5 WHEN 0 THEN 0.8 WHEN 1 THEN 0.7 WHEN 2 THEN 0.6 WHEN 3 THEN 0.7 ELSE 0.6 END AS relevance FROM {pages} CROSS JOIN (SELECT 'the' AS q UNION ALL SELECT 'of the') AS qs WHERE page_id % 5 <> 4 OR q = 'the'",
+    "fx_search_results": RESULT_COLUMNS.replace("[snippet]", r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g'))"),
 }
 
 #: The views that Spark's dialect says otherwise.
-SPARK_VIEWS = {"fx_chunks": CHUNK_COLUMNS + " FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (idx, p) FROM {documents}) WHERE length(trim(p)) > 10"}
+SPARK_VIEWS = {
+    "fx_search_results": RESULT_COLUMNS.replace("[snippet]", r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' '), '<[^>]+>', ' '), '[ \\t\\n\\r]+', ' '))"),
+    "fx_chunks": CHUNK_COLUMNS + " FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (idx, p) FROM {documents}) WHERE length(trim(p)) > 10",
+}
 
 
 def _names(sql: str) -> list[str]:
