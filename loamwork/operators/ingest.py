@@ -142,12 +142,12 @@ def qa_chunks(docs: DataFrame) -> DataFrame:
 
 
 def chunk_files(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, idx, part, text of the chunks of docs (doc_id, content), each by its format and route: pairs of questions and
-    answers, items of JSON arrays, lines of JSON, rows of CSV, else paragraphs. A text of over ten characters without
+    """doc_id, kind, idx, part, text of the chunks of docs (doc_id, content), each by its format: items of JSON arrays, lines of JSON, rows
+    of CSV, and of other texts the pairs of questions and answers (by route), else paragraphs. A text of over ten characters without
     any chunk is one itself; empty texts and null ones have none."""
     d = stage(docs.select("doc_id", "content").withColumns({"format": format_of(F.col("content")), "route": route_of(F.col("content"))}), "routed")
     part = F.lit(0).alias("part")
-    pairs = stage(qa_chunks(d.where("format <> 'empty'")).select("doc_id", F.lit("qa_pair").alias("kind"), "idx", part, F.col("content").alias("text")), "pairs")
+    pairs = stage(qa_chunks(d.where("format IN ('qa_text', 'text')")).select("doc_id", F.lit("qa_pair").alias("kind"), "idx", part, F.col("content").alias("text")), "pairs")
     rest = stage(d.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
     items = chunk_json_array(rest).select("doc_id", F.concat(F.lit("json_"), "json_type").alias("kind"), "idx", part, "text")
     rows = chunk_jsonl(rest).select("doc_id", F.col("json_type").alias("kind"), "idx", part, "text")
