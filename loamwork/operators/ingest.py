@@ -25,6 +25,11 @@ def is_json(c: Column) -> Column:
     return F.coalesce(F.size(one) == 1, F.lit(False))
 
 
+def strip(c: Column) -> Column:
+    """The text without blanks and line ends around it."""
+    return F.trim(c, F.lit(" \t\n\r"))
+
+
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
@@ -34,7 +39,7 @@ def starts_ends(c: Column, a: str, b: str) -> Column:
 
 
 def format_of(content: Column) -> Column:
-    t = F.trim(content)
+    t = strip(content)
     some = F.filter(F.slice(lines(t), 1, 20), lambda x: starts_ends(F.trim(x), "{", "}") & is_json(x))
     first = F.get(lines(t), F.lit(0))
     qa = any_of([t.rlike(p) for p in QA_PATTERNS])
@@ -54,7 +59,7 @@ def _has_keys(item: Column, keys: tuple[str, ...]) -> Column:
 
 def route_of(content: Column, look: int = 5000) -> Column:
     """qa or universal, by the first `look` characters."""
-    t = F.trim(F.substring(content, 1, look))
+    t = strip(F.substring(content, 1, look))
     first = F.get_json_object(t, "$[0]")
     pair = lambda x: _has_keys(x, QUESTION_KEYS) & _has_keys(x, ANSWER_KEYS)
     many = F.size(F.filter(F.slice(lines(t), 1, 10), lambda x: starts_ends(F.trim(x), "{", "}") & pair(x))) >= 3
@@ -87,7 +92,7 @@ def chunk_jsonl(docs: DataFrame, least: int = 10) -> DataFrame:
 
 def chunk_csv(docs: DataFrame) -> DataFrame:
     """doc_id, row_idx, text, delimiter: the first of `,`, `;` and tab that the first line holds (`,` if none); the header is a row."""
-    d = docs.where(format_of(F.col("content")) == "csv").select("doc_id", F.trim("content").alias("c"))
+    d = docs.where(format_of(F.col("content")) == "csv").select("doc_id", strip(F.col("content")).alias("c"))
     first = F.get(lines(F.col("c")), F.lit(0))
     delim = F.when(F.contains(first, F.lit(",")), ",").when(F.contains(first, F.lit(";")), ";").when(F.contains(first, F.lit("\t")), "\t").otherwise(",")
     rows = d.select("doc_id", delim.alias("delimiter"), F.posexplode(lines(F.col("c"))).alias("row_idx", "line")).where("trim(line) <> ''")

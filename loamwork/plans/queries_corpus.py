@@ -109,9 +109,10 @@ def _(s, d):
     return T.fallback_sentences(table(s, d, "fx_chunks"))
 
 
-LINES = "string_split(trim(content), chr(10))"
-QA = "(regexp_matches(trim(content), '(?is)(Вопрос|Question|Q)\\s*:.*?(Ответ|Answer|A)\\s*:') OR regexp_matches(trim(content), '(?is)(В|Q)\\s*\\..*?(О|A)\\s*\\.\\s*\\S') OR regexp_matches(trim(content), '(?is)\\bFAQ\\b.*?\\?') OR regexp_matches(trim(content), '(?im)^\\s*\\d+[.)]\\s*[^\\n]*\\?\\s*$'))"
-FORMAT = f"CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN trim(content) LIKE '[%]' AND json_valid(trim(content)) THEN 'json_array' WHEN trim(content) LIKE chr(123) || '%' || chr(125) AND json_valid(trim(content)) THEN 'json_object' WHEN len(list_filter({LINES}[1:20], lambda x: trim(x) LIKE chr(123) || '%' || chr(125) AND json_valid(x))) >= 2 THEN 'jsonl' WHEN len({LINES}) >= 2 AND regexp_matches({LINES}[1], '[,;]') AND regexp_matches({LINES}[1], '\\p{{L}}') THEN 'csv' WHEN {QA} THEN 'qa_text' ELSE 'text' END".replace("{{L}}", "{L}")
+STRIP = "trim(content, ' ' || chr(9) || chr(10) || chr(13))"
+LINES = f"string_split({STRIP}, chr(10))"
+QA = "(regexp_matches(trim(content), '(?is)(Вопрос|Question|Q)\\s*:.*?(Ответ|Answer|A)\\s*:') OR regexp_matches(trim(content), '(?is)(В|Q)\\s*\\..*?(О|A)\\s*\\.\\s*\\S') OR regexp_matches(trim(content), '(?is)\\bFAQ\\b.*?\\?') OR regexp_matches(trim(content), '(?im)^\\s*\\d+[.)]\\s*[^\\n]*\\?\\s*$'))".replace("trim(content)", STRIP)
+FORMAT = f"CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN trim(content) LIKE '[%]' AND json_valid(trim(content)) THEN 'json_array' WHEN trim(content) LIKE chr(123) || '%' || chr(125) AND json_valid(trim(content)) THEN 'json_object' WHEN len(list_filter({LINES}[1:20], lambda x: trim(x) LIKE chr(123) || '%' || chr(125) AND json_valid(x))) >= 2 THEN 'jsonl' WHEN len({LINES}) >= 2 AND regexp_matches({LINES}[1], '[,;]') AND regexp_matches({LINES}[1], '\\p{{L}}') THEN 'csv' WHEN {QA} THEN 'qa_text' ELSE 'text' END".replace("{{L}}", "{L}").replace("trim(content)", STRIP)
 
 
 @query("detect_formats", f"SELECT doc_id, {FORMAT} AS format FROM {{fx_raw_files}}")
@@ -123,11 +124,11 @@ def keyed(item: str, keys: tuple[str, ...]) -> str:
     return "coalesce(" + ", ".join(f"json_extract_string(CASE WHEN json_valid({item}) THEN {item} END, '$.{k}')" for k in keys) + ") IS NOT NULL"
 
 
-T5 = "trim(substring(content, 1, 5000))"
+T5 = "trim(substring(content, 1, 5000), ' ' || chr(9) || chr(10) || chr(13))"
 ITEM = f"json_extract(CASE WHEN json_valid({T5}) THEN {T5} END, '$[0]')"
 JL = f"len(list_filter(string_split({T5}, chr(10))[1:10], lambda x: trim(x) LIKE chr(123) || '%' || chr(125) AND json_valid(x) AND {keyed('x', I.QUESTION_KEYS)} AND {keyed('x', I.ANSWER_KEYS)})) >= 3"
 MARKS = f"({has(f'lower({T5})', ('вопрос:', 'question:', 'q:', 'в:'))} AND {has(f'lower({T5})', ('ответ:', 'answer:', 'a:', 'о:'))})"
-ROUTE = f"CASE WHEN coalesce(({T5} LIKE '[%' AND {keyed(ITEM, I.QUESTION_KEYS)} AND {keyed(ITEM, I.ANSWER_KEYS)}) OR {JL} OR {QA.replace('trim(content)', T5)} OR {MARKS}, false) THEN 'qa' ELSE 'universal' END"
+ROUTE = f"CASE WHEN coalesce(({T5} LIKE '[%' AND {keyed(ITEM, I.QUESTION_KEYS)} AND {keyed(ITEM, I.ANSWER_KEYS)}) OR {JL} OR {QA.replace(STRIP, T5)} OR {MARKS}, false) THEN 'qa' ELSE 'universal' END"
 
 
 @query("route_processor", f"SELECT doc_id, {ROUTE} AS route FROM {{fx_raw_files}}")
@@ -148,7 +149,7 @@ def _(s, d):
     return I.chunk_jsonl(RAW(s, d))
 
 
-@query("chunk_csv", f"WITH f AS (SELECT doc_id, trim(content) AS c, CASE WHEN contains({LINES}[1], ',') THEN ',' WHEN contains({LINES}[1], ';') THEN ';' ELSE ',' END AS delimiter FROM {{fx_raw_files}} WHERE {FORMAT} = 'csv'), l AS (SELECT doc_id, delimiter, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS row_idx, unnest(string_split(c, chr(10))) AS line FROM f) SELECT doc_id, CAST(row_idx AS INTEGER) AS row_idx, concat('Строка ', row_idx + 1, ': ', array_to_string(list_transform(string_split(line, delimiter), lambda x: trim(x)), ', ')) AS text, delimiter FROM l WHERE trim(line) <> ''")
+@query("chunk_csv", f"WITH f AS (SELECT doc_id, {STRIP} AS c, CASE WHEN contains({LINES}[1], ',') THEN ',' WHEN contains({LINES}[1], ';') THEN ';' ELSE ',' END AS delimiter FROM {{fx_raw_files}} WHERE {FORMAT} = 'csv'), l AS (SELECT doc_id, delimiter, generate_subscripts(string_split(c, chr(10)), 1) - 1 AS row_idx, unnest(string_split(c, chr(10))) AS line FROM f) SELECT doc_id, CAST(row_idx AS INTEGER) AS row_idx, concat('Строка ', row_idx + 1, ': ', array_to_string(list_transform(string_split(line, delimiter), lambda x: trim(x)), ', ')) AS text, delimiter FROM l WHERE trim(line) <> ''")
 def _(s, d):
     return I.chunk_csv(RAW(s, d))
 
