@@ -86,12 +86,16 @@ def cosine_links(vectors: DataFrame, least: float, block: str | None = None, str
     k = F.col(block).cast("string") if block else F.lit("all")
     v = vectors.select(k.alias("k"), F.col("vec_id").cast("long").alias("id"), doubles("embedding").alias("v")).where("k IS NOT NULL AND v IS NOT NULL")
     v = v.where(F.exists("v", lambda x: x != 0)).withColumn("d", F.size("v"))
-    v = stage(v, "vectors")
-    places, boxes = box_tiles(v, tile)
-    pairs = stage(close_tiles(boxes, least), "tile-pairs")
-    ends = pairs.select("k", "d", F.col("i").alias("t"), "i", "j").unionByName(pairs.where("i <> j").select("k", "d", F.col("j").alias("t"), "i", "j"))
-    dealt = v.join(places, ["k", "d", "id"])
-    sent = sized_join(dealt, stage(ends, "tile-ends"), ["k", "d", "t"]).select("k", "d", "i", "j", F.col("t").alias("p"), "id", "v")
+    if (v.groupBy("k", "d").count().agg(F.max("count")).first()[0] or 0) <= tile:  # every block is one tile
+        zero = [F.lit(0).alias(c) for c in ("i", "j", "p")]
+        sent = v.select("k", "d", *zero, "id", "v")
+    else:
+        v = stage(v, "vectors")
+        places, boxes = box_tiles(v, tile)
+        pairs = stage(close_tiles(boxes, least), "tile-pairs")
+        ends = pairs.select("k", "d", F.col("i").alias("t"), "i", "j").unionByName(pairs.where("i <> j").select("k", "d", F.col("j").alias("t"), "i", "j"))
+        dealt = v.join(places, ["k", "d", "id"])
+        sent = sized_join(dealt, stage(ends, "tile-ends"), ["k", "d", "t"]).select("k", "d", "i", "j", F.col("t").alias("p"), "id", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         p, ids = table["p"].to_numpy(), table["id"].to_numpy()
