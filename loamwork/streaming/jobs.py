@@ -178,7 +178,8 @@ class AlertMachine(StatefulProcessor):
                         out.append((rule.name, "firing", t))
             at = int(end)
         self.known.update((json.dumps([at, recent, since]),))
-        yield pd.DataFrame({"rule": [x[0] for x in out], self.by: [key[0]] * len(out), "state": [x[1] for x in out], "at": pd.Series([x[2] for x in out], dtype="int64")})
+        if out:  # the columns of an empty frame are floats, which Spark can't make strings of
+            yield pd.DataFrame({"rule": [x[0] for x in out], self.by: [key[0]] * len(out), "state": [x[1] for x in out], "at": pd.Series([x[2] for x in out], dtype="int64")})
 
     def close(self) -> None:
         pass

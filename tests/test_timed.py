@@ -97,6 +97,19 @@ def test_alerts_on_a_stream_with_late_rows(spark):
     assert sorted(map(tuple, spark.read.schema(moves.schema).parquet(out2).collect())) == machine(rows, until=until)
 
 
+def test_a_batch_without_moves(spark):
+    at = lambda n: 1_700_000_100 + n * 300
+    calm = [(n, "b", at(n), 1.0, False) for n in range(12)]
+    loud = [(100 + n, "a", at(n), 3.0, True) for n in range(12)]
+    rows = [*calm, *loud]
+    moves = X.timed_alerts(stream(spark, [calm[:6] + loud[:6], calm[6:] + loud[6:]]), RULES, 5, "endpoint")
+    out = new_path(spark, "out")
+    with X.rocksdb_state(spark):
+        moves.writeStream.trigger(availableNow=True).option("checkpointLocation", new_path(spark, "check")).format("parquet").option("path", out).start().awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(moves.schema).parquet(out).collect()))
+    assert got == machine(rows, until=max(r[2] for r in rows) - 600) and {x[1] for x in got} == {"a"}
+
+
 def test_steps_compose(spark, monkeypatch):
     monkeypatch.setattr(P, "RANGE_ROWS", 20)
     rng = random.Random(4)
