@@ -29,8 +29,12 @@ def metric_windows(events: DataFrame, minutes: int = 5, slide: int | None = None
 
 
 def stored(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
-    """The rows of a table that merge_batch keeps: of each bucket, those of its newest version (under `before`, if given)."""
+    """The rows of a table that merge_batch keeps: of each bucket, those of its newest version (under `before`, if given);
+    of one that ingest_batch keeps, the chunks of each document's greatest seq."""
     every = spark.read.parquet(target)
+    if "_bucket" not in every.columns:
+        last = every.groupBy(F.col("doc").alias("_doc")).agg(F.max("seq").alias("_seq"))
+        return every.join(last, F.col("doc").eqNullSafe(F.col("_doc")) & F.col("seq").eqNullSafe(F.col("_seq"))).drop("_doc", "_seq")
     every = every if before is None else every.where(F.col("_version") < before)
     newest = every.groupBy("_bucket").agg(F.max("_version").alias("_version"))  # a row for each bucket
     return every.join(F.broadcast(newest), ["_bucket", "_version"])
@@ -61,15 +65,16 @@ def merge_batch(target: str, key: list[str], make: Callable[[DataFrame], DataFra
 def ingest_batch(target: str, chunker: Callable[[DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: make chunks (doc, id, text, seq; others stay too) of the batch and put them in the table at target.
 
-    The chunks of a document's greatest seq replace all that it had, so none of a longer, older version stay. See merge_batch.
+    The chunks of a document's greatest seq replace all that it had, so none of a longer, older version stay. A batch adds its
+    own chunks as a version, in `buckets` files at most, and reads and rewrites nothing of the table; one that runs again
+    replaces what it wrote. `stored` reads the table.
     """
 
-    def replace(old: DataFrame, new: DataFrame) -> DataFrame:
-        both = old.unionByName(new)
-        last = both.groupBy("doc").agg(F.max("seq").alias("_seq"))
-        return both.join(last.withColumnRenamed("doc", "_doc"), F.col("doc").eqNullSafe(F.col("_doc")) & F.col("seq").eqNullSafe(F.col("_seq"))).drop("_doc", "_seq")
+    def run(batch: DataFrame, epoch: int) -> None:
+        made = chunker(batch).withColumn("_version", F.lit(epoch)).coalesce(buckets)
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_version").parquet(target)
 
-    return merge_batch(target, ["doc"], chunker, replace, buckets)
+    return run
 
 
 def file_chunks(batch: DataFrame) -> DataFrame:

@@ -82,6 +82,18 @@ def test_new_versions_leave_no_old_chunks(spark):
     assert got == {(d, t) for d, _, t, _ in rows if d != 3} | {(3, "newer"), (99, "first")}
 
 
+def test_a_batch_rewrites_nothing(spark):
+    target = new_path(spark, "log")
+    step = X.ingest_batch(target, lambda b: b, buckets=4)
+    schema = "doc long, id string, text string, seq long"
+    step(spark.createDataFrame([(d, f"{d}", "x", 0) for d in range(100)], schema), 0)
+    for epoch in (1, 2, 2):  # the last batch runs again
+        step(spark.createDataFrame([(epoch, "a", "new", epoch), (epoch, "b", "new", epoch)], schema), epoch)
+    assert spark.read.parquet(target).count() == 104
+    got = {(r.doc, r.id, r.text) for r in X.stored(spark, target).collect()}
+    assert got == {(d, f"{d}", "x") for d in range(100) if d not in (1, 2)} | {(d, i, "new") for d in (1, 2) for i in "ab"}
+
+
 def test_routes_of_pairs(spark):
     texts = ["Question: abcd\nAnswer: efgh", "Question: what is it?\nAnswer: a thing\n\nand more", "Where is it?: over there", None]
     got = [(r.doc_id, r.route, r.question, r.answer, r.content) for r in I.qa_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")).orderBy("doc_id").collect()]
@@ -143,3 +155,11 @@ def test_fifty_chunks_of_a_document(spark, answers):
     _, _, chunks = answers
     gated = I.chunk_quality_gate(chunks).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in gated}[3] == 50
+
+
+def test_files_are_written_by_many_tasks(spark, small):
+    from loamwork.plans.queries_corpus import one_file_each
+
+    names = [r.path.rsplit("/", 1)[1] for r in S.read_corpus_files(spark, one_file_each(spark, small)).select("path").collect()]
+    tasks = [n.split("-")[1] for n in names]
+    assert len(names) == 178 and len(set(tasks)) >= 4 and max(map(tasks.count, set(tasks))) < 100
