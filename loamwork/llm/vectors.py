@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.joins import sized_join
 from loamwork.functions.storage import stage
-from loamwork.operators.components import connected_components
+from loamwork.operators.components import connected_components, forest
 
 
 def usable(v: Column) -> Column:
@@ -93,19 +93,6 @@ def linked_blocks(x: np.ndarray, lhs: np.ndarray, rhs: np.ndarray | None, axes:
                     yield p[i], q[j]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For n nodes and links (i, j): the smallest node that each can reach."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,19 @@ from loamwork.functions.joins import MOST_ROWS
 from loamwork.functions.storage import stage
 
 
+def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n nodes and links (i, j): the smallest node that each can reach."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b of one type): component is the smallest node reachable.
 

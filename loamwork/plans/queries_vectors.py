@@ -140,8 +140,7 @@ def _(s, d):
 
 @query("semantic_dedup", f"WITH RECURSIVE {UNIT}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id WHERE list_dot_product(a.n, b.n) > 0.3), o AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS k FROM v), r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.b = o.id AND list_contains(r.kept, l.a)) THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.k = r.k + 1) SELECT id, list_contains((SELECT arg_max(kept, k) FROM r), id) AS kept FROM o")
 def _(s, d):
-    links = V.cosine_links(emb(s, d), 0.3, strict=True).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-    return V.semantic_dedup(emb(s, d).select(F.col("vec_id").alias("id")), links)
+    return V.greedy_dedup(emb(s, d), 0.3, strict=True)
 
 
 @query("related_terms", f"WITH {KQ}, w AS (SELECT query_id, place AS hit, unnest(list_slice(regexp_extract_all(lower(text), '[a-zа-я]{{4,}}'), 1, 10)) AS term, generate_subscripts(list_slice(regexp_extract_all(lower(text), '[a-zа-я]{{4,}}'), 1, 10), 1) AS pos FROM kw JOIN documents USING (doc_id) WHERE place <= 5), f AS (SELECT query_id, term, min((hit, pos)) AS x FROM w WHERE NOT contains('the thing', term) AND NOT regexp_matches(term, 'with|from') GROUP BY 1, 2), r AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY x) AS place FROM f) SELECT query_id, place, term FROM r WHERE place <= 5")
