@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def has_any(text: Column, phrases: tuple[str, ...]) -> Column:
     return any_of([F.coalesce(F.contains(text, F.lit(p)), F.lit(False)) for p in phrases])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once for each row, however often it is used: also inside the lambdas of use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
     """Runs of non-blank characters."""
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamwork.functions.text import has_any, sentences, words
+from loamwork.functions.storage import stage
+from loamwork.functions.text import has_any, let, sentences, words
 
 # Templates by kind, deepening templates by depth, prefixes of topics, follow-ups by marker.
 TEMPLATES = {
@@ -61,17 +62,45 @@ def clean_topic(topic: Column) -> Column:
     return F.trim(F.regexp_replace(t, "(?iu)^(" + "|".join(PREFIXES) + ")", ""))
 
 
-def deepening_questions(rows: DataFrame, depth: int, n: int = 5) -> DataFrame:
+HEAD = 600
+
+
+def _first_terms(text: Column, n: int) -> Column:
+    """good, long: the first n distinct terms of each kind (term, pos), and how many words are of the first kind (3 at most)."""
+    def ok(c: Column) -> Column:
+        first = F.left(c, F.lit(1))
+        return (F.length(c) >= 5) & ((first != F.lower(first)) | (F.length(c) >= 7)) & ~F.lower(c).isin(*STOP_TERMS) & c.rlike(r"^\p{L}+$")
+
+    def firsts(all_: Column, some: Column) -> Column:
+        return F.transform(F.slice(F.array_distinct(some), 1, n), lambda t: F.struct(t.alias("term"), F.array_position(all_, t).alias("pos")))
+
+    def found(raw: Column, bare: Column) -> Column:
+        long_ = F.filter(raw, lambda x: (F.length(x) > 5) & x.rlike(r"^\p{L}+$"))
+        return let(F.filter(bare, ok), lambda good: F.struct(firsts(bare, good).alias("good"), firsts(raw, long_).alias("long"), F.least(F.size(good), F.lit(3)).alias("n")))
+
+    strip = lambda x: F.regexp_replace(x, r"^[.,!?;:()\[\]{}«»\"]+|[.,!?;:()\[\]{}«»\"]+$", "")
+    return let(words(text), lambda raw: let(F.transform(raw, strip), lambda bare: found(raw, bare)))
+
+
+def deepening_questions(rows: DataFrame, depth: int, n: int = 5, head: int = HEAD) -> DataFrame:
     """topic, place, question about the first n distinct terms: alphabetic words of 5 letters, capitalised or of 7, no stop
-    words; if there are under 3, words of over 5 letters follow. rows: topic, seq, text."""
-    w = rows.select("topic", "seq", F.posexplode(words(F.col("text"))).alias("pos", "raw"))
-    c = F.regexp_replace("raw", r"^[.,!?;:()\[\]{}«»\"]+|[.,!?;:()\[\]{}«»\"]+$", "")
-    first = F.left(c, F.lit(1))
-    ok = (F.length(c) >= 5) & ((first != F.lower(first)) | (F.length(c) >= 7)) & ~F.lower(c).isin(*STOP_TERMS) & c.rlike(r"^\p{L}+$")
-    long_ = (F.length("raw") > 5) & F.col("raw").rlike(r"^\p{L}+$")
-    good = w.where(ok).select("topic", F.lit(0).alias("k"), "seq", "pos", c.alias("term"))
-    count = good.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    more = w.where(long_).join(count, "topic", "left").where("coalesce(n, 0) < 3").select("topic", F.lit(1).alias("k"), "seq", "pos", F.col("raw").alias("term"))
+    words; if there are under 3, words of over 5 letters follow. rows: topic, seq, text.
+
+    Only the first n distinct terms of a row can be among the first n of its topic. They are looked for in the whole words of its
+    first `head` characters, and in all of the text where these hold fewer than n, or than 3.
+    """
+    text = F.col("text")
+    cut = F.regexp_replace(F.substring(text, 1, head), r"\S*$", "")  # the last word may go on
+    whole = F.length(text) <= head
+
+    def terms(x: Column) -> Column:
+        return F.when(whole | ((F.size(x["good"]) >= n) & (x["n"] >= 3)), x).otherwise(_first_terms(text, n))
+
+    x = let(_first_terms(F.when(whole, text).otherwise(cut), n), terms)
+    t = stage(rows.where("text IS NOT NULL").select("topic", "seq", x.alias("x")).select("topic", "seq", "x.*"), "first-terms")
+    few = t.groupBy("topic").agg(F.sum("n").alias("c")).where("c < 3 OR topic IS NULL").select(F.col("topic").alias("few"))
+    good = t.select("topic", "seq", F.explode("good").alias("x")).select("topic", F.lit(0).alias("k"), "seq", "x.pos", "x.term")
+    more = t.join(few, F.col("topic").eqNullSafe(F.col("few"))).select("topic", "seq", F.explode("long").alias("x")).select("topic", F.lit(1).alias("k"), "seq", "x.pos", "x.term")
     firsts = good.unionByName(more).groupBy("topic", "term").agg(F.min(F.struct("k", "seq", "pos")).alias("at"))
     place = F.row_number().over(Window.partitionBy("topic").orderBy("at")).cast("long")
     a, b = DEEPENING[min(depth, 3)].split("{}")
@@ -87,11 +116,13 @@ def answer_followups(pairs: DataFrame, n: int = 3, markers=MARKERS) -> DataFrame
 
 def topic_of(question: Column, keywords: tuple[str, ...]) -> Column:
     """The last two words (of over 2 letters) that follow a keyword, else the first word of over 3 letters without final mark."""
-    w = words(F.lower(question))
-    after = F.filter(F.transform(w, lambda x, i: F.when((i > 0) & F.get(w, i - 1).isin(*keywords) & (F.length(x) > 2), x)), lambda x: x.isNotNull())
-    first = F.get(F.filter(w, lambda x: (F.length(x) > 3) & ~x.rlike(r"[?!.]$")), F.lit(0))
-    last = F.slice(after, F.greatest(F.size(after) - 1, F.lit(1)), F.lit(2))
-    return F.when(F.size(after) > 0, F.array_join(last, " ")).otherwise(first)
+
+    def found(w: Column) -> Column:
+        after = F.filter(F.transform(w, lambda x, i: F.when((i > 0) & F.get(w, i - 1).isin(*keywords) & (F.length(x) > 2), x)), lambda x: x.isNotNull())
+        first = F.get(F.filter(w, lambda x: (F.length(x) > 3) & ~x.rlike(r"[?!.]$")), F.lit(0))
+        return let(after, lambda a: F.when(F.size(a) > 0, F.array_join(F.slice(a, F.greatest(F.size(a) - 1, F.lit(1)), F.lit(2)), " ")).otherwise(first))
+
+    return let(words(F.lower(question)), found)
 
 
 def question_type(question: Column, how: tuple[str, ...] = HOW, comparison: tuple[str, ...] = COMPARISON) -> Column:
@@ -106,9 +137,22 @@ def question_topics(questions: DataFrame, keywords: tuple[str, ...], n: int = 10
     return t.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), *kinds).orderBy(F.desc("n"), "topic").limit(n)
 
 
+def last_alike(topics: DataFrame, n: int) -> DataFrame:
+    """topic, related: the last other topic that begins with the same n characters; topics without one have no row.
+
+    That is the last of all, or for this one the last but one, so no pairs are formed. topics: topic, nulls are left out.
+    """
+    t = topics.where("topic IS NOT NULL").select("topic").distinct().withColumn("p", F.substring("topic", 1, n))
+    last = t.groupBy("p").agg(F.max("topic").alias("last"))
+    marked = t.join(last, "p")
+    next_ = marked.where("topic <> last").groupBy("p").agg(F.max("topic").alias("next"))
+    both = t.join(last.join(next_, "p"), "p")
+    return both.select("topic", F.when(F.col("topic") == F.col("last"), F.col("next")).otherwise(F.col("last")).alias("related"))
+
+
 def followups(questions: DataFrame, related: DataFrame, keywords: tuple[str, ...], fillers: tuple[str, ...], n: int = 3) -> DataFrame:
     """id, place, question: about the topic, then about related topics (topic, related), then fillers; each once."""
-    q = questions.select("id", topic_of(F.col("question"), keywords).alias("topic"))
+    q = stage(questions.select("id", topic_of(F.col("question"), keywords).alias("topic")), "question-topics")
     main = q.where("topic IS NOT NULL").select("id", F.lit(0).alias("k"), F.col("topic").alias("o"), F.concat(F.lit("Tell more about "), "topic").alias("question"))
     near = q.join(related, "topic").select("id", F.lit(1).alias("k"), F.col("related").alias("o"), F.concat(F.lit("What is "), "related", F.lit("?")).alias("question"))
     fill = q.select("id", F.lit(2).alias("k"), F.posexplode(F.array(*map(F.lit, fillers))).alias("i", "question")).select("id", "k", F.lpad(F.col("i").cast("string"), 3, "0").alias("o"), "question")

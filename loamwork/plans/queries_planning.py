@@ -85,9 +85,8 @@ def _(s, d):
 
 @query("followups", f"WITH {QT_SQL}, rel AS (SELECT topic, max(topic2) AS related FROM (SELECT a.topic, b.topic AS topic2 FROM (SELECT DISTINCT topic FROM qt) a JOIN (SELECT DISTINCT topic FROM qt) b ON substring(a.topic, 1, 3) = substring(b.topic, 1, 3) AND a.topic <> b.topic) GROUP BY 1), a AS (SELECT id, 0 AS k, topic AS o, concat('Tell more about ', topic) AS question FROM qt WHERE topic IS NOT NULL UNION ALL SELECT id, 1, related, concat('What is ', related, '?') FROM qt JOIN rel USING (topic) UNION ALL SELECT id, 2, '000', 'What else?' FROM qt UNION ALL SELECT id, 2, '001', 'Any examples?' FROM qt UNION ALL SELECT id, 2, '002', 'Why so?' FROM qt), f AS (SELECT id, question, min((k, o)) AS at_ FROM a GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY at_, question) AS place FROM f) SELECT id, place, question FROM z WHERE place <= 3")
 def _(s, d):
-    t = asked(s, d).select(N.topic_of(F.col("question"), KEYS).alias("topic")).where("topic IS NOT NULL").distinct().withColumn("p", F.substring("topic", 1, 3))
-    rel = t.join(t.withColumnRenamed("topic", "t2"), "p").where("topic <> t2").groupBy("topic").agg(F.max("t2").alias("related"))
-    return N.followups(asked(s, d), rel, KEYS, ("What else?", "Any examples?", "Why so?"))
+    t = asked(s, d).select(N.topic_of(F.col("question"), KEYS).alias("topic")).where("topic IS NOT NULL")
+    return N.followups(asked(s, d), N.last_alike(t, 3), KEYS, ("What else?", "Any examples?", "Why so?"))
 
 
 @query("statement_questions", f"WITH a AS (SELECT conv_id * 100 + turn AS id, list_filter({SENT('text')}, lambda x: length(x) > 20 AND len({WORDS('x').replace('lambda x: x', 'lambda y: y')}) > 3)[1:2] AS s FROM conversations WHERE role = 'assistant') SELECT id, array_to_string(list_transform(s, lambda x: concat('Правда ли, что ', lower(regexp_replace(x, '[.!?]+$', '')), '?')), ' | ') AS questions FROM a WHERE len(s) > 0")
