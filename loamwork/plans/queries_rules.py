@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamwork.functions.joins import sized_join
+from loamwork.functions.storage import stage
 from loamwork.operators import facts as A
 from loamwork.operators import quality_gate as Q
 from loamwork.operators import results as R
@@ -219,8 +221,8 @@ def _(s, d):
 @query("fact_pipeline")
 def _(s, d):
     asked = bench(s, d)
-    pairs = shared_index(s, d).search(asked, 5, ("the", "and")).select("query_id", "doc_id")
-    docs = table(s, d, "documents")
+    pairs = stage(shared_index(s, d).search(asked, 5, ("the", "and")).select("query_id", "doc_id"), "pairs")
+    docs = sized_join(table(s, d, "documents"), stage(pairs.select("doc_id").distinct(), "asked-docs"), ["doc_id"], "left_semi")  # the others have no pair
     chunks = chunk_paragraphs(docs.select("doc_id", F.col("text").alias("content"))).withColumn("idx", F.col("idx").cast("long") * 100_000 + F.col("part"))
     url = docs.select("doc_id", F.concat(F.lit("http://"), "source", F.lit(".example.org/"), "doc_id").alias("source_url"))
     return A.answer_queries(asked, pairs, chunks.join(url, "doc_id"), unasked=("the", "and"), patterns=PAT, **RULES)

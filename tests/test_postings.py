@@ -86,3 +86,24 @@ def test_many_queries_meet_slices(spark):
     q = spark.createDataFrame(rows[:90], "query_id long, qv array<double>")
     one, many = (Counter(map(tuple, V.topk(q, v, 3, "cosine", -1.0, block=b, slice_rows=40).collect())) for b in (10**6, 7))
     assert one == many
+
+
+def test_search_by_blocks_and_slices(spark):
+    """Many blocks and slices find what one finds, and no pair of query and document is shuffled before its slice's best are known."""
+    import random
+
+    rng = random.Random(8)
+    vocab = [f"word{i}" for i in range(60)]
+    docs = {i: set(rng.sample(vocab, rng.randint(0, 20))) for i in range(150)}
+    asked = {i: set(rng.sample(vocab, rng.randint(1, 9))) for i in range(30)} | {40: {"unknown"}}
+    index = TermIndex(spark, new_path(spark, "index"))
+    index.add(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string"))
+    q = spark.createDataFrame([(i, " ".join(w)) for i, w in asked.items()], "query_id long, query string")
+    want = []
+    for i, w in asked.items():
+        best = sorted((-round(len(w & d) / len(w), 9), k) for k, d in docs.items() if w & d)[:4]
+        want += [(i, place, k, -s) for place, (s, k) in enumerate(best, 1)]
+    for block, slice_docs in ((512, 8192), (7, 20)):
+        found = index.search(q, 4, block=block, slice_docs=slice_docs)
+        assert sorted((r.query_id, r.place, r.doc_id, round(r.score, 9)) for r in found.collect()) == sorted(want)
+        assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
