@@ -221,8 +221,8 @@ class PiiModel:
         return reduce(lambda e, k: F.when(F.col("kind") == k, F.lit(self.limits[k])).otherwise(e), self.limits, F.lit(2.0))
 
 
-def taught(sample: DataFrame, keys: list[str]) -> DataFrame:
-    """Candidates of a sample with label and sure, none of them a base span, all sound.
+def taught(c: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates (of staged ones) with label and sure, none of them a base span, all sound.
 
     Each base span is rewritten into a form that only the wide generators match: positive as its own kind, negative as
     any other that it proposes and if letters are glued to it. Phones are written in national groups too, where they
@@ -233,10 +233,10 @@ def taught(sample: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("start")
     ends = F.max(F.when(F.col("base"), F.col("end"))).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     starts = F.min(F.when(F.col("base"), F.col("start"))).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    marked = sample.withColumn("clear", (F.coalesce(ends, F.lit(0)) <= F.col("start")) & (F.coalesce(starts, F.col("end")) >= F.col("end")))
+    marked = c.withColumn("clear", (F.coalesce(ends, F.lit(0)) <= F.col("start")) & (F.coalesce(starts, F.col("end")) >= F.col("end")))
     glued = F.coalesce(F.right("before", F.lit(1)).rlike("[A-Za-z0-9]"), F.lit(False)) | F.coalesce(F.left("after", F.lit(1)).rlike("[A-Za-z0-9]"), F.lit(False))
     free = marked.where("clear AND NOT base").withColumns({"label": F.lit(0.0), "sure": glued})
-    many = lambda n: sample.where("base").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    many = lambda n: c.where("base").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(n))))
     draw = F.shiftright(F.xxhash64(F.lit(7), "value", "start", "n", *keys), 8)
     base = many(3)
     new = base.withColumn("value", rewritten(F.col("kind"), F.col("value"), draw))
@@ -261,24 +261,24 @@ def taught(sample: DataFrame, keys: list[str]) -> DataFrame:
     said = F.when(F.pmod(F.shiftright(seed, 10), F.lit(4)) > 0, word).otherwise(pick(PLAIN_WORDS, F.shiftright(seed, 16)))
     other = many(6).withColumns({"value": value, "before": F.concat(F.lit(" "), said, F.lit(" ")), "after": pick(AFTER, F.shiftright(seed, 12))})
     other = other.withColumn("kind", F.explode(proposed(F.lit("number"), F.col("value")))).withColumns({"label": F.lit(0.0), "sure": F.lit(True)})
-    columns = [*sample.columns, "label", "sure"]
+    columns = [*c.columns, "label", "sure"]
     return free.select(columns).unionByName(new.select(columns)).unionByName(other.select(columns)).where(sound(F.col("kind"), F.col("value")))
 
 
-def train(c: DataFrame, keys: list[str], most: int = 20_000, rounds: int = 16, precision: float = 0.98) -> PiiModel:
-    """Trees from a bounded sample of staged candidates: about `most` of them, by a hash of their text's keys.
+def train(c: DataFrame, keys: list[str], rounds: int = 16, precision: float = 0.98) -> PiiModel:
+    """Trees and limits from all staged candidates.
 
     There are no labelled spans, so rewritten base spans and ordinary numbers teach (see taught): what is added must look
     like a base span in another form, and the base rule itself cannot be learned. Negatives weigh as much as the positives of their
-    kind at most, those that are not sure half of that, and a leaf has ten rows at least, so a few hidden spans do not unteach the trees. A fifth of the sample sets
-    each kind's limit: the least score, 0.5 at least, over which `precision` of the weight of sure candidates is positive; a kind
-    without such a score adds nothing.
+    kind at most, those that are not sure half of that, and a leaf has ten rows at least, so a few hidden spans do not unteach the trees. The
+    candidates of a fifth of the texts, by a hash of their keys, are kept from the trees and set each kind's limit: the least score, 0.5 at
+    least, over which `precision` of the weight of sure candidates is positive; a kind without such a score adds nothing.
     """
-    n = c.count()
-    draw = F.pmod(F.xxhash64(F.lit(5), *keys), F.lit(1 << 30))
-    sample = stage(taught(c.where(draw < F.lit(int(min(1.0, most / max(1, n)) * (1 << 30)))), keys), "pii-sample")
+    rows, names = features(stage(taught(c, keys), "pii-taught"))
     part = F.pmod(F.xxhash64(F.lit(6), *keys), F.lit(5))
-    fit, check = sample.where(part != 0), sample.where(part == 0)
+    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows).select("kind", "label", "sure", part.alias("part"), "_x")
+    known = stage(rows, "pii-features")  # the trees read them several times
+    fit, check = known.where("part <> 0"), known.where("part = 0")
     of = lambda c: F.sum(c.cast("long"))
     bad = (F.col("label") == 0) & F.col("sure")
     counts = {r.kind: r for r in fit.groupBy("kind").agg(F.sum("label").alias("good"), of(bad).alias("bad"), of(~F.col("sure")).alias("open")).collect()}
@@ -286,12 +286,11 @@ def train(c: DataFrame, keys: list[str], most: int = 20_000, rounds: int = 16, p
         return PiiModel(None, {})
     share = lambda most, field: reduce(lambda e, k: F.when(F.col("kind") == k, min(1.0, most * counts[k].good / max(1, counts[k][field]))).otherwise(e), counts, F.lit(1.0))
     weight = F.when(bad, share(1.0, "bad")).when(F.col("sure"), 1.0).otherwise(0.5 * F.least(share(1.0, "bad"), share(1.0, "open")))
-    rows, names = features(fit.withColumn("weight", weight).where("weight > 0"))
-    rows = VectorAssembler(inputCols=names, outputCol="_x").transform(rows).select("_x", "label", "weight").coalesce(2)
+    rows = fit.withColumn("weight", weight).where("weight > 0").select("_x", "label", "weight")
     trees = GBTClassifier(featuresCol="_x", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=4, stepSize=0.3, minInstancesPerNode=10, seed=1, cacheNodeIds=False).fit(rows)
     model = PiiModel(trees, {})
-    rounded = F.round("score", 2)
-    judged = model.scored(check.where("sure").withColumn("weight", weight)).groupBy("kind", rounded.alias("s")).agg(F.sum("label").alias("good"), F.sum("weight").alias("n"))
+    score = F.round(vector_to_array("probability")[1], 2)
+    judged = trees.transform(check.where("sure").withColumn("weight", weight)).groupBy("kind", score.alias("s")).agg(F.sum("label").alias("good"), F.sum("weight").alias("n"))
     table = sorted(judged.collect(), key=lambda r: -r.s)  # a hundred scores for each kind at most
     for kind in KINDS:
         mine = [r for r in table if r.kind == kind]
@@ -307,7 +306,7 @@ def find_spans(docs: DataFrame, model: PiiModel | None = None) -> DataFrame:
     """doc_id, tie, kind, start, end, base: the spans of each text of docs (doc_id, text, tie).
 
     All base spans, and the sound candidates that reach their kind's limit, overlap no base span and no added span before
-    them. Without a model, one is trained on a bounded sample of the candidates themselves.
+    them. Without a model, one is trained on the candidates themselves.
     """
     keys = ["doc_id", "tie"]
     c = stage(candidates(matches(docs, keys), keys), "pii")

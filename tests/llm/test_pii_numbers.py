@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from loamwork.llm import pii
 from loamwork.llm.pii import find_spans, isbn10, keyed, ordinary
 
 MEDIUM = "/root/testdata/sf0.01"
@@ -51,3 +52,15 @@ def test_forms(spark):
     word, value = ordinary(F.col("id"))
     rows = spark.range(400).select(word.alias("w"), value.alias("v")).collect()
     assert all(r.v for r in rows) and {r.w for r in rows} == {"doi", "isbn", "serial", "order", "pages", "version", "coordinates", "total", "on"}
+
+
+def test_all_candidates_teach(spark, monkeypatch):
+    seen = []
+
+    def taught(c, keys):
+        seen.append(c.count())
+        return c.where("false").withColumns({"label": F.lit(0.0), "sure": F.lit(True)})
+
+    monkeypatch.setattr(pii, "taught", taught)
+    c = spark.range(60_000).selectExpr("id AS doc_id", "id AS tie", "'email' AS kind", "0 AS start", "5 AS end", "'a@b.c' AS value", "'' AS before", "'' AS after", "true AS base")
+    assert pii.train(c, ["doc_id", "tie"]).limits == {} and seen == [60_000]
