@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.joins import sized_join
 from loamwork.functions.storage import stage
-from loamwork.functions.text import AD_MARKERS, FACT_JUNK, LOW_TRUST_HOSTS, PRIORITY_HOSTS, QUESTION_WORDS, STOP_WORDS, has_any, host, sentences, words
+from loamwork.functions.text import AD_MARKERS, FACT_JUNK, LOW_TRUST_HOSTS, PRIORITY_HOSTS, QUESTION_WORDS, STOP_WORDS, has_any, host, let, sentences, words
 from loamwork.operators.quality_gate import chunk_quality_gate, length_quality  # noqa: F401
 from loamwork.operators.vectors import cosine_links, dot, embed_corpus, hashed_words, semantic_dedup
 
@@ -43,19 +43,22 @@ PROFILE_PATTERNS = {
 }
 
 
-def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ...] = AD_MARKERS, stop: tuple[str, ...] = STOP_WORDS, asks: tuple[str, ...] = QUESTION_WORDS, keywords: Column | None = None, w: Column | None = None) -> Column:
-    """The first rule that drops a sentence, or null. w: its words, where they are a column already."""
-    low, w = F.lower(s), words(s) if w is None else w
-    n = F.size(w)
-    capital = F.size(F.filter(F.slice(w, 2, 100_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1))))) / F.greatest(n - 1, F.lit(1))
-    stops = F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))) / F.greatest(n, F.lit(1))
-    head = F.lower(F.get(w, F.lit(0))).isin(*asks) & (F.length(s) < 100)
-    if keywords is not None:
-        head = head & F.exists(keywords, lambda k: F.contains(low, k))
-    return (
-        F.when(~F.length(s).between(40, 600), "length").when(has_any(low, junk), "junk").when(has_any(low, ads), "ad").when(s.rlike(r"https?://|www\."), "url")
-        .when(F.length(s) - F.length(F.replace(s, F.lit("!"), F.lit(""))) > 2, "shouting").when((n >= 3) & (capital > 0.4), "capitals").when(stops > 0.6, "stop_words").when(head, "question")
-    )
+def drop_reason(s: Column, junk: tuple[str, ...] = FACT_JUNK, ads: tuple[str, ...] = AD_MARKERS, stop: tuple[str, ...] = STOP_WORDS, asks: tuple[str, ...] = QUESTION_WORDS, keywords: Column | None = None) -> Column:
+    """The first rule that drops a sentence, or null. Its words are split once, and only if no rule on the whole sentence drops it."""
+
+    def by_words(w: Column) -> Column:
+        n = F.size(w)
+        capital = F.size(F.filter(F.slice(w, 2, 100_000), lambda x: F.left(x, F.lit(1)) != F.lower(F.left(x, F.lit(1))))) / F.greatest(n - 1, F.lit(1))
+        stops = F.size(F.filter(w, lambda x: F.lower(x).isin(*stop))) / F.greatest(n, F.lit(1))
+        head = F.lower(F.get(w, F.lit(0))).isin(*asks) & (F.length(s) < 100)
+        if keywords is not None:
+            head = head & F.exists(keywords, lambda k: F.contains(F.lower(s), k))
+        return F.when((n >= 3) & (capital > 0.4), "capitals").when(stops > 0.6, "stop_words").when(head, "question")
+
+    size = F.when(~F.length(s).between(40, 600), "length")
+    phrase = let(F.lower(s), lambda low: F.when(has_any(low, junk), "junk").when(has_any(low, ads), "ad"))
+    mark = F.when(s.rlike(r"https?://|www\."), "url").when(F.length(s) - F.length(F.replace(s, F.lit("!"), F.lit(""))) > 2, "shouting")
+    return F.coalesce(size, phrase, mark, let(words(s), by_words))
 
 
 def fact_sentences(chunks: DataFrame) -> DataFrame:
@@ -66,8 +69,7 @@ def fact_sentences(chunks: DataFrame) -> DataFrame:
 
 def fact_candidates(chunks: DataFrame, **rules) -> DataFrame:
     """The sentences that no rule drops."""
-    rows = fact_sentences(chunks).withColumn("_lw_w", words(F.col("sentence")))
-    return rows.withColumn("why", drop_reason(F.col("sentence"), w=F.col("_lw_w"), **rules)).where("why IS NULL").drop("why", "_lw_w")
+    return fact_sentences(chunks).where(drop_reason(F.col("sentence"), **rules).isNull())
 
 
 def score_facts(facts: DataFrame, keywords: list[str] | Column, position: Column, priority: tuple[str, ...] = PRIORITY_HOSTS, low_trust: tuple[str, ...] = LOW_TRUST_HOSTS) -> DataFrame:
@@ -79,14 +81,15 @@ def score_facts(facts: DataFrame, keywords: list[str] | Column, position: Column
     else:
         base = sum((F.contains(low, F.lit(k.lower())).cast("double") for k in keywords), F.lit(0.0))
     bonus = F.when(n.between(80, 250), 0.5).when(n.between(251, 400), 0.3).otherwise(0.0)
-    digits = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d+($|[^\p{L}\p{N}_])"), 0.5).otherwise(0.0)
-    dates = F.when(s.rlike(r"(^|[^\p{L}\p{N}_])\d{4}($|[^\p{L}\p{N}_])") | low.rlike("млн лет"), 0.5).otherwise(0.0)
+    some = s.rlike("[0-9]")  # few sentences have digits, and where they stand is dear to ask
+    digits = F.when(some & s.rlike(r"(^|[^\p{L}\p{N}_])\d+($|[^\p{L}\p{N}_])"), 0.5).otherwise(0.0)
+    dates = F.when((some & s.rlike(r"(^|[^\p{L}\p{N}_])\d{4}($|[^\p{L}\p{N}_])")) | F.contains(low, F.lit("млн лет")), 0.5).otherwise(0.0)
     total = base + (1 - position) + bonus + digits + dates + F.when(is_definition(s), 0.3).otherwise(0.0)
     return facts.withColumn("total_score", total * F.when(h.isin(*priority), 1.2).when(h.isin(*low_trust), 0.5).otherwise(1.0))
 
 
 def is_definition(s: Column) -> Column:
-    return F.lower(s).rlike("—| это | является |определяет")
+    return has_any(F.lower(s), ("—", " это ", " является ", "определяет"))
 
 
 def is_causal(s: Column) -> Column:
