@@ -168,7 +168,8 @@ def dynamic_selection(rows: DataFrame, by: str, order: str, share: float = 0.6,
 
 
 def answer_confidence(chunks: DataFrame, facts: DataFrame) -> DataFrame:
-    """topic, confidence from chunks (topic, quality, trust, source_url) and facts (topic, place, sentence)."""
+    """topic, confidence from chunks (topic, quality, trust, source_url) and facts (topic, place, sentence), which are found once."""
+    facts = stage(facts.select("topic", "place", "sentence"), "confidence-facts")
     c = chunks.groupBy("topic").agg(F.avg("quality").alias("q"), F.avg("trust").alias("t"), F.count_distinct("source_url").alias("n"))
     w = facts.where("place <= 10").select("topic", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"\w{4,}"), F.lit(0))).alias("w"))
     use = w.groupBy("topic", "w").agg(F.count(F.lit(1)).alias("k"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loamwork.operators.facts import fact_candidates, is_definition, score_facts
+from loamwork.operators.facts import answer_confidence, fact_candidates, is_definition, score_facts
 
 
 def plan(df):
@@ -22,3 +22,17 @@ def test_definitions_and_numbers_as_before(spark):
     got = score_facts(facts.withColumn("d", F.coalesce(is_definition(F.col("sentence")), F.lit(False))), [], F.lit(1.0)).orderBy("i").collect()
     assert [r.d for r in got] == [d for _, d, _ in rows]
     assert [round(r.total_score, 6) for r in got][:6] == [x for _, _, x in rows][:6]
+
+
+def test_facts_of_confidence_are_found_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    facts = spark.createDataFrame([("t", i, "Water boils and water freezes.") for i in range(1, 5)], "topic string, place long, sentence string").mapInPandas(tell, "topic string, place long, sentence string")
+    chunks = spark.createDataFrame([("t", 0.8, 1.0, "u"), ("t", 0.6, 0.6, "v")], "topic string, quality double, trust double, source_url string")
+    got = answer_confidence(chunks, facts).collect()
+    assert [(r.topic, round(r.confidence, 6)) for r in got] == [("t", 0.64)] and read.value == 4
