@@ -3,38 +3,68 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions.joins import MOST_ROWS
 from loamwork.functions.storage import stage
 
+#: Edges that one task may join: 16 bytes each, so 3 MB.
+REST = 200_000
+
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For n nodes and links (i, j): the smallest node that each can reach."""
+    """For n nodes and links (i, j): the smallest node that each can reach.
+
+    Each round hooks every root to its smallest neighbour, flattens the hooks and contracts the links, so a long path takes
+    a few rounds too.
+    """
     low = np.arange(n)
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, low[i])
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
+    while len(i):
+        np.minimum.at(low, i, j)
+        np.minimum.at(low, j, i)
+        while (low[low] != low).any():
+            low = low[low]
+        i, j = low[i], low[j]
+        apart = i != j
+        i, j = i[apart], j[apart]
+    return low
+
+
+def _rest(e: DataFrame) -> DataFrame:
+    """u, p: every node of e (a, b: whole numbers; REST rows at most) and the smallest node that it can reach."""
+
+    def join(batches):
+        rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if rows:
+            a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+            nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+            low = forest(len(nodes), at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[low])], ["u", "p"])
+
+    kind = e.schema["a"].dataType.simpleString()
+    return e.coalesce(1).mapInArrow(join, f"u {kind}, p {kind}")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rest: int = REST) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b of one type): component is the smallest node reachable.
 
     Each round hooks every node to its smallest neighbour, flattens the hooks by pointer doubling, and contracts the
     edges; self-loops and repeats go, so at least half of the nodes go each round. Nothing is gathered on the driver, and
-    every round is a written table; hooks are broadcast once there are few enough. Null ends are dropped.
+    every round is a written table; hooks are broadcast once there are few enough. Null ends are dropped. Once at most
+    `rest` edges are left and nodes are whole numbers, one task joins them: a round is some ten jobs and four broadcasts,
+    which fill the driver's memory where components are asked for again and again.
     """
     e = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
     loops = e.where("a = b").select(F.col("a").alias("node")).distinct()
     e = stage(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    whole = e.schema["a"].dataType.simpleString() in ("int", "bigint")
     hooks: list[DataFrame] = []
     while n := e.count():
+        if whole and n <= rest:
+            hooks.append(stage(_rest(e), "hooks"))
+            break
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         h = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hooks")
         sent = F.broadcast if 2 * n <= MOST_ROWS else (lambda x: x)  # an edge has two nodes

@@ -189,3 +189,31 @@ def test_files(spark, tmp_path):
     assert [(r.path[-5:], r.size_bytes, r.problem) for r in rows if r.content is None] == [("d.txt", 100, "too large")]
     with pytest.raises(ValueError):
         S.knowledge_export(spark.range(1), str(tmp_path / "x"), "xml")
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+@pytest.mark.parametrize("rest", [0, 40, 1000])
+def test_components_with_a_rest(spark, rest, kind):
+    rng = np.random.default_rng(rest)
+    order = rng.permutation(120) + 1  # a path through 120 nodes, and smaller ones
+    pairs = [(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)] + [(200 + int(a), 200 + int(b)) for a, b in rng.integers(0, 60, (40, 2))]
+    low = {x: x for p in pairs for x in p}
+    text = (lambda x: str(x)) if kind == "string" else (lambda x: x)
+    for _ in pairs:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b], key=text)
+    edges = spark.createDataFrame([(text(a), text(b)) for a, b in pairs], f"a {kind}, b {kind}")
+    got = {r.node: r.component for r in connected_components(edges, rest).collect()}
+    assert got == {text(x): text(y) for x, y in low.items()}
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    order = np.random.default_rng(5).permutation(3000)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order, order[1:], strict=False)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    try:
+        assert {r.component for r in connected_components(edges).collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 16
