@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.joins import sized_join
 from loamwork.functions.numbering import number_rows
-from loamwork.functions.storage import arrow_batches, stage
+from loamwork.functions.storage import BLOBS, arrow_batches, stage
 
 U = np.uint64
 #: A-Z are lowered, `.,;:!?` and line ends become the byte 255 (never in UTF-8), which splits pieces.
@@ -19,7 +19,7 @@ BYTES = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90
 TILE = 10
 #: A tile this full (one cell in eight) is counted by direct addresses, and its ids are among the first HOT tiles' ones.
 DENSE, HOT = 1 << (2 * TILE - 3), 8
-#: As many blobs of cells are merged at once, and as many finer buckets made of one.
+#: As many blobs of cells are merged at once.
 FAN = 256
 
 
@@ -118,7 +118,7 @@ def cell_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def buckets_of(keys: np.ndarray, n: int) -> np.ndarray:
-    """The bucket, of n, of each key, by its tile and the row there; those of FAN n buckets are finer ones."""
+    """The bucket, of n, of each key, by its tile and the row there; those of a multiple of n buckets are finer ones."""
     strip = ((keys >> U(20)) << U(TILE)) | ((keys >> U(TILE)) & U((1 << TILE) - 1))
     h = (strip ^ (strip >> U(31))) * U(0xBF58476D1CE4E5B9)
     h = ((h ^ (h >> U(29))) * U(0x94D049BB133111EB)) >> U(32)
@@ -188,9 +188,26 @@ def _flat(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
-def merged(cells: DataFrame, least: int | None) -> DataFrame:
-    """Blobs of FAN neighbours g and one bucket become one, cut into FAN finer buckets; with `least`, only counts of at
+def bucket_plan(langs: list[tuple[str, int, int]], chunk_words: int, bucket_cells: int) -> tuple[dict[str, int], list[int]]:
+    """(each language's first buckets; how many finer ones each round but the last makes of one), of languages (lang, n, chunks).
+
+    Round r joins FAN**r chunks, of chunk_words words at most: as many as its buckets must hold about bucket_cells cells each.
+    """
+    rounds = 1
+    while FAN**rounds < max((c for _, _, c in langs), default=0):
+        rounds += 1
+    need = lambda n, r: max(1, -(-min(n, chunk_words * FAN**r) // bucket_cells))
+    first, finer, made = {x: need(n, 1) for x, n, _ in langs}, [], 1
+    for r in range(2, rounds + 1):
+        finer.append(max((-(-need(n, r) // (first[x] * made)) for x, n, _ in langs), default=1))
+        made *= finer[-1]
+    return first, finer
+
+
+def merged(cells: DataFrame, least: int | None, finer: int = 1) -> DataFrame:
+    """Blobs of FAN neighbours g and one bucket become one, cut into `finer` buckets; with `least`, only counts of at
     least that many stay, in one bucket: the last round."""
+    fan = FAN
 
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _flat(table["keys"], "<u8"), _flat(table["counts"], "<i8")
@@ -200,11 +217,11 @@ def merged(cells: DataFrame, least: int | None) -> DataFrame:
         counts, keys = np.add.reduceat(counts[order], first) if len(first) else counts, keys[first]
         lang, g, bucket, n = (table[c][0].as_py() for c in ("lang", "g", "bucket", "buckets"))
         if least is None:
-            rows = [(x, n * FAN, a, b) for x, a, b in _split(keys, counts, n * FAN)]
+            rows = [(x, n * finer, a, b) for x, a, b in _split(keys, counts, n * finer)]
         else:
             keep = counts >= least
             rows = [(bucket, n, keys[keep].tobytes(), counts[keep].tobytes())]
-        return pa.Table.from_pylist([{"lang": lang, "g": g // FAN, "bucket": x, "buckets": m, "keys": a, "counts": b} for x, m, a, b in rows], _CELLS)
+        return pa.Table.from_pylist([{"lang": lang, "g": g // fan, "bucket": x, "buckets": m, "keys": a, "counts": b} for x, m, a, b in rows], _CELLS)
 
     return cells.groupBy("lang", "bucket", F.floor(F.col("g") / FAN)).applyInArrow(lambda table: run(table), _CELLS_SQL)
 
@@ -275,21 +292,19 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, chunk_ids:
 
     Words are ranked by frequency in each language. In each chunk of text, pairs of neighbouring ids fall into tiles of
     1024 x 1024 ids; full tiles are counted by direct addresses, the rest by sorted coordinates. Counts of FAN chunks
-    are merged at once, bucket by bucket, in as many rounds as the chunks need: buckets grow finer as chunks are joined, so no
-    task ever holds more than about bucket_cells cells, and no pair, however frequent, has more than a row a chunk. Pairs
+    are merged at once, bucket by bucket, in as many rounds as the chunks need: buckets grow finer as chunks are joined (bucket_plan),
+    so no task ever holds more than about bucket_cells cells, and no pair, however frequent, has more than a row a chunk. Pairs
     that are frequent are ranked again, their ids go back the same way to the chunks that hold them, and a frequent
     phrase and the next word make the next round's pairs.
     """
     with arrow_batches(docs.sparkSession):
-        chunks = stage(word_chunks(docs, chunk_ids), "word-chunks")
+        chunks = stage(word_chunks(docs, chunk_ids), "word-chunks", BLOBS)
     langs = chunks.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("chunks"))
     langs = stage(langs, "langs")
-    most = langs.agg(F.max("chunks")).first()[0] or 0
-    rounds = 1
-    while FAN**rounds < most:
-        rounds += 1
-    first = F.greatest(F.ceil(F.col("n") / (bucket_cells * FAN ** (rounds - 1))), F.lit(1)).cast("long")
-    langs = stage(langs.withColumn("buckets", first), "langs")
+    longest_chunk = chunks.agg(F.max("n")).first()[0] or 0
+    first, finer = bucket_plan([tuple(r) for r in langs.select("lang", "n", "chunks").collect()], longest_chunk, bucket_cells)  # a row for each language
+    known = docs.sparkSession.createDataFrame(list(first.items()), "lang string, buckets long")
+    langs = stage(langs.join(known, "lang"), "langs")
     words = chunks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("f"))
     words = stage(words.where(F.col("f") >= least).withColumn("word", F.col("word").cast("string")), "words")
     words = stage(ranked(words, ["word"]), "ranked-words")
@@ -299,17 +314,18 @@ def phrase_counts(docs: DataFrame, least: int = 30, longest: int = 4, chunk_ids:
     found = [units.withColumn("k", F.lit(1))]
     with arrow_batches(docs.sparkSession, 4):  # rows are chunks and blobs of some MB
         for k in range(1, longest):
-            seqs = stage(seqs, "sequences")
-            levels = [stage(tile_cells(seqs, k), "cells")]
-            for r in range(rounds):
-                levels.append(stage(merged(levels[-1], least if r == rounds - 1 else None), "cells"))
+            seqs = stage(seqs, "sequences", BLOBS)
+            levels = [stage(tile_cells(seqs, k), "cells", BLOBS)]
+            for f in finer:
+                levels.append(stage(merged(levels[-1], None, f), "cells", BLOBS))
+            levels.append(stage(merged(levels[-1], least), "cells", BLOBS))
             rows = stage(_frequent(levels[-1]), "frequent")
             if k + 1 < longest:
                 rows = stage(ranked(rows, ["key"]), "ranked")
                 ids = rows.groupBy("lang", "bucket").agg(F.collect_list(F.struct("key", "id")).alias("x"))
                 ids = _packed(ids)
-                for level in reversed(levels[:-1]):
-                    ids = stage(answered(level, ids), "answers").withColumn("bucket", F.floor(F.col("bucket") / FAN))
+                for level, f in zip(reversed(levels[:-1]), [*reversed(finer), 1], strict=True):
+                    ids = stage(answered(level, ids), "answers", BLOBS).withColumn("bucket", F.floor(F.col("bucket") / f))
                 seqs = next_units(seqs, ids, k)
             else:
                 rows = rows.withColumn("id", F.lit(0).cast("long"))

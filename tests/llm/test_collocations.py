@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loamwork.llm import collocations as C
 from loamwork.llm import queries as Q
@@ -91,3 +92,27 @@ def test_query_equals_sql(spark):
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     want = c.sql(Q.ORACLE_SQL["op12_collocations"])
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_buckets_of_more_than_fan_chunks(spark, monkeypatch):
+    """A language of barely more than FAN chunks: its first round holds as few cells as every other one."""
+    monkeypatch.setattr(C, "FAN", 16)
+    levels, keep = [], C.stage
+
+    def stage(df, label, *a):
+        out = keep(df, label, *a)
+        if label == "cells":
+            levels.append(out)
+        return out
+
+    monkeypatch.setattr(C, "stage", stage)
+    rng = random.Random(3)
+    rows = [(lang, " ".join(f"w{rng.randrange(200)}" for _ in range(100))) for lang, n in (("en", 20), ("de", 10)) for _ in range(n)] * 3
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    counts, _ = C.phrase_counts(df, 3, 2, chunk_ids=300, bucket_cells=300)
+    pairs = Counter((lang, f"{a} {b}") for lang, text in rows for a, b in zip(text.split(), text.split()[1:], strict=False))
+    assert {(r.lang, r.phrase): r.f for r in counts.where("k = 2").collect()} == {p: n for p, n in pairs.items() if n >= 3}
+    assert len(levels) == 3
+    for cells in levels[:-1]:
+        held = cells.groupBy("lang", "bucket", F.floor(F.col("g") / 16)).agg(F.sum(F.length("keys") / 8).alias("n"))
+        assert held.agg(F.max("n")).first()[0] <= 900
