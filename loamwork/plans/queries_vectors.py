@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamwork.functions.storage import new_path, stage
 from loamwork.operators import vectors as V
+from loamwork.operators.neighbours import knn_self
 from loamwork.operators.postings import TermIndex
 from loamwork.plans.fixtures import oracle, table
 from loamwork.plans.queries_activity import rounded
@@ -118,13 +119,9 @@ def _(s, d):
     return found.select("query_id", "place", "vec_id", "score").join(V.recall(found, exact), "query_id")
 
 
-@query("knn_self", f"WITH {UNIT}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.n, b.n), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.n, b.n), 9) DESC, b.vec_id) AS place FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT query_id, place, vec_id, score FROM p WHERE place <= 3")
+@query("knn_self", f"WITH {UNIT}, p AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.n, b.n), 9) AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.n, b.n), 9) DESC, b.vec_id) AS place FROM u a JOIN u b ON a.vec_id <> b.vec_id) SELECT query_id, place, vec_id, score FROM p WHERE place <= 3")
 def _(s, d):
-    found = V.topk(few(s, d), emb(s, d), 4, "cosine", -1.0).where("query_id <> vec_id")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy("place")
-    return found.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3")
+    return knn_self(emb(s, d), 3)
 
 
 @query("reuse_embeddings", "WITH k AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE doc_id % 3 = 0), h AS (SELECT sha256(text) IN (SELECT key FROM k) AS hit FROM documents) SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 6) AS hit_rate FROM h")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamwork.operators import boxes as B
 from loamwork.operators import inverted as IV
 from loamwork.operators import vectors as V
+from loamwork.operators.neighbours import knn_self
 
 
 def clustered(rng, n, dim=16, clusters=20, spread=0.15):
@@ -115,3 +116,28 @@ def test_topk_by_products_of_matrices(spark, score):
         best = sorted((-r.score, r.vec_id) for r in pairs if r.query_id == i)[:4]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best) if -s >= 0.05]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("block", [None, 40])
+def test_knn_of_every_row(spark, block):
+    """Against a comparison of all rows, with equal and opposite vectors, ties, a zero vector and ones that have no score."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((150, 8)).round(1).astype(np.float32)
+    x[20:40], x[50:53], x[60], x[70] = x[3], x[4], 0, -x[3]
+    ids = rng.permutation(1000)[:150].tolist()
+    df = spark.createDataFrame([*zip(ids, x.tolist(), strict=True), (2000, None), (2001, [])], "vec_id long, embedding array<float>")
+    got = knn_self(df, 3, block).collect()
+    n = np.sqrt(np.add.accumulate(x.astype(float) ** 2, axis=1)[:, -1:])
+    u = x / np.where(n == 0, 1, n)
+    want = []
+    for i, mine in enumerate(ids):
+        scores = [(-round(min(1.0, max(-1.0, float(np.add.accumulate(u[i] * u[j])[-1]))), 9), ids[j]) for j in range(150) if j != i]
+        want += [(mine, p, o, -s) for p, (s, o) in enumerate(sorted(scores)[:3], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_knn_self_asks_for_every_row(spark, small):
+    from loamwork.plans.queries_vectors import QUERIES, emb
+
+    got = QUERIES["knn_self"](spark, small)
+    assert got.select("query_id").distinct().count() == emb(spark, small).count()
