@@ -1,5 +1,7 @@
 """Files of all formats to chunks, in batch and as a stream, and answers to many queries at once."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,13 @@ def test_files_are_written_by_many_tasks(spark, small):
     names = [r.path.rsplit("/", 1)[1] for r in S.read_corpus_files(spark, one_file_each(spark, small)).select("path").collect()]
     tasks = [n.split("-")[1] for n in names]
     assert len(names) == 178 and len(set(tasks)) >= 4 and max(map(tasks.count, set(tasks))) < 100
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    rows = spark.range(3000).select("id", F.concat(F.lit("né "), F.col("id") % 2990, F.lit("\nx")).alias("text"))
+    folder = f"file://{tmp_path}/files"
+    S.text_files(rows.unionByName(rows.where("id < 3")), "id", "text", folder)  # an id may stand twice
+    found = S.read_corpus_files(spark, folder)
+    assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    want = Counter(r.text + "\n" for r in rows.collect()) + Counter(r.text + "\n" for r in rows.where("id < 3").collect())
+    assert Counter(r.content for r in found.collect()) == want
