@@ -94,26 +94,29 @@ def chunk_csv(docs: DataFrame) -> DataFrame:
     """doc_id, row_idx, text, delimiter: the first of `,`, `;` and tab that the first line holds (`,` if none); the header is a row."""
     d = docs.where(format_of(F.col("content")) == "csv").select("doc_id", strip(F.col("content")).alias("c"))
     first = F.get(lines(F.col("c")), F.lit(0))
-    delim = F.when(F.contains(first, F.lit(",")), ",").when(F.contains(first, F.lit(";")), ";").when(F.contains(first, F.lit("\t")), "\t").otherwise(",")
-    rows = d.select("doc_id", delim.alias("delimiter"), F.posexplode(lines(F.col("c"))).alias("row_idx", "line")).where("trim(line) <> ''")
-    cells = F.transform(F.split("line", F.concat(F.lit("["), F.col("delimiter"), F.lit("]"))), lambda x: F.trim(x))
-    return rows.select("doc_id", "row_idx", F.concat(F.lit("Строка "), (F.col("row_idx") + 1).cast("string"), F.lit(": "), F.array_join(cells, ", ")).alias("text"), "delimiter")
+    rows = d.select("doc_id", _delimiter(first).alias("delimiter"), F.posexplode(lines(F.col("c"))).alias("row_idx", "line")).where("trim(line) <> ''")
+    return rows.select("doc_id", "row_idx", _csv_text(F.col("row_idx"), F.col("line"), F.col("delimiter")).alias("text"), "delimiter")
 
 
-def extract_qa_pairs(docs: DataFrame, least: int = 3, patterns: tuple[str, ...] = PAIRS) -> DataFrame:
-    """doc_id, idx, question, answer: the pairs whose sides both have more than `least` characters.
-
-    Of the patterns, the first with such a pair in a text is the one whose pairs it gives; idx counts its matches, those
-    that are too short included.
-    """
+def _pairs(content: Column, least: int, patterns: tuple[str, ...]) -> Column:
+    """Array of (idx, q, a) of extract_qa_pairs; null without a pair."""
     keep = lambda x: (F.length(x["q"]) > least) & (F.length(x["a"]) > least)
     found = []
     for p in patterns:
-        side = lambda k: F.regexp_extract_all("content", F.lit(p), F.lit(k))  # noqa: B023, E731
+        side = lambda k: F.regexp_extract_all(content, F.lit(p), F.lit(k))  # noqa: B023, E731
         pairs = F.transform(F.arrays_zip(side(1).alias("q"), side(2).alias("a")), lambda x, i: F.struct(i.alias("idx"), F.trim(x["q"]).alias("q"), F.trim(x["a"]).alias("a")))
         good = F.filter(pairs, keep)
         found.append(F.when(F.size(good) > 0, good))
-    rows = docs.select("doc_id", F.explode(F.coalesce(*found)).alias("x"))
+    return F.coalesce(*found)
+
+
+def extract_qa_pairs(docs: DataFrame, least: int = 3, patterns: tuple[str, ...] = PAIRS) -> DataFrame:
+    """doc_id, idx, question, answer: the pairs whose sides both have more than `least` characters.
+
+    Of the patterns, the first with such a pair in a text is the one whose pairs it gives; idx counts its matches, those
+    that are too short included.
+    """
+    rows = docs.select("doc_id", F.explode(_pairs(F.col("content"), least, patterns)).alias("x"))
     return rows.select("doc_id", "x.idx", F.col("x.q").alias("question"), F.col("x.a").alias("answer"))
 
 
@@ -124,6 +127,10 @@ ROUTE_PAIRS = (
 )
 
 
+#: Each route's least length, patterns, and the characters kept of question, answer and content.
+ROUTES = (("qa", 4, ROUTE_PAIRS, 200, 500, None), ("universal", 3, PAIRS, 500, 2000, 5000))
+
+
 def qa_text() -> Column:
     """A pair as one text."""
     return F.concat(F.lit("Вопрос: "), "question", F.lit("\n\nОтвет: "), "answer")
@@ -138,7 +145,7 @@ def qa_chunks(docs: DataFrame) -> DataFrame:
     """
     routed = docs.withColumn("route", route_of(F.col("content")))
     found = []
-    for route, least, patterns, q, a, most in (("qa", 4, ROUTE_PAIRS, 200, 500, None), ("universal", 3, PAIRS, 500, 2000, 5000)):
+    for route, least, patterns, q, a, most in ROUTES:
         pairs = extract_qa_pairs(routed.where(F.col("route") == route), least, patterns)
         text = qa_text()
         meta = F.create_map(F.lit("type"), F.lit("qa_pair"), F.lit("question"), F.substring("question", 1, q), F.lit("answer"), F.substring("answer", 1, a))
@@ -146,21 +153,86 @@ def qa_chunks(docs: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
+def _piece(kind: Column, idx: Column, part: Column, text: Column) -> Column:
+    return F.struct(kind.alias("kind"), idx.cast("int").alias("idx"), part.cast("int").alias("part"), text.alias("text"))
+
+
+def _with(value: Column, f) -> Column:
+    """f(value), which is worked out once, however often f's lambdas ask for it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _json_pieces(c: Column) -> Column:
+    """The rows of chunk_json_array."""
+    first = F.transform(F.from_json(c, "array<variant>"), lambda x, i: F.struct(i.alias("idx"), F.schema_of_variant(x).alias("s"), x.alias("x")))
+    kind = lambda y: F.when(F.startswith(y["s"], F.lit("OBJECT")), "json_object").otherwise("json_primitive")
+    text = lambda y: F.when(F.startswith(y["s"], F.lit("OBJECT")), F.to_json(y["x"])).otherwise(F.variant_get(y["x"], "$", "string"))
+    own = F.filter(first, lambda y: ~F.startswith(y["s"], F.lit("ARRAY")))
+    return F.filter(F.transform(own, lambda y: _piece(kind(y), y["idx"], F.lit(0), text(y))), lambda x: x["text"].isNotNull())
+
+
+def _jsonl_pieces(c: Column, least: int = 10) -> Column:
+    """The rows of chunk_jsonl."""
+    t = F.filter(F.transform(lines(c), lambda x, i: F.struct(F.trim(x).alias("t"), i.alias("idx"))), lambda x: x["t"] != "")
+    kind = lambda x: F.when(is_json(x), F.when(F.startswith(x, F.lit("{")), "jsonl").otherwise("jsonl_primitive")).when(F.length(x) > least, "text_line")
+    return F.filter(F.transform(t, lambda x: _piece(kind(x["t"]), x["idx"], F.lit(0), x["t"])), lambda x: x["kind"].isNotNull())
+
+
+def _delimiter(first: Column) -> Column:
+    return F.when(F.contains(first, F.lit(",")), ",").when(F.contains(first, F.lit(";")), ";").when(F.contains(first, F.lit("\t")), "\t").otherwise(",")
+
+
+def _csv_text(idx: Column, line: Column, delimiter: Column) -> Column:
+    cells = F.transform(F.split(line, F.concat(F.lit("["), delimiter, F.lit("]"))), lambda x: F.trim(x))
+    return F.concat(F.lit("Строка "), (idx + 1).cast("string"), F.lit(": "), F.array_join(cells, ", "))
+
+
+def _csv_pieces(c: Column) -> Column:
+    """The rows of chunk_csv."""
+
+    def rows(z: Column) -> Column:
+        every = F.transform(z["rows"], lambda x, i: F.struct(x.alias("line"), i.alias("idx")))
+        return F.transform(F.filter(every, lambda x: F.trim(x["line"]) != ""), lambda x: _piece(F.lit("csv_row"), x["idx"], F.lit(0), _csv_text(x["idx"], x["line"], z["by"])))
+
+    both = _with(lines(strip(c)), lambda r: F.struct(r.alias("rows"), _delimiter(F.get(r, F.lit(0))).alias("by")))
+    return _with(both, rows)
+
+
+def _paragraph_pieces(c: Column, size: int = 1000, overlap: int = 100, least: int = 10, most: int = 5000) -> Column:
+    """The rows of chunk_paragraphs."""
+    own = F.filter(F.transform(_paragraphs(c), lambda p, i: F.struct(i.alias("idx"), F.trim(p).alias("p"))), lambda y: F.length(y["p"]) > least)
+    parts = lambda y: F.transform(_windowed(y["p"], size, overlap), lambda w, j: _piece(F.lit("paragraph"), y["idx"], j, _plain(w["text"], most)))
+    return F.flatten(F.transform(own, parts))
+
+
+def _pair_pieces(c: Column, least: int, patterns: tuple[str, ...], most: int | None) -> Column:
+    """The rows of qa_chunks for one route."""
+
+    def piece(x: Column) -> Column:
+        text = F.concat(F.lit("Вопрос: "), x["q"], F.lit("\n\nОтвет: "), x["a"])
+        return _piece(F.lit("qa_pair"), x["idx"], F.lit(0), text if most is None else F.substring(text, 1, most))
+
+    return F.transform(_pairs(c, least, patterns), piece)
+
+
+def chunked_files(docs: DataFrame) -> DataFrame:
+    """docs (content and others) with chunks: an array of the kind, idx, part and text of each row of chunk_files. Rows stay where they are, so
+    docs may be a stream."""
+    c = F.col("content")
+    d = docs.withColumns({"_format": format_of(c), "_route": route_of(c)})
+    f = F.col("_format")
+    pairs = [F.when(f.isin("qa_text", "text") & (F.col("_route") == route), _pair_pieces(c, least, patterns, most)) for route, least, patterns, _, _, most in ROUTES]
+    other = F.when(f == "json_array", _json_pieces(c)).when(f == "jsonl", _jsonl_pieces(c)).when(f == "csv", _csv_pieces(c)).when(f.isin("text", "qa_text", "json_object"), _paragraph_pieces(c))
+    d = d.withColumn("_chunks", F.coalesce(*pairs, other))
+    whole = F.when((F.length("content") > 10) & (f != "empty"), F.array(_piece(F.lit("whole"), F.lit(0), F.lit(0), c)))
+    return d.withColumn("chunks", F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(whole)).drop("_format", "_route", "_chunks")
+
+
 def chunk_files(docs: DataFrame) -> DataFrame:
     """doc_id, kind, idx, part, text of the chunks of docs (doc_id, content), each by its format: items of JSON arrays, lines of JSON, rows
     of CSV, and of other texts the pairs of questions and answers (by route), else paragraphs. A text of over ten characters without
     any chunk is one itself; empty texts and null ones have none."""
-    d = stage(docs.select("doc_id", "content").withColumns({"format": format_of(F.col("content")), "route": route_of(F.col("content"))}), "routed")
-    part = F.lit(0).alias("part")
-    pairs = stage(qa_chunks(d.where("format IN ('qa_text', 'text')")).select("doc_id", F.lit("qa_pair").alias("kind"), "idx", part, F.col("content").alias("text")), "pairs")
-    rest = stage(d.join(pairs.select("doc_id").distinct(), "doc_id", "left_anti"), "rest")
-    items = chunk_json_array(rest).select("doc_id", F.concat(F.lit("json_"), "json_type").alias("kind"), "idx", part, "text")
-    rows = chunk_jsonl(rest).select("doc_id", F.col("json_type").alias("kind"), "idx", part, "text")
-    cells = chunk_csv(rest).select("doc_id", F.lit("csv_row").alias("kind"), F.col("row_idx").alias("idx"), part, "text")
-    plain = chunk_paragraphs(rest.where("format IN ('text', 'qa_text', 'json_object')")).select("doc_id", F.lit("paragraph").alias("kind"), "idx", "part", "text")
-    found = stage(pairs.unionByName(items).unionByName(rows).unionByName(cells).unionByName(plain), "file-chunks")
-    none = d.where(F.length("content") > 10).join(found.select("doc_id").distinct(), "doc_id", "left_anti").where("format <> 'empty'")
-    return found.unionByName(none.select("doc_id", F.lit("whole").alias("kind"), F.lit(0).alias("idx"), part, F.col("content").alias("text")))
+    return chunked_files(docs.select("doc_id", "content")).select("doc_id", F.explode("chunks").alias("x")).select("doc_id", "x.*")
 
 
 def qa_records(messages: DataFrame, least: int = 5) -> DataFrame:
@@ -184,15 +256,24 @@ def chunk_fixed(docs: DataFrame, size: int = 1000, overlap: int = 100) -> DataFr
     return docs.where(F.length("content") > 0).select("doc_id", F.explode(windows(F.col("content"), size, overlap)).alias("x")).select("doc_id", "x.offset", "x.text")
 
 
+def _paragraphs(c: Column) -> Column:
+    said = F.filter(F.split(c, "[.!?]+"), lambda x: F.length(F.trim(x)) > 20)
+    return F.when(F.contains(c, F.lit("\n\n")), F.split(c, "\n\n")).when(F.contains(c, F.lit("\n")), F.split(c, "\n")).otherwise(said)
+
+
+def _windowed(p: Column, size: int, overlap: int) -> Column:
+    return F.when(F.length(p) <= size, F.array(F.struct(F.lit(0).alias("offset"), p.alias("text")))).otherwise(windows(p, size, overlap))
+
+
+def _plain(text: Column, most: int) -> Column:
+    return F.substring(F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")), 1, most)
+
+
 def chunk_paragraphs(docs: DataFrame, size: int = 1000, overlap: int = 100, least: int = 10, most: int = 5000) -> DataFrame:
     """doc_id, idx, part, text: paragraphs (blank lines, else lines, else sentences of over 20 characters), long ones in windows."""
-    c = F.col("content")
-    said = F.filter(F.split(c, "[.!?]+"), lambda x: F.length(F.trim(x)) > 20)
-    parts = F.when(F.contains(c, F.lit("\n\n")), F.split(c, "\n\n")).when(F.contains(c, F.lit("\n")), F.split(c, "\n")).otherwise(said)
-    p = docs.select("doc_id", F.posexplode(parts).alias("idx", "p")).withColumn("p", F.trim("p")).where(F.length("p") > least)
-    pieces = F.when(F.length("p") <= size, F.array(F.struct(F.lit(0).alias("offset"), F.col("p").alias("text")))).otherwise(windows(F.col("p"), size, overlap))
-    x = p.select("doc_id", "idx", F.posexplode(pieces).alias("part", "x"))
-    return x.select("doc_id", "idx", "part", F.substring(F.trim(F.regexp_replace("x.text", r"[ \t\n\r]+", " ")), 1, most).alias("text"))
+    p = docs.select("doc_id", F.posexplode(_paragraphs(F.col("content"))).alias("idx", "p")).withColumn("p", F.trim("p")).where(F.length("p") > least)
+    x = p.select("doc_id", "idx", F.posexplode(_windowed(F.col("p"), size, overlap)).alias("part", "x"))
+    return x.select("doc_id", "idx", "part", _plain(F.col("x.text"), most).alias("text"))
 
 
 def chunk_packed(docs: DataFrame, size: int = 1500) -> DataFrame:

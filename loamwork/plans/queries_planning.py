@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.functions.storage import new_path
+from loamwork.functions.storage import new_path, small_files
 from loamwork.operators import cleaning as T
 from loamwork.operators import graph as G
 from loamwork.operators import ingest as I
@@ -216,7 +216,8 @@ def _(s, d):
 @query("stream_files")
 def _(s, d):
     target, folder = new_path(s, "stream-table"), one_file_each(s, d)
-    drained(s, stream_corpus_files(s, folder), "append", X.ingest_batch(target, X.file_chunks))
+    with small_files(s):
+        drained(s, X.file_pieces(stream_corpus_files(s, folder)), "append", X.ingest_batch(target, X.file_chunks))
     return X.stored(s, target).groupBy("kind").agg(F.count_distinct("doc").alias("n_files"), F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("total_length"))
 
 

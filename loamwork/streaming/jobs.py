@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loamwork.functions.storage import stage
-from loamwork.operators.ingest import chunk_files
+from loamwork.operators.ingest import chunked_files
 from loamwork.operators.metrics import AlertRule, decayed_sums
 from loamwork.operators.policy import start_value
 
@@ -77,14 +77,20 @@ def ingest_batch(target: str, chunker: Callable[[DataFrame], DataFrame], buckets
     return run
 
 
+def file_pieces(files: DataFrame) -> DataFrame:
+    """files (path, content, seq, problem; a batch or a stream) with their chunks: on a stream, what file_chunks need not plan for each batch."""
+    return chunked_files(files).select("path", "seq", "problem", "chunks")
+
+
 def file_chunks(batch: DataFrame) -> DataFrame:
-    """doc, id, text, kind, seq of a batch of files (path, content, seq): chunks by format and route, under the file's path. Files too
-    large to read have one row without text, of kind `too large`."""
-    docs = batch.select(F.col("path").alias("doc_id"), "content", "seq", "problem")
-    made = chunk_files(docs.where("problem IS NULL")).join(docs.select("doc_id", "seq"), "doc_id")
-    rows = made.select(F.col("doc_id").alias("doc"), F.concat_ws("_", "doc_id", "kind", "idx", "part").alias("id"), "text", "kind", "seq")
-    bad = docs.where("problem IS NOT NULL").select(F.col("doc_id").alias("doc"), F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("text"), F.col("problem").alias("kind"), "seq")
-    return rows.unionByName(bad)
+    """doc, id, text, kind, seq of a batch of files (path, content, seq, problem; or of file_pieces): chunks by format and route, under the
+    file's path. Files too large to read have one row without text, of kind `too large`. Each file is read once, and no row is shuffled."""
+    pieces = batch if "chunks" in batch.columns else file_pieces(batch)
+    none = F.lit(None).cast("string")
+    bad = F.array(F.struct(F.col("problem").alias("kind"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("int").alias("part"), none.alias("text")))
+    x = pieces.select("path", "seq", "problem", F.explode(F.when(F.col("problem").isNotNull(), bad).otherwise(F.col("chunks"))).alias("x"))
+    name = F.when(F.col("problem").isNull(), F.concat_ws("_", "path", "x.kind", "x.idx", "x.part")).otherwise(F.col("path"))
+    return x.select(F.col("path").alias("doc"), name.alias("id"), "x.text", "x.kind", "seq")
 
 
 def first_seen(events: DataFrame, key: list[str], ttl: str = "1 hour") -> DataFrame:

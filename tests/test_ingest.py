@@ -175,3 +175,14 @@ def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
     assert found.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
     want = Counter(r.text + "\n" for r in rows.collect()) + Counter(r.text + "\n" for r in rows.where("id < 3").collect())
     assert Counter(r.content for r in found.collect()) == want
+
+
+def test_file_chunks_are_one_narrow_job(spark):
+    """A batch's files are read once and no row is shuffled, whatever their formats."""
+    files = spark.createDataFrame([("a", "[1, [2]]", 1, None), ("b", "x,y\n1,2", 2, None), ("c", None, 3, "too large"), ("d", "Question: why is it?\nAnswer: so it is", 4, None), ("e", "just as long.", 5, None)], "path string, content string, seq long, problem string")
+    out = X.file_chunks(files)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FileScan" not in plan and "Join" not in plan and "Union" not in plan
+    got = sorted((r.doc, r.kind, r.text, r.seq) for r in out.collect() if r.doc != "c")
+    assert [x[:2] for x in got] == [("a", "json_primitive"), ("b", "csv_row"), ("b", "csv_row"), ("d", "qa_pair"), ("e", "whole")]
+    assert [(r.id, r.kind, r.text) for r in out.collect() if r.doc == "c"] == [("c", "too large", None)]
